@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
@@ -80,7 +80,7 @@ query(
 )
 def _parquet_sink(spark, sf):
     """Write a date-partitioned table, overwrite one day in place, read it back."""
-    path = tempfile.mkdtemp(prefix="sink-", dir=_local(checkpoint_root(spark)))
+    path = _scratch(spark, "sink")
     snap = snapshot(spark, sf)
     sinks.write_table(snap, path, "overwrite", partition_by=["DATE"])
     day = snap.where(F.col("DATE") == F.lit("2024-01-05").cast("date"))
@@ -89,8 +89,9 @@ def _parquet_sink(spark, sf):
     return back.groupBy("DATE").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("VALUE"), 4).alias("total"))
 
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def _scratch(spark, name: str) -> str:
+    """A new folder in the shared checkpoint area."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(
@@ -99,8 +100,12 @@ def _local(path: str) -> str:
     ("hold",),
 )
 def _sheet(spark, sf):
-    """Holdings as XML spreadsheets, one per index, read back as a table."""
-    path = tempfile.mkdtemp(prefix="sheet-", dir=_local(checkpoint_root(spark)))
+    """Holdings as XML spreadsheets, one per index and year, read back as a table.
+
+    A sheet holds at most twelve months of one index, so no row of text grows
+    with the table.
+    """
+    path = _scratch(spark, "sheet")
 
     def cells(*values):
         return F.concat(
@@ -110,10 +115,10 @@ def _sheet(spark, sf):
         )
 
     body = holdings(spark, sf).select(
-        "INDEX",
+        F.concat_ws("-", "INDEX", F.year("DATE")).alias("part"),
         cells(F.col("DATE").cast("string"), F.col("INDEX"), F.col("TICKER"), F.col("QUANTITY").cast("long").cast("string")).alias("row"),
     )
-    sheet = body.groupBy(F.col("INDEX").alias("part")).agg(F.concat_ws("", F.collect_list("row")).alias("rows"))
+    sheet = body.groupBy("part").agg(F.concat_ws("", F.collect_list("row")).alias("rows"))
     head = cells(F.lit("Load date"), F.lit("Index name"), F.lit("Ticker"), F.lit("Quantity (%)"))
     title = cells(F.lit("Fund holdings"))
     space = 'xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"'
