@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.filters import normalized
-from tickloom.operators.support import with_group_totals
+from tickloom.operators.support import with_group_totals, with_scalars
 
 # fixed values: what a price history starts with, and the attributes a roll-up keeps
 DEFAULT_START = "2000-01-01"
@@ -87,9 +87,7 @@ def sector_weights(weights: DataFrame, sectors: DataFrame) -> DataFrame:
     every = weights.select("date").distinct()
     names = sectors.where(F.col("sector").isNotNull()).select("sector").distinct()
     # one row with the sector names (a classification has a few dozen) rides along with each date
-    listed = every.withColumn("_j", F.lit(1)).join(
-        F.broadcast(names.agg(F.sort_array(F.collect_set("sector")).alias("_s")).withColumn("_j", F.lit(1))), "_j"
-    )
+    listed = with_scalars(every, names.agg(F.sort_array(F.collect_set("sector")).alias("_s")))
     grid = listed.select("date", F.explode("_s").alias("sector"))
     return grid.join(sums, ["date", "sector"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 

@@ -46,6 +46,12 @@ def with_group_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> D
     return df.join(per_group, keys)
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a single-row frame (an ungrouped aggregate) to every row."""
+    key = F.lit(1)
+    return df.withColumn("_one", key).join(F.broadcast(one_row.withColumn("_one", key)), "_one").drop("_one")
+
+
 def ordered_prefix(
     df: DataFrame,
     keys: Sequence[str],

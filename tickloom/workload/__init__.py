@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its SQL counterpart where SQL can say it."""
 
-from tickloom.workload import q_changes, q_cleaning, q_joins, q_tables  # noqa: F401  (imports fill the registry)
+from tickloom.workload import q_changes, q_cleaning, q_crosssection, q_joins, q_panels, q_tables  # noqa: F401  (imports fill the registry)
 from tickloom.workload.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -49,7 +49,9 @@ def with_ctes(sql: str, *names: str) -> str:
         return sql
     body = ",\n".join(f"{n} AS ({CTES[n]})" for n in ordered)
     sql = sql.strip()
-    if sql[:5].upper() == "WITH ":
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {body},\n{sql[15:]}"
+    if sql.upper().startswith("WITH "):
         return f"WITH {body},\n{sql[5:]}"
     return f"WITH {body}\n{sql}"
 

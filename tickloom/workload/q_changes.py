@@ -94,11 +94,11 @@ def _new_count(spark, sf):
 
 query(
     "existing_slice",
-    f"""{SNAP} FROM snap WHERE TICKER IN (SELECT TICKER FROM snap WHERE KIND = 'error' AND VALUE > 40)""",
+    f"""{SNAP} FROM snap WHERE TICKER IN (SELECT TICKER FROM snap WHERE KIND = 'error' AND VALUE > 100)""",
     ("snap",),
 )(
     lambda spark, sf: diff.existing_for(
-        snapshot(spark, sf), snapshot(spark, sf).where("KIND = 'error' AND VALUE > 40"), ["TICKER"]
+        snapshot(spark, sf), snapshot(spark, sf).where("KIND = 'error' AND VALUE > 100"), ["TICKER"]
     )
 )
 
@@ -152,7 +152,7 @@ UNION ALL SELECT "DATE", TICKER, FIGI, KIND, VALUE + 1, SEQ FROM snap WHERE SEQ
 )
 query(
     "overwrite_adjusted",
-    f"""WITH due AS (SELECT DISTINCT TICKER FROM snap WHERE KIND = 'error' AND VALUE > 40 AND TICKER IN (SELECT TICKER FROM snap WHERE SEQ % 4 = 1))
+    f"""WITH due AS (SELECT DISTINCT TICKER FROM snap WHERE KIND = 'error' AND VALUE > 100 AND TICKER IN (SELECT TICKER FROM snap WHERE SEQ % 4 = 1))
 SELECT "DATE", TICKER, FIGI, KIND, VALUE, SEQ FROM snap WHERE SEQ % 4 = 1 AND TICKER NOT IN (SELECT TICKER FROM due)
 UNION ALL SELECT "DATE", TICKER, FIGI, KIND, VALUE * 2, SEQ FROM snap WHERE TICKER IN (SELECT TICKER FROM due)""",
     ("snap",),
@@ -160,7 +160,7 @@ UNION ALL SELECT "DATE", TICKER, FIGI, KIND, VALUE * 2, SEQ FROM snap WHERE TICK
     lambda spark, sf: diff.reload_keys(
         snapshot(spark, sf).where("SEQ % 4 = 1"),
         snapshot(spark, sf).withColumn("VALUE", F.col("VALUE") * 2),
-        snapshot(spark, sf).where("KIND = 'error' AND VALUE > 40"),
+        snapshot(spark, sf).where("KIND = 'error' AND VALUE > 100"),
     )
 )
 query(
@@ -189,9 +189,9 @@ SELECT K AS TICKER, coalesce(n.N, o.N) AS N FROM o FULL JOIN n USING (K)""",
 )
 query(
     "set_difference",
-    "SELECT DISTINCT TICKER FROM snap EXCEPT SELECT TICKER FROM snap WHERE KIND = 'purchase' AND VALUE > 40",
+    "SELECT DISTINCT TICKER FROM snap EXCEPT SELECT TICKER FROM snap WHERE KIND = 'purchase' AND VALUE > 100",
     ("snap",),
-)(lambda spark, sf: diff.missing_keys(snapshot(spark, sf).where("KIND = 'purchase' AND VALUE > 40"), snapshot(spark, sf), "TICKER"))
+)(lambda spark, sf: diff.missing_keys(snapshot(spark, sf).where("KIND = 'purchase' AND VALUE > 100"), snapshot(spark, sf), "TICKER"))
 query(
     "inactive_union",
     "SELECT date, asset FROM pb WHERE asset NOT IN ('U1', 'U2', 'U3', 'U4')",
@@ -434,7 +434,7 @@ UNION ALL SELECT "DATE", TICKER, FIGI, KIND, VALUE, 'company_info' FROM batch"""
 )
 query(
     "subset_run",
-    f"""WITH {_LANDED.replace('FROM snap WHERE SEQ % 3 = 0)', "FROM snap WHERE SEQ % 3 = 0 AND TICKER NOT IN (SELECT TICKER FROM snap WHERE KIND = 'purchase' AND VALUE > 40))")}
+    f"""WITH {_LANDED.replace('FROM snap WHERE SEQ % 3 = 0)', "FROM snap WHERE SEQ % 3 = 0 AND TICKER NOT IN (SELECT TICKER FROM snap WHERE KIND = 'purchase' AND VALUE > 100))")}
 SELECT "DATE", TICKER, FIGI, KIND, VALUE, 'company_info' AS DATASET FROM batch""",
     ("snap",),
 )(
@@ -445,7 +445,7 @@ SELECT "DATE", TICKER, FIGI, KIND, VALUE, 'company_info' AS DATASET FROM batch""
             {"company_info": landed_rows(spark, sf)},
             {"company_info": stored_rows(spark, sf)},
             figi_map(spark, sf),
-            snapshot(spark, sf).where("KIND = 'purchase' AND VALUE > 40"),
+            snapshot(spark, sf).where("KIND = 'purchase' AND VALUE > 100"),
             snapshot(spark, sf),
         ),
     )

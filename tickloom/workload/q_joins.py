@@ -34,9 +34,9 @@ def _attach(spark, sf):
 
 query(
     "missing_in_master",
-    "SELECT DISTINCT TICKER FROM snap WHERE TICKER NOT IN (SELECT TICKER FROM snap WHERE KIND = 'error' AND VALUE > 40)",
+    "SELECT DISTINCT TICKER FROM snap WHERE TICKER NOT IN (SELECT TICKER FROM snap WHERE KIND = 'error' AND VALUE > 100)",
     ("snap",),
-)(lambda spark, sf: joins.missing_in_master(snapshot(spark, sf), snapshot(spark, sf).where("KIND = 'error' AND VALUE > 40")))
+)(lambda spark, sf: joins.missing_in_master(snapshot(spark, sf), snapshot(spark, sf).where("KIND = 'error' AND VALUE > 100")))
 
 
 def figi_map(spark, sf):
