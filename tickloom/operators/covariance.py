@@ -21,6 +21,7 @@ from tickloom.operators.calendar import Offset
 from tickloom.operators.estimators import QUARTER, TEN_YEARS, coverage_filter, history, of_pool
 from tickloom.operators.expected_returns import decay_of
 from tickloom.operators.support import with_group_totals
+from tickloom.session import cut_lineage
 
 # Assets per block; two blocks of a ten-year daily window take about 10 MB.
 BLOCK = 256
@@ -78,17 +79,21 @@ def _block_product(decays: Sequence[float]):
     return multiply
 
 
-def gram(rows: DataFrame, decays: Sequence[float] = (1.0,), block: int = BLOCK) -> DataFrame:
+def gram(rows: DataFrame, decays: Sequence[float] = (1.0,), center: bool = False, block: int = BLOCK) -> DataFrame:
     """Pair sums of window values over the rows both assets have.
 
     Per (now, i, j) and decay ``k``: count, weight sums and the weighted sums of
-    x, y and xy.  Pairs without a common row are absent.
+    x, y and xy.  Pairs without a common row are absent.  ``center`` takes each
+    asset's window mean off first: covariances stay, the sums lose less precision.
     """
     vectors = rows.groupBy("now", "asset").agg(
         F.first("rlen").alias("rlen"),
         F.collect_list("rpos").alias("at"),
         F.collect_list("value").alias("vals"),
+        (F.avg("value") if center else F.lit(0.0)).alias("_mean"),
     )
+    if center:
+        vectors = vectors.withColumn("vals", F.transform("vals", lambda v: v - F.col("_mean")))
     sized = with_group_totals(vectors, ["now"], _p=F.count(F.lit(1)))
     blocks = F.ceil(F.col("_p") / block).cast("int")
     placed = sized.withColumn("_blocks", blocks).withColumn(
@@ -109,12 +114,6 @@ def gram(rows: DataFrame, decays: Sequence[float] = (1.0,), block: int = BLOCK)
     return sent.groupBy("now", "lo", "hi").applyInPandas(_block_product(list(decays)), _GRAM)
 
 
-def _centered(rows: DataFrame) -> DataFrame:
-    """Values less their own window mean: covariances do not change, the sums lose less precision."""
-    sized = with_group_totals(rows, ["now", "asset"], _mean=F.avg("value"))
-    return sized.withColumn("value", F.col("value") - F.col("_mean")).drop("_mean")
-
-
 def _named(df: DataFrame, cov: Column) -> DataFrame:
     return df.select(F.col("now").alias("date"), "i", "j", cov.alias("cov"))
 
@@ -125,7 +124,7 @@ def _pool_history(panel, calendar, pool, lookback, lag, **window) -> DataFrame:
 
 def cov_sample(panel, calendar, pool, lookback=QUARTER, lag=Offset(), ddof: int = 1, **window) -> DataFrame:
     """Pairwise-complete covariance."""
-    sums = gram(_centered(_pool_history(panel, calendar, pool, lookback, lag, **window)))
+    sums = gram(_pool_history(panel, calendar, pool, lookback, lag, **window), center=True)
     freedom = F.col("n") - ddof
     value = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.when(freedom > 0, freedom)
     return _named(sums, value).where(F.col("cov").isNotNull())
@@ -152,14 +151,16 @@ def _ew_cov() -> Column:
 
 def cov_ewma(panel, calendar, pool, lookback=TEN_YEARS, lag=Offset(), alpha=None, halflife=None, **window) -> DataFrame:
     """Exponentially weighted pairwise covariance at the end of the window."""
-    rows = _centered(_pool_history(panel, calendar, pool, lookback, lag, **window))
-    sums = gram(rows, [decay_of(alpha, halflife)])
+    rows = _pool_history(panel, calendar, pool, lookback, lag, **window)
+    sums = gram(rows, [decay_of(alpha, halflife)], center=True)
     return _named(sums, _ew_cov()).where(F.col("cov").isNotNull())
 
 
 def _complete(panel, calendar, pool, lookback, lag, min_coverage, log, **window) -> DataFrame:
     """Coverage-filtered complete cases; logs are taken of the kept returns."""
-    rows = coverage_filter(_pool_history(panel, calendar, pool, lookback, lag, **window), min_coverage)
+    # both frames are read several times over; written once they are not computed again
+    rows = cut_lineage(_pool_history(panel, calendar, pool, lookback, lag, **window))
+    rows = cut_lineage(coverage_filter(rows, min_coverage))
     return rows.withColumn("value", F.log1p("value")) if log else rows
 
 
@@ -180,7 +181,7 @@ def cov_regime_blended(
     """
     rows = _complete(panel, calendar, pool, lookback, lag, min_coverage, use_log_returns, **window)
     lives = sorted({h for pair in halflife_pairs for h in pair})
-    sums = gram(_centered(rows), [1.0, *[decay_of(halflife=h) for h in lives]])
+    sums = gram(rows, [1.0, *[decay_of(halflife=h) for h in lives]], center=True)
     plain = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1)
     valued = sums.withColumn("_c", F.when(F.col("k") == 0, plain).otherwise(_ew_cov()))
     wide = valued.groupBy("now", "i", "j").agg(
@@ -188,10 +189,12 @@ def cov_regime_blended(
         *[F.max(F.when(F.col("k") == at + 1, F.col("_c"))).alias(f"_c{at}") for at in range(len(lives))],
     )
     own = wide.where(F.col("i") == F.col("j"))
-    left = own.select("now", "i", *[F.greatest(F.col(f"_c{a}"), F.lit(0.0)).alias(f"_vi{a}") for a in range(len(lives))])
-    right = own.select(
-        "now", F.col("i").alias("j"), *[F.greatest(F.col(f"_c{a}"), F.lit(0.0)).alias(f"_vj{a}") for a in range(len(lives))]
-    )
+
+    def variance(a: int) -> Column:
+        return F.when(F.col(f"_c{a}").isNotNull(), F.greatest(F.col(f"_c{a}"), F.lit(0.0)))
+
+    left = own.select("now", "i", *[variance(a).alias(f"_vi{a}") for a in range(len(lives))])
+    right = own.select("now", F.col("i").alias("j"), *[variance(a).alias(f"_vj{a}") for a in range(len(lives))])
     width = own.groupBy("now").agg(F.count(F.lit(1)).alias("_p"))
     joined = wide.join(left, ["now", "i"]).join(right, ["now", "j"]).join(width, "now")
     total = None
@@ -221,7 +224,7 @@ def cov_empirical(
 ) -> DataFrame:
     """Maximum-likelihood covariance of the complete cases."""
     rows = _complete(panel, calendar, pool, lookback, lag, min_coverage, use_log_returns, **window)
-    return _named(gram(_centered(rows)), _population())
+    return _named(gram(rows, center=True), _population())
 
 
 def _population() -> Column:
@@ -249,7 +252,7 @@ def _moments(sample: DataFrame) -> DataFrame:
 def cov_oas(panel, calendar, pool, lookback=QUARTER, lag=Offset(), min_coverage=0.8, **window) -> DataFrame:
     """Oracle-approximating shrinkage towards a scaled identity."""
     rows = _complete(panel, calendar, pool, lookback, lag, min_coverage, False, **window)
-    sample = gram(_centered(rows)).withColumn("_cov", _population())
+    sample = gram(rows, center=True).withColumn("_cov", _population())
     p, mean = F.col("_p"), F.col("_trace") / F.col("_p")
     alpha = F.col("_squares") / (p * p)
     top, below = alpha + mean * mean, (F.col("_n") + 1) * (alpha - mean * mean / p)
@@ -263,9 +266,11 @@ def cov_ledoit_wolf(panel, calendar, pool, lookback=QUARTER, lag=Offset(), min_c
     The sum over all pairs of the products of squares equals the squared row
     norms summed over the rows, which needs no pairs.
     """
-    rows = _centered(_complete(panel, calendar, pool, lookback, lag, min_coverage, False, **window))
-    sample = gram(rows).withColumn("_cov", _population())
-    norms = rows.groupBy("now", "rpos").agg(F.sum(F.col("value") * F.col("value")).alias("_q"))
+    rows = _complete(panel, calendar, pool, lookback, lag, min_coverage, False, **window)
+    sample = gram(rows, center=True).withColumn("_cov", _population())
+    centered = with_group_totals(rows, ["now", "asset"], _mean=F.avg("value"))
+    off = F.col("value") - F.col("_mean")
+    norms = centered.groupBy("now", "rpos").agg(F.sum(off * off).alias("_q"))
     fourth = norms.groupBy("now").agg(F.sum(F.col("_q") * F.col("_q")).alias("_fourth"))
     per_date = _moments(sample).join(fourth, "now")
     p, n, squares = F.col("_p"), F.col("_n"), F.col("_squares")

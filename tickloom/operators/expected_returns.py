@@ -93,7 +93,7 @@ def _within_edges(rows: DataFrame, pool: DataFrame, trim: float, mean: Callable[
 
 
 def _mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
 
 
 def er_trimmed(
