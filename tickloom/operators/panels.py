@@ -159,14 +159,26 @@ def resample_last(series: DataFrame, unit: str) -> DataFrame:
 
 
 def drawdown(series: DataFrame) -> DataFrame:
-    """Distance of the price from its running peak."""
-    peak = F.max("price").over(_by_time().rowsBetween(Window.unboundedPreceding, 0))
-    return series.withColumn("drawdown", F.col("price") / peak - 1)
+    """Distance of the price from its running peak.
+
+    The peak is that of the earlier days or of the day so far, so a window holds
+    one day of a series (or its list of days), however long the series is.
+    """
+    day = F.col("ts").cast("date")
+    rows = series.withColumn("_day", day)
+    days = rows.groupBy("series", "_day").agg(F.max("price").alias("_top"))
+    earlier = Window.partitionBy("series").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("series", "_day", F.max("_top").over(earlier).alias("_earlier"))
+    so_far = Window.partitionBy("series", "_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    peaked = rows.withColumn("_now", F.max("price").over(so_far)).join(days, ["series", "_day"])
+    peak = F.greatest("_earlier", "_now")
+    return peaked.withColumn("drawdown", F.col("price") / peak - 1).select(*series.columns, "drawdown")
 
 
 def dd_duration(series: DataFrame) -> DataFrame:
-    """Longest run of consecutive rows below the running peak, per series."""
-    under = drawdown(series).withColumn("_under", F.col("drawdown") < 0)
+    """Longest run of consecutive days below the running peak, per daily series."""
+    peak = F.max("price").over(_by_time().rowsBetween(Window.unboundedPreceding, 0))
+    under = series.withColumn("_under", F.col("price") < peak)
     island = F.sum((~F.col("_under")).cast("int")).over(_by_time().rowsBetween(Window.unboundedPreceding, 0))
     runs = under.withColumn("_run", island).groupBy("series", "_run").agg(F.count_if(F.col("_under")).alias("_n"))
     return runs.groupBy("series").agg(F.max("_n").alias("max_drawdown_duration"))

@@ -1,0 +1,201 @@
+"""Optimised weights: one small convex problem per date, all dates side by side.
+
+Spark joins and groups the inputs; a task receives one date's matrix over the
+selected names and solves it with a few lines of NumPy.  A cross-section beyond
+``MAX_NAMES`` is refused with an error, never cut.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tickloom.operators.weights import clean
+
+MAX_NAMES = 3_000
+_WEIGHTS = "date date, asset string, weight double"
+
+
+def project(v: np.ndarray, total: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Nearest point of {sum x = total, low <= x <= high}: one shift, found by bisection."""
+    a, b = (low - v).min(), (high - v).max()
+    for _ in range(100):
+        middle = (a + b) / 2
+        if np.clip(v + middle, low, high).sum() < total:
+            a = middle
+        else:
+            b = middle
+    return np.clip(v + (a + b) / 2, low, high)
+
+
+def quadratic(h: np.ndarray, c: np.ndarray, total: float, low, high, steps: int = 20_000) -> np.ndarray | None:
+    """min x'Hx/2 - c'x over the bounded simplex, by accelerated projected gradient with restarts."""
+    p = len(c)
+    low, high = np.broadcast_to(low, p).astype(float), np.broadcast_to(high, p).astype(float)
+    if low.sum() > total + 1e-9 or high.sum() < total - 1e-9:
+        return None
+    rate = 1.0 / max(np.linalg.eigvalsh(h)[-1], 1e-12)
+    x = y = project(np.full(p, total / p), total, low, high)
+    t = 1.0
+    for _ in range(steps):
+        new = project(y - rate * (h @ y - c), total, low, high)
+        if (y - new) @ (new - x) > 0:
+            y, t = x, 1.0
+            new = project(x - rate * (h @ x - c), total, low, high)
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y = new + (t - 1) / later * (new - x)
+        moved = np.abs(new - x).max()
+        x, t = new, later
+        if moved <= 1e-13:
+            break
+    return x
+
+
+def log_barrier(h: np.ndarray, steps: int = 200) -> np.ndarray:
+    """min w'Hw/2 - mean(log w) with sum w = 1, by damped Newton steps."""
+    p = len(h)
+    w = np.full(p, 1.0 / p)
+    for _ in range(steps):
+        gradient = h @ w - 1 / (p * w)
+        hessian = h + np.diag(1 / (p * w * w))
+        a, b = np.linalg.solve(hessian, gradient), np.linalg.solve(hessian, np.ones(p))
+        move = -a + b * (a.sum() / b.sum())
+        size = 1.0
+        while (w + size * move <= 0).any():
+            size /= 2
+        value = w @ h @ w / 2 - np.log(w).mean()
+        while size > 1e-12:
+            trial = w + size * move
+            if trial @ h @ trial / 2 - np.log(trial).mean() <= value + 1e-4 * size * (gradient @ move) + 1e-15:
+                break
+            size /= 2
+        w = w + size * move
+        if np.abs(size * move).max() < 1e-14:
+            break
+    return w / w.sum()
+
+
+def _names(frame: pd.DataFrame) -> np.ndarray:
+    names = np.array(sorted(frame.loc[frame["i"] == frame["j"], "i"].unique()))
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"{len(names)} names on {frame['date'].iloc[0]} exceed {MAX_NAMES}")
+    return names
+
+
+def _matrix(frame: pd.DataFrame, names: np.ndarray) -> np.ndarray:
+    known = frame[frame["i"].isin(names) & frame["j"].isin(names)]
+    h = np.zeros((len(names), len(names)))
+    h[np.searchsorted(names, known["i"]), np.searchsorted(names, known["j"])] = known["cov"]
+    return (h + h.T) / 2
+
+
+def _restricted(selected: DataFrame, cov: DataFrame) -> DataFrame:
+    names = selected.select("date", "asset").distinct()
+    rows = cov.join(names.withColumnRenamed("asset", "i"), ["date", "i"], "left_semi")
+    return rows.join(names.withColumnRenamed("asset", "j"), ["date", "j"], "left_semi").select("date", "i", "j", "cov")
+
+
+def _out(date, names, weights) -> pd.DataFrame:
+    if weights is None:
+        return pd.DataFrame({"date": [], "asset": [], "weight": []})
+    return pd.DataFrame({"date": date, "asset": names, "weight": weights})
+
+
+def _solve(selected: DataFrame, cov: DataFrame, method) -> DataFrame:
+    def per_date(frame: pd.DataFrame) -> pd.DataFrame:
+        names = _names(frame)
+        return _out(frame["date"].iloc[0], names, method(_matrix(frame, names)))
+
+    return clean(_restricted(selected, cov).groupBy("date").applyInPandas(per_date, _WEIGHTS))
+
+
+def w_min_var(selected: DataFrame, cov: DataFrame, bounds=(0.0, 1.0)) -> DataFrame:
+    """Least variance, fully invested, within the bounds."""
+    low, high = bounds
+    return _solve(selected, cov, lambda h: quadratic(h, np.zeros(len(h)), 1.0, low, high))
+
+
+def w_max_div(selected: DataFrame, cov: DataFrame) -> DataFrame:
+    """Most diversified long-only weights.
+
+    In units of volatility the constraint is a plain simplex and the matrix the correlation.
+    """
+
+    def method(h: np.ndarray) -> np.ndarray | None:
+        vol = np.sqrt(np.maximum(np.diag(h), 0))
+        if (vol <= 0).any():
+            return None
+        y = quadratic(h / np.outer(vol, vol), np.zeros(len(h)), 1.0, 0.0, np.inf)
+        return y / vol / (y / vol).sum()
+
+    return _solve(selected, cov, method)
+
+
+def w_risk_parity(selected: DataFrame, cov: DataFrame) -> DataFrame:
+    """Half the variance less the mean log weight, minimised with the total held at one."""
+    return _solve(selected, cov, log_barrier)
+
+
+def w_mean_var(
+    selected: DataFrame, expected: DataFrame, cov: DataFrame, risk_averse_lambda: float = 1.0, bounds=(0.0, 1.0)
+) -> DataFrame:
+    """Expected return less lambda times variance, fully invested; an unknown return counts as zero."""
+    low, high = bounds
+
+    def per_date(key, frame: pd.DataFrame, gains: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty:
+            return _out(None, None, None)
+        names = _names(frame)
+        mean = gains.set_index("asset")["expected_return"].reindex(names).fillna(0.0).to_numpy()
+        return _out(key[0], names, quadratic(2 * risk_averse_lambda * _matrix(frame, names), mean, 1.0, low, high))
+
+    left = _restricted(selected, cov).groupBy("date")
+    right = expected.select("date", "asset", "expected_return").groupBy("date")
+    return clean(left.cogroup(right).applyInPandas(per_date, _WEIGHTS))
+
+
+def w_exposure_match(
+    stat: DataFrame,
+    benchmark: DataFrame,
+    exposures: DataFrame,
+    factor_cov: DataFrame,
+    lambda_factor: float = 1.0,
+    active_bound: float | None = None,
+) -> DataFrame:
+    """Benchmark plus the active weights that earn the statistic at least factor risk.
+
+    ``stat`` (date, asset, factor); ``benchmark`` (date, asset, weight);
+    ``exposures`` (date, asset, name, exposure); ``factor_cov`` (date, i, j, cov)
+    between exposure names.
+    """
+    base = benchmark.select("date", "asset", "weight").join(
+        stat.select("date", "asset", F.col("factor").alias("stat")), ["date", "asset"]
+    )
+    loads = exposures.groupBy("date", "asset").agg(
+        F.sort_array(F.collect_list(F.struct("name", "exposure"))).alias("loads")
+    )
+    rows = base.join(loads, ["date", "asset"])
+
+    def per_date(key, frame: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty or factors.empty:
+            return _out(None, None, None)
+        if len(frame) > MAX_NAMES:
+            raise ValueError(f"{len(frame)} names on {key[0]} exceed {MAX_NAMES}")
+        frame = frame.sort_values("asset")
+        names = np.array(sorted(factors["i"].unique()))
+        omega = np.zeros((len(names), len(names)))
+        omega[np.searchsorted(names, factors["i"]), np.searchsorted(names, factors["j"])] = factors["cov"]
+        f = np.array([[dict((e["name"], e["exposure"]) for e in row).get(n, 0.0) for n in names] for row in frame["loads"]])
+        b = frame["weight"].to_numpy()
+        b = b / b.sum()
+        wide = np.inf if active_bound is None else float(active_bound)
+        # without a bound nobody can gain more than the others can give up
+        high = np.full(len(b), min(wide, 1.0))
+        h = 2 * lambda_factor * f @ omega @ f.T
+        active = quadratic((h + h.T) / 2, frame["stat"].to_numpy(), 0.0, np.maximum(-wide, -b), high)
+        return _out(key[0], frame["asset"].to_numpy(), None if active is None else b + active)
+
+    right = factor_cov.select("date", "i", "j", "cov").groupBy("date")
+    return clean(rows.groupBy("date").cogroup(right).applyInPandas(per_date, _WEIGHTS))
