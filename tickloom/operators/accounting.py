@@ -73,10 +73,12 @@ def open_schedule(schedule: DataFrame, calendar: DataFrame, cutoffs: DataFrame)
     return rows.where(F.col("_closed").isNull() | (F.col("date") < F.col("_closed"))).select(*schedule.columns)
 
 
-def holdings_growth(prices: DataFrame, calendar: DataFrame, schedule: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def holdings_growth(
+    prices: DataFrame, calendar: DataFrame, schedule: DataFrame, by: Sequence[str] = (), segs: DataFrame | None = None
+) -> DataFrame:
     """(by, seg, date, pos, asset, weight, base, price) of every held name on every date of its segment."""
     by = list(by)
-    segs = segments(calendar, schedule, by)
+    segs = segments(calendar, schedule, by) if segs is None else segs
     rows = placed(prices.where(F.col("value").isNotNull()), calendar).select("date", "pos", "asset", "value")
     held = schedule.select(*by, F.col("date").alias("seg"), "asset", "weight").join(segs, [*by, "seg"])
     base = rows.select(F.col("pos").alias("base_pos"), "asset", F.col("value").alias("base"))
@@ -108,14 +110,13 @@ def nav(
     if cutoffs is not None:
         prices = close_positions(prices, calendar, cutoffs)
         schedule = open_schedule(schedule, calendar, cutoffs)
-    return _values(holdings_growth(prices, calendar, schedule, by), calendar, schedule, initial_capital, flows, by).select(
-        *by, "date", "value", "cash", "index"
-    )
+    segs = segments(calendar, schedule, by)
+    growth = holdings_growth(prices, calendar, schedule, by, segs)
+    return _values(growth, calendar, schedule, segs, initial_capital, flows, by).select(*by, "date", "value", "cash", "index")
 
 
-def _values(growth, calendar, schedule, initial_capital, flows, by) -> DataFrame:
+def _values(growth, calendar, schedule, segs, initial_capital, flows, by) -> DataFrame:
     """Value line with its segment base: (by, date, pos, seg, base_value, value, cash, index)."""
-    segs = segments(calendar, schedule, by)
     ratio = F.col("weight") * F.col("price") / F.col("base")
     held = growth.groupBy(*by, "seg", "pos").agg(F.sum(ratio).alias("_held"))
     invested = schedule.select(*by, F.col("date").alias("seg"), "weight").groupBy(*by, "seg").agg(F.sum("weight").alias("_w"))
@@ -173,15 +174,18 @@ def strategy_index(values: DataFrame, flows: DataFrame | None = None, by: Sequen
     ).select(*by, "date", "index")
 
 
-def _book(prices, calendar, schedule, initial_capital, by) -> tuple[DataFrame, DataFrame]:
-    growth = holdings_growth(prices, calendar, schedule, by)
-    return growth, _values(growth, calendar, schedule, initial_capital, None, by)
+def _book(prices, calendar, schedule, initial_capital, by) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, growth of the held names and the value line; the line (one row per date) is pinned."""
+    segs = segments(calendar, schedule, by)
+    growth = holdings_growth(prices, calendar, schedule, by, segs)
+    line = _values(growth, calendar, schedule, segs, initial_capital, None, by)
+    return segs, growth, small_side(line.select(*by, "date", "pos", "base_value", "value", "cash"))
 
 
 def drifted_weights(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
     """Share of every name and of cash in the value, per date."""
     by = list(by)
-    growth, values = _book(prices, calendar, schedule, initial_capital, by)
+    _, growth, values = _book(prices, calendar, schedule, initial_capital, by)
     worth = growth.join(values.select(*by, "pos", "base_value", "value"), [*by, "pos"])
     names = worth.select(
         *by, "date", "asset", (F.col("base_value") * F.col("weight") * F.col("price") / F.col("base") / F.col("value")).alias("weight")
@@ -207,8 +211,8 @@ def member_weights(children: DataFrame, parents: DataFrame, parent: str = "paren
 def _targets(prices, calendar, schedule, initial_capital, by) -> DataFrame:
     """Units from each trade date on: (by, date, asset, quantity, execution, price), exits as zero."""
     by = list(by)
-    growth, values = _book(prices, calendar, schedule, initial_capital, by)
-    opening = growth.join(segments(calendar, schedule, by).select(*by, "seg", "start", "final"), [*by, "seg"])
+    segs, growth, values = _book(prices, calendar, schedule, initial_capital, by)
+    opening = growth.join(segs.select(*by, "seg", "start", "final"), [*by, "seg"])
     opening = opening.where(F.col("pos") == F.col("start"))
     opening = opening.join(values.select(*by, "pos", "base_value"), [*by, "pos"])
     held = opening.select(
@@ -216,7 +220,7 @@ def _targets(prices, calendar, schedule, initial_capital, by) -> DataFrame:
     )
     # a name that is not renewed leaves on the next trade date
     exits = held.select(*by, (F.col("final") + 1).alias("pos"), "asset", F.lit(0.0).alias("quantity"))
-    turns = segments(calendar, schedule, by).select(*by, F.col("start").alias("pos"))
+    turns = segs.select(*by, F.col("start").alias("pos"))
     exits = exits.join(turns, [*by, "pos"], "left_semi")
     both = held.select(*by, "pos", "asset", "quantity").unionByName(exits)
     units = both.groupBy(*by, "pos", "asset").agg(F.sum("quantity").alias("quantity"))
@@ -233,7 +237,7 @@ def _targets(prices, calendar, schedule, initial_capital, by) -> DataFrame:
 def positions(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
     """Units held, on every date a name is held."""
     by = list(by)
-    growth, values = _book(prices, calendar, schedule, initial_capital, by)
+    _, growth, values = _book(prices, calendar, schedule, initial_capital, by)
     worth = growth.join(values.select(*by, "pos", "base_value"), [*by, "pos"])
     return worth.select(*by, "date", "asset", (F.col("weight") * F.col("base_value") / F.col("base")).alias("quantity"))
 
@@ -334,7 +338,8 @@ def backfill_holdings(
 
     ``holdings`` (DATE, INDEX, FIGI, WEIGHT, QUANTITY, ...), ``prices`` (date,
     asset = FIGI, value).  One trade on the first date after ``start``; later
-    rows carry the drifted weight, the price to two decimals and the market value.
+    rows carry the drifted weight, the price to two decimals (halves to even) and
+    the market value.
     """
     first, final = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
     known = holdings.where((F.col("INDEX") == index) & (F.col("DATE") == first))
@@ -344,7 +349,7 @@ def backfill_holdings(
     live = drifted_weights(prices, calendar, schedule.select("date", "asset", "weight"))
     live = live.where((F.col("asset") != CASH) & (F.col("date") > first) & (F.col("date") <= final) & (F.col("weight") > 0))
     rows = live.select(F.col("date").alias("DATE"), F.col("asset").alias("FIGI"), F.col("weight").alias("WEIGHT"))
-    marks = prices.select(F.col("date").alias("DATE"), F.col("asset").alias("FIGI"), F.bround("value", 2).alias("PRICE"))
+    marks = prices.select(F.col("date").alias("DATE"), F.col("asset").alias("FIGI"), (F.rint(F.col("value") * 100) / 100).alias("PRICE"))
     meta = known.drop("DATE", "WEIGHT", "MARKET_VALUE", "PRICE")
     joined = rows.join(meta, "FIGI", "left").join(marks, ["DATE", "FIGI"], "left")
     return joined.withColumn("MARKET_VALUE", F.col("QUANTITY") * F.col("PRICE")).orderBy("DATE", F.col("WEIGHT").desc(), "FIGI")

@@ -19,23 +19,28 @@ _WEIGHTS = "date date, asset string, weight double"
 
 
 def project(v: np.ndarray, total: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Nearest point of {sum x = total, low <= x <= high}: one shift, found by bisection."""
-    a, b = (low - v).min(), (high - v).max()
-    for _ in range(100):
-        middle = (a + b) / 2
-        if np.clip(v + middle, low, high).sum() < total:
+    """Nearest point of {sum x = total, low <= x <= high}: one shift, linear between the sorted kinks."""
+    kinks = np.sort(np.concatenate([low - v, high - v]))
+    a, b = 0, len(kinks) - 1
+    while b - a > 1:
+        middle = (a + b) // 2
+        if np.clip(v + kinks[middle], low, high).sum() < total:
             a = middle
         else:
             b = middle
-    return np.clip(v + (a + b) / 2, low, high)
+    below, above = np.clip(v + kinks[a], low, high).sum(), np.clip(v + kinks[b], low, high).sum()
+    share = (total - below) / (above - below) if above > below else 0.0
+    return np.clip(v + kinks[a] + share * (kinks[b] - kinks[a]), low, high)
 
 
-def quadratic(h: np.ndarray, c: np.ndarray, total: float, low, high, steps: int = 20_000) -> np.ndarray | None:
+def quadratic(h: np.ndarray, c: np.ndarray, total: float, low, high, steps: int = 5_000) -> np.ndarray | None:
     """min x'Hx/2 - c'x over the bounded simplex, by accelerated projected gradient with restarts."""
     p = len(c)
     low, high = np.broadcast_to(low, p).astype(float), np.broadcast_to(high, p).astype(float)
     if low.sum() > total + 1e-9 or high.sum() < total - 1e-9:
         return None
+    # nobody can hold more than the others' floors leave; keeps every bound finite
+    high = np.minimum(high, total - (low.sum() - low))
     rate = 1.0 / max(np.linalg.eigvalsh(h)[-1], 1e-12)
     x = y = project(np.full(p, total / p), total, low, high)
     t = 1.0
@@ -48,7 +53,7 @@ def quadratic(h: np.ndarray, c: np.ndarray, total: float, low, high, steps: int
         y = new + (t - 1) / later * (new - x)
         moved = np.abs(new - x).max()
         x, t = new, later
-        if moved <= 1e-13:
+        if moved <= 1e-12:
             break
     return x
 
@@ -99,7 +104,7 @@ def _restricted(selected: DataFrame, cov: DataFrame) -> DataFrame:
 
 def _out(date, names, weights) -> pd.DataFrame:
     if weights is None:
-        return pd.DataFrame({"date": [], "asset": [], "weight": []})
+        return pd.DataFrame({"date": pd.Series(dtype=object), "asset": pd.Series(dtype=object), "weight": pd.Series(dtype=float)})
     return pd.DataFrame({"date": date, "asset": names, "weight": weights})
 
 

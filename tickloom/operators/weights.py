@@ -170,7 +170,8 @@ def _bounded(rows: DataFrame, limit: float) -> DataFrame:
 def m_limit_deltas(weights: DataFrame, current: DataFrame, limit: float = 0.1) -> DataFrame:
     """Keep changes against the current weights within the limit, relaxed where it cannot hold.
 
-    For weights that are not negative; a name without a current weight starts at zero.
+    For weights that are not negative against a book that is at most fully
+    invested; a name without a current weight starts at zero.
     """
     base = current.select("date", "asset", F.col("weight").alias("_base"))
     rows = clean(weights).join(base, ["date", "asset"], "left").withColumn("_base", F.coalesce("_base", F.lit(0.0)))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tickloom.operators import accounting, factors, panels, selection, stats, weights
 from tickloom.operators.calendar import Offset, calendar_of
 from tickloom.operators.estimators import QUARTER
+from tickloom.operators.support import small_side
+from tickloom.session import cut_lineage
 
 
 def signal_dates(trade_dates: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -44,8 +46,11 @@ def run(
     name: str = "strategy",
 ) -> tuple[DataFrame, DataFrame]:
     """Value line and statistics of a schedule builder on a price panel."""
+    # panel, schedule and value line are each read several times: written once, not recomputed
+    prices = cut_lineage(prices)
     calendar = calendar_of(prices)
-    filled = panels.ffill_bfill(prices, calendar).drop("pos")
-    line = accounting.nav(filled, calendar, schedule(filled, calendar), initial_capital)
+    filled = cut_lineage(panels.ffill_bfill(prices, calendar).drop("pos"))
+    plan = cut_lineage(schedule(filled, calendar))
+    line = small_side(accounting.nav(filled, calendar, plan, initial_capital))
     series = line.select(F.lit(name).alias("series"), F.col("date").alias("ts"), F.col("index").alias("price"))
     return line, stats.perf_stats(series)

@@ -10,9 +10,10 @@ from tickloom.operators import calendar as C
 from tickloom.operators import stats as ST
 from tickloom.operators import weights as W
 from tickloom.plans import research
-from tickloom.workload.base import cte, holdings, load, panel_a, query, rnd, rs, series_a
+from tickloom.session import cut_lineage
+from tickloom.workload.base import cte, holdings, load, panel_a, query, rnd, rs, sectors_a, series_a
 from tickloom.workload.q_panels import cal_a
-from tickloom.workload.q_weights import filled_a, schedule_a, selected_a
+from tickloom.workload.q_weights import filled_a, schedule_a, schedule_of, selected_a
 
 CAPITAL = 1000.0
 
@@ -52,7 +53,10 @@ _book_ctes("", "fa", "sch")
 
 
 def _args(spark, sf):
-    return filled_a(spark, sf), cal_a(spark, sf), schedule_a(spark, sf)
+    """Filled panel, calendar and schedule; the first and the last are written once and read often."""
+    prices = cut_lineage(filled_a(spark, sf))
+    calendar = C.calendar_of(prices)
+    return prices, calendar, cut_lineage(schedule_of(prices, calendar, sectors_a(spark, sf)))
 
 
 def _line(df, digits=4):
@@ -318,6 +322,10 @@ def _margin(spark, sf):
     return out.select("book", "date", rnd("interest").alias("interest"), "breach")
 
 
+# two decimals, halves to the even digit
+_EVEN = "(CASE WHEN f.value * 100 - floor(f.value * 100) = 0.5 THEN 2 * round(f.value * 50) ELSE round(f.value * 100) END / 100)"
+
+
 @query(
     "backfill_holdings",
     f"""WITH k AS (SELECT FIGI, TICKER, QUANTITY, WEIGHT FROM hold WHERE "INDEX" = 'MACHINERY' AND "DATE" = DATE '1997-01-01'),
@@ -327,7 +335,7 @@ g AS (SELECT c.date, c.pos, a.FIGI, p.value FROM c CROSS JOIN (SELECT DISTINCT F
 f AS (SELECT date, pos, FIGI, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY FIGI ORDER BY pos ROWS UNBOUNDED PRECEDING), first_value(value IGNORE NULLS) OVER (PARTITION BY FIGI ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM g),
 t AS (SELECT t.date, t.FIGI, k.WEIGHT * t.value / b.value AS x FROM k JOIN f b ON b.FIGI = k.FIGI AND b.date = DATE '1997-01-01' JOIN f t ON t.FIGI = k.FIGI AND t.date > DATE '1997-01-01' AND t.date <= DATE '1998-06-01'),
 v AS (SELECT date, (SELECT 1 - sum(WEIGHT) FROM k) + sum(x) AS v FROM t GROUP BY 1)
-SELECT t.date AS "DATE", t.FIGI, k.TICKER, k.QUANTITY, {rs('t.x / v.v', 9)} AS WEIGHT, round_even(f.value, 2) AS PRICE, {rs('k.QUANTITY * round_even(f.value, 2)', 4)} AS MARKET_VALUE
+SELECT t.date AS "DATE", t.FIGI, k.TICKER, k.QUANTITY, {rs('t.x / v.v', 9)} AS WEIGHT, {_EVEN} AS PRICE, {rs(f'k.QUANTITY * {_EVEN}', 4)} AS MARKET_VALUE
 FROM t JOIN v USING (date) JOIN k USING (FIGI) JOIN f ON f.date = t.date AND f.FIGI = t.FIGI""",
     ("hold",),
 )

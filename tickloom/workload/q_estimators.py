@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import covariance as CV
 from tickloom.operators import expected_returns as ER
-from tickloom.operators.calendar import Offset
+from tickloom.operators.calendar import Offset, calendar_of
 from tickloom.operators.estimators import coverage_filter, history, of_pool
 from tickloom.operators.panels import returns
 from tickloom.operators.selection import select_all
+from tickloom.session import cut_lineage
 from tickloom.workload.base import cte, panel_a, query, rnd, rs
-from tickloom.workload.q_panels import cal_a
 
 YEAR = Offset(months=12)
 
@@ -47,8 +47,8 @@ ON c.now = k.now AND c.rpos = k.rpos""",
 
 
 def _args(spark, sf):
-    panel, calendar = panel_a(spark, sf), cal_a(spark, sf)
-    return panel, calendar, select_all(panel)
+    panel = cut_lineage(panel_a(spark, sf))
+    return panel, calendar_of(panel), select_all(panel)
 
 
 def _er(df):

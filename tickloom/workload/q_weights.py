@@ -110,7 +110,7 @@ e AS (SELECT date, asset, w, b, {limit} + greatest(0, (sum(b - {limit}) OVER (PA
 (1 - sum(b + {limit}) OVER (PARTITION BY date)) / count(*) OVER (PARTITION BY date)) AS l FROM x),
 t(i, date, asset, w, b, l) AS (SELECT 0, date, asset, w, b, l FROM e UNION ALL
 SELECT i + 1, date, asset, least(greatest(w, b - l), b + l) / sum(least(greatest(w, b - l), b + l)) OVER (PARTITION BY date), b, l FROM t WHERE i < {steps})
-SELECT date, asset, {rs('w', 8)} AS weight FROM t WHERE i = {steps} AND abs(w) >= 1e-12"""
+SELECT date, asset, {rs('w', 6)} AS weight FROM t WHERE i = {steps} AND abs(w) >= 1e-12"""
 
 
 def targets_a(spark, sf):
@@ -126,7 +126,7 @@ query(
         0.02,
     ),
     ("wa",),
-)(lambda spark, sf: _w(W.m_limit_deltas(targets_a(spark, sf), weights_a(spark, sf).where("asset <> 'Brand#3'"), 0.02), 8))
+)(lambda spark, sf: _w(W.m_limit_deltas(targets_a(spark, sf), weights_a(spark, sf).where("asset <> 'Brand#3'"), 0.02), 6))
 query(
     "m_limit_benchmark",
     _bounded_sql(
@@ -134,7 +134,7 @@ query(
         0.03,
     ),
     ("wa", "sel"),
-)(lambda spark, sf: _w(W.m_limit_benchmark(targets_a(spark, sf), weights_a(spark, sf), 0.03, selected_a(spark, sf)), 8))
+)(lambda spark, sf: _w(W.m_limit_benchmark(targets_a(spark, sf), weights_a(spark, sf), 0.03, selected_a(spark, sf)), 6))
 
 
 def _on_months(frame, months):
@@ -159,11 +159,8 @@ SELECT date, asset, {rs('sum(w)', 9)} AS weight FROM b GROUP BY 1, 2 HAVING abs(
 )
 
 
-def schedule_a(spark, sf):
+def schedule_of(filled, calendar, sectors):
     """Quarterly schedule with changing members: nine tenths in two sectors by the price before."""
-    filled = filled_a(spark, sf)
-    calendar = cal_a(spark, sf)
-    sectors = sectors_a(spark, sf)
     visible = P.shift(filled, calendar).join(sectors, "asset")
     month = F.month("date")
     winter = month.isin([1, 7]) & F.col("sector").isin(["S1", "S2"])
@@ -173,6 +170,10 @@ def schedule_a(spark, sf):
     return rows.join(total, "date").select("date", "asset", F.round(0.9 * F.col("value") / F.col("_t"), 9).alias("weight"))
 
 
+def schedule_a(spark, sf):
+    return schedule_of(filled_a(spark, sf), cal_a(spark, sf), sectors_a(spark, sf))
+
+
 def filled_a(spark, sf):
     return P.ffill_bfill(panel_a(spark, sf), cal_a(spark, sf)).drop("pos")
 
