@@ -103,7 +103,9 @@ def signature(c: Column | str, data_type: str) -> Column:
 
 
 def _number_text(x: Column) -> Column:
-    rounded = F.format_string("%.14e", x).try_cast("double")
+    # 15 significant digits: the scaled integer is the same for values that agree to that many
+    scale = F.pow(F.lit(10.0), 14 - F.floor(F.log10(F.abs(x))))
+    rounded = F.rint(x * scale) / F.when(scale != 0, scale)
     whole = (F.abs(x) < 1e18) & (x == F.floor(x))
     return (
         F.when(x.isNull() | F.isnan(x), F.lit(None))

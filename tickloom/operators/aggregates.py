@@ -40,8 +40,11 @@ def holdings_rollup(df: DataFrame, keys: Sequence[str] = ("DATE", "INDEX", "TICK
     """One row per member: amounts summed, attributes from the first line by ``tie``."""
     sums = [F.sum(c).alias(c) for c in ROLLUP_SUMS if c in df.columns]
     order = F.col(tie) if tie else F.struct(*[c for c in df.columns if c not in keys])
-    firsts = [F.min_by(c, order).alias(c) for c in ROLLUP_FIRSTS if c in df.columns]
-    return df.groupBy(*keys).agg(*sums, *firsts)
+    kept = [c for c in ROLLUP_FIRSTS if c in df.columns]
+    if not kept:
+        return df.groupBy(*keys).agg(*sums)
+    first = F.min_by(F.struct(*kept), order).alias("_first")
+    return df.groupBy(*keys).agg(*sums, first).select("*", "_first.*").drop("_first")
 
 
 def vintage_max(df: DataFrame) -> DataFrame:

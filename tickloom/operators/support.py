@@ -24,8 +24,8 @@ def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     rows = df.limit(limit + 1).toArrow()
     if rows.num_rows > limit:
         return df
-    pinned = df.sparkSession.createDataFrame(rows.to_pylist(), df.schema)
-    return F.broadcast(pinned)
+    # an Arrow table becomes a plain local relation in the plan
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def finite(value: Column) -> Column:
