@@ -99,13 +99,13 @@ query(
 )(lambda spark, sf: _factor(FA.standardize(metric_a(spark, sf)), 5))
 query(
     "factor_stats",
-    f"""SELECT date, {rs('avg(f)')} AS MEAN, {rs('quantile_cont(f, 0.5)')} AS MEDIAN, {rs('quantile_cont(f, 0.25)')} AS "25TH", {rs('quantile_cont(f, 0.75)')} AS "75TH" FROM tr_a GROUP BY 1""",
+    f"""SELECT date, {rs('avg(f)', 12)} AS MEAN, {rs('quantile_cont(f, 0.5)', 12)} AS MEDIAN, {rs('quantile_cont(f, 0.25)', 12)} AS "25TH", {rs('quantile_cont(f, 0.75)', 12)} AS "75TH" FROM tr_a GROUP BY 1""",
     ("tr_a",),
 )(lambda spark, sf: _stats(FA.factor_stats(metric_a(spark, sf))))
 
 
 def _stats(df):
-    return df.select("date", *[rnd(f"`{c}`" if c[0].isdigit() else c).alias(c) for c in ("MEAN", "MEDIAN", "25TH", "75TH")])
+    return df.select("date", *[rnd(f"`{c}`", 12).alias(c) for c in ("MEAN", "MEDIAN", "25TH", "75TH")])
 
 
 def part_factor(spark, sf):
@@ -296,7 +296,7 @@ SELECT date, asset FROM (SELECT *, ntile(2) OVER (PARTITION BY date, t1 ORDER BY
 )
 query(
     "selection_stats",
-    f"SELECT date, count(*) AS TOTAL_NAMES, {rs('avg(f)')} AS MEAN, {rs('median(f)')} AS MEDIAN FROM tr_p WHERE asset IN (SELECT asset FROM sec_a WHERE sector = 'S2') GROUP BY 1",
+    f"SELECT date, count(*) AS TOTAL_NAMES, {rs('avg(f)', 12)} AS MEAN, {rs('median(f)', 12)} AS MEDIAN FROM tr_p WHERE asset IN (SELECT asset FROM sec_a WHERE sector = 'S2') GROUP BY 1",
     ("tr_p", "sec_a"),
 )(lambda spark, sf: _selection_stats(spark, sf))
 
@@ -304,7 +304,7 @@ query(
 def _selection_stats(spark, sf):
     chosen = S.select_sector(pool_a(spark, sf), sectors_a(spark, sf), ["S2"])
     out = S.selection_stats(metric_a(spark, sf), chosen)
-    return out.select("date", "TOTAL_NAMES", rnd("MEAN").alias("MEAN"), rnd("MEDIAN").alias("MEDIAN"))
+    return out.select("date", "TOTAL_NAMES", rnd("MEAN", 12).alias("MEAN"), rnd("MEDIAN", 12).alias("MEDIAN"))
 
 
 query(

@@ -305,11 +305,11 @@ WEIGHTS_A_SQL = "wa AS (SELECT date, asset, round(value / sum(value) OVER (PARTI
     "sector_weights",
     f"""WITH {WEIGHTS_A_SQL}, g AS (SELECT d.date, s.sector FROM (SELECT DISTINCT date FROM wa) d CROSS JOIN (SELECT DISTINCT sector FROM sec_a WHERE sector IS NOT NULL) s),
 t AS (SELECT date, sector, sum(weight) AS w FROM wa JOIN sec_a USING (asset) GROUP BY 1, 2)
-SELECT g.date, g.sector, {rs('coalesce(w, 0)')} AS weight FROM g LEFT JOIN t ON t.date = g.date AND t.sector = g.sector""",
+SELECT g.date, g.sector, {rs('coalesce(w, 0)', 9)} AS weight FROM g LEFT JOIN t ON t.date = g.date AND t.sector = g.sector""",
     ("pa", "sec_a"),
 )
 def _sector_weights(spark, sf):
-    return aggregates.sector_weights(weights_a(spark, sf), sectors_a(spark, sf)).withColumn("weight", rnd("weight"))
+    return aggregates.sector_weights(weights_a(spark, sf), sectors_a(spark, sf)).withColumn("weight", rnd("weight", 9))
 
 
 def flags_b(spark, sf):

@@ -40,9 +40,9 @@ query(
 query(
     "rpt_sector_weights",
     f"""WITH g AS (SELECT d.date, s.sector FROM (SELECT DISTINCT date FROM wa) d CROSS JOIN (SELECT DISTINCT sector FROM sec_a WHERE sector IS NOT NULL) s)
-SELECT g.date, g.sector, {rs('coalesce(sum(w.weight), 0)')} AS weight FROM g LEFT JOIN (SELECT wa.date, wa.weight, sector FROM wa JOIN sec_a USING (asset)) w ON w.date = g.date AND w.sector = g.sector GROUP BY 1, 2""",
+SELECT g.date, g.sector, {rs('coalesce(sum(w.weight), 0)', 9)} AS weight FROM g LEFT JOIN (SELECT wa.date, wa.weight, sector FROM wa JOIN sec_a USING (asset)) w ON w.date = g.date AND w.sector = g.sector GROUP BY 1, 2""",
     ("wa", "sec_a"),
-)(lambda spark, sf: reports.rpt_sector_weights(weights_a(spark, sf), sectors_a(spark, sf)).withColumn("weight", rnd("weight")))
+)(lambda spark, sf: reports.rpt_sector_weights(weights_a(spark, sf), sectors_a(spark, sf)).withColumn("weight", rnd("weight", 9)))
 
 
 def _flags(spark, sf):
@@ -61,12 +61,12 @@ query(
 )(lambda spark, sf: reports.rpt_signal_selection_counts(_flags(spark, sf)))
 query(
     "rpt_factor_stats",
-    f"""SELECT date, {rs('avg(f)')} AS MEAN, {rs('median(f)')} AS MEDIAN, {rs('quantile_cont(f, 0.25)')} AS "25TH", {rs('quantile_cont(f, 0.75)')} AS "75TH"
+    f"""SELECT date, {rs('avg(f)', 12)} AS MEAN, {rs('median(f)', 12)} AS MEDIAN, {rs('quantile_cont(f, 0.25)', 12)} AS "25TH", {rs('quantile_cont(f, 0.75)', 12)} AS "75TH"
 FROM tr_a WHERE length(asset) > 7 GROUP BY 1""",
     ("tr_a",),
 )(
     lambda spark, sf: factors.factor_stats(part_factor(spark, sf)).select(
-        "date", rnd("MEAN").alias("MEAN"), rnd("MEDIAN").alias("MEDIAN"), rnd("`25TH`").alias("25TH"), rnd("`75TH`").alias("75TH")
+        "date", *[rnd(f"`{c}`", 12).alias(c) for c in ("MEAN", "MEDIAN", "25TH", "75TH")]
     )
 )
 query(

@@ -98,10 +98,10 @@ query(
     f"""WITH RECURSIVE t(i, date, asset, w) AS (SELECT 0, date, asset, weight FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM wa) WHERE 0.045 >= 1.0 / n UNION ALL
 SELECT i + 1, date, asset, CASE WHEN w > 0.045 + 1e-12 THEN 0.045 WHEN w < 0.045 - 1e-12 AND excess > 0 THEN w + w / under * excess ELSE w END FROM (
 SELECT *, coalesce(sum(CASE WHEN w > 0.045 + 1e-12 THEN w - 0.045 END) OVER (PARTITION BY date), 0) AS excess, sum(CASE WHEN w < 0.045 - 1e-12 THEN w END) OVER (PARTITION BY date) AS under FROM t WHERE i < 40))
-SELECT date, asset, {rs('w', 8)} AS weight FROM t WHERE i = 40
-UNION ALL SELECT date, asset, {rs('weight', 8)} FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM wa) WHERE 0.045 < 1.0 / n""",
+SELECT date, asset, {rs('w', 9)} AS weight FROM t WHERE i = 40
+UNION ALL SELECT date, asset, {rs('weight', 9)} FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM wa) WHERE 0.045 < 1.0 / n""",
     ("wa",),
-)(lambda spark, sf: _w(W.m_limit_weights(weights_a(spark, sf), 0.045), 8))
+)(lambda spark, sf: _w(W.m_limit_weights(weights_a(spark, sf), 0.045), 9))
 
 
 def _bounded_sql(base: str, limit: float, steps: int = 400) -> str:
