@@ -24,10 +24,11 @@ def tr_a(spark, sf, **kw):
 
 
 cte(
-    "tr_a",
-    """SELECT now AS date, asset, round(arg_max(value, date) / nullif(arg_min(value, date), 0) - 1, 9) AS f FROM win_a WHERE value IS NOT NULL GROUP BY 1, 2""",
+    "tr_raw",
+    """SELECT now AS date, asset, arg_max(value, date) / nullif(arg_min(value, date), 0) - 1 AS f FROM win_a WHERE value IS NOT NULL GROUP BY 1, 2""",
     "win_a",
 )
+cte("tr_a", "SELECT date, asset, round(f, 9) AS f FROM tr_raw", "tr_raw")
 
 
 cte("tr_p", "SELECT t.date, t.asset, t.f FROM tr_a t JOIN pa p ON p.date = t.date AND p.asset = t.asset", "tr_a")
@@ -99,18 +100,18 @@ query(
 )(lambda spark, sf: _factor(FA.standardize(metric_a(spark, sf)), 5))
 query(
     "factor_stats",
-    f"""SELECT date, {rs('avg(f)', 12)} AS MEAN, {rs('quantile_cont(f, 0.5)', 12)} AS MEDIAN, {rs('quantile_cont(f, 0.25)', 12)} AS "25TH", {rs('quantile_cont(f, 0.75)', 12)} AS "75TH" FROM tr_a GROUP BY 1""",
-    ("tr_a",),
-)(lambda spark, sf: _stats(FA.factor_stats(metric_a(spark, sf))))
+    f"""SELECT date, {rs('avg(f)', 9)} AS MEAN, {rs('quantile_cont(f, 0.5)', 9)} AS MEDIAN, {rs('quantile_cont(f, 0.25)', 9)} AS "25TH", {rs('quantile_cont(f, 0.75)', 9)} AS "75TH" FROM tr_raw GROUP BY 1""",
+    ("tr_raw",),
+)(lambda spark, sf: _stats(FA.factor_stats(tr_a(spark, sf))))
 
 
 def _stats(df):
-    return df.select("date", *[rnd(f"`{c}`", 12).alias(c) for c in ("MEAN", "MEDIAN", "25TH", "75TH")])
+    return df.select("date", *[rnd(f"`{c}`", 9).alias(c) for c in ("MEAN", "MEDIAN", "25TH", "75TH")])
 
 
 def part_factor(spark, sf):
     """Total return with the brands 1 to 9 missing."""
-    return metric_a(spark, sf).where("length(asset) > 7")
+    return tr_a(spark, sf).where("length(asset) > 7")
 
 
 @query(
@@ -296,15 +297,15 @@ SELECT date, asset FROM (SELECT *, ntile(2) OVER (PARTITION BY date, t1 ORDER BY
 )
 query(
     "selection_stats",
-    f"SELECT date, count(*) AS TOTAL_NAMES, {rs('avg(f)', 12)} AS MEAN, {rs('median(f)', 12)} AS MEDIAN FROM tr_p WHERE asset IN (SELECT asset FROM sec_a WHERE sector = 'S2') GROUP BY 1",
-    ("tr_p", "sec_a"),
+    f"SELECT date, count(*) AS TOTAL_NAMES, {rs('avg(f)', 9)} AS MEAN, {rs('median(f)', 9)} AS MEDIAN FROM tr_raw JOIN pa USING (date, asset) WHERE asset IN (SELECT asset FROM sec_a WHERE sector = 'S2') GROUP BY 1",
+    ("tr_raw", "pa", "sec_a"),
 )(lambda spark, sf: _selection_stats(spark, sf))
 
 
 def _selection_stats(spark, sf):
     chosen = S.select_sector(pool_a(spark, sf), sectors_a(spark, sf), ["S2"])
-    out = S.selection_stats(metric_a(spark, sf), chosen)
-    return out.select("date", "TOTAL_NAMES", rnd("MEAN", 12).alias("MEAN"), rnd("MEDIAN", 12).alias("MEDIAN"))
+    out = S.selection_stats(tr_a(spark, sf), chosen)
+    return out.select("date", "TOTAL_NAMES", rnd("MEAN", 9).alias("MEAN"), rnd("MEDIAN", 9).alias("MEDIAN"))
 
 
 query(

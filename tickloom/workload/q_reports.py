@@ -61,12 +61,12 @@ query(
 )(lambda spark, sf: reports.rpt_signal_selection_counts(_flags(spark, sf)))
 query(
     "rpt_factor_stats",
-    f"""SELECT date, {rs('avg(f)', 12)} AS MEAN, {rs('median(f)', 12)} AS MEDIAN, {rs('quantile_cont(f, 0.25)', 12)} AS "25TH", {rs('quantile_cont(f, 0.75)', 12)} AS "75TH"
-FROM tr_a WHERE length(asset) > 7 GROUP BY 1""",
-    ("tr_a",),
+    f"""SELECT date, {rs('avg(f)', 9)} AS MEAN, {rs('median(f)', 9)} AS MEDIAN, {rs('quantile_cont(f, 0.25)', 9)} AS "25TH", {rs('quantile_cont(f, 0.75)', 9)} AS "75TH"
+FROM tr_raw WHERE length(asset) > 7 GROUP BY 1""",
+    ("tr_raw",),
 )(
     lambda spark, sf: factors.factor_stats(part_factor(spark, sf)).select(
-        "date", *[rnd(f"`{c}`", 12).alias(c) for c in ("MEAN", "MEDIAN", "25TH", "75TH")]
+        "date", *[rnd(f"`{c}`", 9).alias(c) for c in ("MEAN", "MEDIAN", "25TH", "75TH")]
     )
 )
 query(
