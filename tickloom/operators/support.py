@@ -64,7 +64,7 @@ def ordered_prefix(
     The rows are range-partitioned by (keys, order), so a group that holds most
     of the data is spread over many partitions, ties included.  Each partition
     piece is numbered on its own and shifted by the totals of the pieces before
-    it.  The piece ids are written to the checkpoint folder first: they must not
+    it.  The piece ids are written to a table in the checkpoint folder first: they must not
     change when a lost task is run again.
     """
     keys = list(keys)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,11 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared checkpoint folder and continue from there.
+
+    A columnar table keeps what a lost executor would have to compute again,
+    lets later readers take only their columns and tells the planner its size.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
