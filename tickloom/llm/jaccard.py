@@ -7,14 +7,17 @@ sets are one class and are linked by that alone; the join works on classes.
    sketch of fixed size.  Shingles that the sketch holds for very common come
    last in the global order of shingles, so that passages many unrelated
    documents share do not bring them together.
-2. A set of n shingles can only link with sets that share one of its first
-   n - ceil(0.8 n) + 1 shingles in that order, and the other set has the shared
-   shingle among its own first ones.  Shingles that only one class has there
-   can be dropped, and with them nearly all documents.
+2. A set posts its shingles in the first 30 percent of the order's range (but at
+   least its first n - ceil(0.8 n) + 1 ones, so that two linked sets always
+   meet).  Of a linked set at most n - ceil(0.8 n) shingles are missing in its
+   partner, so all but so many of its posted ones must be posted by another
+   class too.  Nearly all documents fail that and are dropped, again and again
+   as the droppings make more shingles lonely.
 3. The remaining classes are partitioned into groups of similar ones: by the
-   most shared of their first shingles, in blocks of bounded size.  The
-   token-group matrix (shingle, group) holds each group's union of first
-   shingles; two groups become a candidate only where their unions meet.
+   most shared of their posted shingles, in blocks of bounded size.  The
+   token-group matrix (shingle, group) holds each group's union of posted
+   shingles; two groups become a candidate only where their unions share as
+   many as the least demanding member needs.
 4. A candidate group is opened for a visiting set only if the overlap of the
    set with the group's whole union reaches 0.8 of the set's size, an upper
    bound of every overlap with a member.  Opened members are compared exactly.
@@ -42,7 +45,9 @@ from tickloom.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 80
-SKETCH_BITS = 22
+SKETCH_BITS = 20
+POSTED = 0.3  # share of the order's range that every set posts
+ROUNDS = 2  # of dropping
 GROUP = 64  # classes of a block, about
 GROUP_SHINGLES = 1 << 21  # shingles of a block, about
 
@@ -118,14 +123,15 @@ def _levels(sketch: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(sketch / usual, 1))).astype(np.uint8)
 
 
-def _first_shingles(docs: DataFrame, levels) -> DataFrame:
-    """(token, c, n) for the shingles by which a set must meet every set it links with."""
+def _posted(docs: DataFrame, levels) -> DataFrame:
+    """(token, c, n, need): the posted shingles of each class, and how many of them a partner must post too."""
+    limit = U64(int(POSTED * (1 << 64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = levels.value
         seen: set[tuple[int, int]] = set()
         for _, data, offsets in text_slices(batches, "text"):
-            tokens, classes, sizes = [], [], []
+            tokens, classes, sizes, needs = [], [], [], []
             for found in _sets(data, offsets):
                 n = len(found)
                 if not n or (c := _digest(found)) in seen:
@@ -133,35 +139,66 @@ def _first_shingles(docs: DataFrame, levels) -> DataFrame:
                 seen.add(c)
                 level = common[(found >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                 ordered = found[np.argsort(level, kind="stable")] if level.any() else found
-                tokens.append(ordered[: n - -(-PERCENT * n // 100) + 1])
+                within = int(np.searchsorted(ordered[: n - np.count_nonzero(level)], limit))
+                missing = n - -(-PERCENT * n // 100)
+                tokens.append(ordered[: max(within, missing + 1)])
                 classes.append(c[0])
                 sizes.append(n)
+                needs.append(max(1, within - missing))
             if tokens:
                 counts = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens).view(np.int64)),
                         pa.array(np.repeat(np.array(classes, dtype=np.int64), counts)),
-                        pa.array(np.repeat(np.array(sizes, dtype=np.int64), counts)),
+                        pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)),
+                        pa.array(np.repeat(np.array(needs, dtype=np.int32), counts)),
                     ],
-                    ["token", "c", "n"],
+                    ["token", "c", "n", "need"],
                 )
 
-    return docs.select("text").mapInArrow(run, "token long, c long, n long")
+    return docs.select("text").mapInArrow(run, "token long, c long, n int, need int")
+
+
+def _shared(posted: DataFrame) -> DataFrame:
+    """The posted shingles that two classes have, of classes that share as many as they need, with their counts."""
+    by_token = Window.partitionBy("token")
+    met = (
+        posted.select(
+            "*", F.min("c").over(by_token).alias("lo"), F.max("c").over(by_token).alias("hi"),
+            F.count(F.lit(1)).over(by_token).alias("cnt"),
+        )
+        .where("lo <> hi")
+        .drop("lo", "hi")
+    )
+    enough = met.groupBy("c").agg(F.count_distinct("token").alias("have"), F.first("need").alias("need")).where("have >= need")
+    return met.join(enough.select("c"), "c", "left_semi")
 
 
 def _groups(live: DataFrame) -> DataFrame:
-    """(c, n, g): similar classes together, in blocks of bounded size."""
-    keyed = live.groupBy("c").agg(F.first("n").alias("n"), F.max(F.struct("cnt", "token")).alias("key"))
-    keyed = keyed.select("c", "n", F.col("key.token").alias("key"))
+    """(c, n, need, g): similar classes together, in blocks of bounded size."""
+    keyed = live.groupBy("c").agg(
+        F.first("n").alias("n"), F.first("need").alias("need"), F.max(F.struct("cnt", "token")).alias("key")
+    )
+    keyed = keyed.select("c", "n", "need", F.col("key.token").alias("key"))
     blocks = keyed.groupBy("key").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("blocks")
     )
     return keyed.join(blocks, "key").select(
-        "c", "n", F.xxhash64("key", F.pmod(F.xxhash64("c"), F.col("blocks"))).alias("g")
+        "c", "n", "need", F.xxhash64("key", F.pmod(F.xxhash64("c"), F.col("blocks"))).alias("g")
     )
 
 
+def _candidates(live: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(g, visitor): the pairs of groups whose unions of posted shingles allow a link."""
+    needs = nodes.groupBy("g").agg(F.min("need").alias("need"))
+    matrix = live.join(nodes.select("c", "g"), "c").select("token", "g").distinct()
+    other = matrix.select("token", F.col("g").alias("visitor"))
+    shared = matrix.join(other, "token").where("g < visitor").groupBy("g", "visitor").agg(F.count(F.lit(1)).alias("shared"))
+    both = shared.join(needs, "g").join(needs.select(F.col("g").alias("visitor"), F.col("need").alias("other")), "visitor")
+    return both.where("shared >= greatest(need, other)").select("g", "visitor")
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(g, c, n, m, tokens) of the wanted (doc_id, c, m, g), shingled again from their texts."""
 
@@ -307,20 +344,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"))
 
-    by_token = Window.partitionBy("token")
-    postings = _first_shingles(docs.where("doc_id IS NOT NULL"), levels)
-    live = cut_lineage(
-        postings.select(
-            "token", "c", "n", F.min("c").over(by_token).alias("lo"), F.max("c").over(by_token).alias("hi"),
-            F.count(F.lit(1)).over(by_token).alias("cnt"),
-        )
-        .where("lo <> hi")
-        .select("token", "c", "n", "cnt")
-    )
+    live = _posted(docs.where("doc_id IS NOT NULL"), levels)
+    for _ in range(ROUNDS):
+        live = cut_lineage(_shared(live.select("token", "c", "n", "need")))
     nodes = cut_lineage(_groups(live))
-    matrix = live.join(nodes.select("c", "g"), "c").select("token", "g").distinct()
-    other = matrix.select("token", F.col("g").alias("visitor"))
-    pairs = matrix.join(other, "token").where("g < visitor").select("g", "visitor").distinct()
+    pairs = _candidates(live, nodes)
 
     wanted = cut_lineage(
         classes.join(nodes.select(F.col("c").alias("c1"), "g"), "c1").select(
