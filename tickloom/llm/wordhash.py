@@ -117,6 +117,20 @@ def hash_words(
     return numbers if prefixes else numbers[0], np.searchsorted(np.concatenate(firsts), offsets, "left")
 
 
+def byte_windows(data: np.ndarray, size: int) -> np.ndarray:
+    """Mixed numbers of all runs of ``size`` bytes, by one running sum."""
+    out = []
+    # in pieces, so that the working memory does not follow the length
+    for at in range(0, len(data) - size + 1, _PIECE - size):
+        piece = data[at: at + _PIECE - 1]
+        up, down = _power_tables(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, dtype=U64)
+        np.cumsum((piece.astype(U64) + U64(1)) * up[: len(piece)], out=total[1:])
+        part = mix((total[size:] - total[:-size]) * down[: len(piece) - size + 1])
+        out.append(part[: _PIECE - size])
+    return np.concatenate(out)
+
+
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Numbers of a text's runs of ``size`` words; a shorter text is one run; no words, none."""
     n = len(words)
