@@ -23,7 +23,10 @@ K = 5
 REACH = WINDOW - K + 1  # k-grams of a window
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NO_LONGS = F.array().cast("array<bigint>")
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
 def words_of(text: Column) -> Column:
@@ -34,7 +37,7 @@ def words_of(text: Column) -> Column:
 
 def _upto(last: Column) -> Column:
     """0, 1 ... last; empty below 0."""
-    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(_none("int"))
 
 
 def _runs(hashes: Column, size: int) -> Column:
@@ -71,9 +74,9 @@ def _prints(hashed: DataFrame, key: str, lengths: list[int], whole: bool) -> Dat
     """
     n = F.size("hashes")
     if whole:
-        short = F.coalesce(*[F.when(n == m, _runs(F.col("hashes"), m)) for m in lengths], _NO_LONGS)
+        short = F.coalesce(*[F.when(n == m, _runs(F.col("hashes"), m)) for m in lengths], _none("bigint"))
     else:
-        short = F.concat(_NO_LONGS, *[_runs(F.col("hashes"), m) for m in lengths])
+        short = F.concat(_none("bigint"), *[_runs(F.col("hashes"), m) for m in lengths])
     return hashed.select(key, F.explode(F.array_distinct(F.concat(_kept(F.col("grams")), short))).alias("print"))
 
 
@@ -117,7 +120,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
 
     # a k-gram at i belongs to the windows that start at i - 5 ... i
-    none = F.array().cast("array<struct<start:int,end:int,window:string>>")
+    none = _none("struct<start:int,end:int,window:string>")
     long = F.when(n >= WINDOW, spans("grams", WINDOW, REACH - 1)).otherwise(none)
     extended = F.concat(long, *[spans(f"runs{m}", m, 0) for m in lengths])
     written = opened.select("doc_id", F.explode(extended).alias("span")).select("doc_id", "span.*")
@@ -147,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     named = found.select("doc_id", "window").distinct().join(_windows(items), "window").select("doc_id", "item_id").distinct()
     listed = named.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     per_doc = cut_lineage(spans.join(listed, "doc_id", "left"))
-    items_or_none = F.coalesce("items", F.array().cast("array<string>"))
+    items_or_none = F.coalesce("items", _none("string"))
     return (
         docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
         .join(per_doc, "doc_id", "left")
