@@ -48,8 +48,9 @@ PERCENT = 80
 SKETCH_BITS = 20
 POSTED = 0.3  # share of the order's range that every set posts
 ROUNDS = 2  # of dropping
-GROUP = 64  # classes of a block, about
+GROUP = 4096  # classes of a block, about
 GROUP_SHINGLES = 1 << 21  # shingles of a block, about
+FILTER_BITS = 25  # of the bit map that says which documents are read a last time
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -163,7 +164,7 @@ def _posted(docs: DataFrame, levels) -> DataFrame:
 def _shared(posted: DataFrame) -> DataFrame:
     """The posted shingles that two classes have, of classes that share as many as they need, with their counts."""
     by_token = Window.partitionBy("token")
-    met = (
+    met = cut_lineage(
         posted.select(
             "*", F.min("c").over(by_token).alias("lo"), F.max("c").over(by_token).alias("hi"),
             F.count(F.lit(1)).over(by_token).alias("cnt"),
@@ -199,45 +200,96 @@ def _candidates(live: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where("shared >= greatest(need, other)").select("g", "visitor")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(g, c, n, m, tokens) of the wanted (doc_id, c, m, g), shingled again from their texts."""
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bit map of the hashes in column ``h``, of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches, "text"):
-            named = rows.select(["g", "c", "m"]).to_pylist()
-            out = [
-                (row["g"], row["c"], len(found), row["m"], found.tobytes())
-                for row, found in zip(named, _sets(data, offsets))
-                if _digest(found)[0] == row["c"]  # another row may carry the same id
-            ]
-            if out:
-                g, c, n, m, tokens = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(tokens, pa.binary())],
-                    ["g", "c", "n", "m", "tokens"],
-                )
+        bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(U64) >> U64(64 - FILTER_BITS)
+            np.bitwise_or.at(bits, (h >> U64(3)).astype(np.int64), np.uint8(1) << (h & U64(7)).astype(np.uint8))
+        yield from arrays.pack({"bits": bits})
+
+    size = 1 << (FILTER_BITS - 3)
+    merged = arrays.merged(ids.select("h").mapInArrow(run, arrays.SCHEMA), lambda name: "or")
+    return arrays.collected(merged, lambda name: size).get("bits", np.zeros(size, dtype=np.uint8))
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, c, n, m, tokens) of the wanted (doc_id, c, m, g), shingled again from their texts.
+
+    A bit map of fixed size keeps other documents from being shingled and
+    moved; the join with the wanted classes decides.
+    """
+    id_hash = F.xxhash64("doc_id").alias("h")
+    sent = docs.sparkSession.sparkContext.broadcast(_marked(wanted.select(id_hash)))
 
-    texts = docs.join(wanted, "doc_id").select("g", "c", "m", "text")
-    return texts.mapInArrow(run, "g long, c long, n long, m long, tokens binary").dropDuplicates(["c"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(U64) >> U64(64 - FILTER_BITS)
+            there = (bits[(h >> U64(3)).astype(np.int64)] >> (h & U64(7)).astype(np.uint8)) & 1
+            for _, data, offsets in text_slices([batch.filter(pa.array(there.astype(bool)))], "text"):
+                sets = [x for x in _sets(data, offsets) if len(x)]
+                if sets:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([_digest(x)[0] for x in sets], pa.int64()),
+                            pa.array([len(x) for x in sets], pa.int64()),
+                            pa.array([x.tobytes() for x in sets], pa.binary()),
+                        ],
+                        ["c", "n", "tokens"],
+                    )
+
+    found = docs.select(id_hash, "text").mapInArrow(run, "c long, n long, tokens binary")
+    return found.join(wanted.select("c", "m", "g"), "c").select("g", "c", "n", "m", "tokens").dropDuplicates(["c"])
+
+
+class _Lists:
+    """Lists of members, one after another."""
+
+    def __init__(self, members: np.ndarray, many: np.ndarray):
+        self.members, self.many, self.start = members, many, np.cumsum(many) - many
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The members of some lists, one after another."""
+        many = self.many[at]
+        return self.members[np.repeat(self.start[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
 
 
 class _OpenGroup:
-    """A block's members with the union of their shingles."""
+    """A block's members with the union of their shingles.
+
+    A shingle that more than half of the members hold is listed by the members
+    that lack it, so copies of one text cost no more than their differences.
+    """
 
     def __init__(self, members: list[dict]):
+        size = len(members)
         self.c = [r["c"] for r in members]
         self.n = np.array([r["n"] for r in members], dtype=np.int64)
         self.m = np.array([r["m"] for r in members], dtype=np.int64)
         self.sets = [np.frombuffer(r["tokens"], dtype=U64) for r in members]
         tokens = np.concatenate(self.sets)
         order = np.argsort(tokens, kind="stable")
-        self.owner = np.repeat(np.arange(len(members)), self.n)[order]
+        owner = np.repeat(np.arange(size), self.n)[order]
         tokens = tokens[order]
-        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        self.union = tokens[new]
-        self.start = np.concatenate([np.flatnonzero(new), [len(tokens)]])
-        self.links = np.zeros(len(members), dtype=np.int64)
-        self.part = list(range(len(members)))
+        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        self.union = tokens[start]
+        held = np.diff(np.concatenate([start, [len(tokens)]]))
+        self.core = 2 * held > size
+        self.holders = _Lists(owner[~np.repeat(self.core, held)], np.where(self.core, 0, held))
+        lackers, everyone = [], np.ones(size, dtype=bool)
+        for k in np.flatnonzero(self.core):
+            lack = everyone.copy()
+            lack[owner[start[k]: start[k] + held[k]]] = False
+            lackers.append(np.flatnonzero(lack))
+        many = np.zeros(len(start), dtype=np.int64)
+        many[self.core] = [len(x) for x in lackers]
+        self.lackers = _Lists(np.concatenate([owner[:0], *lackers]), many)
+        self.lack = np.bincount(self.lackers.members, minlength=size)
+        self.links = np.zeros(size, dtype=np.int64)
+        self.part = list(range(size))
 
     def root(self, i: int) -> int:
         while self.part[i] != i:
@@ -252,9 +304,14 @@ class _OpenGroup:
         at = at[self.union[at] == found]
         if 100 * len(at) < PERCENT * len(found):
             return np.zeros(0, dtype=np.int64)
-        begin, many = self.start[at], self.start[at + 1] - self.start[at]
-        rows = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        both = np.bincount(self.owner[rows], minlength=len(self.n))
+        lacked = self.core.copy()
+        lacked[at] = False
+        both = (
+            np.count_nonzero(self.core[at])
+            - self.lack
+            + np.bincount(self.lackers.of(np.flatnonzero(lacked)), minlength=len(self.n))
+            + np.bincount(self.holders.of(at[~self.core[at]]), minlength=len(self.n))
+        )
         return np.flatnonzero(100 * both >= PERCENT * (self.n + len(found) - both))
 
 
