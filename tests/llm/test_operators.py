@@ -194,7 +194,9 @@ def test_line_dedup_keeps_the_first_and_reports_offsets(spark):
 
 
 # ---------------------------------------------------------------- 5 Jaccard join
-def test_jaccard_join_equals_all_pairs(spark):
+@pytest.mark.parametrize("group", [jaccard.GROUP, 8])
+def test_jaccard_join_equals_all_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)  # small blocks visit one another
     rows = [r for r in awkward() if r[0] is not None]
     pick = random.Random(6)
     base = prose(60, 200).split()
