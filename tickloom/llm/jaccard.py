@@ -13,14 +13,15 @@ sets are one class and are linked by that alone; the join works on classes.
    partner, so all but so many of its posted ones must be posted by another
    class too.  Nearly all documents fail that and are dropped, again and again
    as the droppings make more shingles lonely.
-3. The remaining classes are partitioned into groups of similar ones: by the
-   most shared of their posted shingles, in blocks of bounded size.  The
-   token-group matrix (shingle, group) holds each group's union of posted
-   shingles; two groups become a candidate only where their unions share as
-   many as the least demanding member needs.
-4. A candidate group is opened for a visiting set only if the overlap of the
-   set with the group's whole union reaches 0.8 of the set's size, an upper
-   bound of every overlap with a member.  Opened members are compared exactly.
+3. The remaining classes are partitioned into groups of similar ones, by the
+   most shared of their posted shingles.  The token-group matrix (shingle,
+   group) holds each group's union of posted shingles; two groups become a
+   candidate only where their unions share as many as the least demanding
+   member needs.  Groups that are candidates of one another are laid together
+   in blocks of bounded size; candidates in other blocks visit.
+4. A block is opened for a set only if the overlap of the set with the block's
+   whole union reaches 0.8 of the set's size, an upper bound of every overlap
+   with a member.  Opened members are compared exactly.
 5. Links that connect something new go to the connected components.
 
 Nothing is capped: blocks bound the memory of a task, and every pair of classes
@@ -177,16 +178,16 @@ def _shared(posted: DataFrame) -> DataFrame:
 
 
 def _groups(live: DataFrame) -> DataFrame:
-    """(c, n, need, g): similar classes together, in blocks of bounded size."""
+    """(c, n, need, g): similar classes together, in groups of bounded size."""
     keyed = live.groupBy("c").agg(
         F.first("n").alias("n"), F.first("need").alias("need"), F.max(F.struct("cnt", "token")).alias("key")
     )
     keyed = keyed.select("c", "n", "need", F.col("key.token").alias("key"))
-    blocks = keyed.groupBy("key").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("blocks")
+    parts = keyed.groupBy("key").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts")
     )
-    return keyed.join(blocks, "key").select(
-        "c", "n", "need", F.xxhash64("key", F.pmod(F.xxhash64("c"), F.col("blocks"))).alias("g")
+    return keyed.join(parts, "key").select(
+        "c", "n", "need", F.xxhash64("key", F.pmod(F.xxhash64("c"), F.col("parts"))).alias("g")
     )
 
 
@@ -200,6 +201,29 @@ def _candidates(live: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where("shared >= greatest(need, other)").select("g", "visitor")
 
 
+def _blocks(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(c, g, block) and the visits (home, g): groups whose members are compared with another block's.
+
+    Of two blocks the one with the smaller number is the home, so two classes
+    meet once.
+    """
+    roots = components(pairs.select(F.col("g").alias("a"), F.col("visitor").alias("b")))
+    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    rooted = sizes.join(roots.select(F.col("node").alias("g"), "root"), "g", "left").withColumn("root", F.coalesce("root", "g"))
+    before = Window.partitionBy("root").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.greatest(
+        F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / GROUP),
+        F.floor(F.coalesce(F.sum("shingles").over(before), F.lit(0)) / GROUP_SHINGLES),
+    )
+    laid = cut_lineage(rooted.select("g", F.xxhash64("root", number).alias("block")))
+    one = pairs.join(laid, "g").select("g", "visitor", "block")
+    two = one.join(laid.select(F.col("g").alias("visitor"), F.col("block").alias("other")), "visitor").where("block <> other")
+    visits = two.select(
+        F.least("block", "other").alias("home"), F.when(F.col("block") < F.col("other"), F.col("visitor")).otherwise(F.col("g")).alias("g")
+    )
+    return nodes.join(laid, "g").select("c", "g", "block"), visits.distinct()
+
+
 def _marked(ids: DataFrame) -> np.ndarray:
     """A bit map of the hashes in column ``h``, of fixed size."""
 
@@ -216,7 +240,7 @@ def _marked(ids: DataFrame) -> np.ndarray:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(g, c, n, m, tokens) of the wanted (doc_id, c, m, g), shingled again from their texts.
+    """(g, block, c, n, m, tokens) of the wanted (doc_id, c, m, g, block), shingled again from their texts.
 
     A bit map of fixed size keeps other documents from being shingled and
     moved; the join with the wanted classes decides.
@@ -242,7 +266,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     )
 
     found = docs.select(id_hash, "text").mapInArrow(run, "c long, n long, tokens binary")
-    return found.join(wanted.select("c", "m", "g"), "c").select("g", "c", "n", "m", "tokens").dropDuplicates(["c"])
+    return found.join(wanted.select("c", "m", "g", "block"), "c").select("g", "block", "c", "n", "m", "tokens")
 
 
 class _Lists:
@@ -316,9 +340,9 @@ class _OpenGroup:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links and link counts of (home, g, c, n, m, tokens), each group's own members first."""
+    """Links and link counts of (home, g, c, n, m, tokens), each block's own members first, equal classes together."""
     home: list[dict] = []
-    group, opened = None, None
+    group, opened, last = None, None, None
     out: list[tuple] = []
 
     def close() -> None:
@@ -349,7 +373,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if home and opened is None:
                     close()
                 counts()
-                group, home, opened = row["g"], [], None
+                group, home, opened, last = row["g"], [], None, None
+            if (row["home"], row["c"]) == last:
+                continue  # a repeated row
+            last = (row["home"], row["c"])
             if row["home"]:
                 home.append(row)
                 continue
@@ -405,19 +432,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         live = cut_lineage(_shared(live.select("token", "c", "n", "need")))
     nodes = cut_lineage(_groups(live))
-    pairs = _candidates(live, nodes)
-
+    pairs = cut_lineage(_candidates(live, nodes))
+    placed, visits = _blocks(nodes, pairs)
     wanted = cut_lineage(
-        classes.join(nodes.select(F.col("c").alias("c1"), "g"), "c1").select(
-            F.col("rep").alias("doc_id"), F.col("c1").alias("c"), "m", "g"
+        classes.join(placed.withColumnRenamed("c", "c1"), "c1").select(
+            F.col("rep").alias("doc_id"), F.col("c1").alias("c"), "m", "g", "block"
         )
     )
     whole = cut_lineage(_whole_sets(docs, wanted))
-    homes = whole.select(F.lit(True).alias("home"), "g", "c", "n", "m", "tokens")
-    visits = pairs.join(whole.withColumnRenamed("g", "visitor"), "visitor").select(
-        F.lit(False).alias("home"), "g", "c", "n", "m", "tokens"
-    )
-    dealt = homes.union(visits).repartition("g").sortWithinPartitions("g", F.col("home").desc())
+    homes = whole.select(F.lit(True).alias("home"), F.col("block").alias("g"), "c", "n", "m", "tokens")
+    guests = visits.join(whole, "g").select(F.lit(False).alias("home"), F.col("home").alias("g"), "c", "n", "m", "tokens")
+    dealt = homes.union(guests).repartition("g").sortWithinPartitions("g", F.col("home").desc(), "c")
     found = cut_lineage(dealt.mapInArrow(_verify, "a long, b long, links long"))
 
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
