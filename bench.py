@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -15,7 +16,7 @@ from tickloom import workload  # noqa: E402
 from tickloom.operators import accounting, selection, weights  # noqa: E402
 from tickloom.operators.calendar import calendar_of, run_monthly  # noqa: E402
 from tickloom.plans.research import on_trade_dates, signal_dates  # noqa: E402
-from tickloom.session import cut_lineage, get_session  # noqa: E402
+from tickloom.session import cut_lineage, delete_cut_tables, get_session  # noqa: E402
 from tickloom.operators.stats import perf_stats  # noqa: E402
 
 HEADLINE = [
@@ -65,6 +66,7 @@ def main() -> None:
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
     })
     spark.sparkContext.setLogLevel("ERROR")
     workload.QUERIES["latest_row"](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -80,6 +82,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir)
     }))
+    delete_cut_tables()
     spark.stop()
 
 

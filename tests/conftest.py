@@ -5,17 +5,19 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tickloom.session import get_session
+from tickloom.session import delete_cut_tables, get_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "4g",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    delete_cut_tables()
     session.stop()

@@ -40,10 +40,22 @@ def test_read_filters_reach_the_scan(spark, tmp_path):
     assert "WIDE" not in text
 
 
-def test_latest_row_combines_before_its_shuffle(spark):
-    df = spark.range(100).select((F.col("id") % 5).alias("k"), F.col("id").alias("DATE"))
+def test_whole_rows_are_limited_before_their_shuffle(spark):
+    df = spark.range(100).select((F.col("id") % 5).alias("k"), F.col("id").alias("DATE"), F.lit("x").alias("text"))
     text = plan_of(snapshots.latest_row(df, ["k"]))
-    assert text.count("partial_max_by") >= 1 and "Window" not in text
+    assert text.count("WindowGroupLimit") >= 2 and "SortAggregate" not in text
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["latest_row", "dedup_rownum", "new_or_changed_rows", "holdings_rollup"])
+def test_registered_reductions_do_not_sort_for_aggregates(spark, name):
+    assert "SortAggregate" not in plan_of(workload.QUERIES[name](spark, DATA))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["cov_oas", "cov_ledoit_wolf", "cov_regime_blended", "cov_sample"])
+def test_pair_sums_are_computed_once(spark, name):
+    assert plan_of(workload.QUERIES[name](spark, DATA)).count("FlatMapGroupsInPandas") <= 2  # named in tree and details
 
 
 def test_grids_and_values_use_no_products(spark):
@@ -60,11 +72,3 @@ def test_grids_and_values_use_no_products(spark):
 def test_registered_plans_have_no_products(spark, name):
     text = plan_of(workload.QUERIES[name](spark, DATA))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
-def test_large_side_is_not_pinned(spark):
-    from tickloom.operators.support import small_side
-
-    big = spark.range(50)
-    assert small_side(big, limit=10) is big
-    assert small_side(big, limit=50).count() == 50

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.calendar import close_after_dates
 from tickloom.operators.panels import placed
-from tickloom.operators.support import small_side, with_scalars
+from tickloom.operators.support import with_scalars
+from tickloom.session import cut_lineage
 
 CASH = "Cash"
 
@@ -39,7 +40,7 @@ def segments(calendar: DataFrame, schedule: DataFrame, by: Sequence[str] = ()) -
     """Trade dates with the calendar positions they rule: (by, seg, start, base_pos, final)."""
     line = Window.partitionBy(*by).orderBy("pos")
     turns = schedule.select(*by, "date").distinct().join(calendar, "date").where(F.col("pos") > 0)
-    return small_side(
+    return cut_lineage(
         turns.select(
             *by,
             F.col("date").alias("seg"),
@@ -73,20 +74,46 @@ def open_schedule(schedule: DataFrame, calendar: DataFrame, cutoffs: DataFrame)
     return rows.where(F.col("_closed").isNull() | (F.col("date") < F.col("_closed"))).select(*schedule.columns)
 
 
+def _priced(column: str, what: str) -> Column:
+    """A price that a held name must have; a weight without one fails the job."""
+    say = F.concat_ws(" ", F.lit(f"no {what} for"), F.col("asset"), F.lit("held from"), F.col("seg").cast("string"), F.lit("at position"), F.col("pos").cast("string"))
+    return F.coalesce(column, F.when(F.abs("weight") >= 1e-12, F.raise_error(say).cast("double")))
+
+
+def opened(prices: DataFrame, calendar: DataFrame, schedule: DataFrame, by: Sequence[str], segs: DataFrame) -> DataFrame:
+    """(by, seg, start, final, asset, weight, base): every held name with the price it was traded at."""
+    rows = placed(prices.where(F.col("value").isNotNull()), calendar)
+    held = schedule.select(*by, F.col("date").alias("seg"), "asset", "weight").join(segs, [*by, "seg"])
+    base = rows.select(F.col("pos").alias("base_pos"), "asset", F.col("value").alias("base"))
+    known = held.join(base, ["base_pos", "asset"], "left").withColumn("pos", F.col("base_pos"))
+    return known.select(*by, "seg", "start", "final", "asset", "weight", _priced("base", "price to trade at").alias("base"))
+
+
 def holdings_growth(
     prices: DataFrame, calendar: DataFrame, schedule: DataFrame, by: Sequence[str] = (), segs: DataFrame | None = None
 ) -> DataFrame:
-    """(by, seg, date, pos, asset, weight, base, price) of every held name on every date of its segment."""
+    """(by, seg, date, pos, asset, weight, base, price) of every held name on every date of its segment.
+
+    A held name without a price on one of those dates, or on the one before its
+    trade, fails the job: its value would be lost without a word.
+    """
     by = list(by)
     segs = segments(calendar, schedule, by) if segs is None else segs
-    rows = placed(prices.where(F.col("value").isNotNull()), calendar).select("date", "pos", "asset", "value")
-    held = schedule.select(*by, F.col("date").alias("seg"), "asset", "weight").join(segs, [*by, "seg"])
-    base = rows.select(F.col("pos").alias("base_pos"), "asset", F.col("value").alias("base"))
-    opened = held.join(base, ["base_pos", "asset"], "left")
-    # each held name meets its own price rows; the segment bounds filter them
-    days = small_side(segs.select(*by, "seg", F.explode(F.sequence("start", "final")).alias("pos")))
-    daily = rows.select("pos", "date", "asset", F.col("value").alias("price")).join(days, "pos")
-    return daily.join(opened.select(*by, "seg", "asset", "weight", "base"), [*by, "seg", "asset"])
+    rows = placed(prices.where(F.col("value").isNotNull()), calendar).select("pos", "asset", F.col("value").alias("price"))
+    cells = opened(prices, calendar, schedule, by, segs).select(
+        *by, "seg", "asset", "weight", "base", F.explode(F.sequence("start", "final")).alias("pos")
+    )
+    daily = cells.join(rows, ["pos", "asset"], "left").withColumn("price", _priced("price", "price"))
+    return daily.join(calendar.select("pos", "date"), "pos").select(*by, "seg", "date", "pos", "asset", "weight", "base", "price")
+
+
+def live_calendar(calendar: DataFrame, live_start) -> DataFrame:
+    """The calendar from the live start on, which must be one of its dates; positions begin there."""
+    day = F.lit(str(live_start)).cast("date")
+    marked = with_scalars(calendar, calendar.agg(F.max(F.when(F.col("date") == day, F.col("pos"))).alias("_live")))
+    live = F.coalesce("_live", F.raise_error(F.lit(f"{live_start} is no date of the calendar")).cast("int"))
+    moved = marked.select("date", (F.col("pos") - live).alias("pos"), (F.col("last") - live).alias("last"))
+    return cut_lineage(moved.where(F.col("pos") >= 0))
 
 
 def nav(
@@ -98,13 +125,20 @@ def nav(
     cutoffs: DataFrame | None = None,
     flows: DataFrame | None = None,
     by: Sequence[str] = (),
+    live_start=None,
+    margin: bool = False,
 ) -> DataFrame:
     """(by, date, value, cash, index) on every calendar date.
 
     ``flows`` is (date, amount): money added on a date, invested with the next
-    trade (or the one on that date) and neutral to the index.
+    trade (or the one on that date) and neutral to the index.  With
+    ``live_start`` the capital is put in at the close of that date, earlier
+    dates are history for signals only and the first trade comes after it.
+    Weights that add up to more than one fail unless ``margin`` is allowed.
     """
     by = list(by)
+    if live_start is not None:
+        calendar = live_calendar(calendar, live_start)
     if cash is not None:
         schedule = cash_reserve(schedule, cash)
     if cutoffs is not None:
@@ -112,14 +146,19 @@ def nav(
         schedule = open_schedule(schedule, calendar, cutoffs)
     segs = segments(calendar, schedule, by)
     growth = holdings_growth(prices, calendar, schedule, by, segs)
-    return _values(growth, calendar, schedule, segs, initial_capital, flows, by).select(*by, "date", "value", "cash", "index")
+    line = _values(growth, calendar, schedule, segs, initial_capital, flows, by, margin)
+    return line.select(*by, "date", "value", "cash", "index")
 
 
-def _values(growth, calendar, schedule, segs, initial_capital, flows, by) -> DataFrame:
+def _values(growth, calendar, schedule, segs, initial_capital, flows, by, margin=False) -> DataFrame:
     """Value line with its segment base: (by, date, pos, seg, base_value, value, cash, index)."""
     ratio = F.col("weight") * F.col("price") / F.col("base")
     held = growth.groupBy(*by, "seg", "pos").agg(F.sum(ratio).alias("_held"))
     invested = schedule.select(*by, F.col("date").alias("seg"), "weight").groupBy(*by, "seg").agg(F.sum("weight").alias("_w"))
+    if not margin:
+        say = F.concat_ws(" ", F.lit("weights of"), F.col("seg").cast("string"), F.lit("add up to"), F.col("_w").cast("string"))
+        spent = F.when(F.col("_w") > 1 + 1e-6, F.raise_error(say).cast("double")).otherwise(F.col("_w"))
+        invested = invested.withColumn("_w", spent)
     days = segs.select(*by, "seg", "start", "final", F.explode(F.sequence("start", "final")).alias("pos"))
     line = days.join(invested, [*by, "seg"], "left").join(held, [*by, "seg", "pos"], "left")
     line = line.na.fill(0.0, ["_w", "_held"])
@@ -175,11 +214,11 @@ def strategy_index(values: DataFrame, flows: DataFrame | None = None, by: Sequen
 
 
 def _book(prices, calendar, schedule, initial_capital, by) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Segments, growth of the held names and the value line; the line (one row per date) is pinned."""
+    """Segments, growth of the held names and the value line; the line (one row per date) is written once."""
     segs = segments(calendar, schedule, by)
     growth = holdings_growth(prices, calendar, schedule, by, segs)
     line = _values(growth, calendar, schedule, segs, initial_capital, None, by)
-    return segs, growth, small_side(line.select(*by, "date", "pos", "base_value", "value", "cash"))
+    return segs, growth, cut_lineage(line.select(*by, "date", "pos", "base_value", "value", "cash"))
 
 
 def drifted_weights(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
@@ -208,12 +247,9 @@ def member_weights(children: DataFrame, parents: DataFrame, parent: str = "paren
     return inner.unionByName(outer)
 
 
-def _targets(prices, calendar, schedule, initial_capital, by) -> DataFrame:
+def _targets(prices, calendar, schedule, by, segs, values) -> DataFrame:
     """Units from each trade date on: (by, date, asset, quantity, execution, price), exits as zero."""
-    by = list(by)
-    segs, growth, values = _book(prices, calendar, schedule, initial_capital, by)
-    opening = growth.join(segs.select(*by, "seg", "start", "final"), [*by, "seg"])
-    opening = opening.where(F.col("pos") == F.col("start"))
+    opening = opened(prices, calendar, schedule, by, segs).withColumn("pos", F.col("start"))
     opening = opening.join(values.select(*by, "pos", "base_value"), [*by, "pos"])
     held = opening.select(
         *by, "pos", "final", "asset", (F.col("weight") * F.col("base_value") / F.col("base")).alias("quantity")
@@ -244,8 +280,12 @@ def positions(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequ
 
 def trades(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
     """Changes of position: (by, date, asset, quantity, price, execution)."""
+    segs, _, values = _book(prices, calendar, schedule, initial_capital, list(by))
+    return _changes(_targets(prices, calendar, schedule, list(by), segs, values), by)
+
+
+def _changes(units: DataFrame, by: Sequence[str]) -> DataFrame:
     line = Window.partitionBy(*by, "asset").orderBy("date")
-    units = _targets(prices, calendar, schedule, initial_capital, by)
     change = F.col("quantity") - F.coalesce(F.lag("quantity").over(line), F.lit(0.0))
     moved = units.withColumn("quantity", change)
     # rounding of a renewed position is no trade
@@ -266,10 +306,12 @@ def outlays(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequen
 def turnover(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
     """Smaller of money bought and money sold over the value, on every date."""
     by = list(by)
-    spent = outlays(prices, calendar, schedule, initial_capital, by).groupBy(*by, "date").agg(
-        F.sum(F.greatest("outlay", F.lit(0.0))).alias("_buy"), F.sum(F.greatest(-F.col("outlay"), F.lit(0.0))).alias("_sell")
+    segs, _, values = _book(prices, calendar, schedule, initial_capital, by)
+    rows = _changes(_targets(prices, calendar, schedule, by, segs, values), by)
+    outlay = F.col("quantity") * F.col("execution")
+    spent = rows.groupBy(*by, "date").agg(
+        F.sum(F.greatest(outlay, F.lit(0.0))).alias("_buy"), F.sum(F.greatest(-outlay, F.lit(0.0))).alias("_sell")
     )
-    values = nav(prices, calendar, schedule, initial_capital, by=by)
     share = F.coalesce(F.least("_buy", "_sell"), F.lit(0.0)) / F.col("value")
     return values.join(spent, [*by, "date"], "left").select(*by, "date", share.alias("turnover"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.filters import normalized
@@ -37,14 +37,21 @@ def normalize_weights(df: DataFrame, keys: Sequence[str] = ("INDEX",), weight: s
 
 
 def holdings_rollup(df: DataFrame, keys: Sequence[str] = ("DATE", "INDEX", "TICKER"), tie: str | None = None) -> DataFrame:
-    """One row per member: amounts summed, attributes from the first line by ``tie``."""
-    sums = [F.sum(c).alias(c) for c in ROLLUP_SUMS if c in df.columns]
-    order = F.col(tie) if tie else F.struct(*[c for c in df.columns if c not in keys])
+    """One row per member: amounts summed, each attribute from the first line by ``tie`` that has it."""
+    sums = [c for c in ROLLUP_SUMS if c in df.columns]
     kept = [c for c in ROLLUP_FIRSTS if c in df.columns]
     if not kept:
-        return df.groupBy(*keys).agg(*sums)
-    first = F.min_by(F.struct(*kept), order).alias("_first")
-    return df.groupBy(*keys).agg(*sums, first).select("*", "_first.*").drop("_first")
+        return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    order = [F.col(tie)] if tie else [F.col(c) for c in df.columns if c not in keys]
+    line = Window.partitionBy(*keys).orderBy(*[c.asc_nulls_last() for c in order])
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rolled = df.select(
+        *keys,
+        F.row_number().over(line).alias("_line"),
+        *[F.sum(c).over(whole).alias(c) for c in sums],
+        *[F.first(c, True).over(whole).alias(c) for c in kept],
+    )
+    return rolled.where("_line = 1").drop("_line")
 
 
 def vintage_max(df: DataFrame) -> DataFrame:
@@ -68,8 +75,9 @@ def missing_requested(df: DataFrame, column: str, requested: Sequence[str]) -> D
 
 
 def last_per_cell(df: DataFrame, index: str, columns: str, values: str, order: str) -> DataFrame:
-    """The last value of each (row, column) cell, long."""
-    return df.groupBy(index, columns).agg(F.max_by(values, order).alias(values))
+    """The last value of each (row, column) cell that is not null, long; a cell without any stays null."""
+    known = F.when(F.col(values).isNotNull(), F.col(order))
+    return df.groupBy(index, columns).agg(F.max_by(values, known).alias(values))
 
 
 def pivot_last(df: DataFrame, index: str, columns: str, values: str, order: str, names: Sequence[str]) -> DataFrame:

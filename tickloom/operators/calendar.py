@@ -15,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.support import small_side, with_scalars
+from tickloom.operators.support import with_scalars
+from tickloom.session import cut_lineage
 
 
 def _by_date():
@@ -27,11 +28,11 @@ def _around():
 
 
 def calendar_of(dates: DataFrame) -> DataFrame:
-    """Calendar of a frame with a ``date`` column, pinned when it is small."""
+    """Calendar of a frame with a ``date`` column, written once."""
     distinct = dates.select("date").where(F.col("date").isNotNull()).distinct()
     placed = distinct.withColumn("pos", F.row_number().over(_by_date()) - 1)
     whole = Window.partitionBy()
-    return small_side(placed.withColumn("last", F.max("pos").over(whole)))
+    return cut_lineage(placed.withColumn("last", F.max("pos").over(whole)))
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,6 @@ def window_bridge(
     lookback: Offset,
     lag: Offset = Offset(),
     lookforward: Offset | None = None,
-    limit: int = 1_000_000,
 ) -> DataFrame:
     """(now, date, wpos, wlen): the trading dates of the window of every ``now``.
 
@@ -101,7 +101,7 @@ def window_bridge(
     bridge = rows.join(calendar.select("pos", "date"), "pos").select(
         "now", "date", (F.col("pos") - F.col("_start")).cast("int").alias("wpos"), F.col("wlen").cast("int").alias("wlen")
     )
-    return small_side(bridge, limit)
+    return cut_lineage(bridge)
 
 
 def window_range_join(panel: DataFrame, bridge: DataFrame) -> DataFrame:

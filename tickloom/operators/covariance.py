@@ -28,9 +28,6 @@ BLOCK = 256
 
 # fixed values: default (volatility, correlation) half-lives of the blended estimate
 HALFLIFE_PAIRS = [(10, 21), (21, 63), (63, 125), (125, 250), (250, 500)]
-# fixed values: robust estimate
-HUBER_C = 1.345
-MAD_SCALE = 1.4826
 
 _SUMS = "n double, sw double, sw2 double, sx double, sy double, sxy double"
 _GRAM = f"now date, i string, j string, k int, {_SUMS}"
@@ -184,10 +181,10 @@ def cov_regime_blended(
     sums = gram(rows, [1.0, *[decay_of(halflife=h) for h in lives]], center=True)
     plain = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1)
     valued = sums.withColumn("_c", F.when(F.col("k") == 0, plain).otherwise(_ew_cov()))
-    wide = valued.groupBy("now", "i", "j").agg(
+    wide = cut_lineage(valued.groupBy("now", "i", "j").agg(
         F.max(F.when(F.col("k") == 0, F.col("_c"))).alias("_plain"),
         *[F.max(F.when(F.col("k") == at + 1, F.col("_c"))).alias(f"_c{at}") for at in range(len(lives))],
-    )
+    ))
     own = wide.where(F.col("i") == F.col("j"))
 
     def variance(a: int) -> Column:
@@ -252,7 +249,7 @@ def _moments(sample: DataFrame) -> DataFrame:
 def cov_oas(panel, calendar, pool, lookback=QUARTER, lag=Offset(), min_coverage=0.8, **window) -> DataFrame:
     """Oracle-approximating shrinkage towards a scaled identity."""
     rows = _complete(panel, calendar, pool, lookback, lag, min_coverage, False, **window)
-    sample = gram(rows, center=True).withColumn("_cov", _population())
+    sample = cut_lineage(gram(rows, center=True).withColumn("_cov", _population()))
     p, mean = F.col("_p"), F.col("_trace") / F.col("_p")
     alpha = F.col("_squares") / (p * p)
     top, below = alpha + mean * mean, (F.col("_n") + 1) * (alpha - mean * mean / p)
@@ -267,7 +264,7 @@ def cov_ledoit_wolf(panel, calendar, pool, lookback=QUARTER, lag=Offset(), min_c
     norms summed over the rows, which needs no pairs.
     """
     rows = _complete(panel, calendar, pool, lookback, lag, min_coverage, False, **window)
-    sample = gram(rows, center=True).withColumn("_cov", _population())
+    sample = cut_lineage(gram(rows, center=True).withColumn("_cov", _population()))
     centered = with_group_totals(rows, ["now", "asset"], _mean=F.avg("value"))
     off = F.col("value") - F.col("_mean")
     norms = centered.groupBy("now", "rpos").agg(F.sum(off * off).alias("_q"))
@@ -282,101 +279,5 @@ def cov_ledoit_wolf(panel, calendar, pool, lookback=QUARTER, lag=Offset(), min_c
     return _shrunk(sample, per_date.select("now", share.alias("_s"), mean.alias("_mu")))
 
 
-# ------------------------------------------------------------------ whole-matrix estimators
-# A window's matrix must be seen at once; larger ones are refused, not cut.
-MAX_CELLS = 50_000_000
-_COV = "now date, i string, j string, cov double"
-
-
-def _window_matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    names = np.array(sorted(rows["asset"].unique()))
-    length = int(rows["rlen"].iloc[0])
-    if len(names) * max(length, len(names)) > MAX_CELLS:
-        raise ValueError(f"window of {len(names)} assets and {length} rows exceeds {MAX_CELLS} cells")
-    x = np.full((length, len(names)), np.nan)
-    x[rows["rpos"].to_numpy(), np.searchsorted(names, rows["asset"].to_numpy())] = rows["value"].to_numpy()
-    return names, x
-
-
-def _long(now, names: np.ndarray, matrix: np.ndarray) -> pd.DataFrame:
-    p = len(names)
-    return pd.DataFrame({"now": now, "i": np.repeat(names, p), "j": np.tile(names, p), "cov": matrix.ravel()})
-
-
-def _per_window(rows: DataFrame, estimate) -> DataFrame:
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        names, x = _window_matrix(group)
-        return _long(group["now"].iloc[0], names, estimate(x))
-
-    out = rows.select("now", "asset", "rpos", "rlen", "value").groupBy("now").applyInPandas(solve, _COV)
-    return _named(out, F.col("cov")).where(~F.isnan("cov"))
-
-
-def _nonlinear_shrinkage(x: np.ndarray) -> np.ndarray:
-    """Quadratic-inverse shrinkage of the sample eigenvalues."""
-    n, p = x.shape[0] - 1, x.shape[1]
-    if n <= 0:
-        return np.full((p, p), np.nan)
-    centered = x - x.mean(axis=0)
-    values, vectors = np.linalg.eigh(centered.T @ centered / n)
-    values = np.maximum(values, 0.0)
-    ratio, rank = p / n, min(p, n)
-    width = min(ratio**2, ratio**-2) ** 0.35 / p**0.35
-    inverse = 1.0 / np.maximum(values[p - rank:], 1e-12)
-    gap = inverse[:, None] - inverse[None, :]
-    square = (inverse**2)[:, None]
-    smooth = gap**2 + square * width**2
-    hilbert = (inverse[:, None] * gap / smooth).mean(axis=0)
-    energy = hilbert**2 + (square * width / smooth).mean(axis=0) ** 2
-    if p <= n:
-        shrunk = 1 / (
-            (1 - ratio) ** 2 * inverse + 2 * ratio * (1 - ratio) * inverse * hilbert + ratio**2 * inverse * energy
-        )
-    else:
-        null_space = 1 / ((ratio - 1) * inverse.mean())
-        shrunk = np.r_[np.full(p - n, null_space), 1 / (inverse * energy)]
-    if shrunk.sum() <= 0:
-        return np.full((p, p), np.nan)
-    scaled = shrunk * values.sum() / shrunk.sum()
-    return (vectors * scaled) @ vectors.T
-
-
-def cov_qis(panel, calendar, pool, lookback=QUARTER, lag=Offset(), min_coverage=0.8, **window) -> DataFrame:
-    """Nonlinear shrinkage; one eigenproblem per window, the windows side by side."""
-    return _per_window(_complete(panel, calendar, pool, lookback, lag, min_coverage, False, **window), _nonlinear_shrinkage)
-
-
-def _huber(c: float, max_iter: int, tol: float):
-    def estimate(x: np.ndarray) -> np.ndarray:
-        rows, p = x.shape
-        if rows <= 1:
-            return np.full((p, p), np.nan)
-        if p == 1:
-            return np.array([[x[:, 0].var(ddof=1)]])
-        center = np.median(x, axis=0)
-        scale = np.maximum(MAD_SCALE * np.median(np.abs(x - center), axis=0), 1e-12)
-        for _ in range(max_iter):
-            size = np.sqrt((((x - center) / scale) ** 2).mean(axis=1))
-            weight = np.minimum(1.0, c / np.maximum(size, 1e-12))
-            moved = weight @ x / weight.sum()
-            settled = np.linalg.norm(moved - center) <= tol
-            center = moved
-            if settled:
-                break
-        spread = x - center
-        matrix = (spread * weight[:, None]).T @ spread / max(weight.sum() - 1.0, 1.0)
-        return (matrix + matrix.T) / 2
-
-    return estimate
-
-
-def cov_huber(
-    panel, calendar, pool, lookback=QUARTER, lag=Offset(), c=HUBER_C, min_coverage=0.8, max_iter=50, tol=1e-6, **window
-) -> DataFrame:
-    """Robust covariance by iterated row weights, one window per group."""
-    rows = _complete(panel, calendar, pool, lookback, lag, min_coverage, False, **window)
-    return _per_window(rows, _huber(c, max_iter, tol))
-
-
 def annualize_cov(cov: DataFrame, factor: float = 252) -> DataFrame:
     return cov.withColumn("cov", F.col("cov") * factor)

@@ -25,24 +25,21 @@ def diff_rows(
     exclude: Sequence[str] = ("DATE",),
     compare: Sequence[str] | None = None,
     order: Sequence[str] | None = None,
-    first_load: bool | None = None,
 ) -> DataFrame:
     """Incoming rows that are new or changed against the stored ones.
 
     Rows are compared by signature over the shared columns without ``exclude``,
     or over ``compare``.  Rows that repeat inside the batch collapse to the
-    first by ``order``.  Both sides are reduced to one row per signature before
-    they meet, so a heavily repeated row cannot skew the join.  Against an empty
-    table only fully equal rows collapse.
+    first by ``order``, against an empty table too.  Both sides are reduced to
+    one row per signature before they meet, so a heavily repeated row cannot
+    skew the join.
     """
     excluded = {c.upper() for c in exclude}
     columns = list(compare) if compare else [
         c for c in incoming.columns if c in existing.columns and c.upper() not in excluded
     ]
-    if first_load is None:
-        first_load = existing.isEmpty()
-    if first_load or not columns:
-        return incoming.distinct() if compare is None else incoming.dropDuplicates(columns)
+    if not columns:
+        return incoming.distinct()
     signed = incoming.withColumn("_sig", row_signature(incoming, columns))
     ordering = list(order) if order else [c for c in incoming.columns]
     first = pick_row(signed, ["_sig"], [F.col(c) for c in ordering], largest=False)

@@ -7,9 +7,6 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A longer list than this is joined instead of written into the predicate.
-IN_LIST_LIMIT = 2_000
-
 # fixed values: rows accepted per index, inclusive
 ROW_BOUNDS = {
     "S&P 500": (450, 550),
@@ -22,15 +19,16 @@ def normalized(column: str | Column) -> Column:
     return F.upper(F.trim(F.col(column) if isinstance(column, str) else column))
 
 
-def in_filter(df: DataFrame, column: str, values: Iterable[str] | None) -> DataFrame:
+def in_filter(df: DataFrame, column: str, values: Iterable[str] | None, joined: bool = False) -> DataFrame:
     """Keep rows whose column is in the list; an empty list keeps everything.
 
-    A short list stays a literal predicate that reaches the Parquet scan.
+    The list is a literal predicate that reaches the Parquet scan; a caller
+    with a list too long for that asks for a semi join (``joined``).
     """
     wanted = list(dict.fromkeys(values or []))
     if not wanted:
         return df
-    if len(wanted) <= IN_LIST_LIMIT:
+    if not joined:
         return df.where(F.col(column).isin(wanted))
     lookup = df.sparkSession.createDataFrame([(v,) for v in wanted], f"`{column}` {df.schema[column].dataType.simpleString()}")
     return df.join(lookup, column, "left_semi")

@@ -23,9 +23,6 @@ from tickloom.operators.support import (
     with_group_totals,
 )
 
-_SALTS = 64
-
-
 def select_all(panel: DataFrame, dates: DataFrame | None = None, include_no_data=False, include_negative=False) -> DataFrame:
     """Names with a usable price on the date."""
     rows = tradable(panel, include_no_data, include_negative)
@@ -98,13 +95,18 @@ def add_security(
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Ordering], n: int, salt: Column) -> DataFrame:
-    """First n rows per key, in two rounds: n per salt of a key, then n of the survivors."""
+    """First n rows per key, in two rounds: n per salt of a key, then n of the survivors.
+
+    A key has as many salts as the cluster has shuffle partitions, so the rows
+    of one hot key are dealt to all of them.
+    """
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = []
     out = df
     for i, item in enumerate(order):
         out = out.withColumn(f"_o{i}", item.column)
         names.append(apply_direction(f"_o{i}", item))
-    out = out.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(_SALTS)))
+    out = out.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*names)
     final = Window.partitionBy(*keys).orderBy(*names)
     out = out.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n)

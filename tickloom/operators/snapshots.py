@@ -1,26 +1,27 @@
 """Point-in-time reads: newest row per key, newest date per key, duplicates.
 
-All of them reduce with mergeable aggregates (`max`, `max_by`), which combine on
-the map side, instead of sorting every key's history in a window; a key holding
-a third of the table costs no more than its share of the scan.
+Dates reduce with `max`, which combines before the shuffle; whole rows are picked
+by a ranked window whose limit runs before the shuffle as well, so a key holding
+a third of the table sends one row per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def pick_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], largest: bool = True) -> DataFrame:
-    """One whole row per key: the one with the largest (or smallest) order tuple."""
-    keys = list(keys)
-    rank = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    row = F.struct(*[F.col(c) for c in df.columns])
-    chosen = (F.max_by if largest else F.min_by)(row, rank)
-    group = [F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]
-    return df.groupBy(*group).agg(chosen.alias("_row")).select("_row.*")
+    """One whole row per key: the one with the largest (or smallest) order tuple.
+
+    Written as a ranked window cut at 1: the limit runs before the shuffle too,
+    so every task sends one row per key, whatever its columns are.
+    """
+    ranks = [c.desc_nulls_last() if largest else c.asc_nulls_first() for c in order]
+    rank = F.row_number().over(Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*ranks))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def latest_row(df: DataFrame, keys: Sequence[str], date: str = "DATE", ties: Sequence[str] = ()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Shared building blocks: size-checked small sides and skew-safe ordered prefixes."""
+"""Shared building blocks: group totals and skew-safe ordered prefixes."""
 
 from __future__ import annotations
 
@@ -9,25 +9,6 @@ from pyspark.sql import functions as F
 
 from tickloom.session import cut_lineage
 
-# Most rows a frame may have to be pinned on the driver and broadcast.  A
-# trading calendar of one century has about 25 thousand.
-SMALL_ROWS = 200_000
-
-
-def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Pin a small frame after checking its size; hand a larger one back as it is.
-
-    At most ``limit + 1`` rows reach the driver.  Within the limit the rows
-    become a broadcast literal, so later joins need no shuffle and the frame is
-    computed once; beyond it the caller's join stays an ordinary shuffle join.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df
-    # an Arrow table becomes a plain local relation in the plan
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def finite(value: Column) -> Column:
     """The value where it is an ordinary number, else null."""
     as_double = value.cast("double")

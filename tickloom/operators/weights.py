@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.panels import shift
-from tickloom.operators.support import Ordering, finite, ordered_prefix, small_side, with_group_totals
+from tickloom.operators.support import Ordering, finite, ordered_prefix, with_group_totals
+from tickloom.session import cut_lineage
 
 TOLERANCE = 1e-12
 
@@ -208,7 +209,7 @@ def long_short_combine(
     )
     # one row per emission date
     until = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    carried = small_side(
+    carried = cut_lineage(
         spoken.select("date", F.last("_l", True).over(until).alias("_l"), F.last("_s", True).over(until).alias("_s"))
     )
 
@@ -228,7 +229,7 @@ def transition_schedule(targets: DataFrame, calendar: DataFrame, n: int = 10) ->
     """
     line = Window.orderBy("pos")
     turns = targets.select("date").distinct().join(calendar.select("date", "pos", "last"), "date")
-    turns = small_side(
+    turns = cut_lineage(
         turns.select(
             "date",
             "pos",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tickloom.operators import accounting, factors, panels, selection, stats, weights
 from tickloom.operators.calendar import Offset, calendar_of
 from tickloom.operators.estimators import QUARTER
-from tickloom.operators.support import small_side
 from tickloom.session import cut_lineage
 
 
@@ -51,6 +50,6 @@ def run(
     calendar = calendar_of(prices)
     filled = cut_lineage(panels.ffill_bfill(prices, calendar).drop("pos"))
     plan = cut_lineage(schedule(filled, calendar))
-    line = small_side(accounting.nav(filled, calendar, plan, initial_capital))
+    line = cut_lineage(accounting.nav(filled, calendar, plan, initial_capital))
     series = line.select(F.lit(name).alias("series"), F.col("date").alias("ts"), F.col("index").alias("price"))
     return line, stats.perf_stats(series)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +31,13 @@ def get_session(app: str = "tickloom", master: str | None = None, **conf: str) -
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: what the cluster names, else a local test folder."""
+    """Shared folder for written tables, as the session names it in ``spark.checkpoint.dir``."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    named = named or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="tickloom-checkpoint-")
-    context.setCheckpointDir(named)
-    return context.getCheckpointDir() or os.fspath(named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -51,7 +45,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A columnar table keeps what a lost executor would have to compute again,
     lets later readers take only their columns and tells the planner its size.
+    The tables of a driver are deleted when it ends.
     """
     path = f"{checkpoint_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def delete_cut_tables() -> None:
+    """Delete what ``cut_lineage`` wrote, as long as its session still runs."""
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is None:
+            continue
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+atexit.register(delete_cut_tables)

@@ -47,7 +47,7 @@ def stream_diff_append(
         stored = table.where(F.col("_batch") != batch_id).drop("_batch")
         if keys:
             stored = existing_for(stored, batch, keys)
-        fresh = diff_rows(batch, stored, exclude=exclude, first_load=False)
+        fresh = diff_rows(batch, stored, exclude=exclude)
         fresh.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy("_batch").option(
             "partitionOverwriteMode", "dynamic"
         ).parquet(table_path)

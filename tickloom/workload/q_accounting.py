@@ -18,14 +18,14 @@ from tickloom.workload.q_weights import filled_a, schedule_a, schedule_of, selec
 CAPITAL = 1000.0
 
 
-def _book_ctes(tag: str, prices: str, schedule: str) -> None:
+def _book_ctes(tag: str, prices: str, schedule: str, calendar: str = "cal_a") -> None:
     """Segments, growth, factors and values of a schedule as CTEs with a suffix."""
     cte(
         f"seg{tag}",
-        f"""SELECT date AS seg, pos AS start, pos - 1 AS base_pos, coalesce(lead(pos) OVER (ORDER BY pos) - 1, (SELECT max(pos) FROM cal_a)) AS final
-FROM (SELECT DISTINCT date FROM {schedule}) JOIN cal_a USING (date) WHERE pos > 0""",
+        f"""SELECT date AS seg, pos AS start, pos - 1 AS base_pos, coalesce(lead(pos) OVER (ORDER BY pos) - 1, (SELECT max(pos) FROM {calendar})) AS final
+FROM (SELECT DISTINCT date FROM {schedule}) JOIN {calendar} USING (date) WHERE pos > 0""",
         schedule,
-        "cal_a",
+        calendar,
     )
     cte(
         f"gro{tag}",
@@ -42,10 +42,10 @@ JOIN {prices} b ON b.pos = s.base_pos AND b.asset = h.asset JOIN {prices} t ON t
     cte(
         f"val{tag}",
         f"""SELECT c.date, c.pos, f.seg, coalesce(f.f, 1) AS f, coalesce(f.w, 0) AS w, 1000 * coalesce(product(CASE WHEN f.pos = s.final THEN f.f END)
-OVER (ORDER BY c.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS b FROM cal_a c LEFT JOIN fac{tag} f ON f.pos = c.pos LEFT JOIN seg{tag} s ON s.seg = f.seg""",
+OVER (ORDER BY c.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS b FROM {calendar} c LEFT JOIN fac{tag} f ON f.pos = c.pos LEFT JOIN seg{tag} s ON s.seg = f.seg""",
         f"fac{tag}",
         f"seg{tag}",
-        "cal_a",
+        calendar,
     )
 
 
@@ -65,6 +65,13 @@ def _line(df, digits=4):
 
 _LINE_SQL = f"SELECT date, {rs('b * f', 4)} AS value, {rs('b * (1 - w)', 4)} AS cash, {rs('b * f / 10', 4)} AS \"index\" FROM "
 query("nav", _LINE_SQL + "val", ("val",))(lambda spark, sf: _line(A.nav(*_args(spark, sf), CAPITAL)))
+_LIVE = "1998-01-01"
+_SHIFT = f"(SELECT pos FROM cal_a WHERE date = DATE '{_LIVE}')"
+cte("cal_live", f"SELECT date, pos - {_SHIFT} AS pos FROM cal_a WHERE date >= DATE '{_LIVE}'", "cal_a")
+cte("fa_live", f"SELECT date, pos - {_SHIFT} AS pos, asset, value FROM fa WHERE date >= DATE '{_LIVE}'", "fa", "cal_a")
+cte("sch_live", "SELECT * FROM sch", "sch")
+_book_ctes("_live", "fa_live", "sch_live", "cal_live")
+query("nav_live_start", _LINE_SQL + "val_live", ("val_live",))(lambda spark, sf: _line(A.nav(*_args(spark, sf), CAPITAL, live_start=_LIVE)))
 cte("sch_half", "SELECT date, asset, weight * (1 - 0.25) AS weight FROM sch", "sch")
 _book_ctes("_half", "fa", "sch_half")
 query("cash_reserve", _LINE_SQL + "val_half", ("val_half",))(lambda spark, sf: _line(A.nav(*_args(spark, sf), CAPITAL, cash=0.25)))

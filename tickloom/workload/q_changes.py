@@ -454,12 +454,12 @@ SELECT "DATE", TICKER, FIGI, KIND, VALUE, 'company_info' AS DATASET FROM batch""
 # ------------------------------------------------------------------ macro windows
 query(
     "batch_windows",
-    """WITH b AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INTEGER) AS e FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)),
+    """WITH b AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INTEGER) AS e FROM orders),
 w AS (SELECT o_orderkey, i, CAST(s + to_years(CAST(i AS INTEGER)) AS DATE) AS bs, CAST(s + to_years(CAST(i + 1 AS INTEGER)) AS DATE) - 1 AS be, e FROM b, range(0, 4) r(i))
 SELECT o_orderkey, CAST(i AS INTEGER) AS BATCH, bs AS BATCH_START, least(be, e) AS BATCH_END FROM w WHERE bs <= e""",
 )(
     lambda spark, sf: macro.date_batches(
-        load(spark, sf, "orders").where("NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)").select(
+        load(spark, sf, "orders").select(
             "o_orderkey",
             F.col("o_orderdate").cast("date").alias("START"),
             F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 900).cast("int")).alias("END"),

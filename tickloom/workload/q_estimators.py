@@ -191,8 +191,6 @@ k AS (SELECT now, mu, CASE WHEN least(beta, delta) = 0 THEN 0 ELSE least(beta, d
 SELECT g.now AS date, i, j, {rs("(1 - s) * c + CASE WHEN i = j THEN s * mu ELSE 0 END", 8)} AS cov FROM g JOIN k USING (now)""",
     ("cc12",),
 )(lambda spark, sf: _cov(CV.cov_ledoit_wolf(*_args(spark, sf), YEAR), 8))
-query("cov_qis")(lambda spark, sf: _cov(CV.cov_qis(*_args(spark, sf), YEAR)))
-query("cov_huber")(lambda spark, sf: _cov(CV.cov_huber(*_args(spark, sf), YEAR)))
 query("annualize_cov", _pairs_sql(f"252 * {_SAMPLE}", "w12p", having=_TWO, digits=7), ("w12p",))(
     lambda spark, sf: _cov(CV.annualize_cov(CV.cov_sample(*_args(spark, sf), YEAR)), 7)
 )

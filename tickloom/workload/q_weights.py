@@ -1,4 +1,4 @@
-"""Weight, modifier and solver queries."""
+"""Weight and modifier queries."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from tickloom.operators import covariance as CV
 from tickloom.operators import expected_returns as ER
 from tickloom.operators import panels as P
 from tickloom.operators import selection as S
-from tickloom.operators import solve
 from tickloom.operators import weights as W
 from tickloom.workload.base import cte, panel_a, query, rnd, rs, sectors_a
 from tickloom.workload.q_estimators import YEAR
@@ -205,7 +204,7 @@ WHERE abs(r.origin + (r.goal - r.origin) * k.k / 5) >= 1e-12""",
     ("sch", "cal_a"),
 )(lambda spark, sf: _w(W.transition_schedule(schedule_a(spark, sf), cal_a(spark, sf), 5)))
 
-# ------------------------------------------------------------------ portfolio statistics and solves
+# ------------------------------------------------------------------ portfolio statistics
 query(
     "portfolio_sharpe",
     f"""WITH w AS (SELECT date, asset, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM sel),
@@ -224,33 +223,3 @@ def year_er(spark, sf):
 def _sharpe(spark, sf):
     out = W.portfolio_sharpe(W.w_equal(selected_a(spark, sf)), year_er(spark, sf), year_cov(spark, sf), 0.001)
     return out.select("date", rnd("sharpe", 8).alias("sharpe"))
-
-
-query("w_min_var")(lambda spark, sf: _w(solve.w_min_var(selected_a(spark, sf), year_cov(spark, sf)), 6))
-query("w_mean_var")(
-    lambda spark, sf: _w(solve.w_mean_var(selected_a(spark, sf), year_er(spark, sf), year_cov(spark, sf), 2.0, (0.0, 0.4)), 6)
-)
-query("w_max_div")(lambda spark, sf: _w(solve.w_max_div(selected_a(spark, sf), year_cov(spark, sf)), 6))
-query("w_risk_parity")(lambda spark, sf: _w(solve.w_risk_parity(selected_a(spark, sf), year_cov(spark, sf)), 6))
-
-
-@query("w_exposure_match")
-def _exposure(spark, sf):
-    """Trailing return as the statistic; two exposures per name from its sector and its price."""
-    selected = selected_a(spark, sf)
-    stat = S.ranked_metric(year_er(spark, sf).withColumnRenamed("expected_return", "factor"), selected)
-    benchmark = W.w_equal(selected)
-    price = panel_a(spark, sf).join(selected, ["date", "asset"], "left_semi")
-    by_price = price.select("date", "asset", F.lit("level").alias("name"), (F.col("value") / 1000).alias("exposure"))
-    sector = selected.join(sectors_a(spark, sf), "asset")
-    by_sector = sector.select("date", "asset", F.lit("sector").alias("name"), (F.col("sector") == "S0").cast("double").alias("exposure"))
-    exposures = by_price.unionByName(by_sector)
-    dates = stat.select("date").distinct()
-    pairs = F.array(
-        F.struct(F.lit("level").alias("i"), F.lit("level").alias("j"), F.lit(0.04).alias("cov")),
-        F.struct(F.lit("sector").alias("i"), F.lit("sector").alias("j"), F.lit(0.09).alias("cov")),
-        F.struct(F.lit("level").alias("i"), F.lit("sector").alias("j"), F.lit(0.01).alias("cov")),
-        F.struct(F.lit("sector").alias("i"), F.lit("level").alias("j"), F.lit(0.01).alias("cov")),
-    )
-    factor_cov = dates.select("date", F.inline(pairs))
-    return _w(solve.w_exposure_match(stat, benchmark, exposures, factor_cov, 1.0, 0.05), 6)
