@@ -69,6 +69,18 @@ def bounds(calendar: DataFrame) -> DataFrame:
     return calendar.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+def as_of(calendar: DataFrame, days: DataFrame) -> DataFrame:
+    """``days`` (with a column ``day``) with the trading date (date, pos) on or before each.
+
+    A day after the last trading date reads the last one; a day before the
+    first has none and drops out.
+    """
+    edged = with_scalars(days, bounds(calendar))
+    reached = edged.withColumn("_day", F.least("day", "last_date")).drop("first_date", "last_date")
+    known = day_map(calendar, "previous").select(F.col("day").alias("_day"), "date", "pos")
+    return reached.join(known, "_day").drop("_day")
+
+
 def window_bridge(
     calendar: DataFrame,
     dates: DataFrame,

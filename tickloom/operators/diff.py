@@ -56,8 +56,10 @@ def diff_counts(incoming: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def existing_for(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored rows under the keys of the batch."""
-    return existing.join(incoming.select(*keys).distinct(), list(keys), "left_semi").select(*existing.columns)
+    """Stored rows under the keys of the batch; a missing key meets a missing one."""
+    wanted = incoming.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return existing.join(wanted, same, "left_semi").select(*existing.columns)
 
 
 def revision_groups(df: DataFrame) -> DataFrame:
@@ -109,9 +111,12 @@ def upsert(destination: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def reload_keys(destination: DataFrame, fresh: DataFrame, keys: DataFrame, key: str = "TICKER") -> DataFrame:
-    """Replace the history of adjusted keys that were stored before by a fresh pull."""
+    """Replace the history of adjusted keys that were stored before by a fresh pull.
+
+    A key that the pull does not bring keeps its stored rows.
+    """
     stored = destination.select(key).distinct()
-    due = keys.select(key).distinct().join(stored, key, "left_semi")
+    due = keys.select(key).distinct().join(stored, key, "left_semi").join(fresh.select(key).distinct(), key, "left_semi")
     kept = destination.join(due, key, "left_anti").select(*destination.columns)
     return kept.unionByName(fresh.join(due, key, "left_semi").select(*destination.columns))
 

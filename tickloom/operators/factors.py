@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.calendar import Offset, day_map, window_bridge, window_range_join
+from tickloom.operators.calendar import Offset, as_of, window_bridge, window_range_join
 from tickloom.operators.estimators import QUARTER
 from tickloom.operators.support import exact_quantiles, finite, with_group_totals
 
@@ -70,15 +69,7 @@ def kernel_moving_average(
     )
 
 
-def _ewm(alpha: float):
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        line = pd.Series(rows["value"].to_numpy(), index=rows["pos"].to_numpy())
-        full = line.reindex(range(int(line.index[0]), int(line.index[-1]) + 1))
-        smoothed = full.ewm(alpha=alpha, adjust=False).mean().reindex(line.index)
-        return rows.assign(value=smoothed.to_numpy())
-
-    return smooth
+_BLOCK = 300.0  # decay of a block, in natural logarithms: what lies two blocks back weighs e^-300
 
 
 def ewma(
@@ -86,22 +77,36 @@ def ewma(
 ) -> DataFrame:
     """Exponential average over the full history, recursive form.
 
-    The recursion renormalises at every gap, which no window aggregate states;
-    each asset's own dates (at most a calendar) are smoothed in one Arrow group,
-    once for all requested dates.
+    With d = 1 - alpha and a gap of g dates the recursion is
+    y = a y' + (1 - a) x, a = d^g / (d^g + alpha).  Unrolled, y is a sum of the
+    values weighted by the products of the later a's; the logarithms of a are
+    summed by a window, and the sums restart in blocks of bounded decay so that
+    no product leaves the range of a double.
     """
     alpha = 1 - 2 ** (-1 / half_life)
     rows = panel.where(F.col("value").isNotNull()).join(calendar.select("date", "pos", "last"), "date")
-    rows = rows.select("asset", "pos", "value", "last")
-    smoothed = rows.groupBy("asset").applyInPandas(_ewm(alpha), rows.schema)
-    # between observations the average stands still: stretch it to the next one
     line = Window.partitionBy("asset").orderBy("pos")
+    kept = F.pow(F.lit(1 - alpha), F.col("pos") - F.lag("pos").over(line))
+    rows = rows.select("asset", "pos", "value", "last", (kept / (kept + alpha)).alias("_a"))
+    # the first value stands for itself
+    rows = rows.withColumn("_x", F.coalesce((1 - F.col("_a")) * F.col("value"), F.col("value")))
+    rows = rows.withColumn("_log", F.sum(F.coalesce(F.log("_a"), F.lit(0.0))).over(line))
+    rows = rows.withColumn("_block", F.floor(-F.col("_log") / _BLOCK).cast("long"))
+    block = Window.partitionBy("asset", "_block").orderBy("pos")
+    start = F.first("_log").over(block)
+    inside = rows.withColumn("_in", F.exp(F.col("_log") - start) * F.sum(F.col("_x") * F.exp(start - F.col("_log"))).over(block))
+    # the block before enters by its last value; a block may be empty where a gap spans it
+    before = F.last(F.when(F.col("_ends"), F.col("_in")), True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    at = F.last(F.when(F.col("_ends"), F.col("_log")), True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    ended = inside.withColumn("_ends", F.coalesce(F.lead("_block").over(line) != F.col("_block"), F.lit(False)))
+    carried = ended.withColumn("_value", F.col("_in") + F.coalesce(before * F.exp(F.col("_log") - at), F.lit(0.0)))
+    # between observations the average stands still: stretch it to the next one
     until = F.coalesce(F.lead("pos").over(line) - 1, F.col("last"))
-    reach = smoothed.withColumn("_until", until)
-    standing = reach.select("asset", "value", F.explode(F.sequence("pos", "_until")).alias("pos"))
+    reach = carried.withColumn("_until", until)
+    standing = reach.select("asset", F.col("_value").alias("value"), F.explode(F.sequence("pos", "_until")).alias("pos"))
     ends = dates.select(F.col("date").alias("now"), lag.before(F.col("date")).alias("day")).distinct()
-    at = ends.join(day_map(calendar, "previous").select("day", "pos"), "day").select("now", "pos")
-    return standing.join(at, "pos").select(F.col("now").alias("date"), "asset", F.col("value").alias("factor"))
+    reached = as_of(calendar, ends).select("now", "pos")
+    return standing.join(reached, "pos").select(F.col("now").alias("date"), "asset", F.col("value").alias("factor"))
 
 
 def set_factor(panel: DataFrame, dates: DataFrame, standardized: bool = False) -> DataFrame:

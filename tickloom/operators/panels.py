@@ -83,7 +83,7 @@ def info_panel(info: DataFrame, column: str, calendar: DataFrame, order: str) ->
     The last value per (date, asset), load dates off the calendar dropped, then
     filled forward and backward.
     """
-    cells = info.groupBy("date", "asset").agg(F.max_by(column, order).alias("value"))
+    cells = info.groupBy("date", "asset").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("value"))
     return ffill_bfill(cells, calendar).drop("pos")
 
 

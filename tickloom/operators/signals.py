@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import factors
-from tickloom.operators.calendar import Offset, day_map
+from tickloom.operators.calendar import Offset, as_of
 from tickloom.operators.estimators import QUARTER
 from tickloom.operators.panels import densify
 from tickloom.operators.support import with_scalars
@@ -16,8 +16,8 @@ from tickloom.operators.support import with_scalars
 
 def asof_last_price(panel: DataFrame, calendar: DataFrame, dates: DataFrame) -> DataFrame:
     """The prices of the last trading date up to each date; no fill per asset."""
-    days = dates.select(F.col("date").alias("now")).distinct()
-    last = days.join(day_map(calendar, "previous").select(F.col("day").alias("now"), "date"), "now")
+    days = dates.select(F.col("date").alias("now"), F.col("date").alias("day")).distinct()
+    last = as_of(calendar, days).select("now", "date")
     return panel.where(F.col("value").isNotNull()).join(last, "date").select("now", "asset", "value")
 
 

@@ -7,7 +7,7 @@ the table), so that a batch run, a backfill and a stream share it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -79,28 +79,40 @@ def ingest(dataset: str, landed: DataFrame, existing: DataFrame, mapping: DataFr
     if not spec.diff:
         return rows
     # only the stored rows of the batch's securities take part in the comparison
-    stored = diff.existing_for(existing, rows, ["FIGI"])
+    stored = diff.existing_for(existing, rows, ["TICKER", "FIGI"])
     return diff.diff_rows(rows, stored)
 
 
+def _identified(df: DataFrame, names: DataFrame) -> DataFrame:
+    """``df`` with the security each row is about: its FIGI, else the one known for its ticker, else the ticker."""
+    known = df.join(names, "TICKER", "left")
+    return known.withColumn("_security", F.coalesce("FIGI", "_known", "TICKER")).drop("_known")
+
+
 def ingest_prices(
     landed: DataFrame, existing: DataFrame, mapping: DataFrame, fresh: DataFrame | None = None
 ) -> DataFrame:
     """Next state of the price table.
 
-    Rows from each ticker's next start date are appended; names with a
+    Rows from each security's next start date are appended; names with a
     corporate action among them that were stored before get their whole history
-    from ``fresh``.
+    from ``fresh``.  Securities are told apart by FIGI, so a renamed ticker
+    goes on where the old one ended.
     """
+    pairs = mapping.select("TICKER", "FIGI").union(existing.select("TICKER", "FIGI")).where("FIGI IS NOT NULL")
+    names = pairs.groupBy("TICKER").agg(F.max("FIGI").alias("_known"))
     rows = joins.map_figi_coalesce(cleaning.date_only(cleaning.normalize_columns(landed), ["DATE"]), mapping)
-    starts = aggregates.start_dates(rows, existing)
-    due = filters.rows_from_start(rows, starts)
-    appended = existing.unionByName(align(due, existing.schema))
+    rows, stored = _identified(rows, names), _identified(existing, names)
+    starts = aggregates.start_dates(rows, stored, "_security")
+    due = filters.rows_from_start(rows, starts, "_security")
+    shaped = [*existing.columns, "_security"]
+    appended = stored.select(shaped).unionByName(align(due, stored.select(shaped).schema))
     if fresh is None:
-        return appended
-    actions = filters.adjusted_keys(due)
-    known = actions.join(existing.select("TICKER").distinct(), "TICKER", "left_semi")
-    return diff.reload_keys(appended, align(joins.map_figi_coalesce(fresh, mapping), existing.schema), known)
+        return appended.drop("_security")
+    actions = filters.adjusted_keys(due, "_security")
+    known = actions.join(stored.select("_security").distinct(), "_security", "left_semi")
+    pulled = _identified(joins.map_figi_coalesce(fresh, mapping), names)
+    return diff.reload_keys(appended, align(pulled, appended.schema), known, "_security").drop("_security")
 
 
 def ingest_holdings(
@@ -108,9 +120,12 @@ def ingest_holdings(
     master: DataFrame,
     exchanges: Sequence[str],
     load_date,
-    bounds: dict[str, tuple[int, int]] | None = None,
+    bounds: Mapping[str, tuple[int, int]] | None = filters.ROW_BOUNDS,
 ) -> DataFrame:
-    """Raw fund sheets (with INDEX) to member rows with FIGI; appended without a diff."""
+    """Raw fund sheets (with INDEX) to member rows with FIGI; appended without a diff.
+
+    An index whose number of rows is out of its bounds is left out; None checks nothing.
+    """
     rows = filters.clean_holdings(raw, exchanges).replace(cleaning.TICKER_RENAMES, subset=["TICKER"])
     numeric = [c for c in aggregates.ROLLUP_SUMS if c in rows.columns]
     rows = rows.withColumns({c: F.col(c).try_cast("double") for c in numeric})
@@ -137,6 +152,7 @@ def ingest_macro(
     Daily series keep one value per observation date; the others are replaced
     group by group when a newer vintage arrives.
     """
+    existing = existing.withColumn("TICKER", filters.normalized("TICKER"))
     routes = macro.split_by_frequency(metadata).select("TICKER", "ROUTE")
     rows = macro.normalise_revised(landed).join(routes, "TICKER", "left")
     daily = F.col("ROUTE") == "daily"
