@@ -163,38 +163,38 @@ def _posted(docs: DataFrame, levels) -> DataFrame:
 
 
 def _shared(posted: DataFrame) -> DataFrame:
-    """The posted shingles that two classes have, of classes that share as many as they need, with their counts."""
-    by_token = Window.partitionBy("token")
-    met = cut_lineage(
-        posted.select(
-            "*", F.min("c").over(by_token).alias("lo"), F.max("c").over(by_token).alias("hi"),
-            F.count(F.lit(1)).over(by_token).alias("cnt"),
-        )
-        .where("lo <> hi")
-        .drop("lo", "hi")
-    )
-    enough = met.groupBy("c").agg(F.count_distinct("token").alias("have"), F.first("need").alias("need")).where("have >= need")
-    return met.join(enough.select("c"), "c", "left_semi")
+    """The posted shingles that two classes have, with their counts, of classes that share as many as they need.
 
+    A class that several tasks post counts its shingles several times: that
+    may keep it, but never drops it.
+    """
+    by_token, by_class = Window.partitionBy("token"), Window.partitionBy("c")
+    met = posted.select(
+        "token", "c", "n", "need", F.min("c").over(by_token).alias("lo"), F.max("c").over(by_token).alias("hi"),
+        F.count(F.lit(1)).over(by_token).alias("cnt"),
+    ).where("lo <> hi")
+    return met.select("token", "c", "n", "need", "cnt", F.count(F.lit(1)).over(by_class).alias("have")).where("have >= need")
 
-def _groups(live: DataFrame) -> DataFrame:
-    """(c, n, need, g): similar classes together, in groups of bounded size."""
-    keyed = live.groupBy("c").agg(
-        F.first("n").alias("n"), F.first("need").alias("need"), F.max(F.struct("cnt", "token")).alias("key")
-    )
-    keyed = keyed.select("c", "n", "need", F.col("key.token").alias("key"))
-    parts = keyed.groupBy("key").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts")
-    )
-    return keyed.join(parts, "key").select(
-        "c", "n", "need", F.xxhash64("key", F.pmod(F.xxhash64("c"), F.col("parts"))).alias("g")
-    )
 
+def _grouped(live: DataFrame) -> DataFrame:
+    """``live`` with the group g of each class: by its most shared shingle, in parts of bounded size.
 
-def _candidates(live: DataFrame, nodes: DataFrame) -> DataFrame:
+    The count of that shingle bounds how many classes can have it as their key,
+    so the number of parts needs no second look.
+    """
+    by_class = Window.partitionBy("c")
+    keyed = live.withColumn("key", F.max(F.struct("cnt", "token")).over(by_class))
+    many = F.greatest(F.col("key.cnt") / GROUP, F.col("key.cnt") * F.col("n") / GROUP_SHINGLES, F.lit(1.0))
+    keyed = keyed.withColumn("parts", F.pow(F.lit(2.0), F.ceil(F.log2(many))).cast("long"))
+    part = F.pmod(F.xxhash64("c"), F.col("parts"))
+    return keyed.select("token", "c", "n", "need", F.xxhash64("key.token", "parts", part).alias("g"))
+
+
+def _candidates(live: DataFrame) -> DataFrame:
     """(g, visitor): the pairs of groups whose unions of posted shingles allow a link."""
-    needs = nodes.groupBy("g").agg(F.min("need").alias("need"))
-    matrix = live.join(nodes.select("c", "g"), "c").select("token", "g").distinct()
+    needs = live.groupBy("g").agg(F.min("need").alias("need"))
+    # dealt by shingle once: the union of a group and the meeting of groups both happen there
+    matrix = live.repartition("token").groupBy("token", "g").agg(F.lit(True).alias("_"))
     other = matrix.select("token", F.col("g").alias("visitor"))
     shared = matrix.join(other, "token").where("g < visitor").groupBy("g", "visitor").agg(F.count(F.lit(1)).alias("shared"))
     both = shared.join(needs, "g").join(needs.select(F.col("g").alias("visitor"), F.col("need").alias("other")), "visitor")
@@ -367,30 +367,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "links"])
 
-    for rows in batches:
-        for row in rows.to_pylist():
-            if row["g"] != group:
-                if home and opened is None:
-                    close()
-                counts()
-                group, home, opened, last = row["g"], [], None, None
-            if (row["home"], row["c"]) == last:
-                continue  # a repeated row
-            last = (row["home"], row["c"])
-            if row["home"]:
-                home.append(row)
-                continue
-            if opened is None:
-                if not home:
-                    continue
+    slices = (rows.slice(at, 256) for rows in batches for at in range(0, rows.num_rows, 256))
+    for row in (row for part in slices for row in part.to_pylist()):
+        if row["g"] != group:
+            if home and opened is None:
                 close()
-            hits = opened.linked(np.frombuffer(row["tokens"], dtype=U64))
-            if len(hits):
-                opened.links[hits] += row["m"]
-                out.append((row["c"], None, int(opened.m[hits].sum())))
-                # one link to each part of the group says all about what is connected
-                for j in {opened.root(int(j)): int(j) for j in hits}.values():
-                    out.append((row["c"], opened.c[j], 0))
+            counts()
+            group, home, opened, last = row["g"], [], None, None
+        if (row["home"], row["c"]) == last:
+            continue  # a repeated row
+        last = (row["home"], row["c"])
+        if row["home"]:
+            home.append(row)
+            continue
+        if opened is None:
+            if not home:
+                continue
+            close()
+        hits = opened.linked(np.frombuffer(row["tokens"], dtype=U64))
+        if len(hits):
+            opened.links[hits] += row["m"]
+            out.append((row["c"], None, int(opened.m[hits].sum())))
+            # one link to each part of the group says all about what is connected
+            for j in {opened.root(int(j)): int(j) for j in hits}.values():
+                out.append((row["c"], opened.c[j], 0))
         if len(out) > 10_000:
             yield batch()
     if home and opened is None:
@@ -430,9 +430,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     live = _posted(docs.where("doc_id IS NOT NULL"), levels)
     for _ in range(ROUNDS):
-        live = cut_lineage(_shared(live.select("token", "c", "n", "need")))
-    nodes = cut_lineage(_groups(live))
-    pairs = cut_lineage(_candidates(live, nodes))
+        live = _shared(live)
+    live = cut_lineage(_grouped(live))
+    nodes = live.groupBy("c").agg(*[F.first(x).alias(x) for x in ("n", "need", "g")])
+    pairs = cut_lineage(_candidates(live))
     placed, visits = _blocks(nodes, pairs)
     wanted = cut_lineage(
         classes.join(placed.withColumnRenamed("c", "c1"), "c1").select(
