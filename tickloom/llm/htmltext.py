@@ -11,9 +11,9 @@ say how important a node is:
   that all pages share scores 0, a text of one page scores 1.
 
 A leaf counts by its content; an inner branch by its own presentation and, with
-the larger weight the deeper it reaches, by its children.  A page loses every
-branch whose composite importance is below a threshold, as well as elements
-that are no reading matter by their kind (navigation, forms, scripts ...) or by
+the larger weight the more it holds, by its children.  A page loses every branch
+that is below a threshold with all its own branches, as well as elements that
+are no reading matter by their kind (navigation, forms, scripts ...) or by
 a class, id or role that says so.  An article or main element is a landmark: it
 is important by declaration, and if a page has one, its text is the page's.
 
@@ -233,24 +233,26 @@ class Importance:
     def __init__(self, known: dict[int, tuple[float | None, float | None]]):
         self.known = known
 
-    def of(self, node: Node, path: int) -> tuple[float, int]:
-        """(importance, weight of texts below) of a branch; unknown nodes are important."""
+    def of(self, node: Node, path: int) -> tuple[float, int, bool]:
+        """(importance, weight of texts below, whether all of it is noise) of a branch; unknown nodes are important."""
         layout, text = self.known.get(path, (None, None))
-        total, weight = 0.0, 0
+        total, weight, noise = 0.0, 0, True
         own = _own(node)
         if own:
             total, weight = 1.0 if text is None else text, 1
+            noise = total < LOW
         inner = False
         for c in node.children:
             if isinstance(c, Node) and c.tag not in DROPPED:
-                value, n = self.of(c, _digest(f"{path}>{_label(c)}"))
-                inner = inner or n > 0
-                total, weight = (total * weight + value * n) / max(1, weight + n), weight + n
-        if not inner or layout is None:
-            return total, weight
-        # more texts below leave less say to the layout alone
-        share = 1 - DECAY ** max(1, weight)
-        return (1 - share) * layout + share * total, weight
+                value, n, low = self.of(c, _digest(f"{path}>{_label(c)}"))
+                if n:
+                    inner, noise = True, noise and low
+                    total, weight = (total * weight + value * n) / (weight + n), weight + n
+        if inner and layout is not None:
+            # more texts below leave less say to the layout alone
+            share = 1 - DECAY**weight
+            total = (1 - share) * layout + share * total
+        return total, weight, noise and total < LOW
 
 
 _DEEP = 400  # branches below are kept or dropped with the branch at this depth
@@ -291,8 +293,8 @@ def main_text(source: str, known: dict[int, tuple[float | None, float | None]])
             elif not no_reading(c):
                 below = None if path is None else _digest(f"{path}>{_label(c)}")
                 if below is not None and (c.tag in BLOCKS or c.tag == "a"):
-                    value, n = importance.of(c, below)
-                    if n and value < LOW:
+                    _, n, noise = importance.of(c, below)
+                    if n and noise:
                         continue
                 block = c.tag in BLOCKS
                 if block:

@@ -138,8 +138,8 @@ def _word_chances(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> t
     text that there are at most about MOST_UNITS of them.
     """
     cells, word, first = _trigrams(data, offsets)
-    if not len(word):
-        return np.zeros((0, len(table)), dtype=np.float32), first
+    if not len(word) or not len(table):
+        return np.zeros((len(word), len(table)), dtype=np.float32), first
     step = 1 + len(word) // MOST_UNITS
     if step > 1:
         heads = [np.arange(a, b, step) for a, b in zip(first[:-1], first[1:])]

@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-A block (a line of a document) that speaks of a license is compressed alone
-and with each template as a raw Zstandard dictionary.  The template that makes
-it smallest explains it best, so the templates are ranked by the share of bytes
-they save.  Winners are confirmed by wording: the block's words are aligned
+A block that speaks of a license (a line of a document, or of a long line the
+words around what speaks of it) is compressed alone and with each template as a
+raw Zstandard dictionary.  The template that makes
+it smallest explains it best, so the templates are ranked by the bytes they
+save; a winner must save a good part of what it takes itself.  Winners are confirmed by wording: the block's words are aligned
 with the template's, and the words that were added, dropped or replaced are
 reported with it.
 """
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 
 from tickloom.llm.linededup import _texts
 
-SAVED = 0.25  # least share of bytes a template must save
+SAVED = 0.35  # least share of a template's own compressed size that it must save
 ALIKE = 0.8  # least share of the template's words, in order, that the block must hold
 RANKED = 3  # winners whose wording is compared
-MOST_WORDS = 400  # words around the best match of a long block that are aligned
+LONG_LINE = 800  # bytes from which on a line is read in blocks around its cues
+AROUND = 240  # bytes of a long line on either side of a cue
 # fixed values: wordings of license notices
 TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -44,6 +46,7 @@ TEMPLATES = {
 }
 # a block without any of these is no candidate
 CUES = (b"licens", b"licenc", b"copyright", b"rights", b"permission", b"redistribut", b"public domain", b"free software")
+_CUE = re.compile(b"|".join(map(re.escape, CUES)))
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -59,26 +62,22 @@ class Scanner:
         self.words = {name: _words(templates[name]) for name in self.names}
         options = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**options)
-        self.given = {}
+        self.given, self.size = {}, {}
         for name in self.names:
             body = templates[name].lower().encode()
             data = zstandard.ZstdCompressionDict(body.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given[name] = zstandard.ZstdCompressor(dict_data=data, **options)
+            self.size[name] = len(self.alone.compress(body))
 
-    def ranked(self, block: bytes) -> list[tuple[float, str]]:
-        """(share of bytes saved, template), best first; equal shares by name."""
+    def ranked(self, block: bytes) -> list[tuple[int, str]]:
+        """(bytes saved, template), best first; equal savings by name."""
         size = len(self.alone.compress(block))
-        saved = [(1 - len(self.given[name].compress(block)) / size, name) for name in self.names]
+        saved = [(size - len(self.given[name].compress(block)), name) for name in self.names]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
     def confirm(self, text: str, name: str) -> tuple[float, str]:
         """(share of the template's words found in order, the exact differences around the match)."""
         have, want = _words(text), self.words[name]
-        if len(have) > MOST_WORDS:
-            # the stretch around the longest run in common
-            at = SequenceMatcher(None, have, want, autojunk=False).find_longest_match()
-            begin = max(0, at.a - at.b - 20)
-            have = have[begin: begin + len(want) + 40]
         codes = SequenceMatcher(None, have, want, autojunk=False).get_opcodes()
         same = sum(b - a for tag, a, b, _, _ in codes if tag == "equal")
         out = []
@@ -92,18 +91,41 @@ class Scanner:
         """(license, share saved, wording, differences) of a block, or none."""
         best = None
         for saved, name in self.ranked(b" ".join(text.lower().split()))[:RANKED]:
+            saved /= self.size[name]
             if saved < SAVED:
-                break
-            alike, differences = self.confirm(text.decode(), name)
+                continue
+            alike, differences = self.confirm(text.decode("utf-8", "ignore"), name)
             if alike >= ALIKE and (best is None or (alike, saved) > (best[2], best[1])):
                 best = (name, saved, alike, differences)
         return best
 
 
+def blocks(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(line, first byte, block) of the candidate blocks of a text."""
+    start = 0
+    for k, line in enumerate(text.split(b"\n")):
+        low = line.lower()
+        if len(line) <= LONG_LINE:
+            if any(cue in low for cue in CUES):
+                yield k, start, line
+        else:
+            upto = 0
+            for m in _CUE.finditer(low):
+                if m.end() <= upto:
+                    continue  # inside the block before
+                at = max(upto, m.start() - AROUND)
+                at = 0 if at == 0 else (line.find(b" ", at, m.start()) + 1 or m.start())
+                end = line.find(b" ", m.end() + AROUND)
+                upto = len(line) if end < 0 or end > m.end() + 2 * AROUND else end
+                upto = min(upto, m.end() + 2 * AROUND)
+                yield k, start + at, line[at:upto]
+        start += len(line) + 1
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, line, start, license, saved, wording, differences), one row for each block with a license.
 
-    ``line`` counts from 0, ``start`` is the line's first code point in the
+    ``line`` counts from 0, ``start`` is the block's first code point in the
     text.  Null and empty texts have no blocks; rows are scanned each for
     itself, repeated ones too, and a null doc_id stays null.  Of equal ranks the
     first template by name wins.  An empty table gives no rows; other columns
@@ -121,18 +143,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 low = text.lower()
                 if not any(cue in low for cue in CUES):
                     continue
-                start = 0
-                for k, line in enumerate(text.split(b"\n")):
-                    low = line.lower()
-                    if any(cue in low for cue in CUES):
-                        if line not in known:
-                            if len(known) > 10_000:  # notices repeat; the memory for them is bounded
-                                known.clear()
-                            known[line] = scanner.block(line)
-                        if known[line]:
-                            owner.append(i)
-                            found.append((k, start, *known[line]))
-                    start += len(line.decode()) + 1
+                for k, at, block in blocks(text):
+                    if block not in known:
+                        if len(known) > 10_000:  # notices repeat; the memory for them is bounded
+                            known.clear()
+                        known[block] = scanner.block(block)
+                    if known[block]:
+                        owner.append(i)
+                        found.append((k, len(text[:at].decode("utf-8", "ignore")), *known[block]))
             if found:
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
