@@ -124,7 +124,7 @@ def ingest_holdings(
 ) -> DataFrame:
     """Raw fund sheets (with INDEX) to member rows with FIGI; appended without a diff.
 
-    An index whose number of rows is out of its bounds is left out; None checks nothing.
+    An index whose number of rows is out of its bounds fails the job; None checks nothing.
     """
     rows = filters.clean_holdings(raw, exchanges).replace(cleaning.TICKER_RENAMES, subset=["TICKER"])
     numeric = [c for c in aggregates.ROLLUP_SUMS if c in rows.columns]

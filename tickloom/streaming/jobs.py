@@ -14,6 +14,10 @@ from tickloom.operators.diff import diff_rows, existing_for
 from tickloom.session import checkpoint_root
 
 
+BUCKETS = 16
+_TIES = 10**13  # ties are below this; with microseconds they fill 32 of a decimal's 38 digits
+
+
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet folder or file as a stream, with the schema of its files."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -36,19 +40,23 @@ def stream_diff_append(
 
     Each batch writes its own ``_batch`` partition and replaces it when it is
     run again, so a batch repeated after a failure leaves the table unchanged;
-    the comparison ignores what an earlier attempt of the same batch wrote and,
-    given ``keys``, looks only at the stored rows of the batch's keys.
+    the comparison ignores what an earlier attempt of the same batch wrote.
+    Given ``keys``, the table is partitioned by a bucket of them, and a batch
+    reads only the buckets it has rows for, and of them its keys' rows.
     """
-
-    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
+    fields = [StructField("_bucket", LongType()), StructField("_batch", LongType())]
+    schema = StructType([*stream.schema.fields, *fields])
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) if keys else F.lit(0).cast("long")
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        placed = batch.withColumn("_bucket", bucket)
+        buckets = [r[0] for r in placed.select("_bucket").distinct().collect()]  # at most BUCKETS
         table = batch.sparkSession.read.schema(schema).parquet(table_path)
-        stored = table.where(F.col("_batch") != batch_id).drop("_batch")
+        stored = table.where(F.col("_bucket").isin(buckets) & (F.col("_batch") != batch_id)).drop("_bucket", "_batch")
         if keys:
             stored = existing_for(stored, batch, keys)
-        fresh = diff_rows(batch, stored, exclude=exclude)
-        fresh.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy("_batch").option(
+        fresh = diff_rows(batch, stored, exclude=exclude).withColumn("_bucket", bucket)
+        fresh.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy("_bucket", "_batch").option(
             "partitionOverwriteMode", "dynamic"
         ).parquet(table_path)
 
@@ -62,15 +70,33 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], event_time: str, latene
     return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_latest(stream: DataFrame, keys: Sequence[str], event_time: str, columns: Sequence[str]) -> DataFrame:
-    """The latest row per key, maintained as an update stream: state is one row per key."""
-    newest = F.max_by(F.struct(*columns), F.col(event_time)).alias("_row")
-    return stream.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+def stream_latest(stream: DataFrame, keys: Sequence[str], event_time: str, tie: str) -> DataFrame:
+    """(keys, event_time, tie) of the latest row per key, maintained as an update stream.
+
+    Among equal times the larger ``tie``, a number that is not negative, is
+    later.  Time and tie are packed into one number, so the state is one fixed
+    width value per key and the aggregate hashes.
+    """
+    packed = F.unix_micros(event_time).cast("decimal(38,0)") * F.lit(_TIES).cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")
+    newest = stream.groupBy(*keys).agg(F.max(packed.cast("decimal(38,0)")).alias("_at"))
+    micros = F.floor(F.col("_at") / F.lit(_TIES).cast("decimal(20,0)")).cast("long")
+    return newest.select(
+        *keys,
+        F.timestamp_micros(micros).alias(event_time),
+        (F.col("_at") - micros.cast("decimal(38,0)") * F.lit(_TIES).cast("decimal(20,0)")).cast("long").alias(tie),
+    )
 
 
 # ------------------------------------------------------------------ replays over the given events
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_table(spark, f"{sf_dir}/events.parquet")
+    """The events as a stream of several micro-batches: landed by thirds of the month, one file a batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = _folder(spark, "landed")
+    # a file's age decides its batch, so the thirds are written one after another
+    for third in range(3):
+        part = events.where(F.floor((F.dayofmonth("ts") - 1) / 11) == third)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return stream_table(spark, folder, files_per_batch=1)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -88,7 +114,7 @@ def replay_diff_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     run = stream_diff_append(rows, table, state, keys=["TICKER"]).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(table).drop("_batch")
+    return spark.read.parquet(table).drop("_bucket", "_batch")
 
 
 def replay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +135,9 @@ def replay_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events through the latest-row job; the last state of each key."""
     table, state = _folder(spark, "latest"), _folder(spark, "latest-state")
     rows = _events(spark, sf_dir).select(
-        F.concat(F.lit("U"), F.col("user_id")).alias("TICKER"), F.col("event_id").alias("SEQ"), "ts"
+        F.concat(F.lit("U"), F.col("user_id")).alias("TICKER"), F.col("event_id").alias("SEQ"), F.col("ts").cast("timestamp").alias("ts")
     )
-    newest = stream_latest(rows, ["TICKER"], "ts", ["SEQ", "ts"])
+    newest = stream_latest(rows, ["TICKER"], "ts", "SEQ")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stamped = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
@@ -120,4 +146,9 @@ def replay_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state)
     run.trigger(availableNow=True).start().awaitTermination()
     updates = spark.read.parquet(table)
-    return updates.groupBy("TICKER").agg(F.max_by(F.struct("SEQ", "ts"), "_batch").alias("_r")).select("TICKER", "_r.*")
+    last = updates.groupBy("TICKER").agg(F.max("_batch").alias("_batch"))
+    return updates.join(last, ["TICKER", "_batch"], "left_semi").select("TICKER", "SEQ", F.col("ts").cast(_time_type(spark, sf_dir)).alias("ts"))
+
+
+def _time_type(spark: SparkSession, sf_dir: str):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").schema["ts"].dataType

@@ -521,7 +521,7 @@ query(
 # ------------------------------------------------------------------ streams, run to completion on the given rows
 query(
     "stream_diff_append",
-    """SELECT min("DATE") AS "DATE", TICKER, KIND, VALUE FROM (SELECT *, SEQ % 10 AS b FROM snap) WHERE TRUE GROUP BY TICKER, KIND, VALUE""",
+    """SELECT min("DATE") AS "DATE", TICKER, KIND, VALUE FROM snap GROUP BY TICKER, KIND, VALUE""",
     ("snap",),
 )(lambda spark, sf: streams.replay_diff_append(spark, sf))
 query(
@@ -531,7 +531,6 @@ query(
 )(lambda spark, sf: streams.replay_dedup(spark, sf))
 query(
     "stream_latest",
-    f"""SELECT 'U' || user_id AS TICKER, arg_max(event_id, (ts, event_id)) AS SEQ, max(ts) AS ts FROM events GROUP BY 1""".replace(
-        "arg_max(event_id, (ts, event_id))", "arg_max(event_id, ts)"
-    ),
+    """SELECT 'U' || user_id AS TICKER, event_id AS SEQ, ts FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
 )(lambda spark, sf: streams.replay_latest(spark, sf))
