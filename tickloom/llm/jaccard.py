@@ -49,8 +49,8 @@ PERCENT = 80
 SKETCH_BITS = 20
 POSTED = 0.3  # share of the order's range that every set posts
 ROUNDS = 2  # of dropping
-GROUP = 4096  # classes of a block, about
-GROUP_SHINGLES = 1 << 21  # shingles of a block, about
+GROUP = 8192  # classes of a block, about
+GROUP_SHINGLES = 1 << 22  # shingles of a block, about
 FILTER_BITS = 25  # of the bit map that says which documents are read a last time
 
 
@@ -180,14 +180,17 @@ def _grouped(live: DataFrame) -> DataFrame:
     """``live`` with the group g of each class: by its most shared shingle, in parts of bounded size.
 
     The count of that shingle bounds how many classes can have it as their key,
-    so the number of parts needs no second look.
+    so the number of parts needs no second look.  ``low`` is the least of the
+    shingles that are shared about as much; it is mostly the same in all groups
+    of one family, which lie side by side by it.
     """
     by_class = Window.partitionBy("c")
     keyed = live.withColumn("key", F.max(F.struct("cnt", "token")).over(by_class))
+    keyed = keyed.withColumn("low", F.min(F.when(F.col("cnt") * 2 >= F.col("key.cnt"), F.col("token"))).over(by_class))
     many = F.greatest(F.col("key.cnt") / GROUP, F.col("key.cnt") * F.col("n") / GROUP_SHINGLES, F.lit(1.0))
     keyed = keyed.withColumn("parts", F.pow(F.lit(2.0), F.ceil(F.log2(many))).cast("long"))
     part = F.pmod(F.xxhash64("c"), F.col("parts"))
-    return keyed.select("token", "c", "n", "need", F.xxhash64("key.token", "parts", part).alias("g"))
+    return keyed.select("token", "c", "n", "need", "low", F.xxhash64("key.token", "parts", part).alias("g"))
 
 
 def _candidates(live: DataFrame) -> DataFrame:
@@ -208,9 +211,9 @@ def _blocks(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     meet once.
     """
     roots = components(pairs.select(F.col("g").alias("a"), F.col("visitor").alias("b")))
-    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("low").alias("low"))
     rooted = sizes.join(roots.select(F.col("node").alias("g"), "root"), "g", "left").withColumn("root", F.coalesce("root", "g"))
-    before = Window.partitionBy("root").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("root").orderBy("low", "g").rowsBetween(Window.unboundedPreceding, -1)
     number = F.greatest(
         F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / GROUP),
         F.floor(F.coalesce(F.sum("shingles").over(before), F.lit(0)) / GROUP_SHINGLES),
@@ -432,7 +435,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         live = _shared(live)
     live = cut_lineage(_grouped(live))
-    nodes = live.groupBy("c").agg(*[F.first(x).alias(x) for x in ("n", "need", "g")])
+    nodes = live.groupBy("c").agg(*[F.first(x).alias(x) for x in ("n", "need", "low", "g")])
     pairs = cut_lineage(_candidates(live))
     placed, visits = _blocks(nodes, pairs)
     wanted = cut_lineage(
