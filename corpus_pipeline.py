@@ -11,16 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, jaccard, linededup, toxicity
+from tickloom.llm import bpe, decontaminate, idmap, jaccard, linededup, toxicity
 from tickloom.llm.queries import load, tokenizer
 from tickloom.session import cut_lineage
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows of some ids; the ids are written first, so the planner knows whether they are few."""
-    return docs.join(cut_lineage(ids.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
-
-
 def _fresh(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have."""
     while name in docs.columns:
@@ -39,7 +34,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """The document with the least doc_id of each group of linked documents, and rows of one doc_id once."""
     groups = jaccard.jaccard_components(docs)
     rest = groups.where("doc_id <> component_id").select("doc_id")
-    return _without(docs, rest)
+    return idmap.without(docs, rest)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    return _without(docs, decontaminate.contaminated_ids(docs, load(spark, sf_dir, "benchmark")))
+    return idmap.without(docs, decontaminate.contaminated_ids(docs, load(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm import arrays
+from tickloom.llm import arrays, idmap
 from tickloom.llm.components import components
 from tickloom.llm.wordhash import U64, hash_words, shingles, text_slices
 from tickloom.session import cut_lineage
@@ -51,7 +51,6 @@ POSTED = 0.3  # share of the order's range that every set posts
 ROUNDS = 2  # of dropping
 GROUP = 8192  # classes of a block, about
 GROUP_SHINGLES = 1 << 22  # shingles of a block, about
-FILTER_BITS = 25  # of the bit map that says which documents are read a last time
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -227,21 +226,6 @@ def _blocks(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.join(laid, "g").select("c", "g", "block"), visits.distinct()
 
 
-def _marked(ids: DataFrame) -> np.ndarray:
-    """A bit map of the hashes in column ``h``, of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(U64) >> U64(64 - FILTER_BITS)
-            np.bitwise_or.at(bits, (h >> U64(3)).astype(np.int64), np.uint8(1) << (h & U64(7)).astype(np.uint8))
-        yield from arrays.pack({"bits": bits})
-
-    size = 1 << (FILTER_BITS - 3)
-    merged = arrays.merged(ids.select("h").mapInArrow(run, arrays.SCHEMA), lambda name: "or")
-    return arrays.collected(merged, lambda name: size).get("bits", np.zeros(size, dtype=np.uint8))
-
-
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(g, block, c, n, m, tokens) of the wanted (doc_id, c, m, g, block), shingled again from their texts.
 
@@ -249,14 +233,13 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     moved; the join with the wanted classes decides.
     """
     id_hash = F.xxhash64("doc_id").alias("h")
-    sent = docs.sparkSession.sparkContext.broadcast(_marked(wanted.select(id_hash)))
+    sent = docs.sparkSession.sparkContext.broadcast(idmap.marked(wanted.select(id_hash)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(U64) >> U64(64 - FILTER_BITS)
-            there = (bits[(h >> U64(3)).astype(np.int64)] >> (h & U64(7)).astype(np.uint8)) & 1
-            for _, data, offsets in text_slices([batch.filter(pa.array(there.astype(bool)))], "text"):
+            there = idmap.holds(bits, batch.column(0).to_numpy(zero_copy_only=False))
+            for _, data, offsets in text_slices([batch.filter(pa.array(there))], "text"):
                 sets = [x for x in _sets(data, offsets) if len(x)]
                 if sets:
                     yield pa.RecordBatch.from_arrays(
