@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.support import with_scalars
+from tickloom.operators.support import finite, with_scalars
 from tickloom.session import cut_lineage
 
 
@@ -81,18 +81,13 @@ def as_of(calendar: DataFrame, days: DataFrame) -> DataFrame:
     return reached.join(known, "_day").drop("_day")
 
 
-def window_bridge(
-    calendar: DataFrame,
-    dates: DataFrame,
-    lookback: Offset,
-    lag: Offset = Offset(),
-    lookforward: Offset | None = None,
+def window_edges(
+    calendar: DataFrame, dates: DataFrame, lookback: Offset, lag: Offset = Offset(), lookforward: Offset | None = None
 ) -> DataFrame:
-    """(now, date, wpos, wlen): the trading dates of the window of every ``now``.
+    """(now, a, b): first and last calendar position of the window of every ``now``.
 
     The window runs from now - lookback to now - lag (+ lookforward), inclusive;
-    the lag does not move its start.  The bridge is built from the calendar
-    alone, so the price history later needs one equi-join on ``date``.
+    the lag does not move its start.
     """
     end = lag.before(F.col("now"))
     if lookforward is not None:
@@ -101,14 +96,28 @@ def window_bridge(
     edges = frame.select("now", lookback.before(F.col("now")).alias("_from"), end.alias("_to"))
     edges = with_scalars(edges, bounds(calendar))
     edges = edges.withColumn("_from", F.greatest("_from", "first_date")).withColumn("_to", F.least("_to", "last_date"))
-    after = day_map(calendar, "next").select(F.col("day").alias("_from"), F.col("pos").alias("_a"))
-    before = day_map(calendar, "previous").select(F.col("day").alias("_to"), F.col("pos").alias("_b"))
-    placed = edges.join(after, "_from").join(before, "_to").where(F.col("_a") <= F.col("_b"))
+    after = day_map(calendar, "next").select(F.col("day").alias("_from"), F.col("pos").alias("a"))
+    before = day_map(calendar, "previous").select(F.col("day").alias("_to"), F.col("pos").alias("b"))
+    return edges.join(after, "_from").join(before, "_to").where(F.col("a") <= F.col("b")).select("now", "a", "b")
+
+
+def window_bridge(
+    calendar: DataFrame,
+    dates: DataFrame,
+    lookback: Offset,
+    lag: Offset = Offset(),
+    lookforward: Offset | None = None,
+) -> DataFrame:
+    """(now, date, wpos, wlen): the trading dates of the window of every ``now``.
+
+    The bridge is built from the calendar alone, so the price history later
+    needs one equi-join on ``date``.  It is for what needs the rows of a window
+    themselves; sums and ends of windows come from ``window_sums`` and
+    ``window_ends`` without copying a row.
+    """
+    placed = window_edges(calendar, dates, lookback, lag, lookforward)
     rows = placed.select(
-        "now",
-        F.explode(F.sequence("_a", "_b")).alias("pos"),
-        F.col("_a").alias("_start"),
-        (F.col("_b") - F.col("_a") + 1).alias("wlen"),
+        "now", F.explode(F.sequence("a", "b")).alias("pos"), F.col("a").alias("_start"), (F.col("b") - F.col("a") + 1).alias("wlen")
     )
     bridge = rows.join(calendar.select("pos", "date"), "pos").select(
         "now", "date", (F.col("pos") - F.col("_start")).cast("int").alias("wpos"), F.col("wlen").cast("int").alias("wlen")
@@ -116,6 +125,52 @@ def window_bridge(
     return cut_lineage(bridge)
 
 
+def on_calendar(panel: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(asset, pos, last, value) of the panel's finite values."""
+    rows = panel.withColumn("value", finite(F.col("value"))).where(F.col("value").isNotNull())
+    return rows.join(calendar.select("date", "pos", "last"), "date").select("asset", "pos", "last", "value")
+
+
+def _wanted(edges: DataFrame, pool: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """The windows asked for and the columns they are looked up by."""
+    if pool is None:
+        return edges, []
+    return pool.select(F.col("date").alias("now"), "asset").distinct().join(edges, "now"), ["asset"]
+
+
+def window_sums(rows: DataFrame, edges: DataFrame, pool: DataFrame | None = None, **terms: Column) -> DataFrame:
+    """(now, asset, a, b, terms): sums of the terms over every window, for all assets or a pool's (date, asset).
+
+    Running sums per asset stand until its next row; a window is the difference
+    of two of them, so a row is never copied into the windows it belongs to.
+    """
+    line = Window.partitionBy("asset").orderBy("pos")
+    until = F.coalesce(F.lead("pos").over(line) - 1, F.col("last"))
+    sums = [F.sum(t).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, t in terms.items()]
+    running = rows.select("asset", "pos", until.alias("_until"), *sums)
+    standing = running.select("asset", F.explode(F.sequence("pos", "_until")).alias("pos"), *terms)
+    wanted, by = _wanted(edges, pool)
+    upper = wanted.withColumn("pos", F.col("b")).join(standing, [*by, "pos"]).select("now", "asset", "a", "b", *terms)
+    below = wanted.where("a > 0").withColumn("pos", F.col("a") - 1).join(standing, [*by, "pos"])
+    lower = below.select("now", "asset", *[F.col(n).alias(f"_{n}") for n in terms])
+    both = upper.join(lower, ["now", "asset"], "left")
+    return both.select("now", "asset", "a", "b", *[(F.col(n) - F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in terms])
+
+
+def window_ends(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(now, asset, first, last): the first and the last value of every window, of assets that have one in it."""
+    line = Window.partitionBy("asset").orderBy("pos")
+    ahead = rows.select(
+        "asset", "value", F.col("pos").alias("at"), F.coalesce(F.lag("pos").over(line) + 1, F.lit(0)).alias("_from"),
+        F.coalesce(F.lead("pos").over(line) - 1, F.col("last")).alias("_until"),
+    )
+    coming = ahead.select("asset", F.col("value").alias("first"), "at", F.explode(F.sequence("_from", "at")).alias("pos"))
+    gone = ahead.select("asset", F.col("value").alias("last"), F.explode(F.sequence("at", "_until")).alias("pos"))
+    opening = edges.withColumn("pos", F.col("a")).join(coming, "pos").where(F.col("at") <= F.col("b")).select("now", "asset", "first")
+    closing = edges.withColumn("pos", F.col("b")).join(gone, "pos").select("now", "asset", "last")
+    return opening.join(closing, ["now", "asset"])
+
+
 def window_range_join(panel: DataFrame, bridge: DataFrame) -> DataFrame:
     """History of every window: the panel rows joined to the windows their date belongs to."""
     return panel.join(bridge, "date")

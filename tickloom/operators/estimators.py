@@ -19,6 +19,17 @@ def benchmark_relative(changes: DataFrame, benchmark: DataFrame) -> DataFrame:
     return joined.withColumn("value", F.col("value") - F.col("benchmark")).drop("benchmark")
 
 
+def change_panel(panel: DataFrame, calendar: DataFrame, log: bool = False, benchmark: DataFrame | None = None) -> DataFrame:
+    """(date, asset, value): returns over the whole panel, less the benchmark's, as logarithms on request."""
+    changes = returns(panel, calendar).select("date", "asset", "value")
+    if benchmark is not None:
+        changes = benchmark_relative(changes, benchmark)
+    if log:
+        above = F.when(F.col("value") > -1, F.col("value"))
+        changes = changes.withColumn("value", finite(F.log1p(above)))
+    return changes
+
+
 def window_returns(
     panel: DataFrame,
     calendar: DataFrame,
@@ -32,11 +43,7 @@ def window_returns(
     no return inside it and is dropped; ``rpos`` counts the remaining calendar
     rows from 0 to ``rlen`` - 1, rows without a return included.
     """
-    changes = returns(panel, calendar).select("date", "asset", "value")
-    if benchmark is not None:
-        changes = benchmark_relative(changes, benchmark)
-    if log:
-        changes = changes.withColumn("value", finite(F.when(F.col("value") > -1, F.log1p(F.when(F.col("value") > -1, F.col("value"))))))
+    changes = change_panel(panel, calendar, log, benchmark)
     rows = window_range_join(changes.where(F.col("value").isNotNull()), bridge).where(F.col("wpos") > 0)
     return rows.select(
         "now", "asset", (F.col("wpos") - 1).alias("rpos"), (F.col("wlen") - 1).alias("rlen"), "value"

@@ -11,8 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.calendar import Offset
-from tickloom.operators.estimators import QUARTER, TEN_YEARS, history, of_pool, renumber
+from tickloom.operators.calendar import Offset, on_calendar, window_edges, window_sums
+from tickloom.operators.estimators import QUARTER, TEN_YEARS, change_panel, history, of_pool, renumber
 
 # fixed values: half-lives averaged by the blended estimate
 BLEND_HALFLIVES = [10, 21, 63, 125, 250]
@@ -26,16 +26,25 @@ def decay_of(alpha: float | None = None, halflife: float | None = None) -> float
 
 
 def _estimate(rows: DataFrame, pool: DataFrame, value: Column) -> DataFrame:
-    out = rows.groupBy("now", "asset").agg(value.alias("expected_return"))
-    return of_pool(out, pool).select(F.col("now").alias("date"), "asset", "expected_return")
+    # the pool first: windows of other names are not aggregated
+    out = of_pool(rows, pool).groupBy("now", "asset").agg(value.alias("expected_return"))
+    return out.select(F.col("now").alias("date"), "asset", "expected_return")
+
+
+def _mean_return(panel, calendar, pool, lookback, lag, lookforward=None, log=False, benchmark=None) -> DataFrame:
+    """Mean of the returns inside every window, by running sums; the window's first date has none."""
+    edges = window_edges(calendar, pool, lookback, lag, lookforward).withColumn("a", F.col("a") + 1)
+    rows = on_calendar(change_panel(panel, calendar, log, benchmark), calendar)
+    sums = window_sums(rows, edges, pool, n=F.lit(1), total=F.col("value")).where("n > 0")
+    return sums.select(F.col("now").alias("date"), "asset", (F.col("total") / F.col("n")).alias("expected_return"))
 
 
 def er_mean(panel, calendar, pool, lookback: Offset = QUARTER, lag: Offset = Offset(), **window) -> DataFrame:
-    return _estimate(history(panel, calendar, pool, lookback, lag, **window), pool, F.avg("value"))
+    return _mean_return(panel, calendar, pool, lookback, lag, **window)
 
 
 def er_log_mean(panel, calendar, pool, lookback: Offset = QUARTER, lag: Offset = Offset(), **window) -> DataFrame:
-    return _estimate(history(panel, calendar, pool, lookback, lag, log=True, **window), pool, F.avg("value"))
+    return _mean_return(panel, calendar, pool, lookback, lag, log=True, **window)
 
 
 def er_median(panel, calendar, pool, lookback: Offset = QUARTER, lag: Offset = Offset(), **window) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.calendar import Offset, as_of, window_bridge, window_range_join
+from tickloom.operators.calendar import Offset, as_of, on_calendar, window_bridge, window_edges, window_ends, window_range_join
 from tickloom.operators.estimators import QUARTER
 from tickloom.operators.support import exact_quantiles, finite, with_group_totals
 
@@ -30,10 +30,8 @@ def total_return(
     standardized: bool = False,
 ) -> DataFrame:
     """Last over first price of the window, less one; a first price of zero gives null."""
-    ends = _window(panel, calendar, dates, lookback, lag).groupBy("now", "asset").agg(
-        F.min_by("value", "wpos").alias("_first"), F.max_by("value", "wpos").alias("_last")
-    )
-    out = _named(ends.withColumn("factor", F.try_divide("_last", "_first") - 1))
+    ends = window_ends(on_calendar(panel, calendar), window_edges(calendar, dates, lookback, lag))
+    out = _named(ends.withColumn("factor", F.try_divide("last", "first") - 1))
     return standardize(out) if standardized else out
 
 
@@ -48,6 +46,7 @@ def simple_moving_average(
     """Mean or median price of the window."""
     if measure not in ("mean", "median"):
         raise ValueError("measure must be mean or median")
+    # summed row by row: a difference of running sums would tell equal prices apart by its rounding
     average = F.avg("value") if measure == "mean" else F.percentile("value", 0.5)
     rows = _window(panel, calendar, dates, lookback, lag)
     return _named(rows.groupBy("now", "asset").agg(average.alias("factor")))

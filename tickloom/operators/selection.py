@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.calendar import Offset, window_bridge, window_range_join
+from tickloom.operators.calendar import Offset, on_calendar, window_edges, window_sums
 from tickloom.operators.estimators import QUARTER
 from tickloom.operators.filters import tradable
 from tickloom.operators.support import (
@@ -38,13 +38,8 @@ def _tradable_pool(pool: DataFrame, panel: DataFrame, include_negative: bool = F
 
 def select_has_data(panel: DataFrame, calendar: DataFrame, pool: DataFrame, lookback: Offset = QUARTER) -> DataFrame:
     """Names with a price on every date of the window and a positive one now."""
-    rows = window_range_join(panel.where(F.col("value").isNotNull()), window_bridge(calendar, pool, lookback))
-    complete = (
-        rows.groupBy("now", "asset")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("wlen").alias("_w"))
-        .where(F.col("_n") == F.col("_w"))
-        .select(F.col("now").alias("date"), "asset")
-    )
+    counts = window_sums(on_calendar(panel, calendar), window_edges(calendar, pool, lookback), pool, n=F.lit(1))
+    complete = counts.where(F.col("n") == F.col("b") - F.col("a") + 1).select(F.col("now").alias("date"), "asset")
     return _tradable_pool(pool.join(complete, ["date", "asset"], "left_semi"), panel)
 
 
