@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import arrays
@@ -43,6 +43,17 @@ def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at] >> bit & 1).astype(bool)
 
 
+def may_be_in(docs: DataFrame, ids: DataFrame) -> Column:
+    """Whether a row's doc_id may be among ``ids`` (doc_id); only the ids' hashes are looked at."""
+    sent = docs.sparkSession.sparkContext.broadcast(marked(ids.select(F.xxhash64("doc_id"))))
+
+    @F.pandas_udf("boolean")
+    def look(h: pd.Series) -> pd.Series:
+        return pd.Series(holds(sent.value, h.to_numpy()))
+
+    return look(F.xxhash64("doc_id"))
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id is in ``ids`` (doc_id).
 
@@ -51,11 +62,5 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     doc_id stays.
     """
     known = cut_lineage(ids.select("doc_id"))
-    sent = docs.sparkSession.sparkContext.broadcast(marked(known.select(F.xxhash64("doc_id"))))
-
-    @F.pandas_udf("boolean")
-    def may_be_in(h: pd.Series) -> pd.Series:
-        return pd.Series(holds(sent.value, h.to_numpy()))
-
-    flag = may_be_in(F.xxhash64("doc_id"))
+    flag = may_be_in(docs, known)
     return docs.where(~flag).union(docs.where(flag).join(known, "doc_id", "left_anti").select(docs.columns))

@@ -50,7 +50,7 @@ SKETCH_BITS = 20
 POSTED = 0.3  # share of the order's range that every set posts
 ROUNDS = 2  # of dropping
 GROUP = 8192  # classes of a block, about
-GROUP_SHINGLES = 1 << 22  # shingles of a block, about
+GROUP_SHINGLES = 1 << 21  # shingles of a block, about
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -226,33 +226,14 @@ def _blocks(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.join(laid, "g").select("c", "g", "block"), visits.distinct()
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(g, block, c, n, m, tokens) of the wanted (doc_id, c, m, g, block), shingled again from their texts.
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, block, c, m, text) of the wanted (doc_id, c, m, g, block).
 
-    A bit map of fixed size keeps other documents from being shingled and
-    moved; the join with the wanted classes decides.
+    A bit map of fixed size keeps the texts of other documents from being
+    moved; the join decides.  Texts travel, not their shingles: compressed they
+    are less than half as large.
     """
-    id_hash = F.xxhash64("doc_id").alias("h")
-    sent = docs.sparkSession.sparkContext.broadcast(idmap.marked(wanted.select(id_hash)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in batches:
-            there = idmap.holds(bits, batch.column(0).to_numpy(zero_copy_only=False))
-            for _, data, offsets in text_slices([batch.filter(pa.array(there))], "text"):
-                sets = [x for x in _sets(data, offsets) if len(x)]
-                if sets:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([_digest(x)[0] for x in sets], pa.int64()),
-                            pa.array([len(x) for x in sets], pa.int64()),
-                            pa.array([x.tobytes() for x in sets], pa.binary()),
-                        ],
-                        ["c", "n", "tokens"],
-                    )
-
-    found = docs.select(id_hash, "text").mapInArrow(run, "c long, n long, tokens binary")
-    return found.join(wanted.select("c", "m", "g", "block"), "c").select("g", "block", "c", "n", "m", "tokens")
+    return docs.where(idmap.may_be_in(docs, wanted)).join(wanted, "doc_id").select("g", "block", "c", "m", "text")
 
 
 class _Lists:
@@ -274,12 +255,12 @@ class _OpenGroup:
     that lack it, so copies of one text cost no more than their differences.
     """
 
-    def __init__(self, members: list[dict]):
+    def __init__(self, members: list[tuple[dict, np.ndarray]]):
         size = len(members)
-        self.c = [r["c"] for r in members]
-        self.n = np.array([r["n"] for r in members], dtype=np.int64)
-        self.m = np.array([r["m"] for r in members], dtype=np.int64)
-        self.sets = [np.frombuffer(r["tokens"], dtype=U64) for r in members]
+        self.c = [r["c"] for r, _ in members]
+        self.m = np.array([r["m"] for r, _ in members], dtype=np.int64)
+        self.sets = [found for _, found in members]
+        self.n = np.array([len(found) for found in self.sets], dtype=np.int64)
         tokens = np.concatenate(self.sets)
         order = np.argsort(tokens, kind="stable")
         owner = np.repeat(np.arange(size), self.n)[order]
@@ -326,8 +307,8 @@ class _OpenGroup:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links and link counts of (home, g, c, n, m, tokens), each block's own members first, equal classes together."""
-    home: list[dict] = []
+    """Links and link counts of (home, g, c, m, text), each block's own members first, equal classes together."""
+    home: list[tuple[dict, np.ndarray]] = []
     group, opened, last = None, None, None
     out: list[tuple] = []
 
@@ -353,8 +334,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "links"])
 
-    slices = (rows.slice(at, 256) for rows in batches for at in range(0, rows.num_rows, 256))
-    for row in (row for part in slices for row in part.to_pylist()):
+    slices = ((rows.select(["home", "g", "c", "m"]).to_pylist(), _sets(data, offsets)) for rows, data, offsets in text_slices(batches, "text"))
+    for row, found in (pair for rows, sets in slices for pair in zip(rows, sets)):
+        if not len(found) or _digest(found)[0] != row["c"]:
+            continue  # another row that carries the same id
         if row["g"] != group:
             if home and opened is None:
                 close()
@@ -364,13 +347,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue  # a repeated row
         last = (row["home"], row["c"])
         if row["home"]:
-            home.append(row)
+            home.append((row, found))
             continue
         if opened is None:
             if not home:
                 continue
             close()
-        hits = opened.linked(np.frombuffer(row["tokens"], dtype=U64))
+        hits = opened.linked(found)
         if len(hits):
             opened.links[hits] += row["m"]
             out.append((row["c"], None, int(opened.m[hits].sum())))
@@ -426,9 +409,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             F.col("rep").alias("doc_id"), F.col("c1").alias("c"), "m", "g", "block"
         )
     )
-    whole = cut_lineage(_whole_sets(docs, wanted))
-    homes = whole.select(F.lit(True).alias("home"), F.col("block").alias("g"), "c", "n", "m", "tokens")
-    guests = visits.join(whole, "g").select(F.lit(False).alias("home"), F.col("home").alias("g"), "c", "n", "m", "tokens")
+    whole = cut_lineage(_texts(docs, wanted))
+    homes = whole.select(F.lit(True).alias("home"), F.col("block").alias("g"), "c", "m", "text")
+    guests = visits.join(whole, "g").select(F.lit(False).alias("home"), F.col("home").alias("g"), "c", "m", "text")
     dealt = homes.union(guests).repartition("g").sortWithinPartitions("g", F.col("home").desc(), "c")
     found = cut_lineage(dealt.mapInArrow(_verify, "a long, b long, links long"))
 
