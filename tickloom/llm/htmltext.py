@@ -24,7 +24,6 @@ a text copied many times on its own host does not look like a template.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -363,7 +362,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     )
 
     known = pages.where("host <> '' AND html IS NOT NULL").select("host", "html")
-    rows = known.mapInArrow(run, "host string, same long, path long, is_text boolean, digest long")
+    # written once: three aggregates read it, and parsing is what costs
+    rows = cut_lineage(known.mapInArrow(run, "host string, same long, path long, is_text boolean, digest long"))
     # pages that show each style or text of a node; copies of a page are one
     shown = rows.distinct().groupBy("host", "path", "is_text", "digest").agg(F.count(F.lit(1)).alias("k"))
     node = shown.groupBy("host", "path", "is_text").agg(
