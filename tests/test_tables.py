@@ -232,3 +232,29 @@ def test_rollup_and_last_cells_skip_nulls(spark):
     assert (got["NAME"], got["WEIGHT"]) == ("name", 3.0)
     cells = spark.createDataFrame([("r", "c", 5.0, 1), ("r", "c", None, 2)], "i string, k string, v double, at int")
     assert aggregates.pivot_last(cells, "i", "k", "v", "at", ["c"]).first()["c"] == 5.0
+
+
+def test_daily_run_goes_from_holdings_to_prices_and_macro(spark):
+    header = ["ASSET_CLASS", "TICKER", "NAME", "MARKET_VALUE", "WEIGHT", "QUANTITY", "PRICE", "LOCATION", "EXCHANGE", "CURRENCY", "FX_RATE", "INDEX"]
+    held = spark.createDataFrame([("Equity", "AAPL", "Apple", "1", "1", "1", "1", "United States", "NASDAQ", "USD", "1", "Mine")], header)
+    master = spark.createDataFrame([(day("2020-01-01"), "AAPL", "Apple", "United States", "F1")], "DATE date, TICKER string, NAME string, LOCATION string, FIGI string")
+    schema = "DATE date, TICKER string, FIGI string, ADJ_CLOSE double, DIVIDENDS double, STOCK_SPLITS double"
+    pulled = "DATE date, TICKER string, ADJ_CLOSE double, DIVIDENDS double, STOCK_SPLITS double"
+    landed = {
+        "holdings": held,
+        "index_prices": spark.createDataFrame([(day("2024-01-02"), "SPX", 9.0, 0.0, 0.0)], pulled),
+        "prices": spark.createDataFrame([(day("2024-01-02"), "AAPL", 1.0, 0.0, 0.0)], pulled),
+        "officers": spark.createDataFrame([("AAPL", "Tim")], "TICKER string, NAME string"),
+    }
+    stored = {
+        "security_master": master, "prices": spark.createDataFrame([], schema),
+        "officers": spark.createDataFrame([], "DATE date, TICKER string, NAME string, FIGI string"),
+    }
+    none = spark.createDataFrame([], "TICKER string, FIGI string")
+    out = ingest.daily_run(landed, stored, none, ["NASDAQ"], "2024-03-01")
+    assert list(out) == ["holdings", "prices", "officers"]
+    # the holdings' members map the identifiers of what follows
+    assert sorted((r["TICKER"], r["FIGI"]) for r in out["prices"].collect()) == [("AAPL", "F1"), ("SPX", None)]
+    assert [r["FIGI"] for r in out["officers"].collect()] == ["F1"]
+    own = ingest.subset_run(landed, stored, none, none, spark.createDataFrame([("AAPL",)], "TICKER string"))
+    assert list(own) == ["prices", "officers"] and own["prices"].count() == 1

@@ -184,20 +184,54 @@ def ingest_addresses(info: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def daily_run(
-    landed: dict[str, DataFrame], stored: dict[str, DataFrame], mapping: DataFrame
+    landed: dict[str, DataFrame],
+    stored: dict[str, DataFrame],
+    mapping: DataFrame,
+    exchanges: Sequence[str] = (),
+    load_date=None,
+    bounds: Mapping[str, tuple[int, int]] | None = filters.ROW_BOUNDS,
 ) -> dict[str, DataFrame]:
-    """The rows to append for every landed vendor dataset, in dataset order.
-
-    Each result is lazy; the caller writes them one after another, and a failed
-    write is repeated without harm because a second run finds nothing new.
+    """Every job of a day whose rows have landed, in order.
+
+    Fund holdings come first, as their members extend the identifier map; then
+    index prices, the prices of what is held, the vendor datasets, the macro
+    tables and the addresses still to be located.  Price and macro tables come
+    as their next state, the others as the rows to append.  Each result is
+    lazy; the caller writes them one after another, and a failed write is
+    repeated without harm because a second run finds nothing new.
     """
-    return {name: ingest(name, landed[name], stored[name], mapping) for name in SPECS if name in landed}
+    out: dict[str, DataFrame] = {}
+    if "holdings" in landed:
+        out["holdings"] = ingest_holdings(landed["holdings"], stored["security_master"], exchanges, load_date, bounds)
+        members = out["holdings"].where("FIGI IS NOT NULL").select("TICKER", "FIGI")
+        both = mapping.select("TICKER", "FIGI").withColumn("_own", F.lit(1)).unionByName(members.withColumn("_own", F.lit(0)))
+        mapping = snapshots.pick_row(both, ["TICKER"], [F.col("_own"), F.col("FIGI")]).select("TICKER", "FIGI")
+    if "security_master" in landed:
+        out["security_master"] = ingest_security_master(landed["security_master"], stored["security_master"])
+    prices = stored.get("prices")
+    for name in ("index_prices", "prices"):
+        if name in landed:
+            prices = ingest_prices(landed[name], prices, mapping, landed.get(f"{name}_history"))
+            out["prices"] = prices
+    for name in SPECS:
+        if name in landed:
+            out[name] = ingest(name, landed[name], stored[name], mapping)
+    if "fred_series" in landed:
+        out["fred_series"] = ingest_macro_metadata(landed["fred_series"], stored["fred_series"])
+    if "fred_economic_data" in landed:
+        out["fred_economic_data"] = ingest_macro(
+            landed["fred_economic_data"], stored["fred_economic_data"], out.get("fred_series", stored["fred_series"])
+        )
+    if "company_info" in landed and "addresses" in stored:
+        out["addresses"] = ingest_addresses(landed["company_info"], stored["addresses"])
+    return out
 
 
 def subset_run(
     landed: dict[str, DataFrame], stored: dict[str, DataFrame], mapping: DataFrame, members: DataFrame, extra: DataFrame
 ) -> dict[str, DataFrame]:
-    """A second run for the names a strategy holds and the index universe lacks."""
+    """A second run, prices included, for the names a strategy holds and the index universe lacks."""
     missing = diff.missing_keys(members, extra, "TICKER")
-    own = {name: df.join(missing, "TICKER", "left_semi") for name, df in landed.items()}
+    per_name = {"prices", "prices_history", *SPECS}
+    own = {name: df.join(missing, "TICKER", "left_semi") for name, df in landed.items() if name in per_name}
     return daily_run(own, stored, mapping)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import diff, macro
 from tickloom.plans import ingest as jobs
 from tickloom.streaming import jobs as streams
+from tickloom.session import cut_lineage
 from tickloom.workload.base import SNAP, cte, load, panel_b, query, rnd, rs, snapshot
 from tickloom.workload.q_cleaning import COMPANIES_SQL, FALLBACK_SQL, FULL_SQL, companies
 from tickloom.workload.q_joins import FIGI_MAP_SQL, VINTAGES_SQL, figi_map, vintages
@@ -411,27 +412,33 @@ query(
 CASE WHEN CITY <> '' THEN CITY || ', ' || COUNTRY END AS CITY_ADDRESS FROM comp WHERE ID % 4 <> 0""",
 )(lambda spark, sf: jobs.ingest_addresses(companies(spark, sf), companies(spark, sf).where("ID % 4 = 0")))
 
-_RUN = ["analyst_recommendations", "officers", "company_info"]
+_HOLDERS = ("institutional_holders", "major_holders")  # their VALUE is not stored; SHARES is
 
 
 def _run(spark, sf, frames):
-    return diff.union_all([rows.withColumn("DATASET", F.lit(name)) for name, rows in frames.items()])
+    common = ["DATE", "TICKER", "FIGI", "KIND", "VALUE", "DATASET"]
+    return diff.union_all([
+        rows.withColumnRenamed("SHARES", "VALUE").withColumn("DATASET", F.lit(name)).select(common) for name, rows in frames.items()
+    ])
+
+
+def _whole_day(spark, sf):
+    """Every vendor dataset landed; the given rows are derived once."""
+    landed, stored, mapping = (cut_lineage(f(spark, sf)) for f in (landed_rows, stored_rows, figi_map))
+    return jobs.daily_run(
+        {n: landed.withColumn("SHARES", F.col("VALUE")) if n in _HOLDERS else landed for n in jobs.SPECS},
+        {n: stored.withColumnRenamed("VALUE", "SHARES") if n in _HOLDERS else stored for n in jobs.SPECS},
+        mapping,
+    )
 
 
+_DATASETS = ", ".join(f"('{n}')" for n in jobs.SPECS if n != "company_info")
 query(
     "daily_run",
-    f"""WITH {_LANDED}, {_new_sql("TICKER, FIGI, KIND, VALUE")} SELECT "DATE", TICKER, FIGI, KIND, VALUE, DATASET FROM fresh, (VALUES ('analyst_recommendations'), ('officers')) t(DATASET)
+    f"""WITH {_LANDED}, {_new_sql("TICKER, FIGI, KIND, VALUE")} SELECT "DATE", TICKER, FIGI, KIND, VALUE, DATASET FROM fresh, (VALUES {_DATASETS}) t(DATASET)
 UNION ALL SELECT "DATE", TICKER, FIGI, KIND, VALUE, 'company_info' FROM batch""",
     ("snap",),
-)(
-    lambda spark, sf: _run(
-        spark,
-        sf,
-        jobs.daily_run(
-            {n: landed_rows(spark, sf) for n in _RUN}, {n: stored_rows(spark, sf) for n in _RUN}, figi_map(spark, sf)
-        ),
-    )
-)
+)(lambda spark, sf: _run(spark, sf, _whole_day(spark, sf)))
 query(
     "subset_run",
     f"""WITH {_LANDED.replace('FROM snap WHERE SEQ % 3 = 0)', "FROM snap WHERE SEQ % 3 = 0 AND TICKER NOT IN (SELECT TICKER FROM snap WHERE KIND = 'purchase' AND VALUE > 100))")}
