@@ -49,8 +49,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
-    return idmap.without(docs, decontaminate.contaminated_ids(docs, load(spark, sf_dir, "benchmark")))
+    """Documents without any passage of the benchmark.
+
+    The ids are written first, so the planner broadcasts them if they are few.
+    """
+    ids = cut_lineage(decontaminate.contaminated_ids(docs, load(spark, sf_dir, "benchmark")))
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
