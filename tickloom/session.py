@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,19 @@ def get_session(app: str = "tickloom", master: str | None = None, **conf: str) -
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for written tables, as the session names it in ``spark.checkpoint.dir``."""
+    """Shared folder for written tables, as the session names it in ``spark.checkpoint.dir``.
+
+    Where a local master names none, one of its own serves: driver and tasks
+    are one machine there.  On a cluster it must be set.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     named = named or context.getCheckpointDir()
     if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+        named = tempfile.mkdtemp(prefix="tickloom-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
