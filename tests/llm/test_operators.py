@@ -125,6 +125,41 @@ def test_languages_and_mixtures(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_languages_of_a_text_do_not_depend_on_its_neighbours(spark):
+    pick = random.Random(5)
+    starts = "b d f g k l".split()
+
+    def say(lang, n):
+        return " ".join("".join(starts[lang] + pick.choice("aeiou") for _ in range(2)) for _ in range(n))
+
+    rows = [(i, say(i % 6, 40), str(i % 6)) for i in range(120)]
+    rows += [(200, " ".join(say(k, 40) for k in range(6)), None)]  # more than four languages
+    rows += [(300 + i, " ".join(say(k % 2, 1) for k in range(5 + i % 7)), None) for i in range(60)]
+    rows += [(400 + i, say(i % 6, 1000), None) for i in range(200)]  # a full slice has many more words than 2^17
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = langid.learn(docs)
+    together = {r["doc_id"]: tuple(r) for r in langid.predict(docs.coalesce(1), langs, table).collect()}
+    alone = {r["doc_id"]: tuple(r) for r in langid.predict(docs.where("doc_id < 400").repartition(8), langs, table).collect()}
+    assert alone == {i: r for i, r in together.items() if i < 400}
+    assert together[200][3] == 6 and abs(together[200][2] - 1 / 6) < 0.05
+
+
+def test_languages_of_a_long_text_are_summed_over_pieces():
+    import numpy as np
+
+    pick = random.Random(6)
+    table = np.log(np.random.default_rng(1).dirichlet(np.ones(langid.CELLS), 3)).astype(np.float32)
+    text = np.frombuffer(" ".join(pick.choice(["ab", "cde", "x" * 90, "Fé", "12 "]) for _ in range(3000)).encode(), dtype=np.uint8)
+    chances, _ = langid._word_chances(text, np.array([0, len(text)]), table)
+    whole, size = langid.mixtures(lambda: [(chances, np.array([0]))], 1)
+    for kept in (0, 500, 1 << 20):
+        pieces = langid._long_text(text, 0, len(text), table, 64, kept)
+        assert np.array_equal(np.concatenate([c for c, _ in pieces()]), chances)
+        share, n = langid.mixtures(pieces, 1)
+        assert n == size and np.allclose(share, whole, atol=1e-4)
+    assert langid._long_text(np.full(500, 32, dtype=np.uint8), 0, 500, table, 64) is None
+
+
 # ---------------------------------------------------------------- 3 sharding
 def test_shards_fit_and_split_no_further_than_needed(spark):
     rows = [(i, prose(i, 5 + i % 40)) for i in range(300)] + [(1000, "y" * 9000), (1001, None), (1001, ""), (None, "z")]

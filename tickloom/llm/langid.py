@@ -5,17 +5,19 @@ with its neighbours; everything that is no letter is one boundary mark), mixed
 with the distribution of all languages together.  A document is a mixture: each
 of its words belongs to one language.  Expectation-maximisation finds the
 proportions under which the words' likelihoods are largest, for the best one,
-two, three ... languages; the set of languages is the one with the largest
-likelihood less half the logarithm of the number of words per further language.
-The predicted language has the largest share of the chosen mixture.
+two, three ... languages, as long as a further one can still gain; the set of
+languages is the one with the largest likelihood less half the logarithm of the
+number of words per further language.  The predicted language has the largest
+share of the chosen mixture.
 
 Bounds: trigrams are hashed into 2^16 cells a language, so the model's size
-follows the number of languages alone.  Counts cover all training rows.
+follows the number of languages alone.  Counts cover all training rows.  The
+unit is one word in every text; a text longer than a slice is summed over pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ FOLDS, HELD_OUT = 4, 2
 CELLS = 1 << 16
 PRIOR = 50.0
 ROUNDS = 6
-MOST_LANGUAGES = 4  # of one document's mixture
-MOST_UNITS = 1 << 17  # words of a slice; a longer text is read in units of several words
+SLICE = 1 << 22  # bytes of text times languages that are read at once
+KEPT = 1 << 23  # likelihoods of a longer text that are kept between the rounds; others are computed anew
 _LETTER = np.zeros(256, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
@@ -90,64 +92,116 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(chance).astype(np.float32)
 
 
+Pieces = Callable[[], Iterable[tuple[np.ndarray, np.ndarray]]]
+
+
 def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of rows over the texts that have any."""
-    return np.add.reduceat(values, first, axis=0)
+    return np.add.reduceat(values, first, axis=0, dtype=np.float64)
 
 
-def mixtures(chances: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shares by text and language, size of the chosen set) from the units' log likelihoods.
+def mixtures(pieces: Pieces, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shares by text and language, size of the chosen set) from the words' log likelihoods.
 
-    ``first`` is the first unit of each text; every text has at least one.
+    ``pieces`` gives on every call the same (log likelihoods by word and
+    language, first word of each text) blocks; each has words of all the texts.
     """
-    n_langs = chances.shape[1]
-    counts = np.diff(np.concatenate([first, [len(chances)]]))
-    owner = np.repeat(np.arange(len(first)), counts)
-    top = chances.max(axis=1, keepdims=True)
-    likely = np.exp(chances - top)  # of a unit, relative to its best language
-    base = _by_text(top, first)[:, 0]
-
-    def climb(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(rounds):
-            part = share[owner] * likely
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-            share = _by_text(part, first) / counts[:, None]
-        return share, base + _by_text(np.log(np.maximum((share[owner] * likely).sum(axis=1), 1e-30)), first)
-
-    whole, _ = climb(np.full((len(first), n_langs), 1 / n_langs, dtype=np.float32), ROUNDS)
-    single = _by_text(chances, first)
+
+    def passed(share: np.ndarray, texts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sums of the words' shares, of their log likelihoods, and of their slopes) by text."""
+        part_of = value = slope = 0.0
+        for likely, first in pieces():
+            counts = np.diff(np.concatenate([first, [len(likely)]]))
+            if texts is not None:
+                likely, counts = likely[np.repeat(texts, counts)], counts[texts]
+                first = np.cumsum(counts) - counts
+            weighed = np.exp(likely - likely.max(axis=1, keepdims=True))
+            part = share[np.repeat(np.arange(len(first)), counts)] * weighed
+            mixed = np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
+            part_of = part_of + _by_text(part / mixed, first)
+            value = value + _by_text(np.log(mixed), first)[:, 0]
+            slope = slope + _by_text(weighed / mixed, first)
+        return part_of, value, slope
+
+    def climb(share: np.ndarray, texts: np.ndarray | None = None) -> np.ndarray:
+        for _ in range(ROUNDS):
+            part, _, _ = passed(share, texts)
+            share = (part / part.sum(axis=1, keepdims=True)).astype(np.float32)
+        return share
+
+    counts, single = 0, 0.0
+    for likely, first in pieces():
+        counts = counts + np.diff(np.concatenate([first, [len(likely)]]))
+        # relative to each word's best language, as all likelihoods here
+        single = single + _by_text(likely - likely.max(axis=1, keepdims=True), first)
+    n_langs = single.shape[1]
+    whole = climb(np.full((n_texts, n_langs), 1 / n_langs, dtype=np.float32))
+    _, value, slope = passed(whole)
+    # no mixture of whatever languages is likelier: the likelihood is concave in the shares
+    most = value + counts * np.log(np.maximum(slope.max(axis=1) / counts, 1))
     best = np.zeros_like(whole)
-    best[np.arange(len(first)), single.argmax(axis=1)] = 1
-    score, size = single.max(axis=1), np.ones(len(first), dtype=np.int64)
+    best[np.arange(n_texts), single.argmax(axis=1)] = 1
+    score, size = single.max(axis=1), np.ones(n_texts, dtype=np.int64)
     # the languages of the full mixture, largest share first
     rank = (-whole).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
     penalty = 0.5 * np.log(counts + 1.0) + 3.0
-    for k in range(2, min(n_langs, MOST_LANGUAGES) + 1):
-        start = np.where(rank < k, whole + 1e-3, 0).astype(np.float32)
-        share, value = climb(start / start.sum(axis=1, keepdims=True), ROUNDS)
-        value = value - penalty * (k - 1)
-        better = value > score
-        best[better], score[better], size[better] = share[better], value[better], k
+    for k in range(2, n_langs + 1):
+        texts = most - penalty * (k - 1) > score
+        if not texts.any():
+            break
+        start = np.where(rank < k, whole + 1e-3, 0).astype(np.float32)[texts]
+        share = climb(start / start.sum(axis=1, keepdims=True), texts)
+        value = passed(share, texts)[1] - penalty[texts] * (k - 1)
+        better = value > score[texts]
+        at = np.flatnonzero(texts)[better]
+        best[at], score[at], size[at] = share[better], value[better], k
     return best, size
 
 
 def _word_chances(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log likelihoods of units by language, units before each text and in all).
-
-    A unit is a word, or in very long slices so many neighbouring words of one
-    text that there are at most about MOST_UNITS of them.
-    """
+    """(log likelihoods of words by language, words before each text and in all)."""
     cells, word, first = _trigrams(data, offsets)
     if not len(word) or not len(table):
         return np.zeros((len(word), len(table)), dtype=np.float32), first
-    step = 1 + len(word) // MOST_UNITS
-    if step > 1:
-        heads = [np.arange(a, b, step) for a, b in zip(first[:-1], first[1:])]
-        word = word[np.concatenate(heads)]
-        first = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
     return np.stack([np.add.reduceat(row[cells], word) for row in table], axis=1), first
 
 
+def _long_text(data: np.ndarray, a: int, b: int, table: np.ndarray, limit: int, kept: int = KEPT) -> Pieces | None:
+    """The words of the one text in bytes a to b in pieces of about ``limit`` bytes, cut between words; none if it has none.
+
+    About the first ``kept`` likelihoods stay in memory, so that it follows
+    neither the length of the text nor, in texts that are not huge, the rounds.
+    """
+    bounds = [a]
+    while bounds[-1] < b:
+        end = bounds[-1] + limit
+        while end < b:  # a word longer than a piece is not cut
+            gaps = np.flatnonzero(_LETTER[LOWER[data[max(bounds[-1], end - limit): end]]] == 0)
+            if len(gaps):
+                end = max(bounds[-1], end - limit) + int(gaps[-1]) + 1
+                break
+            end += limit
+        bounds.append(min(end, b))
+    held, rest, cells = [], [], 0
+    for p, q in zip(bounds[:-1], bounds[1:]):
+        if cells > kept:
+            rest.append((p, q))
+            continue
+        chances, _ = _word_chances(data, np.array([p, q]), table)
+        if len(chances):
+            held.append((chances, np.zeros(1, dtype=np.int64)))
+            cells += chances.size
+
+    def pieces() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from held
+        for p, q in rest:
+            chances, _ = _word_chances(data, np.array([p, q]), table)
+            if len(chances):
+                yield chances, np.zeros(1, dtype=np.int64)
+
+    return pieces if held else None
+
+
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """(doc_id, lang_pred, score, n_languages) for every row of ``docs`` (doc_id, text); no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast((langs, table))
@@ -155,13 +209,20 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = sent.value
-        for rows, data, offsets in text_slices(batches, "text", (1 << 22) // max(4, len(langs))):
+        limit = SLICE // max(4, len(langs))
+        for rows, data, offsets in text_slices(batches, "text", limit):
             pred = np.full(rows.num_rows, "und", dtype=object)
             score, size = np.zeros(rows.num_rows), np.zeros(rows.num_rows, dtype=np.int64)
-            chances, first = _word_chances(data, offsets, table)
-            lettered = np.flatnonzero(np.diff(first) > 0)
+            if langs and rows.num_rows == 1 and offsets[1] - offsets[0] > limit:
+                pieces = _long_text(data, int(offsets[0]), int(offsets[1]), table, limit)
+                lettered = np.arange(int(pieces is not None))
+            else:
+                chances, first = _word_chances(data, offsets, table)
+                lettered = np.flatnonzero(np.diff(first) > 0)
+                block = (chances, first[:-1][lettered])
+                pieces = lambda: [block]
             if langs and len(lettered):
-                share, chosen = mixtures(chances, first[:-1][lettered])
+                share, chosen = mixtures(pieces, len(lettered))
                 best = share.argmax(axis=1)
                 pred[lettered] = np.array(langs, dtype=object)[best]
                 score[lettered] = np.clip(share[np.arange(len(best)), best], 0, 1)
