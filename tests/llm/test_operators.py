@@ -300,6 +300,18 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_style_tree_decides_inside_landmarks(spark):
+    rows = []
+    for i in range(12):
+        tag = "article" if i % 2 else "main"
+        body = f"<h2>{prose(i, 6)}</h2><p>{prose(i + 50, 40)}</p><div class=few><p>Common to few: {i // 4}</p></div>"
+        note = "<div class=x7><p>Our offices are open <a href=/n>from nine</a> to five.</p></div>"
+        rows.append((i, f"http://{tag}.example/{i}", page(f"<{tag}>{note}{body}{note}</{tag}>")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()}
+    assert out == {i: f"{prose(i, 6)}\n{prose(i + 50, 40)}\nCommon to few: {i // 4}" for i in range(12)}
+
+
 # ---------------------------------------------------------------- 7 BPE
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer

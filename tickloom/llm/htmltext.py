@@ -14,8 +14,9 @@ A leaf counts by its content; an inner branch by its own presentation and, with
 the larger weight the more it holds, by its children.  A page loses every branch
 that is below a threshold with all its own branches, as well as elements that
 are no reading matter by their kind (navigation, forms, scripts ...) or by
-a class, id or role that says so.  An article or main element is a landmark: it
-is important by declaration, and if a page has one, its text is the page's.
+a class, id or role that says so.  An article or main element is a landmark: if
+a page has one, its text is the page's, and its declaration is a prior on the
+importance of the branches inside, which go at a smaller importance than others.
 
 Pages that are copies of one another add up to one page in the counts, so that
 a text copied many times on its own host does not look like a template.
@@ -27,6 +28,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from tickloom.session import cut_lineage
 
 LOW = 0.3  # composite importance below which a branch goes
+PRIOR = 0.15  # least importance of a branch inside a landmark; what its texts and layouts say fills the rest
 LEAST_PAGES = 4  # different pages of a host, from which on its tree says something
 DECAY = 0.9
 # fixed values: element kinds of HTML
@@ -222,35 +225,48 @@ def style_rows(page: Node) -> list[tuple[int, int, str, int]]:
         own = _own(node)
         if own:
             found.add((path, depth, "text", _digest(own)))
-        stack.extend((c, _digest(f"{path}>{_label(c)}"), depth + 1) for c in inner)
+        stack.extend((c, _below(path, _label(c)), depth + 1) for c in inner)
     return list(found)
 
 
+@lru_cache(1 << 16)
+def _below(path: int, label: str) -> int:
+    """The path of a child."""
+    return _digest(f"{path}>{label}")
+
+
 class Importance:
     """Composite importance of a page's branches under its host's style tree."""
 
     def __init__(self, known: dict[int, tuple[float | None, float | None]]):
         self.known = known
+        self.seen: dict[tuple[int, float], tuple[float, int, bool]] = {}
 
-    def of(self, node: Node, path: int) -> tuple[float, int, bool]:
+    def of(self, node: Node, path: int, prior: float) -> tuple[float, int, bool]:
         """(importance, weight of texts below, whether all of it is noise) of a branch; unknown nodes are important."""
+        key = (id(node), prior)  # nodes live as long as their page
+        if key not in self.seen:
+            self.seen[key] = self._of(node, path, prior)
+        return self.seen[key]
+
+    def _of(self, node: Node, path: int, prior: float) -> tuple[float, int, bool]:
         layout, text = self.known.get(path, (None, None))
         total, weight, noise = 0.0, 0, True
         own = _own(node)
         if own:
-            total, weight = 1.0 if text is None else text, 1
+            total, weight = 1.0 if text is None else prior + (1 - prior) * text, 1
             noise = total < LOW
         inner = False
         for c in node.children:
             if isinstance(c, Node) and c.tag not in DROPPED:
-                value, n, low = self.of(c, _digest(f"{path}>{_label(c)}"))
+                value, n, low = self.of(c, _below(path, _label(c)), prior)
                 if n:
                     inner, noise = True, noise and low
                     total, weight = (total * weight + value * n) / (weight + n), weight + n
         if inner and layout is not None:
             # more texts below leave less say to the layout alone
             share = 1 - DECAY**weight
-            total = (1 - share) * layout + share * total
+            total = (1 - share) * (prior + (1 - prior) * layout) + share * total
         return total, weight, noise and total < LOW
 
 
@@ -261,17 +277,17 @@ def main_text(source: str, known: dict[int, tuple[float | None, float | None]])
     """The main text of a page; ``known`` has (layout, text) importance by path for its host."""
     page = _flattened(parse(source))
     importance = Importance(known)
-    marks: list[tuple[Node, bool]] = []
 
-    def landmarks(node: Node) -> Iterator[Node]:
+    def landmarks(node: Node, path: int) -> Iterator[tuple[Node, int]]:
         for c in node.children:
             if isinstance(c, Node) and not no_reading(c):
+                below = _below(path, _label(c))
                 if c.tag in LANDMARKS or c.attributes.get("role", "") in LANDMARKS:
                     # an article inside a main element is what that is about
-                    inner = [x for x in landmarks(c) if x.tag == "article"] if c.tag != "article" else []
-                    yield from inner or [c]
+                    inner = [x for x in landmarks(c, below) if x[0].tag == "article"] if c.tag != "article" else []
+                    yield from inner or [(c, below)]
                 else:
-                    yield from landmarks(c)
+                    yield from landmarks(c, below)
 
     blocks: list[str] = []
     words: list[str] = []
@@ -282,33 +298,34 @@ def main_text(source: str, known: dict[int, tuple[float | None, float | None]])
             blocks.append(text)
         words.clear()
 
-    def read(node: Node, path: int | None) -> None:
-        """Append the blocks of a branch; with a path, branches of low importance are left out."""
+    def read(node: Node, path: int, prior: float) -> None:
+        """Append the blocks of a branch without its branches of low importance."""
         for c in node.children:
             if isinstance(c, str):
                 words.append(c)
             elif c.tag in ("br", "wbr"):
                 words.append(" ")
             elif not no_reading(c):
-                below = None if path is None else _digest(f"{path}>{_label(c)}")
-                if below is not None and (c.tag in BLOCKS or c.tag == "a"):
-                    _, n, noise = importance.of(c, below)
+                below = _below(path, _label(c)) if known else path
+                if known and (c.tag in BLOCKS or c.tag == "a"):
+                    _, n, noise = importance.of(c, below, prior)
                     if n and noise:
                         continue
                 block = c.tag in BLOCKS
                 if block:
                     flush()
-                read(c, below)
+                read(c, below, prior)
                 if block:
                     flush()
 
-    marks = list(landmarks(page))
+    top = _digest("#page")
+    marks = list(landmarks(page, top))
     if marks:
-        for node in marks:
-            read(node, None)
+        for node, path in marks:
+            read(node, path, PRIOR)
             flush()
     else:
-        read(page, _digest("#page"))
+        read(page, top, 0.0)
     flush()
     return "\n".join(blocks)
 
