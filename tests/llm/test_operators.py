@@ -312,6 +312,23 @@ def test_style_tree_decides_inside_landmarks(spark):
     assert out == {i: f"{prose(i, 6)}\n{prose(i + 50, 40)}\nCommon to few: {i // 4}" for i in range(12)}
 
 
+def test_main_text_is_not_lost_by_names():
+    text = "".join(f"<p>{prose(k, 20)}</p>" for k in range(4))
+    want = "\n".join(prose(k, 20) for k in range(4))
+    for body in (
+        f"<div class='content with-sidebar'><article>{text}</article></div>",
+        f"<div class='site no-sidebar'><nav>{prose(9, 200)}</nav><main>{text}</main></div>",
+        f"<form id=aspnetForm><article>{text}</article></form><p>tail</p>",
+        f"<form id=aspnetForm><div>{text}</div></form>",
+        f"<div class=sidebar><div class=widget><main>{text}</main></div></div><div class=ads>{prose(8, 300)}</div>",
+        f"<article>{text}</article><aside class=related><article>{prose(7, 9)}</article></aside><div class=ad-300x250>no</div>",
+        f"<div>{text}</div><div class='sidebar right'><article>card</article></div><div id=site-footer>no</div>".replace("<article>card</article>", "card"),
+    ):
+        assert htmltext.main_text(page(body), {}) == want
+    parts = "<h2 id=social-policy>a</h2><h2 id=comments>b</h2><section id=related-work>c</section><p class=share-price>d</p><div class=header>e</div>"
+    assert htmltext.main_text(page(f"<article>{parts}{text}</article>"), {}) == f"a\nb\nc\nd\ne\n{want}"
+
+
 # ---------------------------------------------------------------- 7 BPE
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer

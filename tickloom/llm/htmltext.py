@@ -14,7 +14,8 @@ A leaf counts by its content; an inner branch by its own presentation and, with
 the larger weight the more it holds, by its children.  A page loses every branch
 that is below a threshold with all its own branches, as well as elements that
 are no reading matter by their kind (navigation, forms, scripts ...) or by
-a class, id or role that says so.  An article or main element is a landmark: if
+a class, id or role that says so as a whole; but an element that wraps a main
+element, all articles or most of the page's text stays.  An article or main element is a landmark: if
 a page has one, its text is the page's, and its declaration is a prior on the
 importance of the branches inside, which go at a smaller importance than others.
 
@@ -48,6 +49,9 @@ DROPPED = frozenset(
     "head script style noscript template svg math nav footer aside form button select option textarea input label "
     "iframe object embed canvas audio video map menu dialog title link meta fieldset legend".split()
 )
+# kinds of these that may wrap a page's text; the style tree reads them too
+WRAPS = frozenset("form fieldset label aside dialog map".split())
+NEVER = DROPPED - WRAPS  # never read, whatever is inside
 BLOCKS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody "
     "tfoot tr td th figure figcaption header footer aside nav form address hr details summary hgroup fieldset center".split()
@@ -64,7 +68,8 @@ ENDS = {
     "body": ({"head"}, set()),
 }
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "summary"}
-# words of a class, id or role that name what is no main text
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# classes, ids and roles that name what is no main text, alone or with a word of PLACE before or of BOX behind them
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist "
     "complementary contentinfo cookie cookies consent copyright disclaimer disqus footer gdpr header login masthead menu "
@@ -72,6 +77,13 @@ NOISE = frozenset(
     "promotion recommended related replies respond search share sharing sidebar sidebars signup skip social sponsor "
     "sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
 )
+PLACE = frozenset("site page global top bottom left right main primary secondary post entry cookie google js".split())
+BOX = frozenset(
+    "area bar block box button buttons container content form group inner item items link links list message outer panel "
+    "popup section slot unit widget wrap wrapper".split()
+)
+# names that inside a landmark are its own
+OF_LANDMARK = frozenset("header notice notices disclaimer skip".split())
 LANDMARKS = ("article", "main")
 
 _TAG = re.compile(
@@ -83,7 +95,7 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMED = ("class", "id", "role", "hidden", "aria-hidden", "style", "href")
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[-_]+")
 
 
 @dataclass
@@ -159,9 +171,23 @@ def parse(source: str) -> Node:
     return root
 
 
-def _names(node: Node) -> set[str]:
-    text = " ".join(node.attributes.get(k, "") for k in ("class", "id", "role"))
-    return set(_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())) if text.strip() else set()
+def _noise_names(node: Node) -> set[str]:
+    """The words of NOISE that a class, id or role of an element is, as a whole; a heading's id is made from its text."""
+    kinds = ("class", "role") if node.tag in HEADINGS else ("class", "id", "role")
+    found = set()
+    for name in " ".join(node.attributes.get(k, "") for k in kinds).split():
+        words = [w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+        while words and re.fullmatch(r"[\dx]*\d", words[-1]):  # numbers and sizes
+            words.pop()
+        if words:
+            words[-1] = words[-1].rstrip("0123456789")
+        while len(words) > 1 and words[0] in PLACE:
+            words = words[1:]
+        while len(words) > 1 and words[-1] in BOX:
+            words.pop()
+        if words and all(w in NOISE for w in words):
+            found.update(words)
+    return found
 
 
 def no_reading(node: Node) -> bool:
@@ -170,14 +196,64 @@ def no_reading(node: Node) -> bool:
         return True
     if node.tag == "header" and not _inside(node, LANDMARKS):
         return True
-    if not node.attributes:
-        return False
+    return bool(node.attributes) and (_hidden(node) or _named_noise(node))
+
+
+def _hidden(node: Node) -> bool:
     if "hidden" in node.attributes or node.attributes.get("aria-hidden", "").lower() == "true":
         return True
     style = node.attributes.get("style", "").replace(" ", "").lower()
-    if "display:none" in style or "visibility:hidden" in style:
-        return True
-    return node.tag not in ("html", "body", "main") and bool(_names(node) & NOISE)
+    return "display:none" in style or "visibility:hidden" in style
+
+
+def _named_noise(node: Node) -> bool:
+    if node.tag in ("html", "body", "main", "article") or not any(k in node.attributes for k in ("class", "id", "role")):
+        return False
+    found = _noise_names(node)
+    return bool(found) and not (found <= OF_LANDMARK and _inside(node, LANDMARKS))
+
+
+class Reading:
+    """Which elements of a page are read."""
+
+    def __init__(self, page: Node):
+        self.page = page
+        self.answers: dict[int, bool] = {}
+        self.whole: tuple[int, int] | None = None
+
+    def leaves_out(self, node: Node) -> bool:
+        key = id(node)  # nodes live as long as their page
+        if key not in self.answers:
+            self.answers[key] = no_reading(node) and (
+                node.tag in NEVER or (bool(node.attributes) and _hidden(node)) or not self._wraps(node)
+            )
+        return self.answers[key]
+
+    def _wraps(self, node: Node) -> bool:
+        """Whether an element holds a main element, all articles of the page or most of its text."""
+        letters, articles, mains = _held(node)
+        if mains:
+            return True
+        if self.whole is None:
+            self.whole = _held(self.page)[:2]
+        # cards of other articles stand in an aside
+        return 2 * letters > self.whole[0] or (0 < articles == self.whole[1] and node.tag != "aside")
+
+
+def _held(node: Node) -> tuple[int, int, int]:
+    """(characters of text, articles, main elements) below an element, without what is never read."""
+    letters = articles = mains = 0
+    stack = [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                letters += len(c) - c.count(" ") - c.count("\n")
+            elif c.tag not in NEVER and not (c.attributes and _hidden(c)):
+                role = c.attributes.get("role", "")
+                articles += "article" in (c.tag, role)
+                mains += "main" in (c.tag, role)
+                stack.append(c)
+    return letters, articles, mains
 
 
 def _inside(node: Node, tags: tuple[str, ...]) -> bool:
@@ -214,7 +290,7 @@ def style_rows(page: Node) -> list[tuple[int, int, str, int]]:
     stack = [(page, _digest("#page"), 0)]
     while stack:
         node, path, depth = stack.pop()
-        inner = [c for c in node.children if isinstance(c, Node) and c.tag not in DROPPED]
+        inner = [c for c in node.children if isinstance(c, Node) and c.tag not in NEVER]
         if inner:
             layout = []
             for c in inner:  # repeated siblings are one style
@@ -258,7 +334,7 @@ class Importance:
             noise = total < LOW
         inner = False
         for c in node.children:
-            if isinstance(c, Node) and c.tag not in DROPPED:
+            if isinstance(c, Node) and c.tag not in NEVER:
                 value, n, low = self.of(c, _below(path, _label(c)), prior)
                 if n:
                     inner, noise = True, noise and low
@@ -275,12 +351,14 @@ _DEEP = 400  # branches below are kept or dropped with the branch at this depth
 
 def main_text(source: str, known: dict[int, tuple[float | None, float | None]]) -> str:
     """The main text of a page; ``known`` has (layout, text) importance by path for its host."""
-    page = _flattened(parse(source))
+    page = parse(source)
+    reading = Reading(page)
+    _flattened(page, reading)
     importance = Importance(known)
 
     def landmarks(node: Node, path: int) -> Iterator[tuple[Node, int]]:
         for c in node.children:
-            if isinstance(c, Node) and not no_reading(c):
+            if isinstance(c, Node) and not reading.leaves_out(c):
                 below = _below(path, _label(c))
                 if c.tag in LANDMARKS or c.attributes.get("role", "") in LANDMARKS:
                     # an article inside a main element is what that is about
@@ -305,7 +383,7 @@ def main_text(source: str, known: dict[int, tuple[float | None, float | None]])
                 words.append(c)
             elif c.tag in ("br", "wbr"):
                 words.append(" ")
-            elif not no_reading(c):
+            elif not reading.leaves_out(c):
                 below = _below(path, _label(c)) if known else path
                 if known and (c.tag in BLOCKS or c.tag == "a"):
                     _, n, noise = importance.of(c, below, prior)
@@ -330,7 +408,7 @@ def main_text(source: str, known: dict[int, tuple[float | None, float | None]])
     return "\n".join(blocks)
 
 
-def _flattened(page: Node) -> Node:
+def _flattened(page: Node, reading: Reading) -> Node:
     """The tree with elements below _DEEP levels joined to their ancestor there, so that recursion is bounded."""
     stack = [(page, 0)]
     while stack:
@@ -343,7 +421,7 @@ def _flattened(page: Node) -> Node:
             c = rest.pop()
             if isinstance(c, str):
                 flat.append(c)
-            elif not no_reading(c):
+            elif not reading.leaves_out(c):
                 edge = [" "] if c.tag in BLOCKS or c.tag == "br" else []
                 rest.extend([*edge, *reversed(c.children), *edge])
         node.children = flat
@@ -368,7 +446,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 200)
                 out = []
                 for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    rows = style_rows(_flattened(parse(source)))
+                    page = parse(source)
+                    rows = style_rows(_flattened(page, Reading(page)))
                     # pages with the same nodes are copies
                     same = _digest(",".join(map(str, sorted(r[3] for r in rows))))
                     out.extend((host, same, path, kind == "text", digest) for path, _, kind, digest in rows)
