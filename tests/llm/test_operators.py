@@ -445,3 +445,27 @@ def test_licenses_are_found_and_worded(spark):
         best = max(scanner.names, key=lambda n: (scanner.confirm(text, n)[0], len(scanner.words[n])))
         assert scanner.block(text.encode())[0] == best == name
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_licenses_over_lines_beside_one_another_and_at_block_edges(spark):
+    import textwrap
+
+    names = ["MIT-grant", "BSD-3-Clause", "GPL-3.0-or-later", "GPL-2.0-or-later", "AGPL-3.0-or-later", "GPL-2.0"]
+    rows = []
+    for i, name in enumerate(names):
+        wrapped = textwrap.wrap(licenses.TEMPLATES[name], 60)
+        rows.append((i, f"{prose(i, 20)}\n/*\n" + "\n".join(f" * {x}" for x in wrapped) + f"\n */\n{prose(i + 40, 20)}"))
+    rows += [(20, "Code under the MIT License, docs under CC BY 4.0."), (21, "code is released under the MIT License, docs are licensed under CC BY 4.0.")]
+    rows.append((22, " ".join(licenses.TEMPLATES.values())))
+    # every edge of a long run of cues
+    rows += [(100 + k, "license " * 40 * k + licenses.TEMPLATES["MIT-grant"] + " license" * 900) for k in range(20)]
+    out = {}
+    for r in licenses.scan(frame(spark, rows)).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    for i, name in enumerate(names):
+        assert [(r["license"], r["wording"], r["line"], r["differences"]) for r in out[i]] == [(name, 1.0, 2, "")]
+        assert out[i][0]["start"] == len(prose(i, 20)) + 7
+    assert [r["license"] for r in out[20]] == [r["license"] for r in out[21]] == ["MIT", "CC-BY-4.0"]
+    assert sorted(r["license"] for r in out[22]) == sorted(licenses.TEMPLATES)
+    for k in range(20):
+        assert [(r["license"], r["wording"], r["start"]) for r in out[100 + k]] == [("MIT-grant", 1.0, 320 * k)]

@@ -1,18 +1,22 @@
 """License scans by conditional compression.
 
-A block that speaks of a license (a line of a document, or of a long line the
-words around what speaks of it) is compressed alone and with each template as a
-raw Zstandard dictionary.  The template that makes
-it smallest explains it best, so the templates are ranked by the bytes they
-save; a winner must save a good part of what it takes itself.  Winners are confirmed by wording: the block's words are aligned
-with the template's, and the words that were added, dropped or replaced are
-reported with it.
+A block is the text around what speaks of a license, over line ends, with room
+for the longest template on either side; neighbouring blocks that touch are one,
+and longer ones overlap.  Every template that a block has enough words of is
+aligned with it, around every run of words that they share.  What is found there
+is compressed alone and with the template as a raw Zstandard dictionary; the
+template must save a good part of what it takes itself, whatever stands beside
+it.  The words that were added, dropped or replaced are reported.
+Of confirmed notices that overlap the one with the most
+words in common, less the differing ones, stays.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -23,12 +27,15 @@ from tickloom.llm.linededup import _texts
 
 SAVED = 0.35  # least share of a template's own compressed size that it must save
 ALIKE = 0.8  # least share of the template's words, in order, that the block must hold
-RANKED = 3  # winners whose wording is compared
-LONG_LINE = 800  # bytes from which on a line is read in blocks around its cues
-AROUND = 240  # bytes of a long line on either side of a cue
+LONGEST = 4096  # bytes of a block beside what it shares with the next one
 # fixed values: wordings of license notices
 TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2.",
     "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -48,10 +55,37 @@ TEMPLATES = {
 CUES = (b"licens", b"licenc", b"copyright", b"rights", b"permission", b"redistribut", b"public domain", b"free software")
 _CUE = re.compile(b"|".join(map(re.escape, CUES)))
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_MARKS = re.compile(rb"(?m)^[\s*#/;%!|-]+")  # of comments, before a line's words
 
 
 def _words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+@dataclass(frozen=True)
+class Match:
+    """A confirmed notice: its code points in a block, and how it differs from the template."""
+
+    first: int
+    last: int  # one past the last code point
+    license: str
+    saved: float
+    wording: float
+    differences: str
+    score: int  # words in common less those added, dropped or replaced
+
+    @property
+    def rank(self) -> tuple:
+        return -self.score, -self.wording, -self.saved, self.license, self.first
+
+
+def apart(matches: list[Match]) -> list[Match]:
+    """The best of the matches that overlap, in order."""
+    chosen: list[Match] = []
+    for m in sorted(set(matches), key=lambda m: m.rank):
+        if all(m.last <= x.first or x.last <= m.first for x in chosen):
+            chosen.append(m)
+    return sorted(chosen, key=lambda m: m.first)
 
 
 class Scanner:
@@ -60,6 +94,10 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = {name: _words(templates[name]) for name in self.names}
+        self.bag = {name: Counter(self.words[name]) for name in self.names}
+        self.matcher = {name: SequenceMatcher(None, [], self.words[name], autojunk=False) for name in self.names}
+        # bytes on either side of a cue: a notice may be longer than its template, and its lines may have marks
+        self.around = 64 + 2 * max((len(templates[name].encode()) for name in self.names), default=0)
         options = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**options)
         self.given, self.size = {}, {}
@@ -69,64 +107,145 @@ class Scanner:
             self.given[name] = zstandard.ZstdCompressor(dict_data=data, **options)
             self.size[name] = len(self.alone.compress(body))
 
-    def ranked(self, block: bytes) -> list[tuple[int, str]]:
-        """(bytes saved, template), best first; equal savings by name."""
-        size = len(self.alone.compress(block))
-        saved = [(size - len(self.given[name].compress(block)), name) for name in self.names]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
+    def saved(self, notice: str, name: str) -> float:
+        """The share of a template's own compressed size that it saves of a notice."""
+        data = b" ".join(_MARKS.sub(b"", notice.lower().encode("utf-8", "replace")).split())
+        return (len(self.alone.compress(data)) - len(self.given[name].compress(data))) / self.size[name]
 
     def confirm(self, text: str, name: str) -> tuple[float, str]:
         """(share of the template's words found in order, the exact differences around the match)."""
-        have, want = _words(text), self.words[name]
-        codes = SequenceMatcher(None, have, want, autojunk=False).get_opcodes()
-        same = sum(b - a for tag, a, b, _, _ in codes if tag == "equal")
-        out = []
+        have = _words(text)
+        _, _, same, differences = self._align(have, 0, len(have), name)
+        return same / max(1, len(self.words[name])), differences
+
+    def _align(self, have: list[str], lo: int, hi: int, name: str) -> tuple[int, int, int, str]:
+        """(first word, one past the last, words in common, differences) of the template in words lo to hi."""
+        want, matcher = self.words[name], self.matcher[name]
+        matcher.set_seq1(have[lo:hi])
+        codes = matcher.get_opcodes()
+        same, first, last, out = 0, hi, lo, []
         for k, (tag, a, b, c, d) in enumerate(codes):
-            if tag == "equal" or (tag == "delete" and k in (0, len(codes) - 1)):
-                continue  # words before and after the notice are not its wording
-            out.append(f"[-{' '.join(want[c:d])}-]{{+{' '.join(have[a:b])}+}}")
-        return same / max(1, len(want)), " ".join(out)
+            if tag == "equal":
+                same += b - a
+            elif k in (0, len(codes) - 1):
+                # words before and after the notice are not its wording, but those in place of its own
+                a, b = (max(a, b - (d - c)), b) if k == 0 else (a, min(b, a + (d - c)))
+                if c == d:
+                    continue
+            if tag != "equal":
+                out.append(f"[-{' '.join(want[c:d])}-]{{+{' '.join(have[lo + a:lo + b])}+}}")
+            if b > a:
+                first, last = min(first, lo + a), max(last, lo + b)
+        return first, last, same, " ".join(out)
 
-    def block(self, text: bytes) -> tuple[str, float, float, str] | None:
-        """(license, share saved, wording, differences) of a block, or none."""
-        best = None
-        for saved, name in self.ranked(b" ".join(text.lower().split()))[:RANKED]:
-            saved /= self.size[name]
-            if saved < SAVED:
+    def _found(self, text: str, spans: list[tuple[int, int]], have: list[str], name: str) -> Iterator[Match]:
+        """The template's notices in a block, around every run of words in common."""
+        want, matcher = self.words[name], self.matcher[name]
+        n, slack, parts = len(want), max(4, len(want) // 2), [(0, len(have))]
+        while parts:
+            lo, hi = parts.pop()
+            if hi - lo < ALIKE * n:
                 continue
-            alike, differences = self.confirm(text.decode("utf-8", "ignore"), name)
-            if alike >= ALIKE and (best is None or (alike, saved) > (best[2], best[1])):
-                best = (name, saved, alike, differences)
-        return best
-
-
-def blocks(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(line, first byte, block) of the candidate blocks of a text."""
-    start = 0
-    for k, line in enumerate(text.split(b"\n")):
-        low = line.lower()
-        if len(line) <= LONG_LINE:
-            if any(cue in low for cue in CUES):
-                yield k, start, line
-        else:
-            upto = 0
-            for m in _CUE.finditer(low):
-                if m.end() <= upto:
-                    continue  # inside the block before
-                at = max(upto, m.start() - AROUND)
-                at = 0 if at == 0 else (line.find(b" ", at, m.start()) + 1 or m.start())
-                end = line.find(b" ", m.end() + AROUND)
-                upto = len(line) if end < 0 or end > m.end() + 2 * AROUND else end
-                upto = min(upto, m.end() + 2 * AROUND)
-                yield k, start + at, line[at:upto]
-        start += len(line) + 1
+            matcher.set_seq1(have)
+            run = matcher.find_longest_match(lo, hi, 0, n)
+            if run.size < min(n, 2):
+                continue
+            # where the notice must be if it holds this run
+            a, b = max(lo, run.a - run.b - slack), min(hi, run.a + n - run.b + slack)
+            first, last, same, differences = self._align(have, a, b, name)
+            if same >= ALIKE * n:
+                start, end = spans[first][0], spans[last - 1][1]
+                # alone, as other notices beside it may hold the same words, and with the words around it
+                saved = max(self.saved(text[start:end], name), self.saved(text[spans[a][0]:spans[b - 1][1]], name))
+                if saved >= SAVED:
+                    yield Match(start, end, name, saved, same / n, differences, same - (n - same) - (last - first - same))
+            else:
+                first, last = run.a, run.a + run.size
+            parts += [(lo, first), (last, hi)]
+
+    def matches(self, text: bytes) -> list[Match]:
+        """All notices of a block, those that overlap too."""
+        block = text.decode("utf-8", "ignore")
+        spans = [m.span() for m in _WORD.finditer(block)]
+        have = [block[a:b].lower() for a, b in spans]
+        there = Counter(have)
+        return [
+            m
+            for name in self.names
+            if (there & self.bag[name]).total() >= ALIKE * len(self.words[name])
+            for m in self._found(block, spans, have, name)
+        ]
+
+    def block(self, text: bytes) -> tuple[str, float, float, str] | None:
+        """(license, share saved, wording, differences) of a block's best notice, or none."""
+        best = min(self.matches(text), key=lambda m: m.rank, default=None)
+        return best and (best.license, best.saved, best.wording, best.differences)
+
+    def notices(self, text: bytes, known: dict[bytes, list[Match]]) -> list[tuple[int, int, Match]]:
+        """(line, first code point, match) of the notices of a text that do not overlap."""
+        out = []
+        for at, end in blocks(text, self.around):
+            block = text[at:end]
+            if block not in known:
+                if len(known) > 10_000:  # notices repeat; the memory for them is bounded
+                    known.clear()
+                known[block] = self.matches(block)
+            if known[block]:
+                before = len(text[:at].decode("utf-8", "ignore"))
+                out.extend(replace(m, first=m.first + before, last=m.last + before) for m in known[block])
+        if not out:
+            return []
+        whole = text.decode("utf-8", "ignore")
+        return [(whole.count("\n", 0, m.first), m.first, m) for m in apart(out)]
+
+
+def blocks(text: bytes, around: int) -> Iterator[tuple[int, int]]:
+    """Byte spans of the candidate blocks of a text, from white space to white space.
+
+    Blocks hold ``around`` bytes on either side of each cue; one that grows
+    beyond LONGEST is followed by one that begins 2 ``around`` before its end,
+    so that every notice is whole in one of them.
+    """
+    begin = end = -1
+
+    def cut(a: int, b: int) -> Iterator[tuple[int, int]]:
+        while b - a > LONGEST + 2 * around:
+            yield a, _gap(text, a + LONGEST + 2 * around)
+            a = _gap(text, a + LONGEST)
+        yield a, b
+
+    for m in _CUE.finditer(text.lower()):
+        a, b = _gap(text, max(0, m.start() - around)), _gap(text, m.end() + around)
+        if a <= end:
+            end = max(end, b)
+            continue
+        if end >= 0:
+            yield from cut(begin, end)
+        begin, end = a, b
+    if end >= 0:
+        yield from cut(begin, end)
+
+
+_SPACE = re.compile(rb"\s")
+
+
+def _gap(text: bytes, at: int) -> int:
+    """The first white space from a byte on, near it, or the next start of a character; 0 and the end are gaps."""
+    if at <= 0 or at >= len(text):
+        return min(max(at, 0), len(text))
+    found = _SPACE.search(text, at, at + 200)
+    if found:
+        return found.start()
+    while at < len(text) and text[at] & 0xC0 == 0x80:
+        at += 1
+    return at
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, line, start, license, saved, wording, differences), one row for each block with a license.
+    """(doc_id, line, start, license, saved, wording, differences), one row for each notice.
 
-    ``line`` counts from 0, ``start`` is the block's first code point in the
-    text.  Null and empty texts have no blocks; rows are scanned each for
+    ``line`` counts from 0, ``start`` is the first code point of the notice in
+    the text; notices of a document do not overlap.  Null and empty texts have no blocks; rows are scanned each for
     itself, repeated ones too, and a null doc_id stays null.  Of equal ranks the
     first template by name wins.  An empty table gives no rows; other columns
     are not read.
@@ -136,21 +255,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen)
-        known: dict[bytes, tuple | None] = {}
+        known: dict[bytes, list[Match]] = {}
         for rows, texts in _texts(batches, "text"):
             owner, found = [], []
             for i, text in enumerate(texts):
-                low = text.lower()
-                if not any(cue in low for cue in CUES):
+                if not _CUE.search(text.lower()):
                     continue
-                for k, at, block in blocks(text):
-                    if block not in known:
-                        if len(known) > 10_000:  # notices repeat; the memory for them is bounded
-                            known.clear()
-                        known[block] = scanner.block(block)
-                    if known[block]:
-                        owner.append(i)
-                        found.append((k, len(text[:at].decode("utf-8", "ignore")), *known[block]))
+                for line, start, m in scanner.notices(text, known):
+                    owner.append(i)
+                    found.append((line, start, m.license, m.saved, m.wording, m.differences))
             if found:
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
