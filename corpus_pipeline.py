@@ -38,9 +38,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut; documents that had nothing else go."""
+    """Lines and passages that an earlier document holds are cut; documents that had nothing else go."""
     removed = _fresh(docs, "removed")
-    cut = linededup.dedup(docs, removed=removed)
+    cut = linededup.dedup(docs, removed=removed, min_line=1)
     text = F.btrim("text", F.lit(" \t\r\n\x0b\x0c"))
     kept = cut.where((F.size(removed) == 0) | (F.coalesce(F.length(text), F.lit(0)) > 0))
     if "n_chars" in docs.columns:

@@ -228,6 +228,25 @@ def test_line_dedup_keeps_the_first_and_reports_offsets(spark):
     assert linededup.dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_takes_every_later_line_and_sentences_of_any_script(spark):
+    wide = "".join(chr(0x4E00 + 37 * k) + ("。" if k % 12 == 11 else "") for k in range(36))
+    inside = "These two sentences are whole in it. Both stand here again."
+    rows = [
+        (1, "Short line.\nOne. Two.\nfirst\nA stock word. new"), (2, "short  LINE.\nonly here\nOne. Two.\nand here\nfirst"),
+        (3, "Short line."), (4, "Two. other\nOne. other\nA stock word. more"), (5, f"前文。{wide}"), (6, f"別的。{wide}尾。"),
+        (7, f"{prose(1, 5)}. {inside} {prose(2, 5)}"), (8, f"{prose(3, 5)}. {inside} {prose(4, 5)}"), (9, "x\nx\nx"),
+    ]
+    out = {r["doc_id"]: r for r in linededup.report(frame(spark, rows)).collect()}
+    texts = dict(rows)
+    assert all(out[i]["text"] == texts[i] and out[i]["n_removed"] == 0 for i in (1, 4, 5, 7))
+    assert out[2]["text"] == "only here\nand here\n" and out[2]["n_removed"] == 3
+    assert out[3]["text"] == "" and out[6]["text"] == "別的。尾。" and out[9]["text"] == "x\n"
+    assert inside not in out[8]["text"] and out[8]["text"] == f"{prose(3, 5)}. {prose(4, 5)}"
+    for text in [*texts.values(), "a...b. c?! d\n\n e.", "", "。。」 x！？\n", "a.\n", "..", "é。é"]:
+        spans = linededup.units(text.encode())
+        assert "".join(text.encode()[a:b].decode() for a, b in spans) == text
+
+
 # ---------------------------------------------------------------- 5 Jaccard join
 @pytest.mark.parametrize("group", [jaccard.GROUP, 8])
 def test_jaccard_join_equals_all_pairs(spark, monkeypatch, group):

@@ -1,12 +1,12 @@
 """Substring dedup by hashing of lines and the sentences in them.
 
-A unit is a sentence of a line (a line without sentence ends is one unit), so
+A unit is a line or a sentence of a line (a line of one sentence is one unit), so
 units never reach over a line.  Units are normalised (A-Z folded, white space
 runs as one space, trimmed), their 128-bit digests are grouped over all
 documents, and the occurrence with the least (doc_id, offset) is kept.  A later
-one is taken out if it stands in a run of at least ``MIN_WORDS`` words of such
-repeated units: a short sentence that many texts share is not a passage.  What
-is taken out is reported by its offsets in the original text.
+line is taken out, and so is a later sentence in a run of at least ``MIN_BYTES``
+bytes of repeated units: a short sentence that many texts share is not a
+passage.  What is taken out is reported by its offsets in the original text.
 """
 
 from __future__ import annotations
@@ -23,9 +23,18 @@ from pyspark.sql import types as T
 
 from tickloom.llm.wordhash import LOWER, text_slices
 
-MIN_WORDS = 25
+# bytes count scripts without spaces too: a letter of theirs, three bytes, says about as much as half a word
+MIN_BYTES = 40
+_SPACE = rb"[ \t\r\x0b\x0c]"
+# the ends 。｡！？ need no white space behind them; closing quotes and brackets belong to the sentence
+_WIDE = rb"(?:\xe3\x80\x82|\xef\xbd\xa1|\xef\xbc[\x81\x9f])"
+_CLOSING = rb"(?:\xe3\x80[\x8d\x8f]|\xef\xbc\x89|\xe2\x80[\x99\x9d])"
+_INNER = rb"(?:[^\n.!?\xe3\xef]++|\xe3(?!\x80\x82)|\xef(?!\xbd\xa1|\xbc[\x81\x9f]))*+"
 # a line break belongs to the unit before it; so does the white space behind a sentence
-_UNIT = re.compile(rb"[^\n.!?]*(?:[.!?]+(?![ \t\r\x0b\x0c\n])[^\n.!?]*)*(?:[.!?]+[ \t\r\x0b\x0c]*\n?|\n|$)")
+_UNIT = re.compile(
+    _INNER + rb"(?:[.!?]++(?!" + _SPACE + rb"|\n)" + _INNER + rb")*+"
+    rb"(?:[.!?]++" + _SPACE + rb"*+\n?|" + _WIDE + rb"++" + _CLOSING + rb"*+" + _SPACE + rb"*+\n?|\n|\Z)"
+)
 _FOLD = LOWER.tobytes()
 
 
@@ -34,6 +43,15 @@ def units(text: bytes) -> list[tuple[int, int]]:
     return [m.span() for m in _UNIT.finditer(text) if m.end() > m.start()]
 
 
+def lines(text: bytes, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(first unit, one past the last) of each line."""
+    first = 0
+    for k, (_, b) in enumerate(spans, 1):
+        if k == len(spans) or text[b - 1: b] == b"\n":
+            yield first, k
+            first = k
+
+
 def _normal(unit: bytes) -> list[bytes]:
     return unit.translate(_FOLD).split()
 
@@ -52,21 +70,36 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
 
 
 def unit_rows(docs: DataFrame) -> DataFrame:
-    """(d1, d2, doc_id, pos): the digest of every unit that has words, by document and number of the unit."""
+    """(d1, d2, doc_id, pos): the digest of every unit that has words, by document and place.
+
+    The place of sentence k is 2 k; that of a line of several sentences from k
+    on is 2 k + 1.
+    """
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _texts(batches, "text"):
             low, high, owner, pos = [], [], [], []
             for i, text in enumerate(texts):
-                for k, (a, b) in enumerate(units(text)):
-                    words = _normal(text[a:b])
-                    if words:
-                        d = _digest(words)
+                spans = units(text)
+                for first, end in lines(text, spans):
+                    line: list[bytes] = []
+                    found = 0
+                    for k in range(first, end):
+                        words = _normal(text[spans[k][0]: spans[k][1]])
+                        if words:
+                            line, found = line + words if found else words, found + 1
+                            d = _digest(words)
+                            low.append(d[0])
+                            high.append(d[1])
+                            owner.append(i)
+                            pos.append(2 * k)
+                    if found > 1:
+                        d = _digest(line)
                         low.append(d[0])
                         high.append(d[1])
                         owner.append(i)
-                        pos.append(k)
+                        pos.append(2 * first + 1)
             if owner:
                 ids = rows.column(rows.schema.get_field_index("doc_id")).take(pa.array(owner, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
@@ -82,7 +115,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, positions): the units of each document that an earlier occurrence makes superfluous.
+    """(doc_id, positions): the places of the units of each document that an earlier occurrence makes superfluous.
 
     The first occurrence is a grouped minimum that combines before its shuffle,
     joined back to the units, so a unit that a third of all rows hold is split
@@ -99,24 +132,37 @@ def repeated(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("positions"))
 
 
-def _cut(text: bytes, positions: set[int], min_words: int) -> tuple[bytes, list[dict]]:
-    """The text without its runs of repeated units of enough words, and their spans in code points."""
+def _cut(text: bytes, positions: set[int], min_bytes: int, min_line: int) -> tuple[bytes, list[dict]]:
+    """The text without its repeated lines and runs of repeated units of enough bytes, and their spans in code points."""
     spans = units(text)
-    words = [len(_normal(text[a:b])) for a, b in spans]
-    drop: list[tuple[int, int]] = []
+    size = [len(b" ".join(text[a:b].split())) for a, b in spans]
+    gone = [False] * len(spans)
+    repeated_ = [2 * k in positions for k in range(len(spans))]
+    for first, end in lines(text, spans):
+        full = [k for k in range(first, end) if size[k]]
+        if 2 * first + 1 in positions or (len(full) == 1 and repeated_[full[0]]):
+            for k in range(first, end):
+                repeated_[k] = True
+                gone[k] = sum(size[first:end]) >= min_line
     k = 0
     while k < len(spans):
-        if k not in positions:
+        if not repeated_[k]:
             k += 1
             continue
         start, total, last = k, 0, k
         # units without words between repeated ones do not end a run
-        while k < len(spans) and (k in positions or not words[k]):
-            if words[k]:
-                total, last = total + words[k], k
+        while k < len(spans) and (repeated_[k] or not size[k]):
+            if size[k]:
+                total, last = total + size[k], k
             k += 1
-        if total >= min_words:
-            drop.append((spans[start][0], spans[last][1]))
+        if total >= min_bytes:
+            gone[start: last + 1] = [True] * (last + 1 - start)
+    drop: list[tuple[int, int]] = []
+    for (a, b), out_ in zip(spans, gone):
+        if out_ and drop and drop[-1][1] == a:
+            drop[-1] = (drop[-1][0], b)
+        elif out_:
+            drop.append((a, b))
     if not drop:
         return text, []
     kept, at, chars, out = [], 0, 0, []
@@ -130,9 +176,12 @@ def _cut(text: bytes, positions: set[int], min_words: int) -> tuple[bytes, list[
     return b"".join(kept), out
 
 
-def dedup(docs: DataFrame, removed: str = "removed", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, removed: str = "removed", min_bytes: int = MIN_BYTES, min_line: int = MIN_BYTES) -> DataFrame:
     """``docs`` with the repeated passages cut from ``text``, and their spans in column ``removed``.
 
+    Repeated sentences inside lines go in runs of ``min_bytes`` or more, and
+    repeated lines of ``min_line`` bytes or more; 1 takes every later line.
+
     ``removed`` is an array of (start, end) code point offsets in the original
     text; a column of that name is replaced.  Nulls: a null text stays null; a
     row without doc_id is neither compared nor cut.  Rows that repeat a doc_id
@@ -159,7 +208,7 @@ def dedup(docs: DataFrame, removed: str = "removed", min_words: int = MIN_WORDS)
             *cols, marks = rows.columns
             kept, cut = [], []
             for text, positions, there in zip(texts, marks.to_pylist(), np.asarray(cols[place].is_valid())):
-                new, out = _cut(text, set(positions), min_words) if positions else (text, [])
+                new, out = _cut(text, set(positions), min_bytes, min_line) if positions else (text, [])
                 kept.append(new if there else None)
                 cut.append(out)
             cols[place] = pa.array(kept, pa.binary()).cast(cols[place].type)
@@ -169,8 +218,8 @@ def dedup(docs: DataFrame, removed: str = "removed", min_words: int = MIN_WORDS)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_removed, chars_removed, removed, text): what ``dedup`` takes out and leaves, for every row."""
-    cut = dedup(docs.select("doc_id", "text"))
+    """(doc_id, n_removed, chars_removed, removed, text): what ``dedup`` takes out and leaves, for every row, with every later line."""
+    cut = dedup(docs.select("doc_id", "text"), min_line=1)
     return cut.select(
         "doc_id",
         F.size("removed").cast("long").alias("n_removed"),
