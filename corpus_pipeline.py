@@ -31,10 +31,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of linked documents, and rows of one doc_id once."""
-    groups = jaccard.jaccard_components(docs)
-    rest = groups.where("doc_id <> component_id").select("doc_id")
-    return idmap.without(docs, rest)
+    """The document with the least doc_id of each group of linked documents, and equal rows of one doc_id once."""
+    twice = idmap.repeated_ids(docs)
+    if twice.isEmpty():
+        groups = jaccard.jaccard_components(docs)
+        return idmap.without(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    # rows of one doc_id with other texts are documents of their own
+    keyed = idmap.with_row_keys(docs, twice)
+    groups = jaccard.jaccard_components(keyed)
+    kept = cut_lineage(idmap.without(keyed, groups.where("doc_id <> component_id").select("doc_id")))
+    # only rows with a digest can have others of their key; of those the least is kept
+    may = F.coalesce(F.col("doc_id.digest") != 0, F.lit(False))
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = kept.where(may).groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("row"))
+    one = one.select(*["doc_id" if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return idmap.without_row_keys(kept.where(~may).union(one))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,25 @@ def test_run_is_the_stages_in_turn(spark, corpus):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "substring_dedup", "decontamination", "bpe"]
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    line, own = prose(7001, 30), prose(7002, 30)
+    rows = [
+        (3, prose(7000, 80)), (7, prose(7000, 80) + " end"), (7, prose(7003, 80)),  # one of the two texts of 7 is linked
+        (8, prose(7004, 80)), (8, prose(7004, 80)),  # equal rows
+        (10, f"{line}\n{prose(7005, 60)}"), (11, f"{prose(7006, 9)}\n{line}\n{prose(7007, 60)}"), (11, f"{prose(7008, 9)}\n{own}\n{prose(7009, 60)}"),
+        (None, prose(7010, 50)), (None, prose(7010, 50)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    one = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert one.schema == docs.schema
+    got = sorted((str(r["doc_id"]), r["text"]) for r in one.collect())
+    assert got == sorted((str(i), t) for k, (i, t) in enumerate(rows) if k not in (1, 4))
+    cut = corpus_pipeline.cut_repeats(spark, one, "").collect()
+    texts = [r["text"] for r in cut if r["doc_id"] == 11]
+    assert len(cut) == len(rows) - 2 and rows[7][1] in texts and f"{prose(7006, 9)}\n{prose(7007, 60)}" in texts
+
+
 def test_without_is_an_exact_difference(spark, monkeypatch):
     docs = spark.createDataFrame([(i, str(i)) for i in range(500)] + [(None, "n"), (7, "again")], "doc_id long, text string")
     ids = spark.range(0, 500, 3).withColumnRenamed("id", "doc_id")

@@ -64,3 +64,24 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     known = cut_lineage(ids.select("doc_id"))
     flag = may_be_in(docs, known)
     return docs.where(~flag).union(docs.where(flag).join(known, "doc_id", "left_anti").select(docs.columns))
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id): the ids that more than one row has; written, so that it can be read again."""
+    return cut_lineage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+
+
+def with_row_keys(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with doc_id as (doc_id, digest of the text), so that rows of one id differ if their texts do.
+
+    The order of the ids stays; the digest is 0 where no other row has the id.
+    A null id stays null.
+    """
+    digest = F.when(may_be_in(docs, repeated), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("doc_id"), digest.alias("digest")))
+    return docs.select(*[key.alias("doc_id") if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def without_row_keys(docs: DataFrame) -> DataFrame:
+    """The ids of ``with_row_keys`` as they were."""
+    return docs.select(*[F.col("doc_id.doc_id").alias("doc_id") if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])

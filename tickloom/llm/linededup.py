@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.llm import idmap
 from tickloom.llm.wordhash import LOWER, text_slices
 
 # bytes count scripts without spaces too: a letter of theirs, three bytes, says about as much as half a word
@@ -185,14 +186,21 @@ def dedup(docs: DataFrame, removed: str = "removed", min_bytes: int = MIN_BYTES,
     ``removed`` is an array of (start, end) code point offsets in the original
     text; a column of that name is replaced.  Nulls: a null text stays null; a
     row without doc_id is neither compared nor cut.  Rows that repeat a doc_id
-    are taken for one document: the same unit number in them is the same
-    occurrence.  A document all of whose units are repeated is left with an
+    and its text are one document, that stays in each; rows of one doc_id with
+    other texts are documents of their own.  A document all of whose units are repeated is left with an
     empty text; an empty table gives no rows.
     """
     mark = "_positions"
     while mark in docs.columns:
         mark += "_"
     base = docs.drop(removed)
+    twice = idmap.repeated_ids(base)
+    if not twice.isEmpty():
+        return idmap.without_row_keys(_dedup(idmap.with_row_keys(base, twice), removed, mark, min_bytes, min_line))
+    return _dedup(base, removed, mark, min_bytes, min_line)
+
+
+def _dedup(base: DataFrame, removed: str, mark: str, min_bytes: int, min_line: int) -> DataFrame:
     marked = base.join(repeated(base).withColumnRenamed("positions", mark), "doc_id", "left").select(
         *[base[f"`{c}`"] for c in base.columns], mark
     )
