@@ -1,7 +1,9 @@
 """Plain single-machine versions of the operators, for comparison."""
 
 import hashlib
+import math
 import re
+import zlib
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -84,3 +86,79 @@ def edits(rows):
         edited = t[: len(t) - n] + after[:n]
         out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest())
     return out
+
+
+def surface(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) by plain loops."""
+    words = SPACE.findall(text or "")
+    windows = [tuple(words[i: i + 3]) for i in range(len(words) - 2)]
+    repeated = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    seen, dups = set(), 0
+    for line in (text or "").split("\n"):
+        if SPACE.search(line):
+            dups += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dups, len(repeated)
+
+
+def ngrams(text, orders):
+    words = ALNUM.findall(fold(text or ""))
+    return [" ".join(words[i: i + n]) for n in range(1, orders + 1) for i in range(len(words) - n + 1)]
+
+
+def resampled(rows, target, orders=1, buckets=10_000, min_words=20, percent=10, seed="2024"):
+    """[(doc_id, n_features, weight, score, rank)] in order of (doc_id, weight)."""
+    def places(text):
+        return [zlib.crc32(g.encode()) % buckets for g in ngrams(text, orders)]
+
+    s, t = [0] * buckets, [0] * buckets
+    for _, text in rows:
+        for b in places(text):
+            s[b] += 1
+    for text in target:
+        for b in places(text):
+            t[b] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    out = []
+    for i, text in rows:
+        found = places(text)
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in found)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([i, len(found), weight, score, None, len(ALNUM.findall(fold(text or "")))])
+    drawable = sorted((r for r in out if r[5] >= min_words), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, r in enumerate(drawable[: percent * len(drawable) // 100], 1):
+        r[4] = rank
+    return sorted((tuple(r[:5]) for r in out), key=str)
+
+
+def one_edit(a, b):
+    """Whether two words differ by exactly one inserted, deleted or replaced code point."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1:] == short for i in range(len(long)))
+
+
+def spellings(rows, min_length=7, min_count=2, ratio=10, slip=31):
+    """{word: (n, n_near, form, form_n, root)} by comparing all pairs."""
+    counts = {}
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = fold(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{word}".encode())
+            if h % slip == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1:]
+            counts[word] = counts.get(word, 0) + 1
+    words = {w: n for w, n in counts.items() if len(w) >= min_length and n >= min_count}
+    out = {}
+    for w, n in words.items():
+        near = [v for v in words if one_edit(w, v)]
+        best = min(near, key=lambda v: (-words[v], v), default=None)
+        form = best if best is not None and words[best] >= ratio * n else None
+        out[w] = (n, len(near), form, words.get(form))
+
+    def root(w):
+        return w if out[w][2] is None else root(out[w][2])
+
+    return {w: (*r, root(w)) for w, r in out.items()}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import (
-    bpe, decontaminate, fingerprint, htmltext, jaccard, langid, licenses, linededup, sharding, toxicity,
+    bpe, decontaminate, fingerprint, htmltext, jaccard, langid, licenses, linededup, quality, resampling, sharding, spelling,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +83,27 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+SQL["op11_quality"] = quality.ORACLE_SQL
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+SQL["op12_resampling"] = resampling.ORACLE_SQL
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
+SQL["op13_spelling"] = spelling.ORACLE_SQL
