@@ -61,14 +61,17 @@ def test_pair_sums_are_computed_once(spark, name):
 def test_grids_and_values_use_no_products(spark):
     df = panel(spark, {"A": [1, None, 3], "B": [2, 2, 2]}).where("value IS NOT NULL")
     cal = C.calendar_of(df)
-    plan = df.select("date", "asset", F.lit(0.5).alias("weight"))
-    for frame in (panels.densify(df, cal), panels.fill_gaps(df, cal), accounting.nav(df, cal, plan)):
+    whole = panel(spark, {"A": [1, 2, 3], "B": [2, 2, 2]})
+    plan = whole.select("date", "asset", F.lit(0.5).alias("weight"))
+    # the value line writes its growth; what it is written from is looked at by itself
+    growth = accounting.holdings_growth(whole, cal, plan)
+    for frame in (panels.densify(df, cal), panels.fill_gaps(df, cal), growth, accounting.nav(whole, cal, plan)):
         text = plan_of(frame)
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["total_return", "er_mean", "cov_sample", "gap_fill_controlled", "m_limit_weights"])
+@pytest.mark.parametrize("name", ["total_return", "er_mean", "signal_history", "research_chain", "cov_sample", "gap_fill_controlled", "m_limit_weights"])
 def test_registered_plans_have_no_products(spark, name):
     text = plan_of(workload.QUERIES[name](spark, DATA))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -1,6 +1,7 @@
 """Covariance, weights, accounting and statistics against NumPy, pandas and plain loops."""
 
 import datetime
+import random
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helpers import cells, cross, day, panel
 from tickloom.functions import fees
-from tickloom.operators import accounting, covariance, stats, weights
+from tickloom.operators import accounting, covariance, stats, support, weights
 from tickloom.operators import calendar as C
 from tickloom.operators.selection import select_all
 
@@ -250,3 +251,73 @@ def test_live_start_seeds_and_trades_after_it(spark):
     assert [(r["date"], r["value"]) for r in line] == [(dates[2], 1000.0), (dates[3], 2000.0)]
     with pytest.raises(Exception, match="no date of the calendar"):
         accounting.nav(prices, calendar, plan, 1000.0, live_start="2030-01-01").collect()
+
+
+# ---------------------------------------------------------------- chains of affine steps
+@pytest.mark.parametrize("block", [2, 5, 256])
+def test_affine_scan_equals_a_loop(spark, block):
+    pick = random.Random(3)
+    rows, want = [], {}
+    for key, n in (("a", 23), ("b", 1), (None, 11)):
+        state = 7.0
+        for i in range(n):
+            gain, shift = pick.choice([0.0, -1.5, 0.25, 1.0, 1.1]), pick.uniform(-3, 3)
+            rows.append((key, i * 2, gain, shift, [i]))
+            want[key, i * 2] = state
+            state = gain * state + shift
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, at int, g double, s double, more array<int>").repartition(3)
+    out = support.affine_scan(df, ["k"], "at", F.col("g"), F.col("s"), 7.0, "state", block).collect()
+    assert len(out) == len(rows) and all(r["more"] == [r["at"] // 2] for r in out)
+    assert all(r["state"] == pytest.approx(want[r["k"], r["at"]]) for r in out)
+    assert support.affine_scan(df.limit(0), ["k"], "at", F.col("g"), F.col("s")).count() == 0
+    # one group without keys
+    one = support.affine_scan(df.where("k = 'a'"), [], "at", F.col("g"), F.col("s"), 7.0, "state", block).collect()
+    assert all(r["state"] == pytest.approx(want["a", r["at"]]) for r in one)
+
+
+def test_value_survives_a_total_loss_and_later_money(spark):
+    df = panel(spark, {"A": [1, 0, 0, 5, 5, 5], "B": [1, 1, 1, 1, 2, 4]})
+    cal = C.calendar_of(df)
+    days = [r["date"] for r in cal.orderBy("pos").collect()]
+    plan = spark.createDataFrame([(days[1], "A", 1.0), (days[3], "B", 1.0), (days[5], "B", 1.0)], "date date, asset string, weight double")
+    money = spark.createDataFrame([(days[2], 100.0), (days[4], 10.0)], "date date, amount double")
+    line = accounting.nav(df, cal, plan, 50.0, flows=money).orderBy("date").collect()
+    # all is lost on the second date; what comes on the third waits for the trade on the fourth
+    assert [r["value"] for r in line] == [50.0, 0.0, 100.0, 100.0, 210.0, 420.0]
+    held = accounting.positions(df, cal, plan, 50.0, flows=money).collect()
+    assert {(r["date"], r["asset"]): r["quantity"] for r in held if r["asset"] == "B"} == {
+        (days[3], "B"): 100.0, (days[4], "B"): 100.0, (days[5], "B"): 105.0
+    }
+
+
+def test_closed_names_leave_the_book_for_cash(spark):
+    df = panel(spark, {"A": [1, 1, 2, 9, 9], "B": [1, 1, 1, 1, 1], "C": [2, 2, 2, 1, 1]})
+    cal = C.calendar_of(df)
+    days = [r["date"] for r in cal.orderBy("pos").collect()]
+    plan = spark.createDataFrame([(days[1], a, w) for a, w in (("A", 1.0), ("B", 0.5), ("C", -0.5))], "date date, asset string, weight double")
+    cut = spark.createDataFrame([("A", days[3])], "asset string, cutoff date")
+    inputs = {"cutoffs": cut, "margin": True}
+    line = {r["date"]: (r["value"], r["cash"]) for r in accounting.nav(df, cal, plan, 100.0, **inputs).collect()}
+    # A is sold at 2, the close before its closing date; C is short
+    assert line[days[2]] == (200.0, 0.0) and line[days[3]] == (225.0, 200.0)
+    held = {(r["date"], r["asset"]) for r in accounting.positions(df, cal, plan, 100.0, **inputs).collect()}
+    assert (days[2], "A") in held and (days[3], "A") not in held and (days[4], "B") in held
+    rows = {(r["date"], r["asset"]): (r["quantity"], r["execution"]) for r in accounting.trades(df, cal, plan, 100.0, **inputs).collect()}
+    assert rows[days[3], "A"] == (-100.0, 2.0) and rows[days[1], "C"] == (-25.0, 2.0) and len(rows) == 4
+    shares = {(r["date"], r["asset"]): r["weight"] for r in accounting.drifted_weights(df, cal, plan, 100.0, **inputs).collect()}
+    assert shares[days[3], "Cash"] == pytest.approx(200 / 225) and shares[days[3], "C"] == pytest.approx(-25 / 225)
+    with pytest.raises(Exception, match="add up to"):
+        accounting.positions(df, cal, plan.withColumn("weight", F.abs("weight")), 100.0).collect()
+
+
+def test_transition_over_thousands_of_targets(spark):
+    first = day("2000-01-01")
+    dates = [first + datetime.timedelta(days=i) for i in range(5_000)]
+    targets = spark.createDataFrame([(d, "A", float(i % 7)) for i, d in enumerate(dates)], "date date, asset string, weight double")
+    cal = C.calendar_of(targets)
+    got = {r["date"]: r["weight"] for r in weights.transition_schedule(targets, cal, 4).collect()}
+    at = 0.0
+    for i, d in enumerate(dates):
+        at += (i % 7 - at) / 4
+        assert got.get(d, 0.0) == pytest.approx(at, abs=1e-9)

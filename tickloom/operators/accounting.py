@@ -7,8 +7,11 @@ trade dates the value is
     V(t) = B (1 - sum w + sum w P(t) / P(c)),
 
 and the base B of a segment is the end value of the one before, plus flows.
-Growth inside every segment is one join and one grouped sum over all dates; only
-the chaining of segment growths is sequential, and it runs over the calendar.
+Growth inside every segment is one join and one grouped sum over all dates.  A
+segment so is a step from one value to the next, gain times value plus shift;
+the steps of a portfolio are chained by ``affine_scan``.  Values, positions,
+weights, trades and turnover all read this one book, so they take the same
+inputs: cash held back, closing dates, flows, a live start and margin.
 
 Every frame may carry portfolio columns (``by``), so that any number of
 schedules is valued in the same job.
@@ -17,13 +20,14 @@ schedules is valued in the same job.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.calendar import close_after_dates
 from tickloom.operators.panels import placed
-from tickloom.operators.support import with_scalars
+from tickloom.operators.support import affine_scan, with_scalars
 from tickloom.session import cut_lineage
 
 CASH = "Cash"
@@ -51,14 +55,19 @@ def segments(calendar: DataFrame, schedule: DataFrame, by: Sequence[str] = ()) -
     )
 
 
+def closings(calendar: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """(asset, _closed): the position of each asset's first closing date."""
+    closing = close_after_dates(calendar, cutoffs).groupBy("asset").agg(F.min("date").alias("date"))
+    return closing.join(calendar.select("date", "pos"), "date").select("asset", F.col("pos").alias("_closed"))
+
+
 def close_positions(prices: DataFrame, calendar: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Prices frozen from each closing date on, at the close before it.
 
     A position closed to cash is worth its last executed price from then on, so
     the value needs no extra segment.
     """
-    closing = close_after_dates(calendar, cutoffs).groupBy("asset").agg(F.min("date").alias("date"))
-    closing = closing.join(calendar.select("date", "pos"), "date").select("asset", F.col("pos").alias("_closed"))
+    closing = closings(calendar, cutoffs)
     rows = placed(prices.where(F.col("value").isNotNull()), calendar).join(closing, "asset", "left")
     rows = rows.where(F.col("_closed").isNull() | (F.col("pos") < F.col("_closed")))
     line = Window.partitionBy("asset").orderBy("pos")
@@ -109,14 +118,28 @@ def holdings_growth(
 
 def live_calendar(calendar: DataFrame, live_start) -> DataFrame:
     """The calendar from the live start on, which must be one of its dates; positions begin there."""
-    day = F.lit(str(live_start)).cast("date")
-    marked = with_scalars(calendar, calendar.agg(F.max(F.when(F.col("date") == day, F.col("pos"))).alias("_live")))
-    live = F.coalesce("_live", F.raise_error(F.lit(f"{live_start} is no date of the calendar")).cast("int"))
-    moved = marked.select("date", (F.col("pos") - live).alias("pos"), (F.col("last") - live).alias("last"))
+    found = calendar.where(F.col("date") == F.lit(str(live_start)).cast("date")).select("pos").first()
+    if found is None:
+        raise ValueError(f"{live_start} is no date of the calendar")
+    moved = calendar.select("date", (F.col("pos") - found["pos"]).alias("pos"), (F.col("last") - found["pos"]).alias("last"))
     return cut_lineage(moved.where(F.col("pos") >= 0))
 
 
-def nav(
+@dataclass(frozen=True)
+class Book:
+    """What a schedule's reports read: prices as traded, segments, held names and the value line."""
+
+    by: list[str]
+    prices: DataFrame
+    calendar: DataFrame
+    schedule: DataFrame
+    segs: DataFrame
+    growth: DataFrame  # as holdings_growth, with whether the name is closed by then
+    closed: DataFrame | None  # (asset, _closed)
+    line: DataFrame  # (by, date, pos, base_value, value, cash, index)
+
+
+def book(
     prices: DataFrame,
     calendar: DataFrame,
     schedule: DataFrame,
@@ -127,33 +150,47 @@ def nav(
     by: Sequence[str] = (),
     live_start=None,
     margin: bool = False,
-) -> DataFrame:
-    """(by, date, value, cash, index) on every calendar date.
+) -> Book:
+    """The book of a schedule, for any of the reports.
 
     ``flows`` is (date, amount): money added on a date, invested with the next
     trade (or the one on that date) and neutral to the index.  With
     ``live_start`` the capital is put in at the close of that date, earlier
     dates are history for signals only and the first trade comes after it.
-    Weights that add up to more than one fail unless ``margin`` is allowed.
+    Weights that add up to more than one fail unless ``margin`` is allowed.  A
+    name is sold at the close before its closing date (``cutoffs``) and stays in
+    cash until the next trade; negative weights are short positions.
     """
     by = list(by)
     if live_start is not None:
         calendar = live_calendar(calendar, live_start)
     if cash is not None:
         schedule = cash_reserve(schedule, cash)
+    traded, closed = prices, None
     if cutoffs is not None:
         prices = close_positions(prices, calendar, cutoffs)
         schedule = open_schedule(schedule, calendar, cutoffs)
+        closed = closings(calendar, cutoffs)
     segs = segments(calendar, schedule, by)
-    growth = holdings_growth(prices, calendar, schedule, by, segs)
+    growth = holdings_growth(prices, calendar, schedule, by, segs).withColumn("closed", F.lit(False))
+    if closed is not None:
+        growth = growth.join(closed, "asset", "left").withColumn("closed", F.coalesce(F.col("pos") >= F.col("_closed"), F.lit(False)))
     line = _values(growth, calendar, schedule, segs, initial_capital, flows, by, margin)
-    return line.select(*by, "date", "value", "cash", "index")
+    return Book(by, traded, calendar, schedule, segs, growth, closed, line)
+
+
+def nav(prices: DataFrame, calendar: DataFrame, schedule: DataFrame, initial_capital: float = 1e6, **inputs) -> DataFrame:
+    """(by, date, value, cash, index) on every calendar date; ``inputs`` as for ``book``."""
+    kept = book(prices, calendar, schedule, initial_capital, **inputs)
+    return kept.line.select(*kept.by, "date", "value", "cash", "index")
 
 
 def _values(growth, calendar, schedule, segs, initial_capital, flows, by, margin=False) -> DataFrame:
-    """Value line with its segment base: (by, date, pos, seg, base_value, value, cash, index)."""
+    """Value line with its segment base: (by, date, pos, base_value, value, cash, index)."""
     ratio = F.col("weight") * F.col("price") / F.col("base")
-    held = growth.groupBy(*by, "seg", "pos").agg(F.sum(ratio).alias("_held"))
+    held = growth.groupBy(*by, "seg", "pos").agg(
+        F.sum(ratio).alias("_held"), F.sum(F.when(F.col("closed"), ratio)).alias("_sold")
+    )
     invested = schedule.select(*by, F.col("date").alias("seg"), "weight").groupBy(*by, "seg").agg(F.sum("weight").alias("_w"))
     if not margin:
         say = F.concat_ws(" ", F.lit("weights of"), F.col("seg").cast("string"), F.lit("add up to"), F.col("_w").cast("string"))
@@ -161,44 +198,46 @@ def _values(growth, calendar, schedule, segs, initial_capital, flows, by, margin
         invested = invested.withColumn("_w", spent)
     days = segs.select(*by, "seg", "start", "final", F.explode(F.sequence("start", "final")).alias("pos"))
     line = days.join(invested, [*by, "seg"], "left").join(held, [*by, "seg", "pos"], "left")
-    line = line.na.fill(0.0, ["_w", "_held"])
-    line = line.withColumn("_f", 1 - F.col("_w") + F.col("_held"))
-    # dates before the first trade keep the capital in cash
-    portfolios = segs.select(*by).distinct() if by else None
-    spine = calendar.select("date", "pos")
-    if portfolios is not None:
-        every = with_scalars(portfolios, calendar.agg(F.sort_array(F.collect_list(F.struct("pos", "date"))).alias("_days")))
-        spine = every.select(*by, F.explode("_days").alias("_d")).select(*by, "_d.date", "_d.pos")
-    amounts = (
-        spine.withColumn("_flow", F.lit(0.0))
-        if flows is None
-        else spine.join(flows.groupBy("date").agg(F.sum("amount").alias("_flow")), "date", "left").na.fill(0.0, ["_flow"])
-    )
-    full = amounts.join(line, [*by, "pos"], "left")
-
-    order = Window.partitionBy(*by).orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # growth of all finished segments ahead of this date's own
-    ended = F.when(F.col("pos") == F.col("final"), F.col("_f"))
-    full = full.withColumn("_g", F.coalesce(F.product(ended).over(before), F.lit(1.0)))
-    # money in by the start of the segment, at the value of one unit of growth
-    full = full.withColumn("_open", F.col("pos") == F.col("start"))
-    full = full.withColumn("_in", F.sum("_flow").over(upto))
-    full = full.withColumn("_in_at_start", F.last(F.when(F.col("_open"), F.col("_in")), True).over(upto))
-    arrived = F.col("_in_at_start") - F.coalesce(F.last(F.when(F.col("_open"), F.col("_in")), True).over(before), F.lit(0.0))
-    full = full.withColumn("_units", F.sum(F.when(F.col("_open"), arrived / F.col("_g"))).over(upto))
-    since = F.col("_in") - F.coalesce("_in_at_start", F.lit(0.0))
+    line = line.na.fill(0.0, ["_w", "_held", "_sold"]).withColumn("_f", 1 - F.col("_w") + F.col("_held"))
+    # one row per portfolio and date, read for the ends of segments and for their dates
+    line = cut_lineage(line.select(*by, "seg", "start", "final", "pos", "_w", "_sold", "_f"))
+
+    whole = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    amounts = calendar.select("date", "pos")
+    if flows is None:
+        amounts = amounts.withColumn("_flow", F.lit(0.0)).withColumn("_in", F.lit(0.0))
+    else:
+        moved = flows.groupBy("date").agg(F.sum("amount").cast("double").alias("_flow"))
+        amounts = amounts.join(moved, "date", "left").na.fill(0.0, ["_flow"])
+        amounts = amounts.withColumn("_in", F.sum("_flow").over(whole))  # one row per date
+    ends = line.where(F.col("pos") == F.col("final")).select(*by, "seg", "start", "_f")
+    opening = amounts.select(F.col("pos").alias("start"), F.col("_in").alias("_in_at_start"))
+    turns = ends.join(opening, "start")
+    # money that came since the trade before goes in with this one
+    arrived = F.col("_in_at_start") - F.coalesce(F.lag("_in_at_start").over(Window.partitionBy(*by).orderBy("start")), F.lit(0.0))
+    turns = turns.withColumn("_arrived", arrived)
+    based = affine_scan(turns, by, "start", F.col("_f"), F.col("_f") * F.col("_arrived"), float(initial_capital), "_value")
+    based = based.select(*by, "seg", (F.col("_value") + F.col("_arrived")).alias("base_value"), "_in_at_start")
+
+    spine = amounts
+    if by:
+        # portfolios times the dates of one calendar
+        spine = with_scalars(segs.select(*by).distinct(), amounts.agg(F.sort_array(F.collect_list(F.struct("pos", "date", "_flow", "_in"))).alias("_days")))
+        spine = spine.select(*by, F.explode("_days").alias("_d")).select(*by, "_d.*")
+    full = spine.join(line, [*by, "pos"], "left").join(based, [*by, "seg"], "left")
     capital = F.lit(float(initial_capital))
-    full = full.withColumn("base_value", F.col("_g") * (capital + F.coalesce("_units", F.lit(0.0))))
-    full = full.withColumn(
-        "value", F.when(F.col("seg").isNull(), capital + F.col("_in")).otherwise(F.col("base_value") * F.col("_f") + since)
-    )
-    cash = F.when(F.col("seg").isNull(), F.col("value")).otherwise(F.col("base_value") * (1 - F.col("_w")) + since)
+    waiting = F.col("_in") - F.coalesce("_in_at_start", F.lit(0.0))
+    idle = F.col("seg").isNull()  # dates before the first trade keep the capital in cash
+    full = full.withColumn("value", F.when(idle, capital + F.col("_in")).otherwise(F.col("base_value") * F.col("_f") + waiting))
+    kept = F.col("base_value") * (1 - F.col("_w") + F.col("_sold")) + waiting
+    full = full.withColumn("cash", F.when(idle, F.col("value")).otherwise(kept))
+    order = Window.partitionBy(*by).orderBy("pos")
     bottom = F.coalesce(F.lag("value").over(order), capital) + F.col("_flow")
     step = F.when(F.abs(bottom) > 1e-16, F.col("value") / F.when(F.abs(bottom) > 1e-16, bottom)).otherwise(1.0)
-    full = full.withColumn("cash", cash).withColumn("_step", step)
-    return full.withColumn("index", 100.0 * F.product("_step").over(upto))
+    index = 100.0 * F.product("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return full.withColumn("_step", step).withColumn("index", index).select(
+        *by, "date", "pos", F.coalesce("base_value", capital).alias("base_value"), "value", "cash", "index"
+    )
 
 
 def strategy_index(values: DataFrame, flows: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -213,19 +252,20 @@ def strategy_index(values: DataFrame, flows: DataFrame | None = None, by: Sequen
     ).select(*by, "date", "index")
 
 
-def _book(prices, calendar, schedule, initial_capital, by) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Segments, growth of the held names and the value line; the line (one row per date) is written once."""
-    segs = segments(calendar, schedule, by)
-    growth = holdings_growth(prices, calendar, schedule, by, segs)
-    line = _values(growth, calendar, schedule, segs, initial_capital, None, by)
-    return segs, growth, cut_lineage(line.select(*by, "date", "pos", "base_value", "value", "cash"))
+def _written(kept: Book) -> DataFrame:
+    """The value line (one row per portfolio and date), written once for what reads it more often."""
+    return cut_lineage(kept.line.select(*kept.by, "date", "pos", "base_value", "value", "cash"))
 
 
-def drifted_weights(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
-    """Share of every name and of cash in the value, per date."""
-    by = list(by)
-    _, growth, values = _book(prices, calendar, schedule, initial_capital, by)
-    worth = growth.join(values.select(*by, "pos", "base_value", "value"), [*by, "pos"])
+def _held_names(kept: Book) -> DataFrame:
+    return kept.growth.where(~F.col("closed"))
+
+
+def drifted_weights(prices, calendar, schedule, initial_capital: float = 1e6, **inputs) -> DataFrame:
+    """Share of every name and of cash in the value, per date; ``inputs`` as for ``book``."""
+    kept = book(prices, calendar, schedule, initial_capital, **inputs)
+    by, values = kept.by, _written(kept)
+    worth = _held_names(kept).join(values.select(*by, "pos", "base_value", "value"), [*by, "pos"])
     names = worth.select(
         *by, "date", "asset", (F.col("base_value") * F.col("weight") * F.col("price") / F.col("base") / F.col("value")).alias("weight")
     )
@@ -247,20 +287,24 @@ def member_weights(children: DataFrame, parents: DataFrame, parent: str = "paren
     return inner.unionByName(outer)
 
 
-def _targets(prices, calendar, schedule, by, segs, values) -> DataFrame:
+def _targets(kept: Book, values: DataFrame) -> DataFrame:
     """Units from each trade date on: (by, date, asset, quantity, execution, price), exits as zero."""
-    opening = opened(prices, calendar, schedule, by, segs).withColumn("pos", F.col("start"))
+    by, calendar = kept.by, kept.calendar
+    opening = opened(kept.prices, calendar, kept.schedule, by, kept.segs).withColumn("pos", F.col("start"))
     opening = opening.join(values.select(*by, "pos", "base_value"), [*by, "pos"])
     held = opening.select(
         *by, "pos", "final", "asset", (F.col("weight") * F.col("base_value") / F.col("base")).alias("quantity")
     )
     # a name that is not renewed leaves on the next trade date
     exits = held.select(*by, (F.col("final") + 1).alias("pos"), "asset", F.lit(0.0).alias("quantity"))
-    turns = segs.select(*by, F.col("start").alias("pos"))
-    exits = exits.join(turns, [*by, "pos"], "left_semi")
-    both = held.select(*by, "pos", "asset", "quantity").unionByName(exits)
+    turns = kept.segs.select(*by, F.col("start").alias("pos"))
+    both = held.select(*by, "pos", "asset", "quantity").unionByName(exits.join(turns, [*by, "pos"], "left_semi"))
+    if kept.closed is not None:
+        # a closed one on its closing date
+        left = held.join(kept.closed, "asset").where((F.col("_closed") > F.col("pos")) & (F.col("_closed") <= F.col("final")))
+        both = both.unionByName(left.select(*by, F.col("_closed").alias("pos"), "asset", F.lit(0.0).alias("quantity")))
     units = both.groupBy(*by, "pos", "asset").agg(F.sum("quantity").alias("quantity"))
-    marks = placed(prices.where(F.col("value").isNotNull()), calendar)
+    marks = placed(kept.prices.where(F.col("value").isNotNull()), calendar)
     today = marks.select("pos", "asset", F.col("value").alias("price"))
     executed = marks.select((F.col("pos") + 1).alias("pos"), "asset", F.col("value").alias("execution"))
     return (
@@ -270,18 +314,17 @@ def _targets(prices, calendar, schedule, by, segs, values) -> DataFrame:
     )
 
 
-def positions(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
-    """Units held, on every date a name is held."""
-    by = list(by)
-    _, growth, values = _book(prices, calendar, schedule, initial_capital, by)
-    worth = growth.join(values.select(*by, "pos", "base_value"), [*by, "pos"])
-    return worth.select(*by, "date", "asset", (F.col("weight") * F.col("base_value") / F.col("base")).alias("quantity"))
+def positions(prices, calendar, schedule, initial_capital: float = 1e6, **inputs) -> DataFrame:
+    """Units held, on every date a name is held; ``inputs`` as for ``book``."""
+    kept = book(prices, calendar, schedule, initial_capital, **inputs)
+    worth = _held_names(kept).join(kept.line.select(*kept.by, "pos", "base_value"), [*kept.by, "pos"])
+    return worth.select(*kept.by, "date", "asset", (F.col("weight") * F.col("base_value") / F.col("base")).alias("quantity"))
 
 
-def trades(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
-    """Changes of position: (by, date, asset, quantity, price, execution)."""
-    segs, _, values = _book(prices, calendar, schedule, initial_capital, list(by))
-    return _changes(_targets(prices, calendar, schedule, list(by), segs, values), by)
+def trades(prices, calendar, schedule, initial_capital: float = 1e6, **inputs) -> DataFrame:
+    """Changes of position: (by, date, asset, quantity, price, execution); ``inputs`` as for ``book``."""
+    kept = book(prices, calendar, schedule, initial_capital, **inputs)
+    return _changes(_targets(kept, kept.line), kept.by)
 
 
 def _changes(units: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -292,22 +335,22 @@ def _changes(units: DataFrame, by: Sequence[str]) -> DataFrame:
     return moved.where(F.abs("quantity") > 1e-12).select(*by, "date", "asset", "quantity", "price", "execution")
 
 
-def transactions(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
+def transactions(prices, calendar, schedule, initial_capital: float = 1e6, **inputs) -> DataFrame:
     """Trades with the price of their date."""
-    return trades(prices, calendar, schedule, initial_capital, by).drop("execution")
+    return trades(prices, calendar, schedule, initial_capital, **inputs).drop("execution")
 
 
-def outlays(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
+def outlays(prices, calendar, schedule, initial_capital: float = 1e6, **inputs) -> DataFrame:
     """Money spent (or received) per name and trade date, at the execution price."""
-    rows = trades(prices, calendar, schedule, initial_capital, by)
-    return rows.select(*by, "date", "asset", (F.col("quantity") * F.col("execution")).alias("outlay"))
+    rows = trades(prices, calendar, schedule, initial_capital, **inputs)
+    return rows.withColumn("outlay", F.col("quantity") * F.col("execution")).drop("quantity", "price", "execution")
 
 
-def turnover(prices, calendar, schedule, initial_capital: float = 1e6, by: Sequence[str] = ()) -> DataFrame:
-    """Smaller of money bought and money sold over the value, on every date."""
-    by = list(by)
-    segs, _, values = _book(prices, calendar, schedule, initial_capital, by)
-    rows = _changes(_targets(prices, calendar, schedule, by, segs, values), by)
+def turnover(prices, calendar, schedule, initial_capital: float = 1e6, **inputs) -> DataFrame:
+    """Smaller of money bought and money sold over the value, on every date; ``inputs`` as for ``book``."""
+    kept = book(prices, calendar, schedule, initial_capital, **inputs)
+    by, values = kept.by, _written(kept)
+    rows = _changes(_targets(kept, values), by)
     outlay = F.col("quantity") * F.col("execution")
     spent = rows.groupBy(*by, "date").agg(
         F.sum(F.greatest(outlay, F.lit(0.0))).alias("_buy"), F.sum(F.greatest(-outlay, F.lit(0.0))).alias("_sell")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.support import finite, with_scalars
+from tickloom.operators.support import finite
 from tickloom.session import cut_lineage
 
 
@@ -64,9 +64,10 @@ def day_map(calendar: DataFrame, direction: str) -> DataFrame:
     return calendar.withColumn("_edge", edge).select(F.explode(span).alias("day"), "date", "pos")
 
 
-def bounds(calendar: DataFrame) -> DataFrame:
-    """First and last trading date, one row."""
-    return calendar.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+def bounds(calendar: DataFrame) -> tuple[Column, Column]:
+    """First and last trading date as literals, read once from the written calendar; null for an empty one."""
+    first, last = calendar.agg(F.min("date"), F.max("date")).first()
+    return F.lit(first).cast("date"), F.lit(last).cast("date")
 
 
 def as_of(calendar: DataFrame, days: DataFrame) -> DataFrame:
@@ -75,8 +76,8 @@ def as_of(calendar: DataFrame, days: DataFrame) -> DataFrame:
     A day after the last trading date reads the last one; a day before the
     first has none and drops out.
     """
-    edged = with_scalars(days, bounds(calendar))
-    reached = edged.withColumn("_day", F.least("day", "last_date")).drop("first_date", "last_date")
+    _, last_date = bounds(calendar)
+    reached = days.withColumn("_day", F.when(last_date.isNotNull(), F.least(F.col("day"), last_date)))
     known = day_map(calendar, "previous").select(F.col("day").alias("_day"), "date", "pos")
     return reached.join(known, "_day").drop("_day")
 
@@ -94,8 +95,8 @@ def window_edges(
         end = lookforward.after(end)
     frame = dates.select(F.col("date").alias("now")).distinct()
     edges = frame.select("now", lookback.before(F.col("now")).alias("_from"), end.alias("_to"))
-    edges = with_scalars(edges, bounds(calendar))
-    edges = edges.withColumn("_from", F.greatest("_from", "first_date")).withColumn("_to", F.least("_to", "last_date"))
+    first_date, last_date = bounds(calendar)
+    edges = edges.withColumn("_from", F.greatest(F.col("_from"), first_date)).withColumn("_to", F.least(F.col("_to"), last_date))
     after = day_map(calendar, "next").select(F.col("day").alias("_from"), F.col("pos").alias("a"))
     before = day_map(calendar, "previous").select(F.col("day").alias("_to"), F.col("pos").alias("b"))
     return edges.join(after, "_from").join(before, "_to").where(F.col("a") <= F.col("b")).select("now", "a", "b")
@@ -324,5 +325,6 @@ def negate(calendar: DataFrame, gate: DataFrame) -> DataFrame:
 def close_after_dates(calendar: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Closing date of each (asset, cutoff): the first trading date on or after its cutoff."""
     # pull every earlier cutoff up to the first trading date, then look up by day
-    placed = with_scalars(cutoffs, bounds(calendar)).withColumn("day", F.greatest("cutoff", "first_date"))
+    first_date, _ = bounds(calendar)
+    placed = cutoffs.withColumn("day", F.greatest(F.col("cutoff"), first_date))
     return placed.join(day_map(calendar, "next"), "day").select("asset", "date")

@@ -124,8 +124,7 @@ def load_range(panel: DataFrame, start, end=None) -> DataFrame:
 def delisted(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     """Last date with a value, for the assets without one on the final date."""
     seen = panel.where(F.col("value").isNotNull()).groupBy("asset").agg(F.max("date").alias("last_valid_date"))
-    final = bounds(calendar).select(F.col("last_date").alias("last_valid_date"))
-    return seen.join(F.broadcast(final), "last_valid_date", "left_anti").select("asset", "last_valid_date")
+    return seen.where(~F.col("last_valid_date").eqNullSafe(bounds(calendar)[1])).select("asset", "last_valid_date")
 
 
 def membership(weights: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import factors
-from tickloom.operators.calendar import Offset, as_of
+from tickloom.operators.calendar import Offset, as_of, bounds
 from tickloom.operators.estimators import QUARTER
 from tickloom.operators.panels import densify
-from tickloom.operators.support import with_scalars
 
 
 def asof_last_price(panel: DataFrame, calendar: DataFrame, dates: DataFrame) -> DataFrame:
@@ -66,6 +65,6 @@ def signal_history(selected: DataFrame, calendar: DataFrame, universe: DataFrame
     marks = selected.select("date", "asset").distinct().withColumn("value", F.lit(1.0))
     if universe is not None:
         # one empty cell per name puts it on the grid
-        seeds = with_scalars(universe.select("asset").distinct(), calendar.agg(F.min("date").alias("date")))
+        seeds = universe.select(bounds(calendar)[0].alias("date"), "asset").distinct()
         marks = marks.unionByName(seeds.withColumn("value", F.lit(None).cast("double"))).groupBy("date", "asset").agg(F.max("value").alias("value"))
     return densify(marks, calendar).select("date", "asset", F.col("value").isNotNull().alias("flag"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.panels import shift
-from tickloom.operators.support import Ordering, finite, ordered_prefix, with_group_totals
+from tickloom.operators.support import Ordering, affine_scan, finite, ordered_prefix, with_group_totals
 from tickloom.session import cut_lineage
 
 TOLERANCE = 1e-12
@@ -240,36 +240,15 @@ def transition_schedule(targets: DataFrame, calendar: DataFrame, n: int = 10) ->
     )
     reached = F.coalesce("_next", F.col("last") + 1) - F.col("pos")
     rows = targets.join(turns.withColumn("_steps", F.least(reached, F.lit(n))), "date")
-    # where each name stands when its target arrives: a fold over its own targets
-    goals = rows.groupBy("asset").agg(
-        F.sort_array(F.collect_list(F.struct("_turn", "pos", "_steps", "weight"))).alias("_goals")
+    # where each name stands when its target arrives: from nothing if the target before did not list it
+    listed = F.lag("_turn").over(Window.partitionBy("asset").orderBy("_turn")) == F.col("_turn") - 1
+    rows = rows.select("asset", "_turn", "pos", "_steps", "weight", F.coalesce(listed, F.lit(False)).alias("_listed"))
+    share = F.col("_steps") / F.lit(n)
+    moved = affine_scan(rows, ["asset"], "_turn", F.when(F.col("_listed"), 1 - share).otherwise(0.0), share * F.col("weight"), before="_at")
+    origin = F.when(F.col("_listed"), F.col("_at")).otherwise(0.0)
+    steps = moved.select(
+        "asset", "pos", origin.alias("origin"), F.col("weight").alias("goal"), F.explode(F.sequence(F.lit(1), F.col("_steps"))).alias("_k")
     )
-    start = F.struct(
-        F.lit(-1).alias("turn"),
-        F.lit(0.0).alias("at"),
-        F.array().cast("array<struct<pos:int,steps:int,origin:double,goal:double>>").alias("out"),
-    )
-
-    def follow(state: Column, goal: Column) -> Column:
-        origin = F.when(state["turn"] == goal["_turn"] - 1, state["at"]).otherwise(0.0)
-        return F.struct(
-            goal["_turn"].alias("turn"),
-            (origin + (goal["weight"] - origin) * goal["_steps"] / n).alias("at"),
-            F.concat(
-                state["out"],
-                F.array(
-                    F.struct(
-                        goal["pos"].cast("int").alias("pos"),
-                        goal["_steps"].cast("int").alias("steps"),
-                        origin.alias("origin"),
-                        goal["weight"].alias("goal"),
-                    )
-                ),
-            ).alias("out"),
-        )
-
-    legs = goals.select("asset", F.explode(F.aggregate("_goals", start, follow)["out"]).alias("_leg"))
-    steps = legs.select("asset", "_leg.*", F.explode(F.sequence(F.lit(1), F.col("_leg.steps"))).alias("_k"))
     placed = steps.select(
         "asset",
         (F.col("pos") + F.col("_k") - 1).alias("pos"),

@@ -218,6 +218,82 @@ SELECT v.date, {rs('coalesce(least(buy, sell), 0) / (b * f)', 8)} AS turnover FR
     ("trd", "val"),
 )(lambda spark, sf: A.turnover(*_args(spark, sf), CAPITAL).select("date", rnd("turnover", 8).alias("turnover")))
 
+# ------------------------------------------------------------------ one book with every input at once
+# long and short names on borrowed money, closings, flows, a reserve and a live start
+_SIGNED = "CASE WHEN CAST(split_part(asset, '#', 2) AS INTEGER) % 3 = 0 THEN -0.5 ELSE 1.75 END"
+cte("cut_mix", f"SELECT asset, min(date) AS date, min(pos) AS pos FROM {_CUTOFFS} JOIN cal_live ON date >= cutoff GROUP BY 1", "cal_live")
+cte(
+    "fa_mix",
+    """SELECT f.date, f.pos, f.asset, CASE WHEN c.pos IS NOT NULL AND f.pos >= c.pos THEN g.value ELSE f.value END AS value FROM fa_live f
+LEFT JOIN cut_mix c ON c.asset = f.asset LEFT JOIN fa_live g ON g.asset = c.asset AND g.pos = c.pos - 1 WHERE f.pos >= 0""",
+    "fa_live",
+    "cut_mix",
+)
+cte(
+    "sch_mix",
+    f"SELECT s.date, s.asset, s.weight * {_SIGNED.replace('asset', 's.asset')} * (1 - 0.1) AS weight FROM sch s LEFT JOIN cut_mix c ON c.asset = s.asset WHERE c.date IS NULL OR s.date < c.date",
+    "sch",
+    "cut_mix",
+)
+_book_ctes("_mix", "fa_mix", "sch_mix", "cal_live")
+cte(
+    "flow_mix",
+    f"""SELECT c.date, c.pos, f.seg, coalesce(f.f, 1) AS f, coalesce(f.w, 0) AS w, coalesce(s.start = c.pos, FALSE) AS opens, {_FLOW_SQL} AS flow
+FROM cal_live c LEFT JOIN fac_mix f ON f.pos = c.pos LEFT JOIN seg_mix s ON s.seg = f.seg""",
+    "fac_mix",
+    "seg_mix",
+    "cal_live",
+)
+# day by day: base of the segment, money that waits for the next trade, value
+_MIX = """WITH RECURSIVE m(pos, date, flow, w, b, extra, v) AS (SELECT pos, date, flow, CAST(w AS DOUBLE), CAST(1000 AS DOUBLE), CAST(flow AS DOUBLE), CAST(1000 + flow AS DOUBLE) FROM flow_mix WHERE pos = 0 UNION ALL
+SELECT n.pos, n.date, n.flow, n.w, CASE WHEN n.opens THEN m.v + n.flow ELSE m.b END, CASE WHEN n.opens THEN 0 ELSE m.extra + n.flow END,
+CASE WHEN n.opens THEN (m.v + n.flow) * n.f ELSE m.b * n.f + m.extra + n.flow END FROM m JOIN flow_mix n ON n.pos = m.pos + 1),
+held AS (SELECT g.seg, g.pos, g.date, g.asset, g.weight * m.b / g.base AS q, g.price, coalesce(g.pos >= c.pos, FALSE) AS closed FROM gro_mix g JOIN m ON m.pos = g.pos LEFT JOIN cut_mix c ON c.asset = g.asset),
+sold AS (SELECT pos, sum(q * price) AS s FROM held WHERE closed GROUP BY 1),
+book AS (SELECT m.*, m.b * (1 - m.w) + m.extra + coalesce(s, 0) AS cash, product(CASE WHEN m.pos = 0 THEN 1 ELSE m.v / (p.v + m.flow) END) OVER (ORDER BY m.pos) * 100 * (SELECT v / (1000 + flow) FROM m WHERE pos = 0) AS idx
+FROM m LEFT JOIN m p ON p.pos = m.pos - 1 LEFT JOIN sold ON sold.pos = m.pos),
+day AS (SELECT a.asset, c.pos, c.date, coalesce(h.q, 0) AS q FROM (SELECT DISTINCT asset FROM fa) a CROSS JOIN cal_live c LEFT JOIN held h ON h.pos = c.pos AND h.asset = a.asset AND NOT h.closed),
+turn AS (SELECT start AS pos FROM seg_mix UNION SELECT pos FROM cut_mix),
+trade AS (SELECT d.date, d.pos, d.asset, d.q - lag(d.q, 1, 0) OVER (PARTITION BY d.asset ORDER BY d.pos) AS dq, t.value AS price, e.value AS execution FROM day d SEMI JOIN turn USING (pos)
+LEFT JOIN fa_live t ON t.pos = d.pos AND t.asset = d.asset LEFT JOIN fa_live e ON e.pos = d.pos - 1 AND e.asset = d.asset)
+"""
+_MIX_CTES = ("flow_mix", "gro_mix", "cut_mix", "seg_mix", "fa_live", "fa", "cal_live")
+
+
+def _mixed(report, spark, sf):
+    prices, calendar, schedule = _args(spark, sf)
+    number = F.split_part("asset", F.lit("#"), F.lit(2)).cast("int")
+    signed = schedule.withColumn("weight", F.col("weight") * F.when(number % 3 == 0, -0.5).otherwise(1.75))
+    return report(
+        prices, calendar, signed, CAPITAL, cash=0.1, cutoffs=cutoffs(spark), flows=flows(spark, sf), live_start=_LIVE, margin=True
+    )
+
+
+def _mix_query(name: str, sql: str, report, digits: int, *rounded: str) -> None:
+    def run(spark, sf):
+        out = _mixed(report, spark, sf)
+        return out.select(*[rnd(c, digits).alias(c) if c in rounded else c for c in out.columns])
+
+    query(f"book_{name}", _MIX + sql, _MIX_CTES)(run)
+
+
+_mix_query("nav", f"SELECT date, {rs('v', 3)} AS value, {rs('cash', 3)} AS cash, {rs('idx', 3)} AS \"index\" FROM book", A.nav, 3, "value", "cash", "index")
+_mix_query("positions", f"SELECT date, asset, {rs('q', 6)} AS quantity FROM held WHERE NOT closed", A.positions, 6, "quantity")
+_mix_query(
+    "drifted_weights",
+    f"""SELECT date, asset, {rs('w', 8)} AS weight FROM (SELECT h.date, h.asset, h.q * h.price / m.v AS w FROM held h JOIN m USING (pos) WHERE NOT closed
+UNION ALL SELECT date, 'Cash', cash / v FROM book)""",
+    A.drifted_weights, 8, "weight",
+)
+_mix_query("transactions", f"SELECT date, asset, {rs('dq', 6)} AS quantity, price FROM trade WHERE abs(dq) > 1e-12", A.transactions, 6, "quantity")
+_mix_query("outlays", f"SELECT date, asset, {rs('dq * execution', 4)} AS outlay FROM trade WHERE abs(dq) > 1e-12", A.outlays, 4, "outlay")
+_mix_query(
+    "turnover",
+    f"""SELECT b.date, {rs('coalesce(least(buy, sell), 0) / v', 7)} AS turnover FROM book b LEFT JOIN (
+SELECT pos, sum(greatest(dq * execution, 0)) AS buy, sum(greatest(-dq * execution, 0)) AS sell FROM trade GROUP BY 1) t USING (pos)""",
+    A.turnover, 7, "turnover",
+)
+
 # ------------------------------------------------------------------ fees, on order lines as trades
 _Q = "(CASE WHEN l_linenumber % 5 = 0 THEN 0 WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE -l_quantity END)"
 _N = f"(abs({_Q}) * l_extendedprice)"
