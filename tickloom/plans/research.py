@@ -50,6 +50,7 @@ def run(
     calendar = calendar_of(prices)
     filled = cut_lineage(panels.ffill_bfill(prices, calendar).drop("pos"))
     plan = cut_lineage(schedule(filled, calendar))
-    line = cut_lineage(accounting.nav(filled, calendar, plan, initial_capital))
-    series = line.select(F.lit(name).alias("series"), F.col("date").alias("ts"), F.col("index").alias("price"))
-    return line, stats.perf_stats(series)
+    # the name is written with the line: as a literal it would leave the statistics' joins without a key
+    named = cut_lineage(accounting.nav(filled, calendar, plan, initial_capital).withColumn("series", F.lit(name)))
+    series = named.select("series", F.col("date").alias("ts"), F.col("index").alias("price"))
+    return named.drop("series"), stats.perf_stats(series)
