@@ -21,11 +21,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.wordhash import U64, byte_windows, text_slices
@@ -288,11 +288,31 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "de
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each row of ``docs`` (doc_id, text)."""
-    encoded = encode(docs.select("doc_id", "text"), tokenizer).drop("text")
-    return decode(encoded, tokenizer).select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each row of ``docs`` (doc_id, text).
+
+    A null text is an empty one; a null id stays; repeated rows are encoded
+    each; an empty table gives no rows; other columns are not read.  Ids are
+    encoded, decoded and digested in one pass, so a task needs one worker with
+    one vocabulary and no id leaves it.
+    """
+    with open(tokenizer, encoding="utf-8") as file:
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())
+    base = docs.select("doc_id", "text")
+    schema = T.StructType([
+        base.schema["doc_id"], T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder(_vocabulary(sent))
+        for rows, data, offsets in text_slices(batches, "text"):
+            sizes, encoded, decoded = [], [], []
+            for ids in encode_texts(data, offsets, encoder):
+                sizes.append(len(ids))
+                encoded.append(sha256(ids.astype("<u4", copy=False).tobytes()).hexdigest())
+                text = encoder.vocabulary.decode(ids).decode("utf-8", "replace")
+                decoded.append(sha256(text.encode()).hexdigest())
+            columns = [pa.array(sizes, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], schema.names)
+
+    return base.mapInArrow(run, schema)
