@@ -408,6 +408,21 @@ def test_contamination_equals_a_plain_scan(spark):
     assert clean == 0 and decontaminate.contamination(frame(spark, []), bench).count() == 0
 
 
+def test_contamination_tells_rows_of_one_id_apart(spark):
+    item = prose(80, 30)
+    rows = [(1, "two words"), (1, item), (1, item), (2, None), (2, item[:9]), (None, item)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = decontaminate.contamination(frame(spark, rows), bench).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["contaminated"]) for r in out) == [
+        ("1", 2, 0, False), ("1", 30, 30, True), ("1", 30, 30, True), ("2", 0, 0, False), ("2", len(item[:9].split()), 0, False), ("None", 30, 0, False)
+    ]
+    left = decontaminate.without_contaminated(frame(spark, rows), bench)
+    assert left.columns == frame(spark, rows).columns
+    assert sorted(str(r["text"]) for r in left.collect()) == sorted(str(t) for i, t in rows if i != 1 or t != item)
+    named = spark.createDataFrame([("a", item, 1), ("b", "x", 2)], "doc_id string, text string, digest int")
+    assert [r["doc_id"] for r in decontaminate.without_contaminated(named, bench).collect()] == ["b"]
+
+
 # ---------------------------------------------------------------- 9 fingerprints
 def test_fingerprints_of_edits_and_neighbours(spark):
     rows = awkward() + [(20, prose(2, 120)), (21, "b.\na."), (22, "a.\nb.")]

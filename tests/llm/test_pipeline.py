@@ -106,6 +106,14 @@ def test_rows_of_one_id_are_told_apart(spark):
     assert len(cut) == len(rows) - 2 and rows[7][1] in texts and f"{prose(7006, 9)}\n{prose(7007, 60)}" in texts
 
 
+def test_texts_without_evidence_stay_whatever_the_share_of_labels(spark, tmp_path):
+    rows = [(i, prose(i, 60) + (" nitwit scoundrel" * 3 if i % 4 else "")) for i in range(200)] + [(300, None), (301, ""), (302, "?!"), (None, "")]
+    spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert {300, 301, 302, None} <= left and not any(i % 4 for i in left if i is not None and i < 200)
+
+
 def test_without_is_an_exact_difference(spark, monkeypatch):
     docs = spark.createDataFrame([(i, str(i)) for i in range(500)] + [(None, "n"), (7, "again")], "doc_id long, text string")
     ids = spark.range(0, 500, 3).withColumnRenamed("id", "doc_id")
@@ -119,5 +127,5 @@ def test_without_is_an_exact_difference(spark, monkeypatch):
 
 def test_every_operator_is_registered():
     names = entry_points.queries()
-    assert [n for n in range(1, 11) if sum(k.startswith(f"op{n}_") for k in names) != 1] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if sum(k.startswith(f"op{n}_") for k in names) != 1] == [] and "pipeline" in names
     assert set(entry_points.oracle_sql()) <= set(names)

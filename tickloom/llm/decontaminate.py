@@ -127,14 +127,24 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return written.join(windows, "window", "left_semi")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with (doc_id, digest of the text) as doc_id: rows of one id differ if their texts do.
+
+    A null id stays null.
+    """
+    key = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("digest"))
+    return docs.select(F.when(F.col("doc_id").isNotNull(), key).alias("doc_id"), "text")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row for each row of ``docs``.
 
     Nulls: a null text has no words, in documents and items; a document without
     id is never hit; an item without id hits but is not listed.  Rows of one
-    doc_id share their hits; rows of one item_id are one item.  An empty
+    doc_id are told apart by their texts; rows of one item_id are one item.  An empty
     benchmark hits nothing.  Other columns are not read.
     """
+    docs = keyed(docs)
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words"))
     found = cut_lineage(hits(docs, benchmark))
     covered = F.aggregate(
@@ -155,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
         .join(per_doc, "doc_id", "left")
         .select(
-            "doc_id",
+            F.col("doc_id.doc_id").alias("doc_id"),
             "n_words",
             F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
             F.size(items_or_none).cast("long").alias("n_items"),
@@ -165,6 +175,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def contaminated_ids(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The distinct doc_id of documents that hold a window of an item."""
-    return hits(docs, benchmark).select("doc_id").distinct()
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` less the rows that hold a window of an item.
+
+    Of rows of one doc_id only those go whose own text holds one; a row without
+    id stays.  The keys found are written first, so the planner knows their size.
+    """
+    found = cut_lineage(hits(keyed(docs), benchmark).select("doc_id.*").distinct())
+    same = (F.col("d.doc_id") == F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.digest"))
+    return docs.alias("d").join(found.alias("f"), same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -60,6 +60,16 @@ class ToxicityModel:
     evidence: np.ndarray  # (3, LEVELS, CELLS) float32
     weights: tuple[float, float, float]  # bias, whole text, worst passage
 
+    @property
+    def no_evidence(self) -> float:
+        """The score of a text without words or evidence: about the share of toxic labels."""
+        return float(_score(self.weights, np.zeros(1), np.zeros(1))[0])
+
+
+def _score(weights: tuple[float, float, float], mean: np.ndarray, worst: np.ndarray) -> np.ndarray:
+    bias, whole, passage = weights
+    return 1 / (1 + np.exp(-np.clip(bias + whole * _squash(mean) + passage * _squash(worst), -30, 30)))
+
 
 def _nodes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cells by level and word, whether the node is longer than its parent, first words)."""
@@ -264,10 +274,10 @@ def with_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", score
     kept = docs.drop(score, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence, (bias, whole, passage) = sent.value
+        evidence, weights = sent.value
         for rows, data, offsets in text_slices(batches, text):
             n, mean, worst = _features(evidence, data, offsets, np.zeros(rows.num_rows, dtype=np.int64))
-            value = 1 / (1 + np.exp(-np.clip(bias + whole * _squash(mean) + passage * _squash(worst), -30, 30)))
+            value = _score(weights, mean, worst)
             yield pa.RecordBatch.from_arrays(
                 [*rows.columns, pa.array(value), pa.array(n.astype(np.int64))], [*rows.schema.names, score, words]
             )
