@@ -24,10 +24,15 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
+    """Documents whose toxicity score is below one half, or no higher than that of a text without evidence.
+
+    Null and empty texts, and texts of neutral words alone, so stay whatever the
+    share of toxic labels; a null id or repeated rows change nothing.
+    """
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
     score, words = _fresh(docs, "score"), _fresh(docs, "n_words")
-    return toxicity.with_scores(docs, model, score=score, words=words).where(F.col(score) < 0.5).drop(score, words)
+    spared = (F.col(score) < 0.5) | (F.col(score) <= model.no_evidence)
+    return toxicity.with_scores(docs, model, score=score, words=words).where(spared).drop(score, words)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,16 +65,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark.
-
-    The ids are written first, so the planner broadcasts them if they are few.
-    """
-    ids = cut_lineage(decontaminate.contaminated_ids(docs, load(spark, sf_dir, "benchmark")))
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+    """Documents without any passage of the benchmark; null and empty texts and rows without id stay."""
+    return decontaminate.without_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left; a null text is an empty one."""
     return bpe.round_trip(docs, tokenizer())
 
 
