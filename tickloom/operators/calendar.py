@@ -8,7 +8,8 @@ one place where this is sound, as a calendar has one row per trading day.
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterable
+import math
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -139,23 +140,119 @@ def _wanted(edges: DataFrame, pool: DataFrame | None) -> tuple[DataFrame, list[s
     return pool.select(F.col("date").alias("now"), "asset").distinct().join(edges, "now"), ["asset"]
 
 
-def window_sums(rows: DataFrame, edges: DataFrame, pool: DataFrame | None = None, **terms: Column) -> DataFrame:
-    """(now, asset, a, b, terms): sums of the terms over every window, for all assets or a pool's (date, asset).
+def window_sums(
+    rows: DataFrame, edges: DataFrame, pool: DataFrame | None = None, last: Sequence[str] = (),
+    results: dict[str, Column] | None = None, **terms: Column,
+) -> DataFrame:
+    """(now, asset, a, b, last, terms): sums of the terms over every window, for all assets or a pool's (date, asset).
+
+    Running sums per asset restart in blocks as long as the longest window and
+    stand until the next row of their block.  A window lies in two blocks at
+    most, so it is what stands at its end, plus the rest of the block before,
+    less what stood ahead of its start: no row is copied into windows.  So that
+    a difference loses nothing, a term is summed in two parts: its multiple of
+    a power of two that is coarse enough for an asset's sums to be exact, and
+    the rest.  Windows without rows may be missing or have sums of zero.
+
+    Terms may use ``u``, the position inside the block.  ``results`` are given
+    instead of the terms if named: expressions of them and of ``s``, which
+    added to ``u`` counts the window's positions from 1.  ``last`` names columns
+    of ``rows`` to take from the window's last row.
+    """
+    size = edges.agg(F.max(F.col("b") - F.col("a") + 1)).first()[0] or 1  # a calendar has few windows
+    line = Window.partitionBy("asset", "_block").orderBy("pos")
+    whole = Window.partitionBy("asset")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+
+    def block(pos: Column) -> Column:
+        return F.floor(pos / F.lit(int(size))).cast("int")
+
+    placed = rows.withColumn("_block", block(F.col("pos"))).withColumn("u", (F.col("pos") - F.col("_block") * size).cast("double"))
+    numbers = placed.select("asset", "pos", "last", "_block", *last, *[t.cast("double").alias(n) for n, t in terms.items()])
+    # the sum of an asset's terms is below 2 ^ 53 units
+    most = {n: F.max(F.abs(n)).over(whole) * F.count(F.lit(1)).over(whole) for n in terms}
+    numbers = numbers.select("*", *[F.pow(F.lit(2.0), F.ceil(F.log2(F.when(m > 0, m))) - 52).alias(f"u_{n}") for n, m in most.items()])
+    coarse = {n: F.coalesce(F.rint(F.col(n) / F.col(f"u_{n}")) * F.col(f"u_{n}"), F.lit(0.0)) for n in terms}
+    parts = {f"c_{n}": c for n, c in coarse.items()} | {f"f_{n}": F.col(n) - c for n, c in coarse.items()}
+    until = F.least(F.coalesce(F.lead("pos").over(line) - 1, F.col("last")), (F.col("_block") + 1) * size - 1, F.col("last"))
+    running = numbers.select(
+        "asset", F.col("pos").alias("_at"), *last, until.alias("_until"), *[F.sum(c).over(upto).alias(n) for n, c in parts.items()]
+    )
+    standing = running.select("*", F.explode(F.sequence("_at", "_until")).alias("pos")).drop("_until")
+
+    wanted, by = _wanted(edges.where("a <= b"), pool)
+    first, final = block(F.col("a")), block(F.col("b"))
+
+    def read(pos: Column, of: Column, sign: int, when: Column) -> Column:
+        return F.when(when, F.struct(pos.cast("int").alias("pos"), (of * size - F.col("a") + 1).cast("double").alias("s"), F.lit(sign).alias("_sign")))
+
+    reads = F.array(
+        read(F.col("b"), final, 1, F.lit(True)),
+        read((first + 1) * size - 1, first, 1, first != final),
+        read(F.col("a") - 1, first, -1, F.col("a") > first * size),
+    )
+    looked = wanted.select("*", F.explode(F.array_compact(reads)).alias("_read")).select(*wanted.columns, "_read.*")
+    met = looked.join(standing, [*by, "pos"])
+    # the two parts of a term are added up apart
+    if results is None:
+        sums = [F.sum(F.col("_sign") * F.col(f"{part}_{n}")).alias(f"{part}_{n}") for part in "cf" for n in terms]
+        given = [(F.col(f"c_{n}") + F.col(f"f_{n}")).alias(n) for n in terms]
+    else:
+        met = met.select("*", *[(F.col(f"c_{n}") + F.col(f"f_{n}")).alias(n) for n in terms])
+        sums = [F.sum(F.col("_sign") * c).alias(n) for n, c in results.items()]
+        given = [F.col(n) for n in results]
+    newest = F.max(F.when(F.col("_sign") > 0, F.struct("_at", *last))).alias("_newest")
+    grouped = met.groupBy("now", "asset", "a", "b").agg(newest, *sums)
+    return grouped.select("now", "asset", "a", "b", *[F.col(f"_newest.{c}").alias(c) for c in last], *given)
+
 
-    Running sums per asset stand until its next row; a window is the difference
-    of two of them, so a row is never copied into the windows it belongs to.
+_SPAN = 300.0  # decay of a block in natural logarithms: what lies two blocks back weighs e^-300 at most
+
+
+def decayed_sums(rows: DataFrame, edges: DataFrame, decay: float, pool: DataFrame | None = None, **terms: Column) -> DataFrame:
+    """(now, asset, a, b, n, terms): rows in every window, and sums of the terms times decay ** (b - pos).
+
+    A running decayed sum follows from the one before, so a window is what
+    stands at its end less what stood ahead of it, decayed on.  The running
+    sums restart in blocks of bounded decay, so no power leaves the range of a
+    double; no row is copied into windows.  ``decay`` is between 0 and 1.
     """
+    rate = -math.log(decay)
     line = Window.partitionBy("asset").orderBy("pos")
+    block = Window.partitionBy("asset", "_block").orderBy("pos")
+    numbers = rows.select("asset", "pos", "last", *[t.cast("double").alias(n) for n, t in terms.items()])
+    placed = numbers.withColumn("_block", F.floor(F.col("pos") * F.lit(rate / _SPAN)).cast("long"))
+    since = F.col("pos") - F.first("pos").over(block)
+    grown = placed.withColumn("_grown", F.exp(rate * since))
+    inside = grown.select(
+        "asset", "pos", "last", "_block", F.row_number().over(line).alias("n"),
+        *[(F.sum(F.col(n) * F.col("_grown")).over(block) / F.col("_grown")).alias(n) for n in terms],
+    )
+    ends = F.coalesce(F.lead("_block").over(line) != F.col("_block"), F.lit(False))
+    ended = inside.withColumn("_ends", ends)
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(column: str) -> Column:
+        return F.last(F.when(F.col("_ends"), F.col(column)), True).over(before)
+
+    aged = F.exp(-rate * (F.col("pos") - carried("pos")))
     until = F.coalesce(F.lead("pos").over(line) - 1, F.col("last"))
-    sums = [F.sum(t).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, t in terms.items()]
-    running = rows.select("asset", "pos", until.alias("_until"), *sums)
-    standing = running.select("asset", F.explode(F.sequence("pos", "_until")).alias("pos"), *terms)
+    running = ended.select(
+        "asset", F.col("pos").alias("at"), "n", until.alias("_until"),
+        *[(F.col(n) + F.coalesce(carried(n) * aged, F.lit(0.0))).alias(n) for n in terms],
+    )
+    spread = running.select("*", F.explode(F.sequence("at", "_until")).alias("pos"))
+    standing = spread.select("asset", "pos", "n", *[(F.col(n) * F.exp(-rate * (F.col("pos") - F.col("at")))).alias(n) for n in terms])
     wanted, by = _wanted(edges, pool)
-    upper = wanted.withColumn("pos", F.col("b")).join(standing, [*by, "pos"]).select("now", "asset", "a", "b", *terms)
+    sums = ["n", *terms]
+    upper = wanted.withColumn("pos", F.col("b")).join(standing, [*by, "pos"]).select("now", "asset", "a", "b", *sums)
     below = wanted.where("a > 0").withColumn("pos", F.col("a") - 1).join(standing, [*by, "pos"])
-    lower = below.select("now", "asset", *[F.col(n).alias(f"_{n}") for n in terms])
-    both = upper.join(lower, ["now", "asset"], "left")
-    return both.select("now", "asset", "a", "b", *[(F.col(n) - F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in terms])
+    lower = below.select("now", "asset", *[F.col(c).alias(f"_{c}") for c in sums])
+    both = upper.join(lower, ["now", "asset"], "left").na.fill(0, [f"_{c}" for c in sums])
+    gone = F.exp(-rate * (F.col("b") - F.col("a") + 1))
+    return both.select(
+        "now", "asset", "a", "b", (F.col("n") - F.col("_n")).alias("n"), *[(F.col(n) - gone * F.col(f"_{n}")).alias(n) for n in terms]
+    )
 
 
 def window_ends(rows: DataFrame, edges: DataFrame) -> DataFrame:

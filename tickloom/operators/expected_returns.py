@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.calendar import Offset, on_calendar, window_edges, window_sums
+from tickloom.operators.calendar import Offset, decayed_sums, on_calendar, window_edges, window_sums
 from tickloom.operators.estimators import QUARTER, TEN_YEARS, change_panel, history, of_pool, renumber
 
 # fixed values: half-lives averaged by the blended estimate
@@ -51,6 +51,17 @@ def er_median(panel, calendar, pool, lookback: Offset = QUARTER, lag: Offset = O
     return _estimate(history(panel, calendar, pool, lookback, lag, **window), pool, F.percentile("value", 0.5))
 
 
+def _decayed_mean(panel, calendar, pool, lookback, lag, decay, lookforward=None, log=False, benchmark=None) -> DataFrame:
+    """Mean of the returns inside every window, weighted by decay ** (dates up to its end)."""
+    if not 0 < decay < 1:
+        rows = history(panel, calendar, pool, lookback, lag, lookforward, log, benchmark)
+        return _estimate(rows, pool, _ew_mean(decay))
+    edges = window_edges(calendar, pool, lookback, lag, lookforward).withColumn("a", F.col("a") + 1)
+    rows = on_calendar(change_panel(panel, calendar, log, benchmark), calendar)
+    sums = decayed_sums(rows, edges, decay, pool, weight=F.lit(1.0), total=F.col("value")).where("n > 0")
+    return sums.select(F.col("now").alias("date"), "asset", (F.col("total") / F.col("weight")).alias("expected_return"))
+
+
 def _ew_mean(decay: float) -> Column:
     weight = F.pow(F.lit(decay), F.col("rlen") - 1 - F.col("rpos"))
     return F.sum(weight * F.col("value")) / F.sum(weight)
@@ -59,9 +70,8 @@ def _ew_mean(decay: float) -> Column:
 def er_ewma(
     panel, calendar, pool, lookback: Offset = TEN_YEARS, lag: Offset = Offset(), alpha=None, halflife=None, **window
 ) -> DataFrame:
-    """Exponentially weighted mean; positions count every row of the window."""
-    rows = history(panel, calendar, pool, lookback, lag, **window)
-    return _estimate(rows, pool, _ew_mean(decay_of(alpha, halflife)))
+    """Exponentially weighted mean by running sums; positions count every row of the window."""
+    return _decayed_mean(panel, calendar, pool, lookback, lag, decay_of(alpha, halflife), **window)
 
 
 def er_blended(
@@ -93,9 +103,10 @@ def _quantile_edges(trim: float) -> Column:
 
 
 def _within_edges(rows: DataFrame, pool: DataFrame, trim: float, mean: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    grouped = rows.groupBy("now", "asset").agg(_quantile_edges(trim).alias("_q"), F.collect_list("value").alias("_v"))
+    # the pool first: windows of other names are not gathered
+    grouped = of_pool(rows, pool).groupBy("now", "asset").agg(_quantile_edges(trim).alias("_q"), F.collect_list("value").alias("_v"))
     low, high = F.col("_q")[0], F.col("_q")[1]
-    out = of_pool(grouped, pool).select(
+    out = grouped.select(
         F.col("now").alias("date"), "asset", mean(F.col("_v"), low, high).alias("expected_return")
     )
     return out

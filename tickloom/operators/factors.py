@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.calendar import Offset, as_of, on_calendar, window_bridge, window_edges, window_ends, window_range_join
+from tickloom.operators.calendar import (
+    Offset, as_of, on_calendar, window_bridge, window_edges, window_ends, window_range_join, window_sums,
+)
 from tickloom.operators.estimators import QUARTER
 from tickloom.operators.support import exact_quantiles, finite, with_group_totals
 
 
 def _window(panel, calendar, dates, lookback, lag) -> DataFrame:
-    rows = window_range_join(panel.where(F.col("value").isNotNull()), window_bridge(calendar, dates, lookback, lag))
+    known = panel.withColumn("value", finite(F.col("value"))).where(F.col("value").isNotNull())
+    rows = window_range_join(known, window_bridge(calendar, dates, lookback, lag))
     return rows.select(F.col("now"), "asset", "wpos", "wlen", "value")
 
 
@@ -35,6 +40,20 @@ def total_return(
     return standardize(out) if standardized else out
 
 
+def _with_runs(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of equal values of the asset that end with each."""
+    line = Window.partitionBy("asset").orderBy("pos")
+    changed = F.coalesce(F.col("value") != F.lag("value").over(line), F.lit(True)).cast("int")
+    runs = rows.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(line))
+    length = F.row_number().over(Window.partitionBy("asset", "_run").orderBy("pos"))
+    return runs.withColumn("_equal", length).drop("_changed", "_run")
+
+
+def _mean_or_equal(mean: Column) -> Column:
+    """The mean of a window; of equal prices their value, which no rounding can tell from them."""
+    return F.when(F.col("_equal") >= F.col("n"), F.col("value")).otherwise(mean)
+
+
 def simple_moving_average(
     panel: DataFrame,
     calendar: DataFrame,
@@ -43,13 +62,15 @@ def simple_moving_average(
     measure: str = "mean",
     lag: Offset = Offset(),
 ) -> DataFrame:
-    """Mean or median price of the window."""
+    """Mean or median price of the window; means by running sums."""
     if measure not in ("mean", "median"):
         raise ValueError("measure must be mean or median")
-    # summed row by row: a difference of running sums would tell equal prices apart by its rounding
-    average = F.avg("value") if measure == "mean" else F.percentile("value", 0.5)
-    rows = _window(panel, calendar, dates, lookback, lag)
-    return _named(rows.groupBy("now", "asset").agg(average.alias("factor")))
+    if measure == "median":
+        rows = _window(panel, calendar, dates, lookback, lag)
+        return _named(rows.groupBy("now", "asset").agg(F.percentile("value", 0.5).alias("factor")))
+    rows = _with_runs(on_calendar(panel, calendar))
+    sums = window_sums(rows, window_edges(calendar, dates, lookback, lag), None, ["value", "_equal"], n=F.lit(1), total=F.col("value"))
+    return _named(sums.where("n > 0").withColumn("factor", _mean_or_equal(F.col("total") / F.col("n"))))
 
 
 def kernel_moving_average(
@@ -60,12 +81,27 @@ def kernel_moving_average(
     k: float = 1.0,
     lag: Offset = Offset(),
 ) -> DataFrame:
-    """Mean price weighted by recency ** k, recency counting the window's dates from 1."""
-    weight = F.pow(F.col("wpos") + 1, F.lit(float(k)))
-    rows = _window(panel, calendar, dates, lookback, lag).withColumn("_w", weight)
-    return _named(
-        rows.groupBy("now", "asset").agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("factor"))
-    )
+    """Mean price weighted by recency ** k, recency counting the window's dates from 1.
+
+    For k of 0, 1 or 2 the weights are polynomials of the position, and running
+    sums of its powers give every window; other powers read the windows' rows.
+    """
+    if k not in (0, 1, 2):
+        weight = F.pow(F.col("wpos") + 1, F.lit(float(k)))
+        rows = _window(panel, calendar, dates, lookback, lag).withColumn("_w", weight)
+        return _named(rows.groupBy("now", "asset").agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("factor")))
+    powers = range(int(k) + 1)
+    moments = {f"w{j}": F.pow(F.col("u"), F.lit(float(j))) for j in powers}
+    moments |= {f"x{j}": F.pow(F.col("u"), F.lit(float(j))) * F.col("value") for j in powers}
+
+    def weighted(kind: str) -> Column:
+        # (u + s) ** k by its powers of u
+        return reduce(Column.__add__, [math.comb(int(k), j) * F.pow(F.col("s"), F.lit(float(k - j))) * F.col(f"{kind}{j}") for j in powers])
+
+    rows, edges = _with_runs(on_calendar(panel, calendar)), window_edges(calendar, dates, lookback, lag)
+    results = {"n": F.col("n"), "_w": weighted("w"), "_x": weighted("x")}
+    sums = window_sums(rows, edges, None, ["value", "_equal"], results, n=F.lit(1), **moments)
+    return _named(sums.where("n > 0").withColumn("factor", _mean_or_equal(F.col("_x") / F.col("_w"))))
 
 
 _BLOCK = 300.0  # decay of a block, in natural logarithms: what lies two blocks back weighs e^-300
