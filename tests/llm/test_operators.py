@@ -194,6 +194,15 @@ def test_shards_are_written(spark, tmp_path):
     assert back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).where("b > 3000").count() == 0
 
 
+def test_written_shards_hold_null_and_repeated_keys_once(spark, tmp_path):
+    rows = [(None, "a"), (None, "b"), (7, "c"), (7, "c"), (7, None), (8, "d" * 50)]
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, shard string, _key int")
+    sharding.write(docs, str(tmp_path / "keys"), limit=60)
+    got = spark.read.parquet(str(tmp_path / "keys")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(i), str(t)) for i, t in rows)
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) == 1
+
+
 # ---------------------------------------------------------------- 4 line dedup
 def test_line_dedup_keeps_the_first_and_reports_offsets(spark):
     passage = prose(50, 60)

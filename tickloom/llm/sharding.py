@@ -111,10 +111,15 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", limit: int = SHARD_BYTES) -> None:
-    """Write the rows of ``docs`` as Parquet, one folder a shard; keys are taken to be unique."""
-    shards = assign(docs, key, limit).select(F.col(key), F.concat(F.lit("s"), "shard").alias("shard"))
-    base = docs.drop("shard")
-    base.join(shards, key).repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    """Write the rows of ``docs`` as Parquet, one folder a shard.
+
+    Rows of one key are of one hash and so of one shard; a null key is a key as
+    any other.
+    """
+    shards = assign(docs, key, limit).select(F.col(key).alias("_key"), F.concat(F.lit("s"), "shard").alias("shard")).distinct()
+    base = docs.drop("shard", "_key")
+    placed = base.join(shards, base[key].eqNullSafe(shards["_key"])).drop("_key")
+    placed.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
 
 
 ORACLE_SQL = f"""
