@@ -1,6 +1,7 @@
 """Reads, cleaning, filters and differences on literal frames."""
 
 import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,18 @@ def test_daily_run_goes_from_holdings_to_prices_and_macro(spark):
     assert [r["FIGI"] for r in out["officers"].collect()] == ["F1"]
     own = ingest.subset_run(landed, stored, none, none, spark.createDataFrame([("AAPL",)], "TICKER string"))
     assert list(own) == ["prices", "officers"] and own["prices"].count() == 1
+
+
+def test_stream_latest_takes_any_tie_and_whole_rows(spark, tmp_path):
+    landed = str(tmp_path / "landed")
+    schema = "k string, at date, n decimal(30,0), more array<int>"
+    big = 10**25
+    first = [("A", day("2024-03-01"), -5, [1]), ("A", day("2024-03-01"), -7, [2]), ("B", None, 3, [3])]
+    second = [("A", day("2024-03-01"), big, [4]), ("B", day("2024-02-01"), -1, None), ("C", None, 1, [5])]
+    for rows in (first, second):
+        _stream(spark, landed, [(k, at, Decimal(n), more) for k, at, n, more in rows], schema)
+    newest = jobs.stream_latest(jobs.stream_table(spark, landed, files_per_batch=1), ["k"], "at", "n", ["more"])
+    run = newest.writeStream.outputMode("complete").format("memory").queryName("latest_rows").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = {r["k"]: (r["at"], int(r["n"]), r["more"]) for r in spark.table("latest_rows").collect()}
+    assert rows == {"A": (day("2024-03-01"), big, [4]), "B": (day("2024-02-01"), -1, None), "C": (None, 1, [5])}

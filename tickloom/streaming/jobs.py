@@ -15,7 +15,6 @@ from tickloom.session import checkpoint_root
 
 
 BUCKETS = 16
-_TIES = 10**13  # ties are below this; with microseconds they fill 32 of a decimal's 38 digits
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -70,21 +69,17 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], event_time: str, latene
     return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_latest(stream: DataFrame, keys: Sequence[str], event_time: str, tie: str) -> DataFrame:
-    """(keys, event_time, tie) of the latest row per key, maintained as an update stream.
+def stream_latest(
+    stream: DataFrame, keys: Sequence[str], event_time: str, tie: str, columns: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, event_time, tie, columns) of the latest row per key, maintained as an update stream.
 
-    Among equal times the larger ``tie``, a number that is not negative, is
-    later.  Time and tie are packed into one number, so the state is one fixed
-    width value per key and the aggregate hashes.
+    Among equal times the larger ``tie``, of any ordered type, is later; rows
+    equal in both are told apart by ``columns``.  A row without time is older
+    than any with one.  The state is one row per key.
     """
-    packed = F.unix_micros(event_time).cast("decimal(38,0)") * F.lit(_TIES).cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")
-    newest = stream.groupBy(*keys).agg(F.max(packed.cast("decimal(38,0)")).alias("_at"))
-    micros = F.floor(F.col("_at") / F.lit(_TIES).cast("decimal(20,0)")).cast("long")
-    return newest.select(
-        *keys,
-        F.timestamp_micros(micros).alias(event_time),
-        (F.col("_at") - micros.cast("decimal(38,0)") * F.lit(_TIES).cast("decimal(20,0)")).cast("long").alias(tie),
-    )
+    row = F.struct(event_time, tie, *columns)
+    return stream.groupBy(*keys).agg(F.max(row).alias("_row")).select(*keys, "_row.*")
 
 
 # ------------------------------------------------------------------ replays over the given events
