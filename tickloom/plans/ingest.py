@@ -18,6 +18,7 @@ from tickloom.functions.text import blank_to_null
 from tickloom.operators import aggregates, cleaning, diff, filters, joins, macro, snapshots
 from tickloom.functions.places import is_us
 from tickloom.sources.catalog import ESTIMATES, STATEMENTS
+from tickloom.session import cut_lineage
 from tickloom.sources.sinks import align
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -196,22 +197,24 @@ def daily_run(
     Fund holdings come first, as their members extend the identifier map; then
     index prices, the prices of what is held, the vendor datasets, the macro
     tables and the addresses still to be located.  Price and macro tables come
-    as their next state, the others as the rows to append.  Each result is
-    lazy; the caller writes them one after another, and a failed write is
-    repeated without harm because a second run finds nothing new.
+    as their next state, the others as the rows to append.  What later jobs
+    read, the extended identifiers and the prices, is written to the checkpoint
+    folder; the other results are lazy.  The caller writes them one after
+    another, and a failed write is repeated without harm because a second run
+    finds nothing new.
     """
     out: dict[str, DataFrame] = {}
     if "holdings" in landed:
         out["holdings"] = ingest_holdings(landed["holdings"], stored["security_master"], exchanges, load_date, bounds)
         members = out["holdings"].where("FIGI IS NOT NULL").select("TICKER", "FIGI")
         both = mapping.select("TICKER", "FIGI").withColumn("_own", F.lit(1)).unionByName(members.withColumn("_own", F.lit(0)))
-        mapping = snapshots.pick_row(both, ["TICKER"], [F.col("_own"), F.col("FIGI")]).select("TICKER", "FIGI")
+        mapping = cut_lineage(snapshots.pick_row(both, ["TICKER"], [F.col("_own"), F.col("FIGI")]).select("TICKER", "FIGI"))
     if "security_master" in landed:
         out["security_master"] = ingest_security_master(landed["security_master"], stored["security_master"])
     prices = stored.get("prices")
     for name in ("index_prices", "prices"):
         if name in landed:
-            prices = ingest_prices(landed[name], prices, mapping, landed.get(f"{name}_history"))
+            prices = cut_lineage(ingest_prices(landed[name], prices, mapping, landed.get(f"{name}_history")))
             out["prices"] = prices
     for name in SPECS:
         if name in landed:

@@ -352,11 +352,12 @@ SELECT v.book, v.date, v.value FROM v LEFT JOIN b USING (book) WHERE b.d IS NULL
 query(
     "missing_price_check",
     """SELECT c.date, h.asset FROM seg s JOIN sch h ON h.date = s.seg JOIN cal_a c ON c.pos BETWEEN s.base_pos AND s.final
-LEFT JOIN (SELECT * FROM pa WHERE month(date) <> 6) p ON p.date = c.date AND p.asset = h.asset WHERE p.value IS NULL GROUP BY 1, 2""",
+LEFT JOIN (SELECT date, asset, CASE WHEN month(date) <> 6 THEN value END AS value FROM pa) p ON p.date = c.date AND p.asset = h.asset WHERE p.value IS NULL GROUP BY 1, 2""",
     ("seg", "pa"),
 )(
     lambda spark, sf: A.missing_prices(
-        panel_a(spark, sf).where("month(date) <> 6"), cal_a(spark, sf), schedule_a(spark, sf)
+        # prices of June are null
+        panel_a(spark, sf).withColumn("value", F.when(F.month("date") != 6, F.col("value"))), cal_a(spark, sf), schedule_a(spark, sf)
     )
 )
 

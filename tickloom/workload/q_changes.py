@@ -8,7 +8,8 @@ from tickloom.operators import diff, macro
 from tickloom.plans import ingest as jobs
 from tickloom.streaming import jobs as streams
 from tickloom.session import cut_lineage
-from tickloom.workload.base import SNAP, cte, load, panel_b, query, rnd, rs, snapshot
+from tickloom.sources.catalog import ESTIMATES, STATEMENTS
+from tickloom.workload.base import SNAP, SQL, cte, load, panel_b, query, rnd, rs, series_a, snapshot
 from tickloom.workload.q_cleaning import COMPANIES_SQL, FALLBACK_SQL, FULL_SQL, companies
 from tickloom.workload.q_joins import FIGI_MAP_SQL, VINTAGES_SQL, figi_map, vintages
 from tickloom.workload.q_tables import MASTER_SQL, master
@@ -166,13 +167,13 @@ UNION ALL SELECT "DATE", TICKER, FIGI, KIND, VALUE * 2, SEQ FROM snap WHERE TICK
 )
 query(
     "union_frames",
-    "SELECT DISTINCT TICKER, KIND, CASE WHEN KIND = 'view' THEN \"DATE\" END AS \"DATE\" FROM snap WHERE KIND IN ('click', 'view')",
+    "SELECT DISTINCT TICKER, KIND, CASE WHEN KIND IN ('view', 'signup') THEN \"DATE\" END AS \"DATE\" FROM snap",
     ("snap",),
 )(
     lambda spark, sf: diff.union_all(
         [
-            snapshot(spark, sf).where("KIND = 'click'").select("TICKER", "KIND"),
-            snapshot(spark, sf).where("KIND = 'view'").select("TICKER", "KIND", "DATE"),
+            snapshot(spark, sf).where("KIND NOT IN ('view', 'signup')").select("TICKER", "KIND"),
+            snapshot(spark, sf).where("KIND IN ('view', 'signup')").select("TICKER", "KIND", "DATE"),
         ],
         distinct=True,
     )
@@ -206,6 +207,23 @@ query(
 )
 
 # ------------------------------------------------------------------ ingest jobs
+_STATEMENT_TABLES = tuple(f"{s}_{p}" for s in STATEMENTS for p in ("annual", "quarterly"))
+_ESTIMATE_TABLES = tuple(f"{e}_estimates" for e in ESTIMATES)
+_HOLDERS = ("institutional_holders", "major_holders")  # their VALUE is not stored; SHARES is
+
+
+def _tables_sql(names) -> str:
+    return f"(VALUES {', '.join(f"('{n}')" for n in names)}) t(DATASET)"
+
+
+def _each(spark, sf, tables, landed, stored, shape=lambda rows, name: rows):
+    """The same batch landed in every one of the tables; the given rows are derived once."""
+    landed, stored, mapping = (cut_lineage(df) for df in (landed, stored, figi_map(spark, sf)))
+    return diff.union_all(
+        [jobs.ingest(name, landed, shape(stored, name), mapping).withColumn("DATASET", F.lit(name)) for name in tables]
+    )
+
+
 _DIFFED = {
     "ingest_recommendations": "analyst_recommendations",
     "ingest_upgrades": "analyst_upgrades_downgrades",
@@ -233,13 +251,13 @@ query(
 query(
     "ingest_statements",
     f"""WITH {_LANDED.replace('FROM snap WHERE SEQ % 3 = 0)', 'FROM snap WHERE SEQ % 3 = 0 AND SEQ % 2 = 0)')}, {_new_sql("TICKER, FIGI, KIND, VALUE")}
-SELECT "DATE", TICKER, FIGI, KIND, VALUE FROM fresh""",
+SELECT "DATE", TICKER, FIGI, KIND, VALUE, DATASET FROM fresh, {_tables_sql(_STATEMENT_TABLES)}""",
     ("snap",),
 )(lambda spark, sf: _statements(spark, sf))
 
 
 def _statements(spark, sf):
-    """Every second landed row has no payload and is dropped."""
+    """The same batch lands in every statement table; every second of its rows has no payload and is dropped."""
     rows = snapshot(spark, sf).where("SEQ % 3 = 0")
     has = F.col("SEQ") % 2 == 0
     landed = rows.select(
@@ -248,30 +266,29 @@ def _statements(spark, sf):
         F.when(has, F.col("KIND")).alias("KIND"),
         F.when(has, F.col("VALUE") + F.when(F.col("SEQ") % 9 == 0, 1000.0).otherwise(0.0)).alias("VALUE"),
     )
-    return jobs.ingest("cashflow_annual", landed, stored_rows(spark, sf), figi_map(spark, sf))
+    return _each(spark, sf, _STATEMENT_TABLES, landed, stored_rows(spark, sf))
 
 
 query(
     "ingest_estimates",
-    f"""WITH {_LANDED}, {_new_sql("TICKER, FIGI, KIND, VALUE")} SELECT "DATE", TICKER, FIGI, KIND, VALUE, 'GROWTH' AS ESTIMATE_TYPE FROM fresh""",
+    f"""WITH {_LANDED}, {_new_sql("TICKER, FIGI, KIND, VALUE")}
+SELECT "DATE", TICKER, FIGI, KIND, VALUE, upper(split_part(DATASET, '_', 1)) AS ESTIMATE_TYPE, DATASET FROM fresh, {_tables_sql(_ESTIMATE_TABLES)}""",
     ("snap",),
 )(
-    lambda spark, sf: jobs.ingest(
-        "growth_estimates", landed_rows(spark, sf), stored_rows(spark, sf).withColumn("ESTIMATE_TYPE", F.lit("GROWTH")), figi_map(spark, sf)
+    lambda spark, sf: _each(
+        spark, sf, _ESTIMATE_TABLES, landed_rows(spark, sf), stored_rows(spark, sf),
+        lambda rows, name: rows.withColumn("ESTIMATE_TYPE", F.lit(name.partition("_")[0].upper())),
     )
 )
 query(
     "ingest_holders",
-    f"""WITH {_LANDED}, {_new_sql("TICKER, FIGI, KIND, SHARES")} SELECT "DATE", TICKER, FIGI, KIND, SHARES FROM fresh""".replace(
+    f"""WITH {_LANDED}, {_new_sql("TICKER, FIGI, KIND, SHARES")} SELECT "DATE", TICKER, FIGI, KIND, SHARES, DATASET FROM fresh, {_tables_sql(_HOLDERS)}""".replace(
         "l.KIND, l.VALUE", "l.KIND, l.VALUE AS SHARES"
     ).replace('FIGI, KIND, VALUE FROM snap WHERE SEQ % 10', 'FIGI, KIND, VALUE AS SHARES FROM snap WHERE SEQ % 10'),
     ("snap",),
 )(
-    lambda spark, sf: jobs.ingest(
-        "institutional_holders",
-        landed_rows(spark, sf).withColumn("SHARES", F.col("VALUE")),
-        stored_rows(spark, sf).withColumnRenamed("VALUE", "SHARES"),
-        figi_map(spark, sf),
+    lambda spark, sf: _each(
+        spark, sf, _HOLDERS, landed_rows(spark, sf).withColumn("SHARES", F.col("VALUE")), stored_rows(spark, sf).withColumnRenamed("VALUE", "SHARES")
     )
 )
 query(
@@ -302,6 +319,12 @@ UNION ALL SELECT s."DATE", s.TICKER, fm.FIGI, s.VALUE * 0.5, 0.0, 0.0, s.SEQ FRO
     ("snap",),
 )
 def _prices(spark, sf):
+    landed, stored, fresh = _price_frames(spark, sf)
+    return jobs.ingest_prices(landed, stored, figi_map(spark, sf), fresh)
+
+
+def _price_frames(spark, sf):
+    """(landed, stored, whole history) of the prices."""
     base = snapshot(spark, sf).withColumnRenamed("VALUE", "ADJ_CLOSE")
     none = {"DIVIDENDS": F.lit(0.0), "STOCK_SPLITS": F.lit(0.0)}
     columns = ["DATE", "TICKER", "FIGI", "ADJ_CLOSE", "DIVIDENDS", "STOCK_SPLITS", "SEQ"]
@@ -312,7 +335,7 @@ def _prices(spark, sf):
         .drop("FIGI", "KIND")
     )
     fresh = base.withColumn("ADJ_CLOSE", F.col("ADJ_CLOSE") * 0.5).withColumns(none).drop("FIGI", "KIND")
-    return jobs.ingest_prices(landed, stored, figi_map(spark, sf), fresh)
+    return landed, stored, fresh
 
 
 @query(
@@ -328,6 +351,15 @@ FROM r LEFT JOIN dm ON dm.TICKER = r.TICKER AND dm.NAME = r.NAME""",
     ("snap",),
 )
 def _holdings(spark, sf):
+    out = jobs.ingest_holdings(_sheets(spark, sf), master(spark, sf), ["E0", "E1"], "2024-02-01")
+    return out.select(
+        "DATE", "INDEX", "TICKER", rnd("MARKET_VALUE", 3).alias("MARKET_VALUE"), rnd("WEIGHT", 9).alias("WEIGHT"),
+        rnd("QUANTITY").alias("QUANTITY"), rnd("PRICE").alias("PRICE"), "NAME", "FIGI",
+    )
+
+
+def _sheets(spark, sf):
+    """Raw fund sheets: lines as members of the funds named by their return flag."""
     lines = load(spark, sf, "lineitem")
     raw = lines.select(
         F.col("l_returnflag").alias("INDEX"),
@@ -341,12 +373,12 @@ def _holdings(spark, sf):
         F.col("l_discount").cast("string").alias("PRICE"),
     )
     # the first attribute is the smallest name here, as the roll-up orders by the row itself
-    ordered = raw.select("NAME", *[c for c in raw.columns if c != "NAME"])
-    out = jobs.ingest_holdings(ordered, master(spark, sf), ["E0", "E1"], "2024-02-01")
-    return out.select(
-        "DATE", "INDEX", "TICKER", rnd("MARKET_VALUE", 3).alias("MARKET_VALUE"), rnd("WEIGHT", 9).alias("WEIGHT"),
-        rnd("QUANTITY").alias("QUANTITY"), rnd("PRICE").alias("PRICE"), "NAME", "FIGI",
-    )
+    return raw.select("NAME", *[c for c in raw.columns if c != "NAME"])
+
+
+def _known_master(spark, sf):
+    """The master before the day: one row of fifty."""
+    return master(spark, sf).where(F.substring("FIGI", 2, 12).cast("long") % 50 == 0)
 
 
 query(
@@ -355,7 +387,7 @@ query(
 WHERE (LOCATION = 'United States' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.TICKER = m.TICKER AND k.NAME = m.NAME))
 OR (LOCATION <> 'United States' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.TICKER = m.TICKER AND k.LOCATION = m.LOCATION))""",
     ("snap",),
-)(lambda spark, sf: jobs.ingest_security_master(master(spark, sf), master(spark, sf).where(F.substring("FIGI", 2, 12).cast("long") % 50 == 0)))
+)(lambda spark, sf: jobs.ingest_security_master(master(spark, sf), _known_master(spark, sf)))
 
 
 def series_metadata(spark, sf):
@@ -412,51 +444,135 @@ query(
 CASE WHEN CITY <> '' THEN CITY || ', ' || COUNTRY END AS CITY_ADDRESS FROM comp WHERE ID % 4 <> 0""",
 )(lambda spark, sf: jobs.ingest_addresses(companies(spark, sf), companies(spark, sf).where("ID % 4 = 0")))
 
-_HOLDERS = ("institutional_holders", "major_holders")  # their VALUE is not stored; SHARES is
-
 
-def _run(spark, sf, frames):
-    common = ["DATE", "TICKER", "FIGI", "KIND", "VALUE", "DATASET"]
-    return diff.union_all([
-        rows.withColumnRenamed("SHARES", "VALUE").withColumn("DATASET", F.lit(name)).select(common) for name, rows in frames.items()
-    ])
+_COMMON = ["DATE", "TICKER", "FIGI", "KIND", "VALUE"]
+
+
+def _run(frames):
+    """The results of a run in one frame; each job's own columns under common names."""
+    names = {
+        "holdings": {"NAME": "KIND", "WEIGHT": "VALUE"},
+        "security_master": {"NAME": "KIND"},
+        "prices": {"ADJ_CLOSE": "VALUE"},
+        "fred_series": {"OBSERVATION_START": "DATE", "FREQUENCY": "KIND"},
+        "fred_economic_data": {"OBSERVATION_DATE": "DATE"},
+        "addresses": {"FULL_ADDRESS": "KIND"},
+    } | dict.fromkeys(_HOLDERS, {"SHARES": "VALUE"})
+    types = ["date", "string", "string", "string", "double"]
+    out = []
+    for name, rows in frames.items():
+        rows = rows.withColumnsRenamed(names.get(name, {}))
+        common = [F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in zip(_COMMON, types)]
+        out.append(rows.select(*common, F.lit(name).alias("DATASET")))
+    return diff.union_all(out).withColumn("VALUE", rnd("VALUE", 9))
+
+
+def _company_rows(spark, sf):
+    return companies(spark, sf).select(
+        F.lit("2024-02-01").cast("date").alias("DATE"), F.concat(F.lit("U"), "ID").alias("TICKER"), F.col("ID").cast("double").alias("VALUE"),
+        "ADDRESS1", "CITY", "STATE", "ZIP", "COUNTRY",
+    )
 
 
-def _whole_day(spark, sf):
-    """Every vendor dataset landed; the given rows are derived once."""
-    landed, stored, mapping = (cut_lineage(f(spark, sf)) for f in (landed_rows, stored_rows, figi_map))
-    return jobs.daily_run(
-        {n: landed.withColumn("SHARES", F.col("VALUE")) if n in _HOLDERS else landed for n in jobs.SPECS},
-        {n: stored.withColumnRenamed("VALUE", "SHARES") if n in _HOLDERS else stored for n in jobs.SPECS},
-        mapping,
+def _day(spark, sf):
+    """(landed, stored) frames of every job; those that many jobs read are derived once."""
+    landed, stored = (cut_lineage(f(spark, sf)) for f in (landed_rows, stored_rows))
+    prices, had, history = _price_frames(spark, sf)
+    index_prices = series_a(spark, sf).select(
+        F.add_months("ts", 120).alias("DATE"), F.col("series").alias("TICKER"), F.col("price").alias("ADJ_CLOSE"),
+        F.lit(0.0).alias("DIVIDENDS"), F.lit(0.0).alias("STOCK_SPLITS"),
     )
+    series = series_metadata(spark, sf)
+    came = {n: landed.withColumn("SHARES", F.col("VALUE")) if n in _HOLDERS else landed for n in jobs.SPECS}
+    had_ = {n: stored.withColumnRenamed("VALUE", "SHARES") if n in _HOLDERS else stored for n in jobs.SPECS}
+    return came | {
+        "holdings": _sheets(spark, sf),
+        "security_master": master(spark, sf),
+        "index_prices": index_prices,
+        "prices": prices,
+        "prices_history": history,
+        "company_info": _company_rows(spark, sf),
+        "fred_series": series.select(
+            F.lower("TICKER").alias("id"), "FREQUENCY_SHORT", "FREQUENCY", F.date_add("OBSERVATION_START", 1).alias("observation start")
+        ),
+        "fred_economic_data": _incoming(spark, sf).withColumn("TICKER", F.lower("TICKER")),
+    }, had_ | {
+        "security_master": _known_master(spark, sf),
+        "prices": had,
+        "fred_series": series,
+        "fred_economic_data": _existing(spark, sf),
+        "addresses": companies(spark, sf).where("ID % 4 = 0"),
+    }
+
+
+def _daily(spark, sf):
+    landed, stored = _day(spark, sf)
+    return _run(jobs.daily_run(landed, stored, cut_lineage(figi_map(spark, sf)), ["E0", "E1"], "2024-02-01"))
+
+
+_COLS = '"DATE", TICKER, FIGI, KIND, VALUE, DATASET'
+_VENDORS = [n for n in jobs.SPECS if n != "company_info"]
+_SERIES_ROWS = """SELECT CAST(ts + INTERVAL 120 MONTH AS DATE) AS "DATE", series AS TICKER, CAST(NULL AS VARCHAR) AS FIGI, price AS ADJ_CLOSE FROM ser"""
 
 
-_DATASETS = ", ".join(f"('{n}')" for n in jobs.SPECS if n != "company_info")
+def _prices_sql(landed: str, figis: str) -> str:
+    """The price job over the landed rows that meet a condition, with ``figis`` as FIGI of a ticker.
+
+    A ticker whose FIGI is another than the stored one is another security.
+    """
+    return f"""st AS (SELECT "DATE", TICKER, FIGI, VALUE AS ADJ_CLOSE FROM snap WHERE "DATE" <= DATE '2024-01-12' AND SEQ % 5 <> 0),
+m AS (SELECT TICKER, max("DATE") AS d FROM st GROUP BY 1),
+land AS (SELECT s."DATE", s.TICKER, fm.FIGI, s.VALUE AS ADJ_CLOSE, s.KIND = 'error' AND s.VALUE > 45 AS acted, fm.FIGI IS NULL OR fm.FIGI LIKE 'G%' AS same
+FROM snap s LEFT JOIN {figis} fm ON fm.TICKER = s.TICKER WHERE s."DATE" >= DATE '2024-01-10' AND {landed}),
+dues AS (SELECT l.* FROM land l LEFT JOIN m ON m.TICKER = l.TICKER AND l.same WHERE l."DATE" >= CASE WHEN m.d IS NULL THEN DATE '2000-01-01' WHEN isodow(m.d) = 5 THEN m.d + 3 WHEN isodow(m.d) = 6 THEN m.d + 2 ELSE m.d + 1 END),
+adj AS (SELECT DISTINCT TICKER FROM dues WHERE acted AND same AND TICKER IN (SELECT TICKER FROM st)),
+uni AS (SELECT * FROM st UNION ALL SELECT "DATE", TICKER, FIGI, ADJ_CLOSE FROM dues),
+px AS (SELECT "DATE", TICKER, FIGI, ADJ_CLOSE FROM uni WHERE TICKER NOT IN (SELECT TICKER FROM adj)
+UNION ALL SELECT s."DATE", s.TICKER, fm.FIGI, s.VALUE * 0.5 FROM snap s LEFT JOIN {figis} fm ON fm.TICKER = s.TICKER WHERE s.TICKER IN (SELECT TICKER FROM adj))"""
+
+
+# the members of the funds, with what the master knew, extend the identifiers
+_DAY_FIGIS = f"""hd AS ({SQL["ingest_holdings"].replace("FROM master)", "FROM master WHERE CAST(substr(FIGI, 2) AS BIGINT) % 50 = 0)")}),
+{FIGI_MAP_SQL.replace("fm AS", "fm0 AS")}, fm AS (SELECT * FROM fm0 UNION ALL SELECT TICKER, max(FIGI) FROM hd WHERE FIGI IS NOT NULL AND TICKER NOT IN (SELECT TICKER FROM fm0) GROUP BY 1)"""
+_DAY_MACRO = SQL["ingest_macro"]
 query(
     "daily_run",
-    f"""WITH {_LANDED}, {_new_sql("TICKER, FIGI, KIND, VALUE")} SELECT "DATE", TICKER, FIGI, KIND, VALUE, DATASET FROM fresh, (VALUES {_DATASETS}) t(DATASET)
-UNION ALL SELECT "DATE", TICKER, FIGI, KIND, VALUE, 'company_info' FROM batch""",
-    ("snap",),
-)(lambda spark, sf: _run(spark, sf, _whole_day(spark, sf)))
-query(
+    f"""WITH {_LANDED.replace(FIGI_MAP_SQL, _DAY_FIGIS)}, {_new_sql("TICKER, FIGI, KIND, VALUE")}, {COMPANIES_SQL}, {_prices_sql("TRUE", "fm")},
+al AS (SELECT "DATE", TICKER, FIGI, KIND, VALUE, DATASET FROM fresh, {_tables_sql(_VENDORS)}
+UNION ALL SELECT DATE '2024-02-01', 'U' || c.ID, fm.FIGI, NULL, c.ID, 'company_info' FROM comp c LEFT JOIN fm ON fm.TICKER = 'U' || c.ID
+UNION ALL SELECT NULL, NULL, NULL, {FULL_SQL}, NULL, 'addresses' FROM comp WHERE ID % 4 <> 0
+UNION ALL SELECT "DATE", TICKER, FIGI, NAME, WEIGHT, 'holdings' FROM hd
+UNION ALL SELECT NULL, TICKER, NULL, NAME, NULL, 'security_master' FROM ({SQL["ingest_security_master"]})
+UNION ALL SELECT "DATE", TICKER, FIGI, NULL, ADJ_CLOSE, 'prices' FROM px
+UNION ALL SELECT "DATE", TICKER, FIGI, NULL, ADJ_CLOSE, 'prices' FROM ({_SERIES_ROWS}) WHERE "DATE" >= DATE '2000-01-01'
+UNION ALL SELECT CAST(OBSERVATION_START + 1 AS DATE), TICKER, NULL, FREQUENCY, NULL, 'fred_series' FROM meta
+UNION ALL SELECT OBSERVATION_DATE, TICKER, NULL, NULL, VALUE, 'fred_economic_data' FROM ({_DAY_MACRO}))
+SELECT "DATE", TICKER, FIGI, KIND, {rs("VALUE", 9)} AS VALUE, DATASET FROM al""",
+    ("snap", "ser", "meta"),
+)(_daily)
+
+_NOT_HELD = "TICKER NOT IN (SELECT TICKER FROM snap WHERE KIND = 'purchase' AND VALUE > 100)"
+
+
+@query(
     "subset_run",
-    f"""WITH {_LANDED.replace('FROM snap WHERE SEQ % 3 = 0)', "FROM snap WHERE SEQ % 3 = 0 AND TICKER NOT IN (SELECT TICKER FROM snap WHERE KIND = 'purchase' AND VALUE > 100))")}
-SELECT "DATE", TICKER, FIGI, KIND, VALUE, 'company_info' AS DATASET FROM batch""",
+    f"""WITH {_LANDED.replace('FROM snap WHERE SEQ % 3 = 0)', f"FROM snap WHERE SEQ % 3 = 0 AND {_NOT_HELD})")}, {_new_sql("TICKER, FIGI, KIND, VALUE")},
+{_prices_sql("s." + _NOT_HELD, "fm")},
+al AS (SELECT "DATE", TICKER, FIGI, KIND, VALUE, DATASET FROM fresh, {_tables_sql(_VENDORS)}
+UNION ALL SELECT "DATE", TICKER, FIGI, KIND, VALUE, 'company_info' FROM batch
+UNION ALL SELECT "DATE", TICKER, FIGI, NULL, ADJ_CLOSE, 'prices' FROM px)
+SELECT "DATE", TICKER, FIGI, KIND, {rs("VALUE", 9)} AS VALUE, DATASET FROM al""",
     ("snap",),
-)(
-    lambda spark, sf: _run(
-        spark,
-        sf,
-        jobs.subset_run(
-            {"company_info": landed_rows(spark, sf)},
-            {"company_info": stored_rows(spark, sf)},
-            figi_map(spark, sf),
-            snapshot(spark, sf).where("KIND = 'purchase' AND VALUE > 100"),
-            snapshot(spark, sf),
-        ),
-    )
 )
+def _subset(spark, sf):
+    landed, stored = _day(spark, sf)
+    per_name = ("prices", "prices_history", *jobs.SPECS)
+    landed = {n: landed[n] for n in per_name} | {"company_info": landed["officers"]}
+    rows = snapshot(spark, sf)
+    mapping = cut_lineage(figi_map(spark, sf))
+    stored = {n: stored[n] for n in ("prices", *jobs.SPECS)}
+    return _run(jobs.subset_run(landed, stored, mapping, rows.where("KIND = 'purchase' AND VALUE > 100"), rows))
+
 
 # ------------------------------------------------------------------ macro windows
 query(

@@ -139,22 +139,22 @@ query("label_estimates", f"{SNAP}, 'EPS' AS ESTIMATE_TYPE FROM snap", ("snap",))
 query(
     "transpose_statement",
     """SELECT TICKER, REPORT_DATE, min(VALUE) FILTER (WHERE KIND = 'click') AS click, min(VALUE) FILTER (WHERE KIND = 'view') AS view,
-min(VALUE) FILTER (WHERE KIND = 'purchase') AS purchase FROM (SELECT *, "DATE" AS REPORT_DATE FROM snap) GROUP BY 1, 2""",
+min(VALUE) FILTER (WHERE KIND = 'purchase') AS purchase, min(VALUE) FILTER (WHERE KIND = 'signup') AS signup, min(VALUE) FILTER (WHERE KIND = 'error') AS error FROM (SELECT *, "DATE" AS REPORT_DATE FROM snap) GROUP BY 1, 2""",
     ("snap",),
 )(
     lambda spark, sf: cleaning.statement_to_rows(
         snapshot(spark, sf).withColumnRenamed("DATE", "REPORT_DATE").withColumnRenamed("KIND", "ITEM"),
-        ["click", "view", "purchase"],
+        ["click", "view", "purchase", "signup", "error"],
     )
 )
 query(
     "union_call_put",
-    """SELECT TICKER, SEQ, VALUE, CASE WHEN KIND = 'click' THEN 'Call' ELSE 'Put' END AS OPTION_TYPE FROM snap WHERE KIND IN ('click', 'view')""",
+    """SELECT TICKER, SEQ, VALUE, CASE WHEN KIND IN ('click', 'purchase') THEN 'Call' ELSE 'Put' END AS OPTION_TYPE FROM snap""",
     ("snap",),
 )(
     lambda spark, sf: cleaning.union_call_put(
-        snapshot(spark, sf).where("KIND = 'click'").select("TICKER", "SEQ", "VALUE"),
-        snapshot(spark, sf).where("KIND = 'view'").select("TICKER", "SEQ", "VALUE"),
+        snapshot(spark, sf).where("KIND IN ('click', 'purchase')").select("TICKER", "SEQ", "VALUE"),
+        snapshot(spark, sf).where("KIND NOT IN ('click', 'purchase')").select("TICKER", "SEQ", "VALUE"),
     )
 )
 query(

@@ -90,8 +90,8 @@ query(
     f"SELECT now AS date, asset, {rs('sum(pow(wpos + 1, 2) * value) / sum(pow(wpos + 1, 2))', 9)} AS factor FROM win_a WHERE value IS NOT NULL GROUP BY 1, 2",
     ("win_a",),
 )(lambda spark, sf: _factor(FA.kernel_moving_average(panel_a(spark, sf), cal_a(spark, sf), cal_a(spark, sf), k=2)))
-query("set_factor", "SELECT date, asset, value AS factor FROM pa WHERE month(date) = 3", ("pa",))(
-    lambda spark, sf: FA.set_factor(panel_a(spark, sf), cal_a(spark, sf).where("month(date) = 3"))
+query("set_factor", "SELECT date, asset, value AS factor FROM pa", ("pa",))(
+    lambda spark, sf: FA.set_factor(panel_a(spark, sf), cal_a(spark, sf))
 )
 query(
     "standardize",
@@ -297,13 +297,13 @@ SELECT date, asset FROM (SELECT *, ntile(2) OVER (PARTITION BY date, t1 ORDER BY
 )
 query(
     "selection_stats",
-    f"SELECT date, count(*) AS TOTAL_NAMES, {rs('avg(f)', 9)} AS MEAN, {rs('median(f)', 9)} AS MEDIAN FROM tr_raw JOIN pa USING (date, asset) WHERE asset IN (SELECT asset FROM sec_a WHERE sector = 'S2') GROUP BY 1",
+    f"SELECT date, count(*) AS TOTAL_NAMES, {rs('avg(f)', 9)} AS MEAN, {rs('median(f)', 9)} AS MEDIAN FROM tr_raw JOIN pa USING (date, asset) WHERE asset IN (SELECT asset FROM sec_a WHERE sector IS NOT NULL) GROUP BY 1",
     ("tr_raw", "pa", "sec_a"),
 )(lambda spark, sf: _selection_stats(spark, sf))
 
 
 def _selection_stats(spark, sf):
-    chosen = S.select_sector(pool_a(spark, sf), sectors_a(spark, sf), ["S2"])
+    chosen = S.select_sector(pool_a(spark, sf), sectors_a(spark, sf), ["S0", "S1", "S2", "S3", "S4"])
     out = S.selection_stats(tr_a(spark, sf), chosen)
     return out.select("date", "TOTAL_NAMES", rnd("MEAN", 9).alias("MEAN"), rnd("MEDIAN", 9).alias("MEDIAN"))
 

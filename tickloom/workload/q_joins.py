@@ -154,16 +154,17 @@ WHERE CAST(substr(h.FIGI, 2) AS INTEGER) % 7 <> 0""",
 )
 query(
     "backfill_joins",
-    """WITH w AS (SELECT "DATE", FIGI, WEIGHT FROM hold WHERE "INDEX" = 'MACHINERY'), m AS (SELECT DISTINCT FIGI, TICKER FROM hold WHERE TICKER <> 'T3'),
-p AS (SELECT "DATE", FIGI, max(MARKET_VALUE) AS PRICE FROM hold WHERE "DATE" >= DATE '1996-01-01' GROUP BY 1, 2)
-SELECT w."DATE", w.FIGI, w.WEIGHT, m.TICKER, p.PRICE FROM w LEFT JOIN m ON m.FIGI = w.FIGI LEFT JOIN p ON p.FIGI = w.FIGI AND p."DATE" = w."DATE" """,
+    # prices are those of the month before: the first month and new members have none
+    """WITH w AS (SELECT "DATE", "INDEX", FIGI, WEIGHT FROM hold), m AS (SELECT DISTINCT FIGI, TICKER FROM hold),
+p AS (SELECT CAST("DATE" + INTERVAL 1 MONTH AS DATE) AS "DATE", FIGI, max(MARKET_VALUE) AS PRICE FROM hold GROUP BY 1, 2)
+SELECT w."DATE", w."INDEX", w.FIGI, w.WEIGHT, m.TICKER, p.PRICE FROM w LEFT JOIN m ON m.FIGI = w.FIGI LEFT JOIN p ON p.FIGI = w.FIGI AND p."DATE" = w."DATE" """,
     ("hold",),
 )(
     lambda spark, sf: joins.backfill_joins(
-        holdings(spark, sf).where(F.col("INDEX") == "MACHINERY").select("DATE", "FIGI", "WEIGHT"),
-        _info_by_figi(spark, sf).where("TICKER <> 'T3'"),
+        holdings(spark, sf).select("DATE", "INDEX", "FIGI", "WEIGHT"),
+        _info_by_figi(spark, sf),
         holdings(spark, sf)
-        .where(F.col("DATE") >= F.lit("1996-01-01").cast("date"))
+        .withColumn("DATE", F.add_months("DATE", 1))
         .groupBy("DATE", "FIGI")
         .agg(F.max("MARKET_VALUE").alias("PRICE")),
     )
@@ -273,10 +274,11 @@ query(
 )(lambda spark, sf: aggregates.missing_requested(snapshot(spark, sf), "TICKER", [f"u{i}" for i in range(140, 160)]))
 query(
     "pivot_last",
-    """SELECT "DATE", max(CASE WHEN KIND = 'click' THEN VALUE END) AS click, max(CASE WHEN KIND = 'view' THEN VALUE END) AS view FROM
+    """SELECT "DATE", max(CASE WHEN KIND = 'click' THEN VALUE END) AS click, max(CASE WHEN KIND = 'view' THEN VALUE END) AS view,
+max(CASE WHEN KIND = 'purchase' THEN VALUE END) AS purchase, max(CASE WHEN KIND = 'signup' THEN VALUE END) AS signup, max(CASE WHEN KIND = 'error' THEN VALUE END) AS error FROM
 (SELECT *, row_number() OVER (PARTITION BY "DATE", KIND ORDER BY SEQ DESC) AS rn FROM snap) WHERE rn = 1 GROUP BY 1""",
     ("snap",),
-)(lambda spark, sf: aggregates.pivot_last(snapshot(spark, sf), "DATE", "KIND", "VALUE", "SEQ", ["click", "view"]))
+)(lambda spark, sf: aggregates.pivot_last(snapshot(spark, sf), "DATE", "KIND", "VALUE", "SEQ", ["click", "view", "purchase", "signup", "error"]))
 query(
     "unpivot",
     """SELECT c_custkey, 'balance' AS asset, c_acctbal AS value FROM customer UNION ALL

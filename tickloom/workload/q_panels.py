@@ -35,14 +35,25 @@ max(CASE WHEN value IS NOT NULL THEN pos END) OVER (PARTITION BY asset) AS lv FR
 query("gap_fill_controlled", "SELECT date, asset, value FROM fill_b WHERE value IS NOT NULL", ("fill_b",))(
     lambda spark, sf: P.fill_gaps(panel_b(spark, sf), cal_b(spark, sf)).drop("pos")
 )
-# days 4 and 9..10 lose all their rows: the first is isolated, the others are not
-_HOLED = "value IS NOT NULL AND day(date) NOT IN (4, 9, 10)"
+# the calendar has dates that the monthly panel lacks: one after each January, which is
+# isolated, and two after each July, which are not
 query(
     "fill_single_null_row",
-    f"""WITH p AS (SELECT date, asset, value FROM pb WHERE {_HOLED}) SELECT date, asset, value FROM p
-UNION ALL SELECT CAST(date + 1 AS DATE), asset, value FROM p WHERE day(date) = 3""",
-    ("pb",),
-)(lambda spark, sf: P.fill_isolated(panel_b(spark, sf).where(_HOLED), cal_b(spark, sf)))
+    """SELECT date, asset, value FROM pa
+UNION ALL SELECT CAST(date + 14 AS DATE), asset, value FROM pa WHERE month(date) = 1 AND date < (SELECT max(date) FROM pa)""",
+    ("pa",),
+)(lambda spark, sf: _fill_isolated(spark, sf))
+
+
+def _fill_isolated(spark, sf):
+    panel = panel_a(spark, sf)
+    month = F.month("date")
+    later = F.when(month == 1, F.array(F.lit(14))).when(month == 7, F.array(F.lit(9), F.lit(19))).otherwise(F.array().cast("array<int>"))
+    days = panel.select("date").distinct()
+    extra = days.select(F.explode(F.transform(later, lambda k: F.date_add("date", k))).alias("date"))
+    return P.fill_isolated(panel, C.calendar_of(days.union(extra)))
+
+
 query(
     "ffill_bfill",
     """SELECT date, asset, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY asset ORDER BY pos ROWS UNBOUNDED PRECEDING),
@@ -219,11 +230,11 @@ query("run_every_n_periods", "SELECT date FROM cal_d WHERE pos % 5 = 2", ("cal_d
 )
 query(
     "run_every_n_months",
-    """WITH RECURSIVE f AS (SELECT year(date) * 12 + month(date) AS m, min(date) AS date FROM cal_d WHERE pos > 0 AND month(date) NOT IN (5, 8) GROUP BY 1),
+    """WITH RECURSIVE f AS (SELECT year(date) * 12 + month(date) AS m, min(date) AS date FROM cal_d WHERE pos > 0 GROUP BY 1),
 t(m, date) AS (SELECT m, date FROM f WHERE m = (SELECT min(m) FROM f) UNION ALL
 SELECT n.m, n.date FROM t JOIN f n ON n.m = (SELECT min(x.m) FROM f x WHERE x.m >= t.m + 3)) SELECT date FROM t""",
     ("cal_d",),
-)(lambda spark, sf: C.run_every_n_months(cal_d(spark, sf).where("month(date) NOT IN (5, 8)"), 3))
+)(lambda spark, sf: C.run_every_n_months(cal_d(spark, sf), 3))
 
 _W = "SELECT \"DATE\" AS date, TICKER AS asset, WEIGHT AS weight FROM hold"
 
@@ -331,7 +342,7 @@ def _aligned(spark, sf):
 
 query(
     "asof_last_price",
-    """SELECT n.now, p.asset, p.value FROM (SELECT CAST(DATE '2024-01-02' + CAST(i AS INTEGER) AS DATE) AS now FROM range(0, 25, 3) t(i)) n
+    """SELECT n.now, p.asset, p.value FROM (SELECT date AS now FROM cal_b) n
 JOIN pb p ON p.date = (SELECT max(date) FROM cal_b c WHERE c.date <= n.now AND isodow(c.date) <= 5)""",
     ("pb", "cal_b"),
 )(lambda spark, sf: _asof(spark, sf))
@@ -340,8 +351,7 @@ JOIN pb p ON p.date = (SELECT max(date) FROM cal_b c WHERE c.date <= n.now AND i
 def _asof(spark, sf):
     from tickloom.operators.signals import asof_last_price
 
-    dates = spark.range(0, 25, 3).select(F.date_add(F.lit("2024-01-02").cast("date"), F.col("id").cast("int")).alias("date"))
-    return asof_last_price(panel_b(spark, sf), _weekdays(spark, sf), dates)
+    return asof_last_price(panel_b(spark, sf), _weekdays(spark, sf), cal_b(spark, sf).select("date"))
 
 
 query(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import factors, reports
-from tickloom.workload.base import load, panel_a, panel_b, query, rnd, rs, sectors_a
-from tickloom.workload.q_crosssection import part_factor
+from tickloom.workload.base import load, panel_a, panel_b, query, rnd, rs, sectors_a, series_a
+from tickloom.workload.q_crosssection import tr_a
 from tickloom.workload.q_joins import weights_a
 
 
@@ -62,31 +62,33 @@ query(
 query(
     "rpt_factor_stats",
     f"""SELECT date, {rs('avg(f)', 9)} AS MEAN, {rs('median(f)', 9)} AS MEDIAN, {rs('quantile_cont(f, 0.25)', 9)} AS "25TH", {rs('quantile_cont(f, 0.75)', 9)} AS "75TH"
-FROM tr_raw WHERE length(asset) > 7 GROUP BY 1""",
+FROM tr_raw GROUP BY 1""",
     ("tr_raw",),
 )(
-    lambda spark, sf: factors.factor_stats(part_factor(spark, sf)).select(
+    lambda spark, sf: factors.factor_stats(tr_a(spark, sf)).select(
         "date", *[rnd(f"`{c}`", 9).alias(c) for c in ("MEAN", "MEDIAN", "25TH", "75TH")]
     )
 )
 query(
     "rpt_factor_coverage",
-    f"""SELECT p.date, count(*) FILTER (WHERE t.f IS NOT NULL) AS covered, {rs('avg(CASE WHEN t.f IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS share, CAST(0 AS DOUBLE) AS market_share
-FROM pa p LEFT JOIN (SELECT * FROM tr_a WHERE length(asset) > 7) t ON t.date = p.date AND t.asset = p.asset GROUP BY 1""",
-    ("pa", "tr_a"),
+    f"""SELECT p.date, count(*) FILTER (WHERE t.f IS NOT NULL) AS covered, {rs('avg(CASE WHEN t.f IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS share,
+{rs('sum(CASE WHEN t.f IS NOT NULL THEN w.weight ELSE 0 END) / sum(w.weight)')} AS market_share
+FROM pa p LEFT JOIN tr_raw t ON t.date = p.date AND t.asset = p.asset JOIN wa w ON w.date = p.date AND w.asset = p.asset GROUP BY 1""",
+    ("pa", "tr_raw", "wa"),
 )(
-    lambda spark, sf: factors.factor_coverage(part_factor(spark, sf), panel_a(spark, sf)).select(
+    lambda spark, sf: factors.factor_coverage(tr_a(spark, sf), panel_a(spark, sf), weights_a(spark, sf)).select(
         "date", "covered", rnd("share").alias("share"), rnd("market_share").alias("market_share")
     )
 )
 query(
     "rpt_prices",
-    """SELECT coalesce(a.date, b.date) AS date, a.value AS strategy, b.value AS benchmark FROM (SELECT * FROM pa WHERE asset = 'Brand#3' AND month(date) > 2) a
-FULL JOIN (SELECT * FROM pa WHERE asset = 'Brand#8' AND month(date) < 11) b ON a.date = b.date""",
-    ("pa",),
+    f"""SELECT coalesce(a.date, b.date) AS date, a.value AS strategy, b.value AS benchmark FROM (SELECT date, {rs('avg(value)')} AS value FROM pa GROUP BY 1) a
+FULL JOIN (SELECT ts AS date, {rs('avg(price)')} AS value FROM ser GROUP BY 1) b ON a.date = b.date""",
+    ("pa", "ser"),
 )(
     lambda spark, sf: reports.rpt_prices(
-        panel_a(spark, sf).where("asset = 'Brand#3' AND month(date) > 2"), panel_a(spark, sf).where("asset = 'Brand#8' AND month(date) < 11")
+        panel_a(spark, sf).groupBy("date").agg(rnd(F.avg("value")).alias("value")),
+        series_a(spark, sf).groupBy(F.col("ts").alias("date")).agg(rnd(F.avg("price")).alias("value")),
     )
 )
 _BINS = """WITH l AS (SELECT 'quantity' AS "column", l_quantity AS x FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem),

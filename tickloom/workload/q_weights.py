@@ -20,11 +20,11 @@ def _w(df, digits=9):
 
 
 def selected_a(spark, sf):
-    """Names of two sectors with a price on the date."""
-    return S.select_sector(S.select_all(panel_a(spark, sf)), sectors_a(spark, sf), ["S0", "S1"])
+    """Names of any sector with a price on the date; those without a sector are no names."""
+    return S.select_sector(S.select_all(panel_a(spark, sf)), sectors_a(spark, sf), [f"S{k}" for k in range(5)])
 
 
-cte("sel", "SELECT pa.date, pa.asset FROM pa JOIN sec_a USING (asset) WHERE sector IN ('S0', 'S1')", "pa", "sec_a")
+cte("sel", "SELECT pa.date, pa.asset FROM pa JOIN sec_a USING (asset) WHERE sector IS NOT NULL", "pa", "sec_a")
 cte("wa", WEIGHTS_A_SQL.partition("AS (")[2][:-1], "pa")
 
 
