@@ -1,4 +1,7 @@
-"""Covariance estimators: (date, i, j, cov), all dates in one job.
+"""Covariance estimators: (date, i, j, cov) with i <= j, all dates in one job.
+
+A matrix is symmetric, so every pair is there once, under its names in order;
+``both_triangles`` gives the other half where a caller wants it.
 
 A covariance matrix has every pair by definition, but the returns need not be
 multiplied out pair by pair.  ``gram`` hashes a window's assets into blocks of a
@@ -63,12 +66,16 @@ def _block_product(decays: Sequence[float]):
                 "sxy": (x * w) @ y.T,
             }
             a, b = np.nonzero(count > 0)
+            if lo == hi:
+                ordered = names_i[a] <= names_j[b]
+                a, b = a[ordered], b[ordered]
             frame = pd.DataFrame({"i": names_i[a], "j": names_j[b], "k": k, "n": count[a, b]})
             for name, table in sums.items():
                 frame[name] = table[a, b]
-            out.append(frame)
-            if lo != hi:
-                out.append(frame.rename(columns={"i": "j", "j": "i", "sx": "sy", "sy": "sx"}))
+            turned = (frame["i"] > frame["j"]).to_numpy()
+            out.append(frame[~turned])
+            if turned.any():
+                out.append(frame[turned].rename(columns={"i": "j", "j": "i", "sx": "sy", "sy": "sx"}))
         result = pd.concat(out, ignore_index=True)
         result.insert(0, "now", rows["now"].iloc[0])
         return result[["now", "i", "j", "k", "n", "sw", "sw2", "sx", "sy", "sxy"]]
@@ -80,7 +87,7 @@ def gram(rows: DataFrame, decays: Sequence[float] = (1.0,), center: bool = False
     """Pair sums of window values over the rows both assets have.
 
     Per (now, i, j) and decay ``k``: count, weight sums and the weighted sums of
-    x, y and xy.  Pairs without a common row are absent.  ``center`` takes each
+    x, y and xy, for i <= j.  Pairs without a common row are absent.  ``center`` takes each
     asset's window mean off first: covariances stay, the sums lose less precision.
     """
     vectors = rows.groupBy("now", "asset").agg(
@@ -111,6 +118,18 @@ def gram(rows: DataFrame, decays: Sequence[float] = (1.0,), center: bool = False
     return sent.groupBy("now", "lo", "hi").applyInPandas(_block_product(list(decays)), _GRAM)
 
 
+def both_triangles(cov: DataFrame) -> DataFrame:
+    """Every pair of different names in both orders; other columns, which must be symmetric, are copied."""
+    own = F.struct("i", "j")
+    orders = F.when(F.col("i") == F.col("j"), F.array(own)).otherwise(
+        F.array(own, F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    )
+    rest = [c for c in cov.columns if c not in ("i", "j")]
+    return cov.select(*rest, F.explode(orders).alias("_pair")).select(
+        *[F.col(f"_pair.{c}").alias(c) if c in ("i", "j") else c for c in cov.columns]
+    )
+
+
 def _named(df: DataFrame, cov: Column) -> DataFrame:
     return df.select(F.col("now").alias("date"), "i", "j", cov.alias("cov"))
 
@@ -242,7 +261,8 @@ def _moments(sample: DataFrame) -> DataFrame:
         F.count(diagonal).alias("_p"),
         F.max("n").alias("_n"),
         F.sum(diagonal).alias("_trace"),
-        F.sum(F.col("_cov") * F.col("_cov")).alias("_squares"),
+        # a pair of different names stands for two cells
+        F.sum(F.col("_cov") * F.col("_cov") * F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)).alias("_squares"),
     )
 
 

@@ -258,17 +258,22 @@ def transition_schedule(targets: DataFrame, calendar: DataFrame, n: int = 10) ->
 
 
 def portfolio_sharpe(weights: DataFrame, expected: DataFrame, cov: DataFrame, rf: float = 0.0) -> DataFrame:
-    """Expected excess return over volatility, per date."""
+    """Expected excess return over volatility, per date.
+
+    Of the covariances the pairs with i <= j are read; each stands for both orders.
+    """
     gain = weights.join(expected, ["date", "asset"]).groupBy("date").agg(
         F.sum(F.col("weight") * F.col("expected_return")).alias("_gain")
     )
     left = weights.select("date", F.col("asset").alias("i"), F.col("weight").alias("_wi"))
     right = weights.select("date", F.col("asset").alias("j"), F.col("weight").alias("_wj"))
+    cells = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
     risk = (
-        cov.join(left, ["date", "i"])
+        cov.where("i <= j")
+        .join(left, ["date", "i"])
         .join(right, ["date", "j"])
         .groupBy("date")
-        .agg(F.sum(F.col("_wi") * F.col("cov") * F.col("_wj")).alias("_risk"))
+        .agg(F.sum(cells * F.col("_wi") * F.col("cov") * F.col("_wj")).alias("_risk"))
     )
     ratio = F.when(F.col("_risk") > 0, (F.col("_gain") - rf) / F.sqrt(F.when(F.col("_risk") > 0, F.col("_risk"))))
     return gain.join(risk, "date").select("date", ratio.alias("sharpe"))

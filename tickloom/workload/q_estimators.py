@@ -110,7 +110,7 @@ def _benchmark(panel, calendar):
 
 # ------------------------------------------------------------------ covariance
 def _cov(df, digits=9):
-    return df.select("date", "i", "j", rnd("cov", digits).alias("cov"))
+    return CV.both_triangles(df).select("date", "i", "j", rnd("cov", digits).alias("cov"))
 
 
 def _pairs_sql(value: str, source: str, x: str = "r", having: str = "", digits: int = 9) -> str:

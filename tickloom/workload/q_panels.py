@@ -376,10 +376,10 @@ WHERE x.wpos > 0 AND x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2, 3""",
 
 
 def _pairs(spark, sf):
-    from tickloom.operators.covariance import gram
+    from tickloom.operators.covariance import both_triangles, gram
     from tickloom.operators.estimators import window_returns
 
     calendar = cal_a(spark, sf)
     bridge = C.window_bridge(calendar, calendar, C.Offset(months=3))
     out = gram(window_returns(panel_a(spark, sf), calendar, bridge))
-    return out.select("now", "i", "j", F.col("n").cast("long").alias("n"), rnd("sxy", 9).alias("sxy"))
+    return both_triangles(out.select("now", "i", "j", F.col("n").cast("long").alias("n"), rnd("sxy", 9).alias("sxy")))
