@@ -6,8 +6,9 @@ and longer ones overlap.  Every template that a block has enough words of is
 aligned with it, around every run of words that they share.  What is found there
 is compressed alone and with the template as a raw Zstandard dictionary; the
 template must save a good part of what it takes itself, whatever stands beside
-it.  The words that were added, dropped or replaced are reported.
-Of confirmed notices that overlap the one with the most
+it.  Versions and the names of licenses are obligatory: a notice that lacks one of
+its template's, or has another name inside, is none.  All other words that were
+added, dropped or replaced are reported.  Of confirmed notices that overlap the one with the most
 words in common, less the differing ones, stays.
 """
 
@@ -43,14 +44,22 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "BSD-3-Clause-terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-rights-reserved": "All rights reserved.",
 }
+# fixed values: words that tell licenses of like wording apart, beside all words with a digit
+NAMES = frozenset("mit apache mozilla lesser affero by by-sa by-nc by-nd by-nc-sa by-nc-nd".split())
 # a block without any of these is no candidate
 CUES = (b"licens", b"licenc", b"copyright", b"rights", b"permission", b"redistribut", b"public domain", b"free software")
 _CUE = re.compile(b"|".join(map(re.escape, CUES)))
@@ -62,6 +71,12 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def obligatory(words: list[str]) -> frozenset[str]:
+    """The versions and names among a template's words; ``by`` is a name after ``cc`` alone."""
+    named = {w for before, w in zip(["", *words], words) if w in NAMES and (w != "by" or before == "cc")}
+    return frozenset(named | {w for w in words if any(c.isdigit() for c in w)})
+
+
 @dataclass(frozen=True)
 class Match:
     """A confirmed notice: its code points in a block, and how it differs from the template."""
@@ -94,6 +109,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = {name: _words(templates[name]) for name in self.names}
+        self.must = {name: obligatory(self.words[name]) for name in self.names}
         self.bag = {name: Counter(self.words[name]) for name in self.names}
         self.matcher = {name: SequenceMatcher(None, [], self.words[name], autojunk=False) for name in self.names}
         # bytes on either side of a cue: a notice may be longer than its template, and its lines may have marks
@@ -115,19 +131,23 @@ class Scanner:
     def confirm(self, text: str, name: str) -> tuple[float, str]:
         """(share of the template's words found in order, the exact differences around the match)."""
         have = _words(text)
-        _, _, same, differences = self._align(have, 0, len(have), name)
+        _, _, same, differences, _ = self._align(have, 0, len(have), name)
         return same / max(1, len(self.words[name])), differences
 
-    def _align(self, have: list[str], lo: int, hi: int, name: str) -> tuple[int, int, int, str]:
-        """(first word, one past the last, words in common, differences) of the template in words lo to hi."""
-        want, matcher = self.words[name], self.matcher[name]
+    def _align(self, have: list[str], lo: int, hi: int, name: str) -> tuple[int, int, int, str, bool]:
+        """(first word, one past the last, words in common, differences, no obligatory word differs) in words lo to hi."""
+        want, matcher, must, own = self.words[name], self.matcher[name], self.must[name], True
         matcher.set_seq1(have[lo:hi])
         codes = matcher.get_opcodes()
         same, first, last, out = 0, hi, lo, []
         for k, (tag, a, b, c, d) in enumerate(codes):
             if tag == "equal":
                 same += b - a
-            elif k in (0, len(codes) - 1):
+            elif not must.isdisjoint(want[c:d]):
+                own = False
+            elif 0 < k < len(codes) - 1 and any(w in NAMES - {"by"} and w not in must for w in have[lo + a:lo + b]):
+                own = False
+            if tag != "equal" and k in (0, len(codes) - 1):
                 # words before and after the notice are not its wording, but those in place of its own
                 a, b = (max(a, b - (d - c)), b) if k == 0 else (a, min(b, a + (d - c)))
                 if c == d:
@@ -136,7 +156,7 @@ class Scanner:
                 out.append(f"[-{' '.join(want[c:d])}-]{{+{' '.join(have[lo + a:lo + b])}+}}")
             if b > a:
                 first, last = min(first, lo + a), max(last, lo + b)
-        return first, last, same, " ".join(out)
+        return first, last, same, " ".join(out), own
 
     def _found(self, text: str, spans: list[tuple[int, int]], have: list[str], name: str) -> Iterator[Match]:
         """The template's notices in a block, around every run of words in common."""
@@ -152,8 +172,8 @@ class Scanner:
                 continue
             # where the notice must be if it holds this run
             a, b = max(lo, run.a - run.b - slack), min(hi, run.a + n - run.b + slack)
-            first, last, same, differences = self._align(have, a, b, name)
-            if same >= ALIKE * n:
+            first, last, same, differences, own = self._align(have, a, b, name)
+            if own and same >= ALIKE * n:
                 start, end = spans[first][0], spans[last - 1][1]
                 # alone, as other notices beside it may hold the same words, and with the words around it
                 saved = max(self.saved(text[start:end], name), self.saved(text[spans[a][0]:spans[b - 1][1]], name))
