@@ -37,21 +37,34 @@ def normalize_weights(df: DataFrame, keys: Sequence[str] = ("INDEX",), weight: s
 
 
 def holdings_rollup(df: DataFrame, keys: Sequence[str] = ("DATE", "INDEX", "TICKER"), tie: str | None = None) -> DataFrame:
-    """One row per member: amounts summed, each attribute from the first line by ``tie`` that has it."""
+    """One row per member: amounts summed, each attribute from the first line by ``tie`` that has it.
+
+    Sums are hash aggregates.  Of the attributes' lines every task sends the
+    first of each member and attribute, so a member with many lines is neither
+    shuffled nor sorted whole.  Null keys are members too.
+    """
     sums = [c for c in ROLLUP_SUMS if c in df.columns]
     kept = [c for c in ROLLUP_FIRSTS if c in df.columns]
+    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("_lines"))
     if not kept:
-        return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
-    order = [F.col(tie)] if tie else [F.col(c) for c in df.columns if c not in keys]
-    line = Window.partitionBy(*keys).orderBy(*[c.asc_nulls_last() for c in order])
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rolled = df.select(
+        return totals.drop("_lines")
+    order = [tie] if tie else [c for c in df.columns if c not in keys]
+    have = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in kept])
+    lines = df.select(
         *keys,
-        F.row_number().over(line).alias("_line"),
-        *[F.sum(c).over(whole).alias(c) for c in sums],
-        *[F.first(c, True).over(whole).alias(c) for c in kept],
+        *[F.col(c).alias(f"_order{k}") for k, c in enumerate(order)],
+        F.inline(F.filter(have, lambda x: x["value"].isNotNull())).alias("_name", "_value"),
+    )
+    line = Window.partitionBy(*keys, "_name").orderBy(*[F.col(f"_order{k}").asc_nulls_last() for k in range(len(order))])
+    first = lines.withColumn("_rank", F.row_number().over(line)).where("_rank = 1")
+    # at most one entry an attribute
+    found = first.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
+        F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias("_found")
     )
-    return rolled.where("_line = 1").drop("_line")
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    types = dict(df.dtypes)
+    attributes = [F.col("_found").getItem(c).cast(types[c]).alias(c) for c in kept]
+    return totals.join(found, same, "left").select(*keys, *sums, *attributes)
 
 
 def vintage_max(df: DataFrame) -> DataFrame:
