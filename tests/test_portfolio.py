@@ -1,6 +1,8 @@
 """Covariance, weights, accounting and statistics against NumPy, pandas and plain loops."""
 
+import contextlib
 import datetime
+import io
 import random
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helpers import cells, cross, day, panel
 from tickloom.functions import fees
-from tickloom.operators import accounting, covariance, stats, support, weights
+from tickloom.operators import accounting, covariance, panels, stats, support, weights
 from tickloom.operators import calendar as C
 from tickloom.operators.selection import select_all
 
@@ -216,6 +218,28 @@ def test_negative_price_zeroes_growth(spark):
     assert row["cagr"] == 0.0 and row["calmar"] == 0.0
 
 
+def test_drawdown_of_several_prices_a_day(spark):
+    # peaks inside a day, a day of negative prices, a start below zero
+    lines = {"a": [10, 12, 9, 11, 6, 14, -3, 7, 0], "b": [-2, 5, 4, -1, 8, 8, 2, 9, 3], "c": [1, 2, 3, 4, 5, 6, 7, 8, 9]}
+    rows = [
+        (s, datetime.datetime(2024, 1, 1 + i // 3, 9 + i % 3), float(p)) for s, prices in lines.items() for i, p in enumerate(prices)
+    ]
+    df = spark.createDataFrame(rows, "series string, ts timestamp, price double")
+    depth = panels.drawdown(df).groupBy("series").agg(F.min("drawdown"))
+    days = df.groupBy("series", F.col("ts").cast("date").alias("ts")).agg(F.max_by("price", "ts").alias("price"))
+    length = panels.dd_duration(days)
+    got = {r["series"]: (r["max_drawdown"], r["max_drawdown_duration"]) for r in stats.perf_stats(df).collect()}
+    length = {r[0]: r[1] for r in length.collect()}
+    assert got == {r[0]: (r[1], length[r[0]]) for r in depth.collect()}
+
+
+def test_statistics_use_one_partitioning_by_series(spark):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        stats.perf_stats(_business_series(spark, 30)[0]).explain()
+    assert out.getvalue().count("Exchange ") <= 2 and "Join" not in out.getvalue()
+
+
 # ---------------------------------------------------------------- what must not pass in silence
 def _book(spark, columns, weight=1.0):
     prices = panel(spark, columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.panels import dd_duration, drawdown, rf_returns
+from tickloom.operators.panels import rf_returns
 from tickloom.operators.support import finite
 
 # fixed values: seconds in a year, tolerance of "zero"
@@ -40,30 +40,56 @@ def asof_offset(series: DataFrame, months: int) -> DataFrame:
     return rows.groupBy("series").agg(F.max_by("price", "ts").alias("price"), F.max("ts").alias("ts"))
 
 
-def _daily(series: DataFrame) -> DataFrame:
-    """Daily last prices with the previous price of every period length on the row.
+def _days(series: DataFrame) -> DataFrame:
+    """One row per series and day: the last price, the highest one, and what the day's drawdown needs.
 
-    All columns come from one window partitioning: a series' days, at most a calendar.
+    A price that is not negative is below the peak by the lesser of its ratios
+    to the peak of the earlier days and to that of the day so far, so two minima
+    of the day tell both.  Negative prices turn that round and are kept as they are.
+    """
+    day = F.col("ts").cast("date")
+    so_far = Window.partitionBy("series", "_day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.withColumn("_day", day).withColumn("_now", F.max("price").over(so_far))
+    return rows.groupBy("series", "_day").agg(
+        F.max_by("price", "ts").alias("price"),
+        F.max("price").alias("_top"),
+        F.min(F.when(F.col("price") >= 0, F.col("price"))).alias("_low"),
+        F.min(F.when(F.col("price") >= 0, F.try_divide("price", "_now"))).alias("_inside"),
+        F.collect_list(F.when(F.col("price") < 0, F.struct("price", "_now"))).alias("_below"),
+    ).withColumnRenamed("_day", "ts")
+
+
+def _daily(days: DataFrame) -> DataFrame:
+    """The days with the previous price of every period length, the drawdown and the lower tail on the row.
+
+    All columns come from one partitioning by series: its days, at most a calendar.
     """
-    days = series.groupBy("series", F.col("ts").cast("date").alias("ts")).agg(F.max_by("price", "ts").alias("price"))
     line = Window.partitionBy("series").orderBy("ts")
     whole = Window.partitionBy("series")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
-    out = days.withColumn("_prev", F.lag("price").over(line)).withColumn("_end", F.max("ts").over(whole))
-    out = out.withColumn("_next", F.lead("ts").over(line))
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    out = days.withColumns({
+        "_prev": F.lag("price").over(line),
+        "_next": F.lead("ts").over(line),
+        "_at": F.row_number().over(line),
+        "_peak": F.max("price").over(upto),
+        "_earlier": F.max("_top").over(before),
+        "_end": F.max("ts").over(whole),
+    })
     for name, unit in (("m", "month"), ("q", "quarter"), ("y", "year")):
         closes = F.col("_next").isNull() | (F.trunc("_next", unit) != F.trunc("ts", unit))
         out = out.withColumn(f"_{name}", closes)
         out = out.withColumn(f"_{name}prev", F.last(F.when(F.col(f"_{name}"), F.col("price")), True).over(before))
-    change = F.col("price") / F.when(F.col("_prev") != 0, F.col("_prev")) - 1
-    return out.withColumn("_r", change)
-
-
-def _twelve(daily: DataFrame) -> DataFrame:
-    line = Window.partitionBy("series").orderBy("ts")
-    months = daily.where(F.col("_m")).withColumn("_year_ago", F.lag("price", 12).over(line))
-    up = F.col("price") / F.when(F.col("_year_ago") != 0, F.col("_year_ago")) - 1 > 0
-    return months.groupBy("series").agg(F.avg(up.cast("double")).alias("twelve_month_win_perc"))
+    # days since the last one at the peak
+    out = out.withColumn("_under", F.col("_at") - F.max(F.when(F.col("price") >= F.col("_peak"), F.col("_at"))).over(upto))
+    below = F.transform("_below", lambda x: F.try_divide(x["price"], F.greatest("_earlier", x["_now"])))
+    past = F.try_divide("_low", F.when(F.col("_earlier") > 0, F.col("_earlier")))
+    out = out.withColumn("_depth", F.least(past, "_inside", F.array_min(below)) - 1)
+    out = out.withColumn("_r", F.try_divide("price", "_prev") - 1)
+    # month ends among themselves: twelve of them back is a year
+    ends = Window.partitionBy("series", "_m").orderBy("ts")
+    out = out.withColumn("_year_ago", F.when(F.col("_m"), F.lag("price", 12).over(ends)))
+    return out.withColumn("_var", F.percentile("_r", 0.05).over(whole))
 
 
 def perf_stats(series: DataFrame, rf: float | DataFrame = 0.0, ann: int = 252) -> DataFrame:
@@ -71,12 +97,12 @@ def perf_stats(series: DataFrame, rf: float | DataFrame = 0.0, ann: int = 252) -
 
     ``rf`` is an annual rate or a (ts, price) rate index.
     """
-    raw = clean_series(series)
-    daily = _daily(raw)
+    days = _days(clean_series(series))
     if isinstance(rf, DataFrame):
-        daily = rf_returns(daily, rf).withColumnRenamed("rf", "_rf")
+        days = rf_returns(days, rf).withColumnRenamed("rf", "_rf")
     else:
-        daily = daily.withColumn("_rf", F.lit((1 + float(rf)) ** (1 / ann) - 1))
+        days = days.withColumn("_rf", F.lit((1 + float(rf)) ** (1 / ann) - 1))
+    daily = _daily(days)
     excess = F.col("_r") - F.col("_rf")
     daily = daily.withColumn("_x", excess).withColumn("_down", F.when(excess.isNotNull(), F.least(excess, F.lit(0.0))))
 
@@ -109,8 +135,8 @@ def perf_stats(series: DataFrame, rf: float | DataFrame = 0.0, ann: int = 252) -
         F.stddev_samp(r).alias("_sd"),
         F.skewness(r).alias("_g1"),
         F.kurtosis(r).alias("_g2"),
-        F.percentile(r, 0.05).alias("var_95"),
-        F.collect_list(r).alias("_rs"),
+        F.first("_var").alias("var_95"),
+        F.avg(F.when(r <= F.col("_var"), r)).alias("cvar_95"),
         F.avg((r > 0).cast("double")).alias("hit_rate_daily"),
         F.avg("_x").alias("_xm"),
         F.stddev_samp("_x").alias("_xs"),
@@ -125,12 +151,11 @@ def perf_stats(series: DataFrame, rf: float | DataFrame = 0.0, ann: int = 252) -
         F.avg(F.when(monthly <= 0, monthly)).alias("avg_down_month"),
         F.avg((monthly > 0).cast("double")).alias("pos_month_perc"),
         F.avg((yearly > 0).cast("double")).alias("win_year_perc"),
+        F.min("_depth").alias("max_drawdown"),
+        F.max("_under").cast("long").alias("max_drawdown_duration"),
+        F.avg((F.try_divide("price", "_year_ago") - 1 > 0).cast("double")).alias("twelve_month_win_perc"),
     ).where(F.col("_days") >= 2)
 
-    depth = drawdown(raw).groupBy("series").agg(F.min("drawdown").alias("max_drawdown"))
-    length = dd_duration(daily.select("series", "ts", "price"))
-    joined = grouped.join(depth, "series").join(length, "series").join(_twelve(daily), "series", "left")
-
     years = F.datediff("end", "start") * (86_400 / YEAR_SECONDS)
     growth = F.try_divide("_last", "_first")
     cagr = F.when(F.col("_negative"), 0.0).when(
@@ -141,18 +166,15 @@ def perf_stats(series: DataFrame, rf: float | DataFrame = 0.0, ann: int = 252) -
     kurt = F.when(
         n > 3, (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6)
     )
-    tail = F.filter("_rs", lambda x: x <= F.col("var_95"))
-    cvar = F.try_divide(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x), F.size(tail))
     scale = float(ann) ** 0.5
 
-    out = joined.withColumns({
+    out = grouped.withColumns({
         "total_return": growth - 1,
         "cagr": cagr,
         "daily_mean_ann": F.col("_mean") * ann,
         "daily_vol_ann": F.col("_sd") * scale,
         "daily_skew": skew,
         "daily_kurt": kurt,
-        "cvar_95": cvar,
         "sharpe": F.col("_xm") / _nonzero(F.col("_xs")) * scale,
         "sortino": F.col("_xm") / _nonzero(F.col("_ds")) * scale,
         **{name: F.col("_last") / _nonzero(F.col(f"_a{name}")) - 1 for name in _TRAILING},
