@@ -162,3 +162,46 @@ def spellings(rows, min_length=7, min_count=2, ratio=10, slip=31):
         return w if out[w][2] is None else root(out[w][2])
 
     return {w: (*r, root(w)) for w, r in out.items()}
+
+
+def toxic_evidence(rows, prefixes=(3, 5, 7, 9, 12), discount=0.75, prior=5.0, threshold=12.0):
+    """{prefix: log ratio of its chances in toxic and ordinary texts} of (text, label or None), by dictionaries."""
+    parent, held = {}, ({}, {})
+    for text, label in rows:
+        mine = set()
+        for word in ALNUM.findall(fold(text or "")):
+            body, up = word.encode(), b""
+            for size in (*prefixes, len(body)):
+                node = body[:size]
+                if node != up:
+                    parent[node] = up
+                    mine.add(node)
+                up = node
+        if label is not None:
+            for node in mine:
+                held[label][node] = held[label].get(node, 0) + 1
+    children = {}
+    for node, up in parent.items():
+        children.setdefault(up, []).append(node)
+
+    def width(node):
+        return 1 + len(children.get(node, []))
+
+    def count(c, node):
+        return held[c].get(node, 0) if node else sum(held[c].get(x, 0) for x in children[b""])
+
+    out = {}
+    for node, up in parent.items():
+        if not count(0, node) + count(1, node):
+            continue
+        share = width(node) / sum(map(width, children[up]))
+        mine, of = [count(c, node) for c in (0, 1)], [count(c, up) for c in (0, 1)]
+        types = [sum(x in held[c] for x in children[up]) for c in (0, 1)]
+        chance = [
+            (max(mine[c] - discount, 0) + (discount * types[c] + prior) * share) / (of[c] + prior) for c in (0, 1)
+        ]
+        toxic = (of[1] + 0.5) / (of[0] + of[1] + 1)
+        g = 2 * sum(n * math.log(n / (sum(mine) * e)) for n, e in zip(mine, (1 - toxic, toxic)) if n)
+        if g >= threshold:
+            out[node] = math.log(chance[1] / chance[0])
+    return out

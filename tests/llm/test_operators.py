@@ -5,6 +5,7 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute
 from tickloom.llm import (
     bpe, components, decontaminate, fingerprint, htmltext, jaccard, langid, licenses, linededup, sharding, toxicity,
+    wordhash,
 )
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -93,6 +95,23 @@ def test_toxicity_learns_and_is_held_out(spark):
     assert again == {(r["doc_id"], r["n_words"]): r["score"] for r in out}
 
 
+def test_toxicity_counts_equal_those_of_dictionaries(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 500)  # tasks hand out their nodes many times
+    rows, labels = toxic_rows()
+    label = {i: t for i, t in labels if i % 5}
+    rows = [(text, label.get(i)) for i, text in rows] + [(None, 1), ("", 0), ("Ä \u00e9t\u00e9 a abc abcd abcde " * 3, None)]
+    known = spark.createDataFrame(rows, "text string, toxic int").repartition(5)
+    want = brute.toxic_evidence(rows)
+    body = b"".join(want)
+    ends = np.cumsum([0, *map(len, want)])
+    # every prefix is a text of one word
+    numbers, _ = wordhash.hash_words(np.frombuffer(body, dtype=np.uint8), ends, wordhash.ALNUM)
+    expected = dict(zip(numbers.view(np.int64).tolist(), want.values()))
+    got = {r["node"]: r["e0"] for r in toxicity.evidence_table(known).collect() if r["e0"]}
+    assert len(want) > 3 and got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.toxicity(frame(spark, [(1, "a b"), (2, None)]), none).collect()

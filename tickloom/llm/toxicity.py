@@ -7,19 +7,23 @@ after its parent y is
     P_c(x|y) = (max(n_c(x) - D, 0) + (D * T_c(y) + K) * S(x|y)) / (n_c(y) + K)
 
 with n_c the documents of the class that hold the node, T_c(y) the distinct
-nodes that continue y in the class, and S(x|y) the backoff share, counted over
-all documents and shared by the classes.  A node whose class counts do not
-differ from its parent's beyond a G-test threshold is rare or neutral: both
-classes then use the shared share alone, and it adds nothing.
+nodes that continue y in the class, and S(x|y) the backoff share of Kneser and
+Ney, shared by the classes: of the distinct continuations that all documents
+know below y, one more for y's children themselves, the share of x.  A node
+whose class counts do not differ from its parent's beyond a G-test threshold is
+rare or neutral: both classes then use the shared share alone, and it adds
+nothing.
 
 A document's evidence is the length-normalised difference of its toxic and
 ordinary log-likelihoods, over the whole text and over its worst passage of 32
 words.  A two-feature logistic curve turns it into a score; it is fitted on
 training rows whose own counts are taken out first.
 
-Bounds: nodes are hashed into 2^18 cells a level, so the model has a fixed size
-however large the corpus; labelled rows are read up to ``MAX_LABELLED``, beyond
-that a hash-ordered share of about that many; shared counts cover every text.
+The nodes are a table with a row for each distinct prefix of the corpus, under
+its 64-bit number; it grows with the corpus.  Only nodes that pass the test
+leave it.  Labelled rows are read up to ``MAX_LABELLED``, beyond that a
+hash-ordered share of about that many, which bounds those nodes too; continuations
+are counted over every text.
 """
 
 from __future__ import annotations
@@ -33,20 +37,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm import arrays
 from tickloom.llm.wordhash import ALNUM, U64, hash_words, text_slices
+from tickloom.session import cut_lineage
 
 MAX_LABELLED = 400_000
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (3, 5, 7, 9, 12)
 LEVELS = len(PREFIXES) + 1
-BITS = 18
-CELLS = 1 << BITS
 DISCOUNT = 0.75
 PRIOR = 5.0
 G_TEST = 12.0
 PASSAGE = 32
 BINS = 48
+HELD = 1 << 19  # nodes that a counting task holds before it hands them out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,9 +58,10 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class ToxicityModel:
-    """Evidence per cell: all counts, and less one toxic or one ordinary document."""
+    """Evidence per node: from all counts, and from those less one ordinary or one toxic document."""
 
-    evidence: np.ndarray  # (3, LEVELS, CELLS) float32
+    keys: np.ndarray  # numbers of the nodes with evidence, ascending
+    evidence: np.ndarray  # (3, nodes) float32
     weights: tuple[float, float, float]  # bias, whole text, worst passage
 
     @property
@@ -72,103 +76,125 @@ def _score(weights: tuple[float, float, float], mean: np.ndarray, worst: np.ndar
 
 
 def _nodes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cells by level and word, whether the node is longer than its parent, first words)."""
+    """(numbers of the nodes by level and word, whether the node is longer than its parent, first words)."""
     numbers, first = hash_words(data, offsets, ALNUM, PREFIXES)
     longer = np.ones(numbers.shape, dtype=bool)
     longer[1:] = numbers[1:] != numbers[:-1]
-    return (numbers >> U64(64 - BITS)).astype(np.int64), longer, first
+    return numbers, longer, first
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shared = np.zeros((LEVELS, CELLS), dtype=np.int64)
-    parent = np.zeros((LEVELS, CELLS), dtype=np.int32)
-    seen = np.zeros((2, LEVELS, CELLS), dtype=np.int32)
-    next_ = np.zeros((2, LEVELS, CELLS), dtype=np.uint64)
-    for rows, data, offsets in text_slices(batches, "text"):
-        cells, longer, first = _nodes(data, offsets)
-        labels = rows.column(rows.schema.get_field_index("toxic")).fill_null(-1).to_numpy(zero_copy_only=False)
-        document = np.repeat(np.arange(len(labels)), np.diff(first))
-        for k in range(LEVELS):
-            at = cells[k][longer[k]]
-            shared[k] += np.bincount(at, minlength=CELLS)
-            if k:
-                parent[k][at] = np.maximum(parent[k][at], cells[k - 1][longer[k]].astype(np.int32))
-        for c in (0, 1):
-            mine = labels[document] == c
-            if not mine.any():
-                continue
-            for k in range(LEVELS):
-                use = mine & longer[k]
-                pairs = np.unique(document[use] * CELLS + cells[k][use])
-                seen[c, k] += np.bincount(pairs % CELLS, minlength=CELLS).astype(np.int32)
-                if k:
-                    bit = U64(1) << (cells[k][use] & 63).astype(U64)
-                    np.bitwise_or.at(next_[c, k - 1], cells[k - 1][use], bit)
-    yield from arrays.pack(
-        {f"shared{k}": shared[k] for k in range(LEVELS)}
-        | {f"parent{k}": parent[k] for k in range(1, LEVELS)}
-        | {f"seen{c}{k}": seen[c, k] for c in (0, 1) for k in range(LEVELS)}
-        | {f"next{c}{k}": next_[c, k] for c in (0, 1) for k in range(LEVELS - 1)}
-    )
-
+_COUNTS = "node long, parent long, n0 long, n1 long"
 
-def _how(name: str) -> str:
-    return {"pare": "max", "next": "or"}.get(name[:4], "sum")
 
+def _together(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Counted nodes of several slices as one, a row for each node."""
+    node, parent, *counts = (np.concatenate(x) for x in zip(*parts))
+    keys, at, group = np.unique(node, return_index=True, return_inverse=True)
+    return keys, parent[at], *(np.bincount(group, weights=c, minlength=len(keys)).astype(np.int64) for c in counts)
 
-def _distinct(mask: np.ndarray) -> np.ndarray:
-    """Distinct children from a 64-bit mask of their cells, by linear counting."""
-    full = np.minimum(np.bitwise_count(mask).astype(np.float64), 63.5)
-    return -64 * np.log1p(-full / 64)
 
-
-def _evidence(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """Log ratio of the two classes' chances of each node, for the three sets of counts."""
-
-    def of(name: str, kind: type) -> np.ndarray:
-        return counts.get(name, np.zeros(CELLS, dtype=kind))
-
-    shared = [of(f"shared{k}", np.int64).astype(np.float64) for k in range(LEVELS)]
-    seen = [[of(f"seen{c}{k}", np.int32).astype(np.float64) for k in range(LEVELS)] for c in (0, 1)]
-    out = np.zeros((3, LEVELS, CELLS), dtype=np.float32)
-    for k in range(LEVELS):
-        if k:
-            up = of(f"parent{k}", np.int32)
-            share = (shared[k] + 0.5) / (np.maximum(shared[k - 1][up], shared[k]) + 1)
-            whole = [np.maximum(seen[c][k - 1][up], seen[c][k]) for c in (0, 1)]
-            types = [_distinct(of(f"next{c}{k - 1}", np.uint64))[up] for c in (0, 1)]
-        else:
-            share = (shared[0] + 0.5) / (shared[0].sum() + 0.5 * CELLS)
-            whole = [np.full(CELLS, seen[c][0].sum()) for c in (0, 1)]
-            types = [np.full(CELLS, float((seen[c][0] > 0).sum())) for c in (0, 1)]
-        for left_out in range(3):  # none, one ordinary document, one toxic document
-            less = [float(left_out == c + 1) for c in (0, 1)]
-            mine = [np.maximum(seen[c][k] - less[c], 0) for c in (0, 1)]
-            all_ = [np.maximum(whole[c] - less[c], mine[c]) for c in (0, 1)]
-            chance = [
-                (np.maximum(mine[c] - DISCOUNT, 0) + (DISCOUNT * types[c] + PRIOR) * share) / (all_[c] + PRIOR)
-                for c in (0, 1)
-            ]
-            expected = (all_[1] + 0.5) / (all_[0] + all_[1] + 1)
-            total = np.maximum(mine[0] + mine[1], 1)
-            g = 2 * sum(
-                np.where(mine[c] > 0, mine[c] * np.log(np.maximum(mine[c], 1) / (total * e)), 0)
-                for c, e in ((0, 1 - expected), (1, expected))
-            )
-            out[left_out, k] = np.where(g >= G_TEST, np.log(chance[1] / chance[0]), 0)
-    return out
+def _rows(node: np.ndarray, parent: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> Iterator[pa.RecordBatch]:
+    columns = [pa.array(x.view(np.int64)) for x in (node, parent, n0, n1)]
+    whole = pa.RecordBatch.from_arrays(columns, ["node", "parent", "n0", "n1"])
+    for at in range(0, whole.num_rows, 1 << 16):
+        yield whole.slice(at, 1 << 16)
 
 
-def _features(evidence: np.ndarray, data: np.ndarray, offsets: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct nodes of a task's texts, their parents, and the documents of each class that hold them."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    for rows, data, offsets in text_slices(batches, "text"):
+        numbers, longer, first = _nodes(data, offsets)
+        parents = np.vstack([np.zeros((1, numbers.shape[1]), dtype=U64), numbers[:-1]])
+        keys, at = np.unique(numbers[longer], return_index=True)
+        counts = [np.zeros(len(keys), dtype=np.int64) for _ in (0, 1)]
+        labels = rows.column(rows.schema.get_field_index("toxic")).fill_null(-1).to_numpy(zero_copy_only=False)
+        for row in np.flatnonzero(labels >= 0):
+            mine = slice(int(first[row]), int(first[row + 1]))
+            held = np.unique(numbers[:, mine][longer[:, mine]])
+            counts[int(labels[row])][np.searchsorted(keys, held)] += 1
+        parts.append((keys, parents[longer][at], *counts))
+        if sum(len(p[0]) for p in parts) >= HELD:
+            parts = [_together(parts)]
+            if len(parts[0][0]) >= HELD // 2:
+                yield from _rows(*parts.pop())
+    if parts:
+        yield from _rows(*_together(parts))
+
+
+def _log_ratio(less: tuple[int, int]) -> Column:
+    """Log ratio of a node's two chances with ``less`` documents taken out, 0 if it fails the G-test."""
+    mine = [F.greatest(F.col(f"n{c}") - less[c], F.lit(0)).cast("double") for c in (0, 1)]
+    of = [F.greatest(F.col(f"of{c}") - less[c], mine[c]) for c in (0, 1)]
+    chance = [
+        (F.greatest(mine[c] - DISCOUNT, F.lit(0.0)) + (DISCOUNT * F.col(f"types{c}") + PRIOR) * F.col("share")) / (of[c] + PRIOR)
+        for c in (0, 1)
+    ]
+    total = F.greatest(mine[0] + mine[1], F.lit(1.0))
+    toxic = (of[1] + 0.5) / (of[0] + of[1] + 1)
+
+    def part(n: Column, expected: Column) -> Column:
+        return F.when(n > 0, n * F.ln(F.greatest(n, F.lit(1.0)) / (total * expected))).otherwise(0.0)
+
+    g = 2 * (part(mine[0], 1 - toxic) + part(mine[1], toxic))
+    return F.when(g >= G_TEST, F.ln(chance[1] / chance[0])).otherwise(0.0)
+
+
+def evidence_table(known: DataFrame) -> DataFrame:
+    """(node, e0, e1, e2): the nodes of (text, toxic) rows with any evidence; a null toxic is no label.
+
+    Counts combine before their shuffle; the table of nodes is written once.
+    """
+    counted = known.mapInArrow(_count, _COUNTS)
+    nodes = cut_lineage(counted.groupBy("node").agg(F.min("parent").alias("parent"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    children = nodes.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
+    # a node of its own and its distinct continuations
+    wide = nodes.join(children, "node", "left").withColumn("width", 1 + F.coalesce("children", F.lit(0)))
+    families = wide.groupBy("parent").agg(
+        F.sum("width").alias("widths"),
+        *[F.sum(f"n{c}").alias(f"sum{c}") for c in (0, 1)],
+        *[F.count_if(F.col(f"n{c}") > 0).alias(f"types{c}") for c in (0, 1)],
+    )
+    above = nodes.select(F.col("node").alias("parent"), F.col("n0").alias("up0"), F.col("n1").alias("up1"))
+    # only nodes of labelled documents can pass the test; the first prefixes have no parent, and their sum stands for it
+    tested = wide.where("n0 + n1 > 0").join(families, "parent").join(above, "parent", "left")
+    tested = tested.withColumns({f"of{c}": F.coalesce(f"up{c}", f"sum{c}") for c in (0, 1)} | {"share": F.col("width") / F.col("widths")})
+    out = tested.select("node", *[_log_ratio(less).alias(f"e{i}") for i, less in enumerate(((0, 0), (1, 0), (0, 1)))])
+    return out.where("e0 <> 0 OR e1 <> 0 OR e2 <> 0")
+
+
+class _Lookup:
+    """Positions of numbers among the keys; a table of bits keeps most others from being searched."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = U64(64 - max(10, len(keys).bit_length() + 4))
+        self.marked = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.marked[keys >> self.shift] = True
+
+    def __call__(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the numbers are keys, their positions among the keys)."""
+        may = np.flatnonzero(self.marked[numbers >> self.shift])
+        at = np.searchsorted(self.keys, numbers[may])
+        found = self.keys[np.minimum(at, len(self.keys) - 1)] == numbers[may] if len(self.keys) else np.zeros(0, dtype=bool)
+        return may[found], at[found]
+
+
+def _features(
+    find: _Lookup, evidence: np.ndarray, data: np.ndarray, offsets: np.ndarray, left_out: np.ndarray
+) -> np.ndarray:
     """Per text: words, mean evidence of its words, and the mean over its worst passage."""
-    cells, longer, first = _nodes(data, offsets)
+    numbers, longer, first = _nodes(data, offsets)
     document = np.repeat(np.arange(len(left_out)), np.diff(first))
     table = left_out[document]
-    words = np.zeros(cells.shape[1])
+    words = np.zeros(numbers.shape[1])
     for k in range(LEVELS):
-        words += np.where(longer[k], evidence[table, k, cells[k]], 0)
-    running = np.concatenate([[0.0], np.cumsum(words)])
+        here = np.flatnonzero(longer[k])
+        which, at = find(numbers[k][here])
+        word = here[which]
+        words[word] += evidence[table[word], at]
     out = np.zeros((3, len(left_out)))
+    running = np.concatenate([[0.0], np.cumsum(words)])
     out[0] = np.diff(first)
     out[1] = (running[first[1:]] - running[first[:-1]]) / np.maximum(out[0], 1)
     if len(words):
@@ -211,15 +237,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     spark = docs.sparkSession
     votes = _labelled(docs, labels, max_labelled)
     known = docs.select("doc_id", "text").join(F.broadcast(votes), "doc_id", "left").select("text", "toxic")
-    blocks = arrays.merged(known.mapInArrow(_count, arrays.SCHEMA), _how)
-    evidence = _evidence(arrays.collected(blocks, lambda name: CELLS))
-    model = ToxicityModel(evidence, (0.0, 0.0, 0.0))
-    sent = spark.sparkContext.broadcast(evidence)
+    found = evidence_table(known).toArrow()
+    keys = found.column("node").to_numpy().view(U64)
+    order = np.argsort(keys)
+    evidence = np.stack([found.column(f"e{i}").to_numpy()[order] for i in range(3)]).astype(np.float32)
+    model = ToxicityModel(keys[order], evidence, (0.0, 0.0, 0.0))
+    sent = spark.sparkContext.broadcast((model.keys, evidence))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, evidence = sent.value
+        find = _Lookup(keys)
         for rows, data, offsets in text_slices(batches, "text"):
             toxic = rows.column(rows.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False).astype(np.int64)
-            _, mean, worst = _features(sent.value, data, offsets, toxic + 1)
+            _, mean, worst = _features(find, evidence, data, offsets, toxic + 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(toxic, pa.int32()), pa.array(_bin(mean), pa.int32()), pa.array(_bin(worst), pa.int32())],
                 ["toxic", "mean", "worst"],
@@ -234,6 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         .count()
         .toArrow()  # at most 2 * BINS * BINS rows
     )
+    sent.destroy()
     model.weights = _logistic(*(rows.column(c).to_numpy() for c in ("toxic", "mean", "worst", "count")))
     return model
 
@@ -270,13 +301,14 @@ def with_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", score
 
     A null or empty text has no words and the score of no evidence.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.evidence[:1], model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.evidence[:1], model.weights))
     kept = docs.drop(score, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence, weights = sent.value
+        keys, evidence, weights = sent.value
+        find = _Lookup(keys)
         for rows, data, offsets in text_slices(batches, text):
-            n, mean, worst = _features(evidence, data, offsets, np.zeros(rows.num_rows, dtype=np.int64))
+            n, mean, worst = _features(find, evidence, data, offsets, np.zeros(rows.num_rows, dtype=np.int64))
             value = _score(weights, mean, worst)
             yield pa.RecordBatch.from_arrays(
                 [*rows.columns, pa.array(value), pa.array(n.astype(np.int64))], [*rows.schema.names, score, words]
