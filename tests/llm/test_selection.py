@@ -63,6 +63,21 @@ def test_quality_bounds_and_empty_tables(spark):
     assert one == sorted(map(str, quality.quality(docs.repartition(7), votes).collect()))
 
 
+def test_quality_counts_every_trusted_text_without_a_broadcast(spark, monkeypatch):
+    rows = [(i, prose(i, 60)) for i in range(40)] + [(None, prose(41, 60)), (3, prose(42, 60))]
+    votes = spark.createDataFrame([(i, 1) for i in range(30)] + [(None, 1)], "doc_id long, quality int")
+    assert quality.trusted_ids(votes).count() == 30
+    docs = frame(spark, rows)
+    counts = lambda: sorted(map(tuple, quality.fit(docs, quality.trusted_ids(votes), 4096).collect()))
+    flags = lambda: sorted(map(str, quality._flagged(docs, quality.trusted_ids(votes)).collect()))
+    want, marked = counts(), flags()
+    assert sum("good=True" in m for m in marked) == 31
+    monkeypatch.setattr(quality, "MAX_BROADCAST", 5)
+    assert counts() == want and flags() == marked
+    narrow = votes.withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert sorted(map(tuple, quality.fit(docs, quality.trusted_ids(narrow), 4096).collect())) == want
+
+
 # ---------------------------------------------------------------- 12 importance resampling
 @pytest.mark.parametrize("orders, buckets, percent", [(1, 10_000, 10), (3, 997, 35)])
 def test_resampling_equals_plain_version(spark, orders, buckets, percent):

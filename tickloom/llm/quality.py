@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm import idmap
 from tickloom.llm.wordhash import text_slices
 from tickloom.session import cut_lineage
 
 BUCKETS_PER_ROOT = 8
 LEAST_BUCKETS = 1 << 12
-MAX_TRUSTED = 400_000
+MAX_BROADCAST = 400_000  # trusted ids; more of them meet the texts in a shuffle
 THRESHOLD = -50  # thousandths of a nat a feature
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -69,13 +70,16 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """(doc_id) of documents that most of their labels call good, about ``max_trusted`` at most.
+def trusted_ids(labels: DataFrame, max_trusted: int | None = None) -> DataFrame:
+    """(doc_id) of all documents that most of their labels call good.
 
-    Which ones are read beyond the bound depends on their ids alone.
+    A caller who asks for fewer gets about ``max_trusted`` of them, chosen by
+    their ids alone.
     """
     votes = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("share"))
     good = votes.where("share > 0.5").select("doc_id")
+    if max_trusted is None:
+        return good
     total = good.count()
     if total > max_trusted:
         slot = F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1 << 31))
@@ -83,6 +87,25 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     return good
 
 
+def _flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, good) of every row of ``docs``; good is true where ``trusted`` (doc_id) has its id, else null.
+
+    Beyond ``MAX_BROADCAST`` ids only the texts that a bit map of the ids does
+    not rule out are moved to meet them.
+    """
+    docs = docs.select("doc_id", "text")
+    ids = cut_lineage(trusted.select("doc_id"))
+    flag = ids.withColumn("good", F.lit(True))
+    if ids.count() <= MAX_BROADCAST:
+        return docs.join(F.broadcast(flag), "doc_id", "left").select("text", "good")
+    if docs.schema["doc_id"].dataType != ids.schema["doc_id"].dataType:
+        # ids of two types are equal by value, not by their hashes
+        return docs.join(flag, "doc_id", "left").select("text", "good")
+    may = idmap.may_be_in(docs, ids)
+    met = docs.where(may).join(flag, "doc_id", "left").select("text", "good")
+    return docs.where(~may).select("text", F.lit(None).cast("boolean").alias("good")).union(met)
+
+
 def bucket_count(docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(LEAST_BUCKETS, math.floor(BUCKETS_PER_ROOT * math.sqrt(size)))
@@ -91,10 +114,9 @@ def bucket_count(docs: DataFrame) -> int:
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """(bucket, gain) of every bucket that a document of ``docs`` (doc_id, text) has.
 
-    ``trusted`` (doc_id) has at most ``MAX_TRUSTED`` rows and is broadcast.
+    ``trusted`` (doc_id) has each id once, and any number of them.
     """
-    flagged = trusted.select("doc_id", F.lit(True).alias("good"))
-    known = docs.select("doc_id", "text").join(F.broadcast(flagged), "doc_id", "left").select("text", "good")
+    known = _flagged(docs, trusted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches, "text", 1 << 22):
@@ -120,14 +142,14 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_features, score, base_failed, kept).
 
     One row for each row of ``docs`` (doc_id, text); ``score`` is the sum of
     gains, and a document is kept if it passes the surface rules and
-    score >= threshold * n_features.  Trusted are documents whose ``labels``
-    (doc_id, quality) are mostly 1; without any,
-    every bucket's trusted count is zero.
+    score >= threshold * n_features.  Trusted are all documents whose ``labels``
+    (doc_id, quality) are mostly 1; without any, every bucket's trusted count
+    is zero.
 
     A null text is an empty one: no words, no features, failed.  Rows without
     id are counted and judged, but never trusted; repeated rows are judged each
@@ -137,7 +159,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, max_
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     buckets = bucket_count(docs)
-    rows = fit(docs, trusted_ids(labels, max_trusted), buckets).toArrow()
+    rows = fit(docs, trusted_ids(labels), buckets).toArrow()
     gains = np.zeros(buckets, dtype=np.int32)
     gains[rows.column("bucket").to_numpy()] = rows.column("gain").to_numpy()
     sent = spark.sparkContext.broadcast(gains)
