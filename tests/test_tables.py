@@ -154,6 +154,29 @@ def test_numeric_only_when_all_parse(spark):
     assert dict(cleaning.to_numeric_columns(df).dtypes) == {"a": "double", "b": "string"}
 
 
+def test_fund_totals_leave_the_lines_where_they_are_read(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    rows = [(f"I{k % 3}", f"T{k}", "n", float(k + 1)) for k in range(300)] + [(None, "T", "n", 1.0), ("I0", "T", "n", None)]
+    spark.createDataFrame(rows, "INDEX string, TICKER string, NAME string, WEIGHT double").write.parquet(path)
+    out = aggregates.normalize_weights(spark.read.parquet(path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    sums = {r["INDEX"]: round(r["t"], 9) for r in out.groupBy("INDEX").agg(F.sum("WEIGHT").alias("t")).collect()}
+    assert sums == {"I0": 1.0, "I1": 1.0, "I2": 1.0} and out.count() == 301
+
+
+def test_rollup_ranks_distinct_lines_up_to_the_last_attribute(spark):
+    schema = "INDEX string, TICKER string, EXCHANGE string, ASSET_CLASS string, NAME string, PRICE double"
+    rows = [("I", "T", None, "b", "z", 1.0), ("I", "T", "y", "b", "q", 2.0), ("I", "T", "y", "a", None, 3.0), ("I", "T", "y", "b", "p", None)]
+    df = spark.createDataFrame(rows * 50 + [(None, None, None, None, None, 1.0)], schema)
+    out = aggregates.holdings_rollup(df, ["INDEX", "TICKER"])
+    got = {r["TICKER"]: (r["EXCHANGE"], r["NAME"], r["PRICE"]) for r in out.collect()}
+    assert got == {"T": ("y", "p", 300.0), None: (None, None, 1.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    ranked = next(line for line in plan.splitlines() if "row_number()" in line)
+    assert "_order2" in ranked and "_order3" not in ranked  # not the price
+
+
 # ---------------------------------------------------------------- streams of several batches
 def _stream(spark, folder, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.filters import normalized
-from tickloom.operators.support import with_group_totals, with_scalars
+from tickloom.operators.support import with_scalars
+from tickloom.session import cut_lineage
 
 # fixed values: what a price history starts with, and the attributes a roll-up keeps
 DEFAULT_START = "2000-01-01"
@@ -31,17 +32,23 @@ def start_dates(requested: DataFrame, stored: DataFrame, key: str = "TICKER", de
 
 
 def normalize_weights(df: DataFrame, keys: Sequence[str] = ("INDEX",), weight: str = "WEIGHT") -> DataFrame:
-    """Weights divided by their total over the feed."""
-    out = with_group_totals(df, keys, _total=F.sum(weight))
+    """Weights divided by their total over the feed.
+
+    The totals are written first, so that the planner knows their size: a few
+    funds are broadcast, and their lines stay in the tasks that read them.
+    """
+    totals = cut_lineage(df.groupBy(*keys).agg(F.sum(weight).alias("_total")))
+    out = df.join(totals, list(keys))
     return out.withColumn(weight, F.col(weight) / F.col("_total")).select(*df.columns)
 
 
 def holdings_rollup(df: DataFrame, keys: Sequence[str] = ("DATE", "INDEX", "TICKER"), tie: str | None = None) -> DataFrame:
     """One row per member: amounts summed, each attribute from the first line by ``tie`` that has it.
 
-    Sums are hash aggregates.  Of the attributes' lines every task sends the
-    first of each member and attribute, so a member with many lines is neither
-    shuffled nor sorted whole.  Null keys are members too.
+    Sums are hash aggregates.  Columns that follow the last attribute in the
+    order decide nothing, so the lines are made distinct without them; of those
+    every task sends the first of each member and attribute, so a member with
+    many lines is neither shuffled nor sorted whole.  Null keys are members too.
     """
     sums = [c for c in ROLLUP_SUMS if c in df.columns]
     kept = [c for c in ROLLUP_FIRSTS if c in df.columns]
@@ -49,6 +56,11 @@ def holdings_rollup(df: DataFrame, keys: Sequence[str] = ("DATE", "INDEX", "TICK
     if not kept:
         return totals.drop("_lines")
     order = [tie] if tie else [c for c in df.columns if c not in keys]
+    places = [order.index(c) for c in kept if c in order]
+    if places and not tie:
+        # the first line by a prefix of the order that ends at an attribute has that attribute's value
+        order = order[: max(places) + 1]
+        df = df.select(*keys, *order).distinct()
     have = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in kept])
     lines = df.select(
         *keys,
