@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 NULL_TOKENS = ["nan", "none", "nat", "null", ""]
 INFO_NULL_TOKENS = ["nan", "none", ""]
 MACRO_NULL_TOKENS = ["", ".", "nan", "None", "none", "<NA>"]
+# what every text that casts to double starts with: a digit, a point and a digit, inf or nan
+_NUMBER_START = r"^[\x00-\x20]*[+-]?(\.?[0-9]|[iI][nN][fF]|[nN][aA][nN])"
 
 
 def col(c: Column | str) -> Column:
@@ -89,7 +91,8 @@ def signature(c: Column | str, data_type: str) -> Column:
         return F.coalesce(_number_text(value.cast("double")), missing)
     text = F.trim(value.cast("string"))
     lowered = F.lower(text)
-    number = text.try_cast("double")
+    # a cast that fails throws inside, so only what starts like a number is tried
+    number = F.when(text.rlike(_NUMBER_START), text).try_cast("double")
     day = F.substring(text, 1, 10).try_cast("date")
     looks_dated = text.rlike(r"^\d{4}-\d{2}-\d{2}([ T].*)?$")
     return (

@@ -198,14 +198,14 @@ def daily_run(
     index prices, the prices of what is held, the vendor datasets, the macro
     tables and the addresses still to be located.  Price and macro tables come
     as their next state, the others as the rows to append.  What later jobs
-    read, the extended identifiers and the prices, is written to the checkpoint
-    folder; the other results are lazy.  The caller writes them one after
+    read, the holdings, the extended identifiers and the prices, is written to
+    the checkpoint folder; the other results are lazy.  The caller writes them one after
     another, and a failed write is repeated without harm because a second run
     finds nothing new.
     """
     out: dict[str, DataFrame] = {}
     if "holdings" in landed:
-        out["holdings"] = ingest_holdings(landed["holdings"], stored["security_master"], exchanges, load_date, bounds)
+        out["holdings"] = cut_lineage(ingest_holdings(landed["holdings"], stored["security_master"], exchanges, load_date, bounds))
         members = out["holdings"].where("FIGI IS NOT NULL").select("TICKER", "FIGI")
         both = mapping.select("TICKER", "FIGI").withColumn("_own", F.lit(1)).unionByName(members.withColumn("_own", F.lit(0)))
         mapping = cut_lineage(snapshots.pick_row(both, ["TICKER"], [F.col("_own"), F.col("FIGI")]).select("TICKER", "FIGI"))
