@@ -210,6 +210,30 @@ def test_stream_diff_append_sees_earlier_batches(spark, tmp_path):
     assert len({r["_batch"] for r in spark.read.parquet(table).collect()}) == 2
 
 
+def test_replayed_events_land_in_as_many_files_as_tasks_read_them(spark, tmp_path):
+    source = str(tmp_path / "sf")
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 30), i % 5, "view", float(i % 7)) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    events.repartition(4).write.parquet(f"{source}/events.parquet")
+    seen = []
+
+    def start(stream):
+        batch = lambda rows, i: seen.append((i, rows.count(), len(set(rows.sparkSession.read.parquet(folder[0]).inputFiles()))))
+        return stream.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "state"))
+
+    folder, own = [], jobs._folder
+    jobs._folder = lambda *args: folder.append(own(*args)) or folder[-1]
+    try:
+        jobs._replay(spark, source, start)
+    finally:
+        jobs._folder = own
+    assert [s[:2] for s in seen] == [(0, 220), (1, 220), (2, 160)]
+    assert seen[0][2] > 1 and seen[-1][2] > 3
+    table = jobs.replay_diff_append(spark, source)
+    want = events.groupBy("user_id", "value").agg(F.min("ts")).count()
+    assert table.count() == want
+
+
 def test_stream_dedup_and_latest_with_a_late_row(spark, tmp_path):
     landed = str(tmp_path / "landed")
     schema = "k string, at timestamp, n long"

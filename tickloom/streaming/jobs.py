@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,15 +83,17 @@ def stream_latest(
 
 
 # ------------------------------------------------------------------ replays over the given events
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of several micro-batches: landed by thirds of the month, one file a batch."""
+def _replay(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """The events through a stream job, landed by thirds of the month; each third is one micro-batch.
+
+    A third lands in as many files as tasks read it, and the job runs on from
+    its checkpoint until it has taken them all.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     folder = _folder(spark, "landed")
-    # a file's age decides its batch, so the thirds are written one after another
     for third in range(3):
-        part = events.where(F.floor((F.dayofmonth("ts") - 1) / 11) == third)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return stream_table(spark, folder, files_per_batch=1)
+        events.where(F.floor((F.dayofmonth("ts") - 1) / 11) == third).write.mode("append").parquet(folder)
+        start(stream_table(spark, folder)).trigger(availableNow=True).start().awaitTermination()
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -101,45 +103,53 @@ def _folder(spark: SparkSession, name: str) -> str:
 def replay_diff_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events through the append job; the resulting table."""
     table, state = _folder(spark, "append"), _folder(spark, "append-state")
-    rows = _events(spark, sf_dir).select(
-        F.col("ts").cast("date").alias("DATE"),
-        F.concat(F.lit("U"), F.col("user_id")).alias("TICKER"),
-        F.col("event_type").alias("KIND"),
-        F.col("value").alias("VALUE"),
-    )
-    run = stream_diff_append(rows, table, state, keys=["TICKER"]).trigger(availableNow=True).start()
-    run.awaitTermination()
+
+    def start(events: DataFrame) -> DataStreamWriter:
+        rows = events.select(
+            F.col("ts").cast("date").alias("DATE"),
+            F.concat(F.lit("U"), F.col("user_id")).alias("TICKER"),
+            F.col("event_type").alias("KIND"),
+            F.col("value").alias("VALUE"),
+        )
+        return stream_diff_append(rows, table, state, keys=["TICKER"])
+
+    _replay(spark, sf_dir, start)
     return spark.read.parquet(table).drop("_bucket", "_batch")
 
 
 def replay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events through the duplicate filter on (ticker, day); the resulting table."""
     table, state = _folder(spark, "dedup"), _folder(spark, "dedup-state")
-    rows = _events(spark, sf_dir).select(
-        F.concat(F.lit("U"), F.col("user_id")).alias("TICKER"),
-        F.col("ts").cast("date").alias("DATE"),
-        F.col("ts").cast("timestamp").alias("at"),
-    )
-    kept = stream_dedup(rows, ["TICKER", "DATE"], "at", "2 days").drop("at")
-    run = kept.writeStream.format("parquet").option("path", table).option("checkpointLocation", state)
-    run.trigger(availableNow=True).start().awaitTermination()
+
+    def start(events: DataFrame) -> DataStreamWriter:
+        rows = events.select(
+            F.concat(F.lit("U"), F.col("user_id")).alias("TICKER"),
+            F.col("ts").cast("date").alias("DATE"),
+            F.col("ts").cast("timestamp").alias("at"),
+        )
+        kept = stream_dedup(rows, ["TICKER", "DATE"], "at", "2 days").drop("at")
+        return kept.writeStream.format("parquet").option("path", table).option("checkpointLocation", state)
+
+    _replay(spark, sf_dir, start)
     return spark.read.parquet(table)
 
 
 def replay_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events through the latest-row job; the last state of each key."""
     table, state = _folder(spark, "latest"), _folder(spark, "latest-state")
-    rows = _events(spark, sf_dir).select(
-        F.concat(F.lit("U"), F.col("user_id")).alias("TICKER"), F.col("event_id").alias("SEQ"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    newest = stream_latest(rows, ["TICKER"], "ts", "SEQ")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stamped = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
         stamped.write.mode("overwrite").partitionBy("_batch").option("partitionOverwriteMode", "dynamic").parquet(table)
 
-    run = newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state)
-    run.trigger(availableNow=True).start().awaitTermination()
+    def start(events: DataFrame) -> DataStreamWriter:
+        rows = events.select(
+            F.concat(F.lit("U"), F.col("user_id")).alias("TICKER"), F.col("event_id").alias("SEQ"), F.col("ts").cast("timestamp").alias("ts")
+        )
+        newest = stream_latest(rows, ["TICKER"], "ts", "SEQ")
+        return newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state)
+
+    _replay(spark, sf_dir, start)
     updates = spark.read.parquet(table)
     last = updates.groupBy("TICKER").agg(F.max("_batch").alias("_batch"))
     return updates.join(last, ["TICKER", "_batch"], "left_semi").select("TICKER", "SEQ", F.col("ts").cast(_time_type(spark, sf_dir)).alias("ts"))
